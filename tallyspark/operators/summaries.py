@@ -9,9 +9,6 @@ from tallyspark.functions.dates import month, period_end, period_start
 from tallyspark.functions.money import MONEY, percent, total, total_if
 from tallyspark.functions.text import category_or_default
 
-INCOME, EXPENSE = F.lit("INCOME"), F.lit("EXPENSE")
-
-
 def default_range(start: str | None, end: str | None, as_of: str) -> tuple[Column, Column]:
     """A missing end takes the other end; without either it is the month of as_of."""
     if not start and not end:

@@ -19,7 +19,10 @@ def query(name: str, *views: str, sql: str | None = None):
         QUERIES[name] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views])
         if sql:
             body = sql.strip()
-            ORACLES[name] = ctes(list(views)) + (("," + body[4:]) if body[:5].upper() == "WITH " else body)
+            start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), "")
+            given = ctes(list(views))
+            given = given.replace("WITH", "WITH RECURSIVE", 1) if "RECURSIVE" in start else given
+            ORACLES[name] = given + (", " if start else "") + body[len(start) :]
         return f
 
     return add
