@@ -12,6 +12,7 @@ characters: texts are never shuffled, and a benchmark of any size takes one pass
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -133,18 +134,18 @@ def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     blocks = max(1, math.ceil(total / block_chars))
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).dropDuplicates().collect()
-        yield spark.sparkContext.broadcast([tuple(r) for r in rows])
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in rows]))
 
 
-_built: dict[int, Index] = {}
+_built: dict[str, Index] = {}
 
 
 def _index(shared) -> Index:
     """One index a worker process and block."""
-    key = getattr(shared, "id", None) or id(shared)
+    key, items = shared.value
     if key not in _built:
         _built.clear()
-        _built[key] = Index(shared.value)
+        _built[key] = Index(items)
     return _built[key]
 
 
