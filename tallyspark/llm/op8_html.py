@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import slices, table, texts_of
 
-PAGES, STEPS, DIMENSIONS = 500, 80, 1 << 15
+PAGES, STEPS, DIMENSIONS = 800, 90, 1 << 15
 
 # HTML elements by how they bear on blocks.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -131,20 +131,22 @@ def _dim(name: str) -> int:
 
 
 def path_features(path: tuple) -> list[int]:
-    """Of the tags above a block: each tag, each pair of one and the next block-level one, and each
-    class, id and role word with its tag's kind."""
+    """Of the tags above a block: each tag, each pair of one and the next block-level one, and the words
+    of classes, ids and roles, of all and of the nearest element that has some."""
     tags = [t for t, _ in path]
     names = {f"tag {t}" for t in tags}
     main = [t for t in tags if t in BLOCKS]
     names |= {f"in {a}>{b}" for a, b in zip(main, main[1:])}
     names.add(f"leaf {main[-1] if main else ''}")
     names.add(f"near {'>'.join(main[-2:])}")
+    nearest: list[str] = []
     for t, words in path:
-        for w in _SPLIT.split(_CAMEL.sub(" ", words)):
-            if w:
-                names.add(f"word {w.lower().rstrip('s')}")
-                if t in ("body", "html"):
-                    names.discard(f"word {w.lower().rstrip('s')}")
+        if t in ("body", "html"):
+            continue
+        found = [w.lower().rstrip("s") for w in _SPLIT.split(_CAMEL.sub(" ", words)) if w]
+        names |= {f"word {w}" for w in found}
+        nearest = found or nearest
+    names |= {f"own {w}" for w in nearest} | {f"both {a} {b}" for a, b in zip(nearest, nearest[1:])}
     return [_dim(n) for n in sorted(names)]
 
 
@@ -293,7 +295,8 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
     def filler(kind: str) -> str:
         some = lambda a, b: [mark(words(a, b), False) for _ in range(r.randint(1, 4))]
         if kind in ("nav", "aside") and r.random() < 0.7:
-            heading = f"<h3>{mark(words(1, 3), False)}</h3>" if r.random() < 0.5 else ""
+            n = r.randint(2, 5)
+            heading = f"<h{n}>{mark(words(1, 3), False)}</h{n}>" if r.random() < 0.5 else ""
             return heading + "<ul>" + "".join(f"<li>{mark('', False)}{link(False)}</li>" for _ in range(r.randint(2, 7))) + "</ul>"
         if kind == "form":
             return f"<label>{mark(words(1, 3), False)}</label><input name=q><p>{mark(words(2, 20), False)}</p><button>{mark(words(1, 2), False)}</button><select><option>{mark(words(1, 2), False)}</option></select>"
@@ -303,10 +306,12 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
         if kind == "footer":
             return f"{mark('© ' if r.random() < 0.5 else '', False)}{words(1, 12)}" + "".join(f"<p>{x}</p>" for x in some(1, 12) if r.random() < 0.4)
         if kind == "header":
-            return f"<{r.choice(['h1', 'h2', 'div', 'p'])}>{mark(words(1, 4), False)}</div></p>" + (f"<p>{mark(words(2, 10), False)}</p>" if r.random() < 0.5 else "")
-        if r.random() < 0.5:
+            return f"<{r.choice(['h1', 'h1', 'h1', 'h2', 'div', 'p'])}>{mark(words(1, 4), False)}</div></p>" + (f"<p>{mark(words(2, 10), False)}</p>" if r.random() < 0.5 else "")
+        if r.random() < 0.45:
             return mark(words(1, 40), False)
-        return "".join(f"<p>{x}</p>" for x in some(1, 40))
+        n = r.randint(1, 4)
+        heading = f"<h{n}>{mark(words(1, 4), False)}</h{n}>" if r.random() < 0.45 else ""
+        return heading + "".join(f"<p>{x}</p>" for x in some(1, 40))
 
     def rest(kind: str, bare: bool = True) -> str:
         native = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
@@ -343,6 +348,9 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
         if k < 0.25:
             title = f"<header>{title}{'<p>' + mark(words(2, 9), True) + '</p>' if r.random() < 0.5 else ''}</header>"
         inner = title + "".join(body)
+        if r.random() < 0.2:
+            stem = r.choice(["post", "entry", "article", "story", "content"])
+            inner = f'<div class="{stem}-{r.choice(["header", "title", "head"])}">{title}</div><div class="{stem}-{r.choice(["body", "content", "text"])}">{mark(words(3, 40), True)}<br><br>{mark(words(3, 40), True)}{"".join(body)}</div>'
         k = r.random()
         cls = f' {r.choice(["class", "id"])}="{" ".join(r.sample(BODY, r.choice([1, 2])))}"'
         if k < 0.35:
@@ -357,6 +365,13 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
 
     out = []
     for _ in range(n):
+        if r.random() < 0.08:  # a page that is nothing but its text
+            only = "".join(f"<p>{mark(words(1, 60), True)}</p>" for _ in range(r.randint(1, 6))) if r.random() < 0.6 else mark(words(1, 80), True)
+            found = blocks(only if r.random() < 0.5 else f"<html><body>{only}</body></html>")
+            out.append((found, [True] * len(found)))
+            for b in found:
+                b.text = b.text.replace("\ue001", "").strip() or "x"
+            continue
         before = [rest(k) for k in r.sample(["nav", "header", "ad", "notice", "form", "aside"], r.randint(0, 4))]
         after = [rest(k) for k in r.sample(["aside", "comments", "footer", "ad", "notice", "form", "footer", "nav"], r.randint(0, 5))]
         page = f"<html><head><title>x</title></head><body>{''.join(before)}{article()}{''.join(after)}</body></html>"
