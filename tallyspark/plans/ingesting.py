@@ -173,11 +173,11 @@ def _(parsed):
     return G.parse_quality(docs, parsed)
 
 
-@query("ag22_reconcile", "parsed", sql=_CAP + """, h AS (SELECT doc_id, count(*) AS n, coalesce(sum(amount) FILTER (type = 'EXPENSE'), 0) AS t, count(*) FILTER (line_no % 2 = 0) AS m, coalesce(sum(amount) FILTER (type = 'EXPENSE' AND line_no % 2 = 0), 0) AS u FROM parsed GROUP BY doc_id)
+@query("ag22_reconcile", "parsed", sql=_CAP + """, h AS (SELECT doc_id, count(*) AS n, coalesce(sum(amount) FILTER (type = 'EXPENSE'), 0) AS t, count(*) FILTER (installment_number IS NOT NULL) AS m, coalesce(sum(amount) FILTER (type = 'EXPENSE' AND installment_number IS NOT NULL), 0) AS u FROM parsed GROUP BY doc_id)
 SELECT c.doc_id, CASE WHEN invoice_amount > 0 AND (n >= m AND abs(invoice_amount - t) < abs(invoice_amount - u) OR n > m AND abs(invoice_amount - t) <= abs(invoice_amount - u)) THEN 'second' ELSE 'first' END AS chosen FROM c JOIN h ON h.doc_id = c.doc_id""")
 def _(parsed):
     expected = parsed.groupBy("doc_id").agg(F.max("document_total").alias("expected"))
-    return G.reconcile_extractions(parsed.where("line_no % 2 = 0"), parsed, expected)
+    return G.reconcile_extractions(parsed.where("installment_number is not null"), parsed, expected)
 
 
 @query("ag22_missing_rows", "parsed", sql=_CAP + "SELECT doc_id, captured, invoice_amount AS expected, captured * 100 < invoice_amount * 96 AS retry FROM c WHERE captured > 0 AND invoice_amount > 0")
@@ -185,11 +185,11 @@ def _(parsed):
     return G.missing_rows(parsed, parsed.groupBy("doc_id").agg(F.max("document_total").alias("expected")))
 
 
-@query("ag25_choose_extraction", "parsed", sql="""WITH a AS (SELECT doc_id, count(*) * 20 AS first_score, CASE WHEN doc_id % 3 <> 0 THEN count(DISTINCT card_name) * 25 END AS second_score FROM parsed GROUP BY doc_id)
+@query("ag25_choose_extraction", "parsed", sql="""WITH a AS (SELECT doc_id, count(*) * 20 AS first_score, CASE WHEN count(*) FILTER (type = 'EXPENSE') > 0 THEN count(DISTINCT card_name) FILTER (type = 'EXPENSE') * 25 END AS second_score FROM parsed GROUP BY doc_id)
 SELECT *, CASE WHEN first_score < 75 AND coalesce(second_score >= first_score + 20, false) THEN 'second' ELSE 'first' END AS chosen FROM a""")
 def _(parsed):
     a = parsed.groupBy("doc_id").agg((F.count("*") * 20).alias("score"))
-    b = parsed.where("doc_id % 3 <> 0").groupBy("doc_id").agg((F.count_distinct("card_name") * 25).alias("score"))
+    b = parsed.where("type = 'EXPENSE'").groupBy("doc_id").agg((F.count_distinct("card_name") * 25).alias("score"))
     return G.choose_extraction(a, b)
 
 
