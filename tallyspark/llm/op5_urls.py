@@ -40,17 +40,13 @@ OUT = ["host", "path", "rule", "verdict"]
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to / ? # or the end, A-Z lower-cased; path: then up to ? # or the
     end. Both are empty where url is null or holds no ://."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr(f"substring({_sql(url)}, instr({_sql(url)}, '://') + 3)")).otherwise("")
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
     rest = F.coalesce(rest, F.lit(""))
     capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), capitals, small)
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def _sql(column: Column) -> str:
-    return "`__url`"
-
-
 def rule_table(spark: SparkSession, listed=LISTED, patterns=PATTERNS) -> DataFrame:
     """Rules as a table: (rule, pattern, tokens, verdict, priority). Rule text is null for patterns,
     which only decide where no listed rule does; the longest listed rule wins, then block."""
@@ -70,19 +66,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     `default`. Null urls, and such without ://, have an empty host and path. Columns of pages named
     like a new one are replaced. Tokens are the runs of a-z and 0-9 of host and path, case ignored.
     """
+    small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    sized = F.broadcast if small else (lambda df: df)
     urls = pages.select(F.col(f"`{url}`").cast("string").alias("__url")).distinct()
     host, path = host_path(F.col("__url"))
     urls = urls.select("__url", host.alias("host"), path.alias("path")).withColumn("at", F.concat("host", "path"))
     tokens = F.array_distinct(F.filter(F.split(F.lower("at"), r"[^a-z0-9]+"), lambda t: t != ""))
     lists = urls.select("__url", "at", F.explode(F.array_append(tokens, F.lit("*"))).alias("token"))
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
-    held = lists.join(_small(rules, wanted), "token", "left_semi").groupBy("token").count()
+    held = lists.join(sized(wanted), "token", "left_semi").groupBy("token").count()
     # the rarest token of each rule; one that no URL holds is rarest of all
     entries = rules.select("*", F.explode(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("*")))).alias("token"))
     entries = entries.join(held, "token", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     index = entries.groupBy("pattern", "verdict", "priority", F.coalesce("rule", F.lit("")).alias("rule")).agg(F.min(F.struct("count", "token")).alias("e"))
     index = index.select(F.col("e.token").alias("token"), "pattern", "verdict", "priority", "rule")
-    fits = lists.join(_small(rules, index), "token").where(F.expr("at rlike pattern"))
+    fits = lists.join(sized(index), "token").where(F.expr("at rlike pattern"))
     order = F.struct("priority", (F.col("verdict") == "block").alias("b"), "rule", "verdict")
     best = fits.groupBy("__url").agg(F.max(order).alias("best"))
     judged = urls.join(best, "__url", "left").select(
@@ -94,11 +92,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     return kept.join(judged, F.col(f"`{url}`").cast("string").eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
-def _small(rules: DataFrame, part: DataFrame) -> DataFrame:
-    """part, to be broadcast if there are few rules; counted, as rule lists differ in size by powers of ten."""
-    return F.broadcast(part) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else part
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, rule_table(spark)).select("page_id", *OUT)
