@@ -100,6 +100,16 @@ def test_surrogates(spark):
     assert re.search(r"госпожа [А-Яа-я]+ [А-Яа-я]+,", out[3].text)
 
 
+def test_neighbouring_entities(spark):
+    """One entity right after another: both are found, none takes part of the other."""
+    parts = ["+1 (826) 555-4081", "190.137.223.204", "4417744280351547", "a.b@mail3.example.com", "b7852d4e73166f43a80132626729b5fa5141a7a6", "555-123-4567", "123-45-6789"]
+    pairs = [(a, b) for a in parts for b in parts]
+    df = spark.createDataFrame([(i, f"x {a} {b} y") for i, (a, b) in enumerate(pairs)], "doc_id bigint, text string")
+    for r in op3_pii.surrogates(df).collect():
+        assert r.pii_count == 2, (pairs[r.doc_id], r.text)
+        assert all(p not in r.text for p in pairs[r.doc_id])
+
+
 def test_surrogates_stay_distinct(spark):
     """Short numbers collide often: a redraw must part them."""
     ents = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, canon string")
