@@ -7,9 +7,10 @@ n and m, their similarity is M / (n + m - M), and 0.8 or more links them. Classe
 components of the links.
 
 Equal texts are one node from the start. Within a sketch's bucket no pairs are listed up front: all
-members are first aligned with one leader, and only where that leaves a bucket in several classes
-do further members, in growing batches, meet the members of other classes. Rounds end when every
-bucket is one class or each of its pairs across classes has been aligned: no link is lost.
+members are aligned with one leader, that which shares most buckets. Only texts of buckets that this
+leaves in several classes go on: of them, pairs of different classes are aligned if they share one
+of their rarest runs, as two similar texts must. So no link between texts that met is lost, and texts
+of one class don't meet again.
 """
 
 from __future__ import annotations
@@ -29,11 +30,9 @@ K, SKETCHES, L = 5, 16, 3
 SIMILAR = (4, 5)
 
 
-def sketch(runs: np.ndarray, n_sketches: int = SKETCHES, keep: int = L) -> np.ndarray:
-    """n_sketches hashes of a text's runs; none for a text without words."""
+def labelled(runs: np.ndarray) -> np.ndarray:
+    """Each run's hash with the number of times that it has occurred before."""
     n = len(runs)
-    if not n:
-        return np.zeros(0, np.int64)
     order = np.argsort(runs, kind="stable")
     ranked = runs[order]
     new = np.ones(n, bool)
@@ -42,20 +41,29 @@ def sketch(runs: np.ndarray, n_sketches: int = SKETCHES, keep: int = L) -> np.nd
     times = np.empty(n, U)
     times[order] = (np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))).astype(U)
     with np.errstate(over="ignore"):
-        labelled = mix(runs + times * U(0x9FB21C651E98DF25))
+        return mix(runs + times * U(0x9FB21C651E98DF25))
+
+
+def sketch(runs: np.ndarray, n_sketches: int = SKETCHES, keep: int = L) -> np.ndarray:
+    """n_sketches hashes of a text's runs; none for a text without words."""
+    n = len(runs)
+    if not n:
+        return np.zeros(0, np.int64)
+    marked = labelled(runs)
+    with np.errstate(over="ignore"):
         keep = min(keep, n)
         out = np.empty(n_sketches, U)
         step = max(1, 1_000_000 // n)
         salts = seeds(n_sketches, 77)
         for a in range(0, n_sketches, step):
             s = salts[a : a + step, None]
-            values = (labelled[None] ^ s) * (s | U(1))
+            values = (marked[None] ^ s) * (s | U(1))
             values ^= values >> U(32)
             values *= U(0xD6E8FEB86659FD93)
             least = np.sort(np.argpartition(values, keep - 1, axis=1)[:, :keep], axis=1)
             h = s[:, 0].copy()
             for j in range(keep):
-                h = mix(h * U(0xC2B2AE3D27D4EB4F) + labelled[least[:, j]])
+                h = mix(h * U(0xC2B2AE3D27D4EB4F) + marked[least[:, j]])
             out[a : a + step] = h
     return out.view(np.int64)
 
@@ -161,21 +169,64 @@ def verified(pairs: DataFrame, known: DataFrame, at_least: tuple[int, int] = SIM
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, class) for the nodes of edges (a, b); class: the smallest node that can be reached.
+    """(node, class) of the nodes of edges (a, b); class: the smallest node that can be reached.
 
-    Each round gives a node the smallest class among its neighbours', then that class's own class;
-    rounds end when nothing changes. Each is written to the shared folder.
+    Each round gives a node the smallest class among its own and its neighbours', then that class's own
+    class; rounds end when a digest of the table stays the same. Each is written to the shared folder.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = saved(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("class")), "classes")
+    ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
+    both = saved(ends.select("e.a", "e.b").distinct(), "edges")
+    now, digest = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class")), None
     while True:
-        near = both.join(now.select(F.col("node").alias("b"), F.col("class").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        least = now.join(near.select(F.col("a").alias("node"), "c"), "node").select("node", F.col("class").alias("was"), F.least("class", "c").alias("class"))
-        up = now.select(F.col("node").alias("class"), F.col("class").alias("top"))
-        then = saved(least.join(up, "class", "left").select("node", "was", F.least("class", F.coalesce("top", "class")).alias("class")), "classes")
-        now = then.select("node", "class")
-        if then.where("class <> was").isEmpty():
+        now = saved(now, "classes")
+        before, digest = digest, now.agg(F.sum(F.xxhash64("node", "class").cast("decimal(38,0)"))).first()[0]
+        if digest == before:
             return now
+        near = both.join(now.select(F.col("node").alias("b"), F.col("class").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        up = now.select(F.col("node").alias("c"), F.col("class").alias("top"))
+        now = near.join(up, "c", "left").select(F.col("a").alias("node"), F.least("c", F.coalesce("top", "c")).alias("class"))
+
+
+def rarest_runs(some: DataFrame, known: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(node, n, run, pos): of each of some nodes the rarest of its n runs, counted among these nodes,
+    as many as it may lack of a similar text's, and one more. Of two similar texts' rarest runs, one is shared."""
+    types = [pa.binary(), pa.int64()]
+    p, q = at_least
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "words", 1_000_000):
+                parts = [labelled(shingles(np.frombuffer(w, np.uint32), K)) for w in b.column("words").to_pylist()]
+                owners = [n for n, r in zip(b.column("node").to_pylist(), parts) for _ in range(len(r))]
+                yield pa.RecordBatch.from_arrays([pa.array(owners, types[0]), pa.array(np.concatenate(parts).view(np.int64), types[1])], names=["node", "run"])
+
+    runs = known.join(some, "node", "left_semi").select("node", "words").mapInArrow(run, "node binary, run bigint")
+    runs = runs.withColumn("times", F.count("*").over(Window.partitionBy("run")))
+    own = Window.partitionBy("node")
+    placed = runs.select("node", "run", F.row_number().over(own.orderBy("times", "run")).alias("pos"), F.count("*").over(own).cast("int").alias("n"), "times")
+    return placed.where(f"times > 1 and pos <= n - (n * {p} + {q - 1}) div {q} + 1").drop("times")
+
+
+def remaining_pairs(rare: DataFrame, classes: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that may be similar, with the number of runs by which they met: they share one of as many rarest
+    runs as each may lack of the other. Of the nodes at a run, those of its largest class don't meet each other."""
+    p, q = at_least
+    placed = rare.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    large = placed.groupBy("run", "class").agg(F.count("*").alias("c")).groupBy("run").agg(F.max_by("class", F.struct("c", "class")).alias("large"), F.count("*").alias("several")).where("several > 1")
+    placed = placed.join(large.select("run", "large"), "run")
+    x, y = placed.where("class <> large").alias("x"), placed.alias("y")
+    need = f"((x.n + y.n) * {p} + {p + q - 1}) div {p + q}"
+    meet = x.join(y, F.expr(f"x.run = y.run and x.class <> y.class and x.pos <= x.n - {need} + 1 and y.pos <= y.n - {need} + 1"))
+    return meet.groupBy(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def merged(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes (node, class) after links (a, b) between nodes; a node without a class is its own. Only classes are searched."""
+    own = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"c{side}"))
+    between = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    tops = components(between).select(F.col("node").alias("class"), F.col("class").alias("top"))
+    fresh = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node"))
+    return saved(classes.unionByName(fresh).join(tops, "class", "left").select("node", F.coalesce("top", "class").alias("class")), "classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sketches: int = SKETCHES, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -190,32 +241,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     known = saved(nodes(docs, sketches), "nodes")
     buckets = known.select("node", "n", F.explode("sketches").alias("h"))
-    lead = buckets.groupBy("h").agg(F.min("node").alias("a"), F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1")
-    members = saved(buckets.join(lead.select("h", "a"), "h"), "buckets")
+    shared = buckets.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    members = saved(buckets.join(shared, "h"), "buckets")
+    # a text's weight: the members of all its buckets; a family's common form has most, and leads
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    known = saved(known.join(weight, "node").select("node", "words", "n", "weight"), "candidates")
+    ranked = members.join(known.select("node", "weight"), "node").select("h", "node", F.struct(-F.col("weight"), "node").alias("place"))
+    lead = ranked.groupBy("h").agg(F.min("place").alias("lead")).select("h", F.col("lead.node").alias("a"))
     p, q = at_least
-    sized = f"least(x.n, y.n) * {q} >= greatest(x.n, y.n) * {p}"
-    pairs = saved(members.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    pairs = saved(members.join(lead, "h").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
     edges = saved(verified(pairs, known, at_least), "links")
     classes = components(edges)
-    low, high = 1, 3
-    while True:
-        placed = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        split = placed.groupBy("h").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("size")).where(f"c0 <> c1 and size > {low}")
-        order = Window.partitionBy("h").orderBy(F.col("node") != F.col("a"), F.xxhash64("node", "h"), "node")
-        open_ = saved(placed.join(split.select("h"), "h").withColumn("rank", F.row_number().over(order)), "open")
-        if open_.isEmpty():
-            break
-        # the leader, of rank 1, has met all
-        x, y = open_.where(f"rank > {low} and rank <= {high}").alias("x"), open_.alias("y")
-        fresh = x.join(y, F.expr(f"x.h = y.h and y.rank > x.rank and x.class <> y.class and {sized}")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
-        fresh = saved(fresh.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = saved(verified(fresh, known, at_least), "links")
-        if not found.isEmpty():
-            edges = saved(edges.unionByName(found), "links")
-            # classes so far stand for the links among them
-            classes = components(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(found))
-        pairs = saved(pairs.unionByName(fresh), "pairs")
-        low, high = high, high * 4
+    split = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    split = split.groupBy("h").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2")
+    some = members.join(split.select("h"), "h", "left_semi").select("node").distinct()
+    rest = remaining_pairs(saved(rarest_runs(some, known, at_least), "rarest"), classes, at_least)
+    rest = saved(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # each node's most promising pair first: its links settle most of the others
+    best = rest.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    found = saved(verified(best, known, at_least), "links")
+    classes, edges = merged(classes, found), edges.unionByName(found)
+    now = classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
+    rest = rest.join(best, ["a", "b"], "left_anti").join(now[0], "a", "left").join(now[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    found = saved(verified(rest, known, at_least), "links")
+    classes, edges = merged(classes, found), edges.unionByName(found)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     rows = docs.select("key", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("node"))
     texts = rows.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
