@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
     found = saved(verified(best, known, at_least), "links")
     classes, edges = merged(classes, found), edges.unionByName(found)
     now = classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
-    rest = rest.join(best, ["a", "b"], "left_anti").join(now[0], "a", "left").join(now[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    rest = rest.join(now[0], "a", "left").join(now[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     found = saved(verified(rest, known, at_least), "links")
     classes, edges = merged(classes, found), edges.unionByName(found)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
