@@ -100,20 +100,24 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, payload) with record_type and refers_to. Of equal payloads of min_bytes or
     more, the smallest page_id is the response; of repeated rows with that id one is. Null ids come last.
 
-    Payloads are compared by digest. Responses are found by (digest, page_id), which spreads a payload
-    that a third of all pages share; only ids meet by digest alone, after partial minima.
+    Payloads are compared by digest. Digests with copies are found from partial counts by id, without
+    payloads; these are then shuffled once, and a digest with many copies is a skewed join that Spark
+    splits. Only repeated rows of a smallest id are ranked.
     """
     rows = pages.withColumn("__sha", F.sha1("payload"))
-    small = F.octet_length("payload") < min_bytes
-    first = rows.where(~small).groupBy("__sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.select(F.col("__sha").alias("s"), "first", "n")
-    rows = rows.join(first, F.col("__sha") == F.col("s"), "left")
+    each = rows.where(F.octet_length("payload") >= min_bytes).groupBy("__sha", "page_id").agg(F.count("*").alias("c"))
+    first = each.groupBy(F.col("__sha").alias("s")).agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "c")).alias("f"), F.sum("c").alias("n"))
+    copies = saved(first.where("n > 1").select("s", F.col("f.page_id").alias("first"), F.col("f.c").alias("ties")), "copies")
+    joined = rows.join(copies, F.col("__sha") == F.col("s"), "left")
     same = F.col("page_id").eqNullSafe(F.col("first"))
-    lone = rows.where(F.col("s").isNull() | (F.col("n") == 1) | ~same).withColumn("turn", F.lit(1))
-    tied = rows.where(F.col("s").isNotNull() & (F.col("n") > 1) & same).withColumn("turn", F.row_number().over(Window.partitionBy("__sha").orderBy("url")))
-    both = lone.unionByName(tied)
-    response = F.col("s").isNull() | (F.col("n") == 1) | (same & (F.col("turn") == 1))
-    return both.select("page_id", "url", "payload", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("first")).alias("refers_to"))
+    made = lambda df, response: df.select("page_id", "url", "payload", F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("first")).alias("refers_to"))
+    out = made(joined.where(F.col("s").isNull() | (F.col("ties") == 1) | ~same), F.col("s").isNull() | same)
+    many = copies.where("ties > 1")
+    if many.isEmpty():
+        return out
+    tied = rows.join(many, F.col("__sha") == F.col("s")).where(same)
+    turn = F.row_number().over(Window.partitionBy("__sha").orderBy("url"))
+    return out.unionByName(made(tied.withColumn("turn", turn), F.col("turn") == 1))
 
 
 def write_archives(records: DataFrame, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
