@@ -183,8 +183,11 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     A null html counts as empty, a null url as an empty one. An empty table gives no archives.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    drawn = rows.where(F.length("payload").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("payload"), "payload").limit(SAMPLE)
-    samples = [record_bytes(r.url or "", r.page_id, p := r.payload.encode("utf-8", "surrogatepass"), payload_digest(p), None, False) for r in drawn.toLocalIterator()]
+    # the payloads first by hash: their hashes are found without payloads, and of copies one is drawn
+    some = rows.where(F.length("payload").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("payload"))
+    last = some.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    drawn = some.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min_by(F.struct("page_id", "url", "payload"), F.struct("page_id", "url")).alias("r")).select("h", "r.*").orderBy("h")
+    samples = [record_bytes(r.url or "", r.page_id, p := r.payload.encode("utf-8", "surrogatepass"), payload_digest(p), None, False) for r in drawn.collect()]  # SAMPLE rows
     return write_archives(deduplicated(rows, min_bytes), build_dictionary(samples))
 
 
