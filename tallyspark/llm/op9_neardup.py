@@ -258,7 +258,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
     rest = remaining_pairs(saved(rarest_runs(some, known, at_least), "rarest"), classes, at_least)
     rest = saved(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     # each node's most promising pair first: its links settle most of the others
-    best = rest.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    of_a = rest.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("p")).select("a", "p.b")
+    of_b = rest.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("p")).select("p.a", "b")
+    best = of_a.unionByName(of_b).distinct()
     found = saved(verified(best, known, at_least), "links")
     classes, edges = merged(classes, found), edges.unionByName(found)
     now = classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
