@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A mask keeps some of SPAN consecutive word positions and ignores the others. Hashes of the kept
+A mask keeps some of a few consecutive word positions and ignores the others. Hashes of the kept
 words are computed for every position of every benchmark item and of every text; equal hashes name
 a text, an item and a diagonal. Along that diagonal the overlap around the hit is then compared
-word by word, so that substituted words cost a little and don't hide a leak.
+word by word, so that substituted words cost a little and don't hide a leak. The masks lose no
+overlap: however the fifth of its words that may differ is placed, one mask falls on equal words.
 
 The benchmark's hashes are joined as a sorted array, broadcast in blocks of at most BLOCK_CHARS
 characters: texts are never shuffled, and a benchmark of any size takes one pass a block.
@@ -22,9 +23,19 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import slices, table, texts_of
 from tallyspark.llm.words import U, hash_words, mix, seeds
 
-SPAN = 11
-#: Weight 6 of span 11: positions that count. The last mask is a plain run of six.
-MASKS = ((0, 1, 4, 7, 9, 10), (0, 2, 3, 6, 8, 10), (0, 1, 2, 5, 8, 10), (0, 1, 2, 3, 4, 5))
+#: Positions that count, of weight 6. Each placing of the substitutions that IDENTITY admits in 12 to 23 words
+#: leaves one of them whole; a longer overlap has a part of 12 to 23 words that is as equal.
+MASKS = ((0, 1, 3, 4, 5, 6), (0, 1, 2, 4, 10, 11), (0, 1, 3, 7, 8, 9), (0, 1, 2, 5, 6, 10))
+#: The same for items of fewer words, which must be there as a whole, by their number of words.
+SHORT = {
+    5: ((0, 1, 3, 4), (0, 1, 2, 3), (0, 1, 2, 4), (0, 2, 3, 4)),
+    6: ((0, 1, 3, 4), (0, 1, 2, 3)),
+    7: ((0, 1, 3, 4),),
+    8: ((0, 1, 3, 4, 5), (0, 1, 2, 6, 7)),
+    9: ((0, 1, 3, 4, 5),),
+    10: ((0, 1, 3, 4, 5), (0, 1, 2, 6, 7), (0, 1, 3, 6, 7)),
+    11: ((0, 1, 3, 4, 5), (0, 1, 2, 6, 7)),
+}
 MIN_WORDS = 5
 IDENTITY = 0.8
 BLOCK_CHARS = 16_000_000
@@ -37,8 +48,13 @@ def needed(n: int) -> int:
     return min(n, max(12, min(math.ceil(n / 2), 25)))
 
 
-def _keyed(words: np.ndarray, kept: tuple[int, ...], span: int, salt: int) -> np.ndarray:
-    n = len(words) - span + 1
+def _masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """The masks by which an n-word item is looked for."""
+    return () if n < MIN_WORDS else SHORT.get(n, MASKS)
+
+
+def _keyed(words: np.ndarray, kept: tuple[int, ...], salt: int) -> np.ndarray:
+    n = len(words) - kept[-1]
     if n <= 0:
         return np.zeros(0, U)
     h = np.full(n, U(salt + 1))
@@ -54,15 +70,13 @@ class Index:
         self.ids = [i for i, _ in items]
         hashes, offsets = hash_words([t or "" for _, t in items])
         self.words = [hashes[offsets[k] : offsets[k + 1]] for k in range(len(items))]
-        self.masks = [(kept, SPAN) for kept in MASKS]
-        short = sorted({len(w) for w in self.words if MIN_WORDS <= len(w) < SPAN})
-        self.masks += [(tuple(range(n)), n) for n in short]
+        self.masks = sorted({kept for w in self.words for kept in _masks(len(w))})
         keys, item, pos = [], [], []
         with np.errstate(over="ignore"):
-            for m, (kept, span) in enumerate(self.masks):
+            for m, kept in enumerate(self.masks):
                 for k, w in enumerate(self.words):
-                    if m < len(MASKS) and len(w) >= SPAN or m >= len(MASKS) and len(w) == span:
-                        h = _keyed(w, kept, span, m)
+                    if kept in _masks(len(w)):
+                        h = _keyed(w, kept, m)
                         keys.append(h)
                         item.append(np.full(len(h), k))
                         pos.append(np.arange(len(h)))
@@ -77,9 +91,9 @@ class Index:
 
     def hits(self, words: np.ndarray):
         """(position in words, item, position in item) of each pair of equal hashes."""
-        for m, (kept, span) in enumerate(self.masks):
+        for m, kept in enumerate(self.masks):
             with np.errstate(over="ignore"):
-                h = _keyed(words, kept, span, m)
+                h = _keyed(words, kept, m)
             at = np.flatnonzero(self.maybe[(h >> U(64 - self.bits)).astype(np.int64)])
             low, high = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
             n = high - low

@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against brute force on small inputs, exact round trips or held-out rows."""
 
+import itertools
 import random
 import re
 import struct
@@ -67,6 +68,28 @@ def test_leaks_with_substitutions(spark):
     assert got == want
 
 
+def _placings(n):
+    """Item words and, for each placing of the substitutions that the verifier admits, the text's words."""
+    item = [f"w{k}" for k in range(n)]
+    return item, [[f"x{k}" if k in c else w for k, w in enumerate(item)] for c in itertools.combinations(range(n), n - -(-4 * n // 5))]
+
+
+@pytest.mark.parametrize("n", range(5, 24))
+def test_leaks_however_substitutions_fall(n):
+    item, texts = _placings(n)
+    index = op2_decontamination.Index([(1, " ".join(item))])
+    hashed = [np.concatenate([hash_words(["before"])[0], hash_words([" ".join(t)])[0], hash_words(["after"])[0]]) for t in texts]
+    want = {d for d, t in enumerate(hashed) if index.overlap(t, 0, 1)}
+    assert want and set(index.leaks([f"before {' '.join(t)} after" for t in texts])) >= want
+
+
+def test_leaks_of_quotes_out_of_longer_items():
+    words, texts = _placings(12)
+    index = op2_decontamination.Index([(1, " ".join(["head"] + words + [f"tail{k}" for k in range(11)]))])
+    want = {d for d, t in enumerate(texts) if index.overlap(hash_words([" ".join(t)])[0], 0, -1)}
+    assert want and set(index.leaks([" ".join(t) for t in texts])) >= want
+
+
 def test_leaks_of_the_table(spark):
     """Brute force: items whose words all stand in a row in a text."""
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet").toPandas(), spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
