@@ -12,13 +12,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import saved, table, without
 
 KEY = "tallyspark-surrogates"
 ROUNDS = 12
+#: Numbers of a kind and length are dense from one entity in so many values on.
+DENSE = 64
+#: So many more redraws, of which each parts nearly all where a kind isn't dense.
+FAIL = 40
 
 # Forms of address by gender, before which a name stands.
 MALE = ["Mister", "Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "г-н", "κύριος"]
@@ -141,7 +145,7 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     # same domain, same surrogate domain; the last label stays
     d = d.withColumn("domain", F.regexp_extract("canon", r"@(.*)\.[^.@]+$", 1)).withColumn("top", F.regexp_extract("canon", r"(\.[^.@]+)$", 1))
     local = F.expr(_CHARS.format(x="regexp_extract(canon, '^([^@]+)@', 1)", low=_LETTERS, n=26))
-    more = F.when(F.col("attempt") >= 4, F.substring("numbers", 60, 6)).otherwise("")
+    more = F.when(F.col("attempt") >= 4, F.expr("substr(numbers, 60, least(2 + attempt, 60))")).otherwise("")
     host = F.expr(_CHARS.format(x="domain", low=_LETTERS, n=26).replace("substr(h,", "substr(hd,"))
     d = d.withColumn("hd", F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), "domain"), 256))
     ip = F.concat_ws(".", (_byte(F.col("h"), 0) % 223 + 1).cast("string"), *[_byte(F.col("h"), i).cast("string") for i in (1, 2, 3)])
@@ -153,7 +157,8 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     iban = F.concat(F.substring("canon", 1, 2), F.expr(_CHARS.format(x="substring(canon, 3)", low=_LETTERS, n=26)))
 
     def name(script: str, role: str) -> Column:
-        extra = F.when(F.col("attempt") >= 3, F.concat(_pick(MIDDLES[script], _byte(F.col("h"), 4)), _pick(MIDDLES[script], _byte(F.col("h"), 5)))).otherwise("")
+        middles = "array(" + ", ".join(f"'{m}'" for m in MIDDLES[script]) + ")"
+        extra = F.when(F.col("attempt") >= 3, F.expr(f"array_join(transform(sequence(1, least(2 * (attempt - 2), 28)), i -> element_at({middles}, cast(conv(substr(h, 2 * i + 7, 2), 16, 10) % {len(MIDDLES[script])} + 1 as int))), '')")).otherwise("")
         return F.lower(F.concat(_pick(STARTS[script], _byte(F.col("h"), 0)), _pick(MIDDLES[script], _byte(F.col("h"), 1)), extra, _pick(ENDS[script, role], _byte(F.col("h"), 2))))
 
     names = reduce(
@@ -165,7 +170,7 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
         F.when(F.col("kind") == "email", F.concat(local, more, F.lit("@"), host, F.col("top")))
         .when(F.col("kind") == "ip", ip)
         .when(F.col("kind") == "hex", F.when(F.col("canon").rlike("[A-F]"), F.upper(F.expr(_CHARS.format(x="canon", low="abcdef", n=6)))).otherwise(F.expr(_CHARS.format(x="canon", low="abcdef", n=6))))
-        .when(F.col("kind") == "secret", F.concat(F.expr("regexp_extract(canon, '^(AKIA|ASIA|[a-z]+[-_])', 1)"), F.expr(_CHARS.format(x="regexp_replace(canon, '^(AKIA|ASIA|[a-z]+[-_])', '')", low=_LETTERS, n=26))))
+        .when(F.col("kind") == "secret", F.concat(F.expr("regexp_extract(canon, '^(AKIA|ASIA|[a-z]+[-_])', 1)"), F.expr(_CHARS.format(x="regexp_replace(canon, '^(AKIA|ASIA|[a-z]+[-_])', '')", low=_LETTERS, n=26)), more))
         .when(F.col("kind") == "iban", iban)
         .when(F.col("kind") == "card", card)
         .when(F.col("kind").isin("phone", "ssn"), F.expr("substr(numbers, 1, length(canon))"))
@@ -174,27 +179,63 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     return d.select("kind", "canon", "attempt", sur.alias("sur"))
 
 
+def _ranked(df: DataFrame, name: str) -> DataFrame:
+    """df with rank, 0 and up within each class, without a task that holds a class."""
+    placed = saved(df.repartition("cls", F.pmod(F.xxhash64("value"), F.lit(16))).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), name)
+    first = placed.groupBy("cls", "part").agg(F.min("at").alias("low"))
+    within = placed.withColumn("k", F.row_number().over(Window.partitionBy("cls", "part").orderBy("at")) - 1)
+    counts = within.groupBy("cls", "part").agg(F.count("*").alias("n")).join(first, ["cls", "part"])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return within.join(counts.select("cls", "part", before.alias("before")), ["cls", "part"]).select("cls", "value", (F.col("k") + F.col("before")).alias("rank"))
+
+
+def _exact(rest: DataFrame, current: DataFrame, entities: DataFrame, dense: list[tuple[str, int]]) -> DataFrame:
+    """rest (kind, canon), of digits, each with a free value of its kind and length, by rank."""
+    spark = rest.sparkSession
+    cls = F.concat_ws("/", "kind", F.length("canon").cast("string"))
+    space = reduce(
+        lambda x, y: x.unionByName(y),
+        [spark.range(10**n).select(F.lit(f"{kind}/{n}").alias("cls"), F.lpad(F.col("id").cast("string"), n, "0").alias("value")) for kind, n in dense],
+    )
+    kept = current.join(rest.select("kind", "canon"), ["kind", "canon"], "left_anti").select(cls.alias("cls"), F.col("sur").alias("value"))
+    taken = kept.unionByName(entities.select(cls.alias("cls"), F.col("canon").alias("value")))
+    free = _ranked(space.join(taken, ["cls", "value"], "left_anti"), "free")
+    out = saved(_ranked(rest.select(cls.alias("cls"), F.col("canon").alias("value")), "rest").withColumnRenamed("value", "canon").join(free.withColumnRenamed("value", "sur"), ["cls", "rank"], "left"), "assigned")
+    if lacking := out.where("sur is null").count():
+        raise ValueError(f"{lacking} entities of {dense} have no free surrogate: their kinds have more entities than values")
+    return out.select(F.split_part("cls", F.lit("/"), F.lit(1)).alias("kind"), "canon", F.lit(0).alias("attempt"), "sur")
+
+
 def resolve(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
     """entities (kind, canon), distinct, with their surrogates (sur), different from each other and
     from every entity of their kind.
 
     Of entities that drew one surrogate, the one first by digest keeps it, the others draw again; so
     does each whose surrogate is an entity. Only the redrawn are carried from round to round, and rounds
-    end when none collide. Where a kind has more entities than possible surrogates (one-digit numbers),
-    those left after `rounds` rounds keep a surrogate that others have.
+    end when none collide. Names, local parts and secrets grow with the attempts. Phone and identity numbers
+    that still collide after `rounds` rounds and are dense (DENSE) get the free values of their length by rank;
+    where there are too few, or FAIL more rounds don't part the others, this fails.
     """
     current = saved(_surrogates(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(rounds):
+    for done in range(rounds + FAIL + 1):
         first = F.min(F.sha2(F.col("canon"), 256))
         twice = current.groupBy("kind", "sur").agg(first.alias("keeps"), F.count("*").alias("n")).where("n > 1")
         again = current.join(twice, ["kind", "sur"]).where(F.sha2("canon", 256) != F.col("keeps")).select("kind", "canon", "attempt")
         real = current.join(entities.select("kind", F.col("canon").alias("sur")), ["kind", "sur"], "left_semi").select("kind", "canon", "attempt")
         redo = saved(again.unionByName(real).distinct().withColumn("attempt", F.col("attempt") + 1), "redraw")
         if redo.isEmpty():
-            break
+            return current.select("kind", "canon", "sur")
         kept = current.join(redo.select("kind", "canon"), ["kind", "canon"], "left_anti")
-        current = saved(kept.unionByName(_surrogates(redo, key)), "surrogates")
-    return current.select("kind", "canon", "sur")
+        new = _surrogates(redo, key)
+        if done == rounds:
+            length = F.length("canon")
+            sizes = entities.where(F.col("kind").isin("phone", "ssn")).groupBy("kind", length.alias("n")).count().collect()
+            dense = [(r.kind, r.n) for r in sizes if 10**r.n <= DENSE * r["count"]]
+            if dense:
+                here = F.concat_ws("/", "kind", length.cast("string")).isin([f"{k}/{n}" for k, n in dense])
+                new = _surrogates(redo.where(~here), key).unionByName(_exact(redo.where(here), current, entities, dense))
+        current = saved(kept.unionByName(new), "surrogates")
+    raise ValueError(f"surrogates still collide after {rounds + FAIL} redraws")
 
 
 def _render() -> Column:

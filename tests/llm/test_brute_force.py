@@ -140,6 +140,22 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == len(got) == 300 and not set(got) & {f"{i:03d}" for i in range(300)}
 
 
+def test_surrogates_stay_distinct_where_dense(spark):
+    """With the default rounds: 499 of 1,000 numbers are entities, so that 501 are free; 501 don't fit."""
+    for n in (499, 501):
+        names = [f"{i:03d}" for i in range(n)]
+        ents = spark.createDataFrame([("phone", x) for x in names] + [("ssn", "123456789"), ("secret", "sk_" + "_" * 16)], "kind string, canon string")
+        if n > 500:
+            with pytest.raises(ValueError, match="no free surrogate"):
+                op3_pii.resolve(ents).collect()
+            continue
+        got = op3_pii.resolve(ents).collect()
+        assert len({(r.kind, r.sur) for r in got}) == len(got) == n + 2
+        assert {r.canon for r in got if r.kind == "phone"} == set(names)
+        assert all(len(r.sur) == 3 and r.sur not in names for r in got if r.kind == "phone")
+        assert not {r.sur for r in got} & {"123456789", "sk_" + "_" * 16}
+
+
 def _vint(n, w=1):
     return (n | 1 << 7 * w).to_bytes(w, "big")
 
