@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Detected entities (mail addresses, phone, card and account numbers, identity numbers, IBANs, IP
-addresses, secrets and titled names) are reduced to a canonical form, so that one person's number
+addresses, secrets, titled names and their words without a title in the same text) are reduced to a canonical form, so that one person's number
 written in two ways is one entity. Each distinct entity gets one surrogate from a keyed digest:
 same kind, script, gender and length. Surrogates are checked against each other and against the
 real entities of their kind; those that collide are drawn again. Each mention is then written with
@@ -27,6 +27,8 @@ FAIL = 40
 # Forms of address by gender, before which a name stands.
 MALE = ["Mister", "Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "господин", "г-н", "κύριος"]
 FEMALE = ["Mrs", "Miss", "Ms", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Signora", "госпожа", "г-жа", "κυρία"]
+NEUTRAL = ["Dr", "Doctor", "Prof", "Professor"]
+PARTICLES = "van von der den de del da di dos la le zu bin al".split()
 
 # Parts that surrogate names are made of, by script.
 STARTS = {
@@ -51,54 +53,91 @@ ENDS = {
     ("greek", "family"): ["ακης", "ιδης", "οπουλος", "ου"],
 }
 
-_TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.? "
-_NAME = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?"
+ENDS |= {(x, "u"): ENDS[x, "m"] + ENDS[x, "f"] for x in STARTS}
+
+_titles = lambda titles: "(?:" + "|".join(sorted({v for t in titles for v in (t, t.upper())}, key=lambda t: (-len(t), t))) + r")\.? "
+_TITLE = "(?:" + _titles(MALE + FEMALE + NEUTRAL) + ")+"
+_MIXED = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}[\p{L}\p{M}]*(?:[-'’]\p{Lu}[\p{L}\p{M}]+)*"
+_CAPS = r"\p{Lu}['’]?\p{Lu}+(?:[-'’]\p{Lu}{2,})*(?!\p{L})"
+_PLAIN = r"(?:\p{Lu}\.|" + "|".join(PARTICLES) + ")"
 EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
-CARD = r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"
+PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.,-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,4}(?![\w-]|[.,]\d)|(?<![\w.,-])(?:[2-9]\d{9}|0\d{9,10})(?![\w-]|[.,]\d)"
+CARD = r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3}(?![\w(-]|[ .]\d))?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)"
+IP6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d|[A-Fa-f:]*[A-Fa-f]{4})[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 SECRET = r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?!\w)"
-NAMED = rf"(?<![\w-]){_TITLE}{_NAME}(?: {_NAME})?"
-PATTERN = "|".join([EMAIL, SECRET, IBAN, SSN, PHONE, CARD, IP, NAMED])
-#: Texts without any of these can't hold an entity: a cheap first look.
-HINT = r"[@\d]|" + _TITLE
+#: A title and all words of the name, with initials and particles between; of words in capitals three at most, as
+#: a whole sentence may be in capitals.
+NAMED = rf"(?<![\w-]){_TITLE}(?:(?:{_PLAIN} )*{_MIXED}(?: (?:{_PLAIN} )*(?:{_MIXED}|{_CAPS}))*|(?:{_PLAIN} )*{_CAPS}(?: (?:{_PLAIN} )*{_CAPS}){{0,2}})"
+PATTERN = "|".join([EMAIL, SECRET, IBAN, SSN, PHONE, CARD, IP, IP6, NAMED])
+#: Texts without any of these can't hold an entity, a cheap first look: mail needs @; IBANs, numbers and IPs a digit,
+#: IPv6 a digit or colons; of secrets and names what they begin with.
+HINT = r"[@\d]|::|(?:[0-9A-Fa-f]{1,4}:){7}|[0-9a-f]{32}|[0-9A-F]{32}|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]|" + _TITLE
 
 
 def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _segments(m: Column) -> Column:
-    """A mention as parts (kind, raw); kind is empty for what stays as it is."""
-    part = lambda kind, raw: F.struct(kind.alias("kind"), raw.alias("raw"))
+def _words(m: Column) -> Column:
+    """The words of a titled name and the blanks between them, as parts (kind, raw)."""
     title = F.regexp_extract(m, f"^{_TITLE}", 0)
     words = F.split(F.regexp_replace(m, f"^{_TITLE}", ""), " ")
-    female = title.rlike("^(?:" + "|".join(FEMALE) + r")\.? ")
-    given = F.concat(F.lit("given:"), F.when(female, "f").otherwise("m"), F.lit(":"), _script(words[0]))
-    family = lambda w: F.concat(F.lit("family:"), _script(w))
-    plain = F.lit("")
-    name = F.when(F.size(words) == 1, F.array(part(plain, title), part(family(words[0]), words[0]))).otherwise(
-        F.array(part(plain, title), part(given, words[0]), part(plain, F.lit(" ")), part(family(F.element_at(words, -1)), F.element_at(words, -1)))
-    )
+    gender = F.when(title.rlike("(^| )" + _titles(FEMALE)), "f").when(title.rlike("(^| )" + _titles(MALE)), "m").otherwise("u")
+
+    def one(w: Column, i: Column) -> Column:
+        kind = F.when(w.rlike(f"^{_PLAIN}$"), "").when(i == F.size(words) - 1, F.concat(F.lit("family:"), _script(w))).otherwise(F.concat(F.lit("given:"), gender, F.lit(":"), _script(w)))
+        return F.array(_part(F.lit(""), F.when(i > 0, " ").otherwise(title)), _part(kind, w))
+
+    return F.flatten(F.transform(words, one))
+
+
+def _part(kind: Column, raw: Column) -> Column:
+    return F.struct(kind.alias("kind"), raw.alias("raw"))
+
+
+def _known(t: Column) -> Column:
+    """The words (kind, raw) of the titled names in a text."""
+    return F.array_distinct(F.filter(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(NAMED), F.lit(0)), _words)), lambda x: x["kind"] != ""))
+
+
+def _pattern(known: Column) -> Column:
+    """PATTERN, and the known words without a title."""
+    raw = F.flatten(F.transform(known, lambda x: F.array(x["raw"], F.upper(x["raw"]), F.initcap(x["raw"]))))
+    any_of = F.concat(F.lit("(?:"), F.array_join(F.reverse(F.array_sort(F.array_distinct(raw))), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    return F.when(F.size(known) == 0, PATTERN).otherwise(F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}_])"), any_of, F.lit("(?: "), any_of, F.lit(")*")))
+
+
+def _segments(m: Column, known: Column) -> Column:
+    """A mention as parts (kind, raw); kind is empty for what stays as it is."""
+    kind_of = lambda w: F.filter(known, lambda x: F.lower(x["raw"]) == F.lower(w))[0]["kind"]
+    untitled = F.flatten(F.transform(F.split(m, " "), lambda w, i: F.array(_part(F.lit(""), F.when(i > 0, " ").otherwise("")), _part(kind_of(w), w))))
     kind = (
         F.when(m.contains("@"), "email")
+        .when(m.contains(":"), "ip6")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^([0-9a-f]{32,64}|[0-9A-F]{32,64})$"), "hex")
         .when(m.rlike(r"^(AKIA|ASIA|sk[-_]|pk[-_]|gh[po]_|xox)"), "secret")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
-        .when(m.rlike(r"^[+(]") | m.rlike(r"^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
+        .when(m.rlike(r"^[+(]") | (F.length(_digits(m)) < 13), "phone")
         .otherwise("card")
     )
-    return F.when(m.rlike(f"^{_TITLE}"), name).otherwise(F.array(part(kind, m)))
+    return F.when(m.rlike(f"^{_TITLE}"), _words(m)).when(F.exists(known, lambda x: F.lower(x["raw"]) == F.lower(F.split(m, " ")[0])), untitled).otherwise(F.array(_part(kind, m)))
 
 
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
 
+#: SQL: an IPv6 address as eight groups of four digits.
+_GROUPS = """array_join(transform(concat(filter(split(split(lower(raw), '::')[0], ':'), g -> g <> ''),
+    if(raw like '%::%', array_repeat('0', greatest(0, 8 - size(filter(split(raw, ':'), g -> g <> '')))), array()),
+    filter(split(coalesce(get(split(lower(raw), '::'), 1), ''), ':'), g -> g <> '')), g -> lpad(g, 4, '0')), ':')"""
+
+
 def _canon(kind: Column, raw: Column) -> Column:
     """What all mentions of one entity have in common."""
     return (
@@ -106,6 +145,7 @@ def _canon(kind: Column, raw: Column) -> Column:
         .when(kind.isin("card", "ssn"), _digits(raw))
         .when(kind == "iban", F.regexp_replace(raw, " ", ""))
         .when(kind.isin("ip", "hex", "secret"), raw)
+        .when(kind == "ip6", F.expr(_GROUPS))
         .otherwise(F.lower(raw))
     )
 
@@ -169,6 +209,7 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     sur = (
         F.when(F.col("kind") == "email", F.concat(local, more, F.lit("@"), host, F.col("top")))
         .when(F.col("kind") == "ip", ip)
+        .when(F.col("kind") == "ip6", F.expr("array_join(transform(sequence(0, 7), i -> substr(h, 4 * i + 1, 4)), ':')"))
         .when(F.col("kind") == "hex", F.when(F.col("canon").rlike("[A-F]"), F.upper(F.expr(_CHARS.format(x="canon", low="abcdef", n=6)))).otherwise(F.expr(_CHARS.format(x="canon", low="abcdef", n=6))))
         .when(F.col("kind") == "secret", F.concat(F.expr("regexp_extract(canon, '^(AKIA|ASIA|[a-z]+[-_])', 1)"), F.expr(_CHARS.format(x="regexp_replace(canon, '^(AKIA|ASIA|[a-z]+[-_])', '')", low=_LETTERS, n=26)), more))
         .when(F.col("kind") == "iban", iban)
@@ -248,7 +289,7 @@ def _render() -> Column:
         F.when(F.col("kind") == "", F.col("raw"))
         .when(F.col("kind").isin("phone", "card", "ssn"), F.expr(spread.replace("place(raw, i)", place)))
         .when(F.col("kind") == "iban", F.expr(grouped))
-        .when(F.col("kind").isin("ip", "hex", "secret"), F.col("sur"))
+        .when(F.col("kind").isin("ip", "ip6", "hex", "secret"), F.col("sur"))
         .when(F.col("kind") == "email", F.when(F.col("raw") == F.upper("raw"), F.upper("sur")).otherwise(F.col("sur")))
         .otherwise(F.when((F.length("raw") > 1) & (F.col("raw") == F.upper("raw")), F.upper("sur")).otherwise(F.initcap("sur")))
     )
@@ -267,17 +308,19 @@ def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
     has = F.coalesce(t.rlike(HINT) & t.rlike(PATTERN), F.lit(False))
     clean = docs.where(~has).withColumn("pii_count", F.lit(0))
     dirty = docs.where(has).withColumn(sha, F.sha2(t, 256))
-    marks = saved(dirty.select(F.col(sha).alias("sha"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)).alias("marks")).groupBy("sha").agg(F.first("marks").alias("marks")), "mentions")
+    named = dirty.select(F.col(sha).alias("sha"), t.alias("t"), _known(t).alias("known")).withColumn("pattern", _pattern(F.col("known")))
+    found = named.select("sha", F.regexp_extract_all("t", F.col("pattern"), F.lit(0)).alias("marks"), "known")
+    marks = saved(found.groupBy("sha").agg(F.first("marks").alias("marks"), F.first("known").alias("known")), "mentions")
     segments = (
-        marks.select("sha", F.posexplode("marks").alias("i", "m"))
-        .select("sha", "i", F.posexplode(_segments(F.col("m"))).alias("j", "s"))
+        marks.select("sha", "known", F.posexplode("marks").alias("i", "m"))
+        .select("sha", "i", F.posexplode(_segments(F.col("m"), F.col("known"))).alias("j", "s"))
         .select("sha", "i", "j", F.col("s.kind").alias("kind"), F.col("s.raw").alias("raw"))
         .withColumn("canon", _canon(F.col("kind"), F.col("raw")))
     )
     entities = resolve(saved(segments.where("kind <> ''").select("kind", "canon").distinct(), "entities"), key)
     pieces = segments.join(entities, ["kind", "canon"], "left").select("sha", F.struct("i", "j", _render().alias("piece")).alias("p"))
     filled = pieces.groupBy("sha").agg(F.collect_list("p").alias("pieces"))
-    parts = F.transform(F.split(t, PATTERN, -1), lambda p, i: F.struct(i.alias("i"), F.lit(-1).alias("j"), p.alias("piece")))
+    parts = F.transform(F.split(t, _pattern(_known(t)), -1), lambda p, i: F.struct(i.alias("i"), F.lit(-1).alias("j"), p.alias("piece")))
     whole = F.array_join(F.transform(F.array_sort(F.concat(parts, F.col("pieces"))), lambda x: x["piece"]), "")
     joined = dirty.join(filled.withColumnRenamed("sha", "__pii_key"), F.col(sha) == F.col("__pii_key"))
     count = F.size(F.array_distinct(F.transform("pieces", lambda x: x["i"])))

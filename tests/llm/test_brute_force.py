@@ -133,6 +133,22 @@ def test_neighbouring_entities(spark):
         assert all(p not in r.text for p in pairs[r.doc_id])
 
 
+def test_surrogates_of_each_form(spark):
+    """A planted case of each form, and names mentioned again without a title."""
+    forms = ["555 123 4567", "5551234567", "0171 2345678", "020 7946 0958", "3056 930902 5904", "6304 0000 0000 0000 123", "2001:db8:85a3:0:0:8a2e:370:7334", "fe80::8a2e:370", "abcd::beef", "sk-abcdefghijklmnopqrstuv", "abcdefabcdefabcdefabcdefabcdefab"]
+    names = ["Mr John Quincy Adams", "Dr Anna Smith", "MR JOHN SMITH", "Prof. Dr. Anna McDonald", "Mrs J. O'Brien", "Herr Ludwig van Beethoven"]
+    texts = [f"see {x} there" for x in forms + names] + ["Mr John Smith came. Then John Smith left; Smith's car and SMITH stayed, Smithson too.", "2001:DB8::1 or 2001:db8:0:0:0:0:0:1"]
+    out = {r.doc_id: r for r in op3_pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, x in enumerate(forms):
+        assert out[i].pii_count == 1 and x not in out[i].text and not out[i].text.endswith(x[-3:] + " there"), (x, out[i].text)
+    for i, x in enumerate(names, len(forms)):
+        assert out[i].pii_count == 1 and not set(re.findall(r"[\w']{3,}", x)) - {"Prof", "Mrs", "Herr", "van"} & set(re.findall(r"[\w']{3,}", out[i].text)), out[i].text
+    given, family, rest = re.match(r"Mr (\w+) (\w+) came\. Then (.*)", out[len(texts) - 2].text).groups()
+    assert "Smith" != family and rest == f"{given} {family} left; {family}'s car and {family.upper()} stayed, Smithson too."
+    a, b = out[len(texts) - 1].text.split(" or ")
+    assert a == b
+
+
 def test_surrogates_stay_distinct(spark):
     """Short numbers collide often: a redraw must part them."""
     ents = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, canon string")
