@@ -1,9 +1,10 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Detected entities (mail addresses, phone, card and account numbers, identity numbers, IBANs, IP
-addresses, secrets, titled names and their words without a title in the same text) are reduced to a canonical form, so that one person's number
-written in two ways is one entity. Each distinct entity gets one surrogate from a keyed digest:
-same kind, script, gender and length. Surrogates are checked against each other and against the
+Detected entities (local parts and domains of mail addresses, phone, card and account numbers, identity
+numbers, IBANs, IP addresses, secrets, titled names and their words without a title in the same text) are
+reduced to a canonical form, so that one person's number written in two ways is one entity. Each distinct
+entity gets one surrogate from a keyed digest: same kind, script, gender and length, with valid check digits.
+Surrogates are checked against each other and against the
 real entities of their kind; those that collide are drawn again. Each mention is then written with
 its entity's surrogate in the mention's own format.
 """
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import saved, table, without
+from tallyspark.llm.common import discard, saved, table, without
 
 KEY = "tallyspark-surrogates"
 ROUNDS = 12
@@ -56,77 +57,90 @@ ENDS = {
 ENDS |= {(x, "u"): ENDS[x, "m"] + ENDS[x, "f"] for x in STARTS}
 
 _titles = lambda titles: "(?:" + "|".join(sorted({v for t in titles for v in (t, t.upper())}, key=lambda t: (-len(t), t))) + r")\.? "
-#: The look ahead changes no match; it spares trying each title at each character. So in IP6.
-_TITLE = "(?=[" + "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL})) + "])(?:" + _titles(MALE + FEMALE + NEUTRAL) + ")+"
-_MIXED = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}[\p{L}\p{M}]*(?:[-'’]\p{Lu}[\p{L}\p{M}]+)*"
-_CAPS = r"\p{Lu}['’]?\p{Lu}+(?:[-'’]\p{Lu}{2,})*(?!\p{L})"
+# Every repetition below is possessive or of a bounded number, and every form starts where no letter or digit of its
+# kind goes before it: the time is linear in the text, and no loop of the pattern engine recurses with its length.
+_TITLE = "(?=[" + "".join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL})) + "])(?:" + _titles(MALE + FEMALE + NEUTRAL) + "){1,4}+"
+_MIXED = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}[\p{L}\p{M}]*+(?:[-'’]\p{Lu}[\p{L}\p{M}]++)*+"
+_CAPS = r"\p{Lu}['’]?\p{Lu}++(?:[-'’]\p{Lu}{2,}+)*+(?!\p{L})"
 _PLAIN = r"(?:\p{Lu}\.|" + "|".join(PARTICLES) + ")"
-EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
-IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.,-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,4}(?![\w-]|[.,]\d)|(?<![\w.,-])(?:[2-9]\d{9}|0\d{9,10})(?![\w-]|[.,]\d)"
-CARD = r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3}(?![\w(-]|[ .]\d))?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)"
-IP6 = r"(?=[0-9A-Fa-f]{1,4}:)(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d|[A-Fa-f:]*[A-Fa-f]{4})[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-SECRET = r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,})(?!\w)"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]++\.){1,126}\p{L}{2,}+"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+IP = rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)"
+SSN = r"(?<!-)\d{3}-\d{2}-\d{4}(?![\w-])"
+PHONE = r"(?<!\+)(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\+)(?:\+\d{1,3}[ .-]?)?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)|(?<!\+)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![.,-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,4}(?![\w-]|[.,]\d)|(?<![.,-])(?:[2-9]\d{9}|0\d{9,10})(?![\w-]|[.,]\d)"
+CARD = r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3}(?![\w(-]|[ .]\d))?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)"
+IP6 = r"(?=[0-9A-Fa-f]{1,4}:)(?<![:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,40}\d|[A-Fa-f:]{0,40}[A-Fa-f]{4})[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])"
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+SECRET = r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}+)(?!\w)"
 #: A title and all words of the name, with initials and particles between; of words in capitals three at most, as
 #: a whole sentence may be in capitals.
-NAMED = rf"(?<![\w-]){_TITLE}(?:(?:{_PLAIN} )*{_MIXED}(?: (?:{_PLAIN} )*(?:{_MIXED}|{_CAPS}))*|(?:{_PLAIN} )*{_CAPS}(?: (?:{_PLAIN} )*{_CAPS}){{0,2}})"
-PATTERN = "|".join([EMAIL, SECRET, IBAN, SSN, PHONE, CARD, IP, IP6, NAMED])
-#: Texts without any of these can't hold an entity, a cheap first look: mail needs @; IBANs, numbers and IPs a digit,
-#: IPv6 a digit or colons; of secrets and names what they begin with.
-HINT = r"[@\d]|::|(?:[0-9A-Fa-f]{1,4}:){7}|[0-9a-f]{32}|[0-9A-F]{32}|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]|" + _TITLE
+_NEXT = f"(?!{_titles(MALE + FEMALE + NEUTRAL)})"
+NAMED = rf"(?<!-){_TITLE}{_NEXT}(?:(?:{_PLAIN} )*+{_MIXED}(?: (?:{_PLAIN} )*+{_NEXT}(?:{_MIXED}|{_CAPS}))*+|(?:{_PLAIN} )*+{_CAPS}(?: (?:{_PLAIN} )*+{_NEXT}{_CAPS}){{0,2}}+)"
+PATTERN = rf"{EMAIL}|(?<!\w)(?:" + "|".join([SECRET, IBAN, SSN, PHONE, CARD, IP, IP6, NAMED]) + ")"
+TITLED = rf"(?<!\w){NAMED}"
+#: Capitalised words, which in a text with titled names may be those names' words.
+WORD = r"(?<![\p{L}\p{M}\p{N}_])\p{Lu}[\p{L}\p{M}]++(?![\p{N}_])"
+#: Texts that neither hold one of these characters nor begin a word so can't hold an entity, a cheap first look: mail
+#: needs @; IBANs, numbers and IPs a digit, IPv6 a digit or colons; of secrets and names what they begin with.
+HINT = r"[@\d]", r"::|(?<!\w)(?:(?:[A-Fa-f]{1,4}:){7}|[a-f]{32}|[A-F]{32}|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]|" + _TITLE + ")"
+#: Control characters that stand for the bounds of a mention; where a text has them they are escaped.
+_CUT, _ESC = "\x01", "\x02"
 
 
-def _script(word: Column) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+def _parts(t: Column) -> Column:
+    """A text in parts, by one scan: those at odd places are mentions, or capitalised words where it has titled names."""
+    safe = F.replace(F.replace(t, F.lit(_ESC), F.lit(_ESC + "\x03")), F.lit(_CUT), F.lit(_ESC + "\x04"))
+    cut = lambda pattern: F.regexp_replace(safe, f"({pattern})", f"{_CUT}$1{_CUT}")
+    return F.split(F.when(t.rlike(TITLED), cut(f"{PATTERN}|{WORD}")).otherwise(cut(PATTERN)), _CUT, -1)
 
 
-def _words(m: Column) -> Column:
-    """The words of a titled name and the blanks between them, as parts (kind, raw)."""
-    title = F.regexp_extract(m, f"^{_TITLE}", 0)
-    words = F.split(F.regexp_replace(m, f"^{_TITLE}", ""), " ")
-    gender = F.when(title.rlike("(^| )" + _titles(FEMALE)), "f").when(title.rlike("(^| )" + _titles(MALE)), "m").otherwise("u")
+def _joined(parts: Column) -> Column:
+    whole = F.array_join(parts, "")
+    return F.replace(F.replace(whole, F.lit(_ESC + "\x04"), F.lit(_CUT)), F.lit(_ESC + "\x03"), F.lit(_ESC))
 
-    def one(w: Column, i: Column) -> Column:
-        kind = F.when(w.rlike(f"^{_PLAIN}$"), "").when(i == F.size(words) - 1, F.concat(F.lit("family:"), _script(w))).otherwise(F.concat(F.lit("given:"), gender, F.lit(":"), _script(w)))
-        return F.array(_part(F.lit(""), F.when(i > 0, " ").otherwise(title)), _part(kind, w))
 
-    return F.flatten(F.transform(words, one))
+def _script(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
 def _part(kind: Column, raw: Column) -> Column:
     return F.struct(kind.alias("kind"), raw.alias("raw"))
 
 
-def _known(t: Column) -> Column:
-    """The words (kind, raw) of the titled names in a text."""
-    return F.array_distinct(F.filter(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(NAMED), F.lit(0)), _words)), lambda x: x["kind"] != ""))
+def _words(m: Column) -> Column:
+    """The runs of letters of a titled name and what stands between them, as parts (kind, raw). The runs of the last
+    word are family names; particles and initials stay."""
+    title = F.regexp_extract(m, f"^{_TITLE}", 0)
+    name = F.regexp_replace(m, f"^{_TITLE}", "")
+    gender = F.when(title.rlike("(^| )" + _titles(FEMALE)), "f").when(title.rlike("(^| )" + _titles(MALE)), "m").otherwise("u")
+    runs = lambda x: F.split(F.regexp_replace(x, r"([\p{L}\p{M}]{2,}+)", f"{_CUT}$1{_CUT}"), _CUT, -1)
+    pieces, last = runs(name), F.size(runs(F.regexp_extract(name, "[^ ]*+$", 0)))
 
+    def one(w: Column, i: Column, known: Column) -> Column:
+        role = F.when(i > known["before"], F.concat(F.lit("family:"), _script(w))).otherwise(F.concat(F.lit("given:"), known["gender"], F.lit(":"), _script(w)))
+        return _part(F.when((i % 2 == 0) | F.lower(w).isin(PARTICLES), "").otherwise(role), w)
 
-def _pattern(known: Column) -> Column:
-    """PATTERN, and the known words without a title."""
-    raw = F.flatten(F.transform(known, lambda x: F.array(x["raw"], F.upper(x["raw"]), F.initcap(x["raw"]))))
-    any_of = F.concat(F.lit("(?:"), F.array_join(F.reverse(F.array_sort(F.array_distinct(raw))), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-    return F.when(F.size(known) == 0, PATTERN).otherwise(F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}_])"), any_of, F.lit("(?: "), any_of, F.lit(")*")))
+    # one struct, so that what the whole name gives isn't computed again for each word
+    whole = F.array(F.struct(pieces.alias("pieces"), (F.size(pieces) - last).alias("before"), gender.alias("gender")))
+    return F.concat(F.array(_part(F.lit(""), title)), F.flatten(F.transform(whole, lambda known: F.transform(known["pieces"], lambda w, i: one(w, i, known)))))
 
 
-def _segments(m: Column, known: Column) -> Column:
-    """A mention as parts (kind, raw); kind is empty for what stays as it is."""
-    kind_of = lambda w: F.filter(known, lambda x: F.lower(x["raw"]) == F.lower(w))[0]["kind"]
-    untitled = F.flatten(F.transform(F.split(m, " "), lambda w, i: F.array(_part(F.lit(""), F.when(i > 0, " ").otherwise("")), _part(kind_of(w), w))))
+def _segments(m: Column) -> Column:
+    """A mention as parts (kind, raw); kind is empty for what stays as it is, `word` for a capitalised word without
+    a title. Plain numbers of a card's length are cards if their check digit is right, grouped ones always."""
     kind = (
-        F.when(m.contains("@"), "email")
-        .when(m.contains(":"), "ip6")
+        F.when(m.contains(":"), "ip6")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^([0-9a-f]{32,64}|[0-9A-F]{32,64})$"), "hex")
-        .when(m.rlike(r"^(AKIA|ASIA|sk[-_]|pk[-_]|gh[po]_|xox)"), "secret")
+        .when(m.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(sk|pk|gh[po]|xox[bp])[-_]"), "secret")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
+        .when(m.rlike(r"^\p{L}"), "word")
         .when(m.rlike(r"^[+(]") | (F.length(_digits(m)) < 13), "phone")
-        .otherwise("card")
+        .otherwise(F.when(m.rlike("[ -]") | (_luhn_of(m) % 10 == 0), "card").otherwise(""))
     )
-    return F.when(m.rlike(f"^{_TITLE}"), _words(m)).when(F.exists(known, lambda x: F.lower(x["raw"]) == F.lower(F.split(m, " ")[0])), untitled).otherwise(F.array(_part(kind, m)))
+    mail = F.array(_part(F.lit("local"), F.split_part(m, F.lit("@"), F.lit(1))), _part(F.lit(""), F.lit("@")), _part(F.lit("domain"), F.split_part(m, F.lit("@"), F.lit(2))))
+    return F.when(m.contains("@"), mail).when(m.rlike(f"^{_TITLE}"), _words(m)).otherwise(F.array(_part(kind, m)))
 
 
 def _digits(x: Column) -> Column:
@@ -179,23 +193,33 @@ def _luhn(digits: str) -> str:
       else cast(substr(reverse({digits}), i, 1) as int) * 2 - if(cast(substr(reverse({digits}), i, 1) as int) > 4, 9, 0) end), 0, (a, x) -> a + x)"""
 
 
+def _luhn_of(digits: Column) -> Column:
+    """The Luhn sum of a column of digits."""
+    number = lambda x: F.ascii(x) - 48
+    each = F.transform(F.split(F.reverse(digits), ""), lambda x, i: F.when(x == "", 0).when(i % 2 == 0, number(x)).otherwise(2 * number(x) - F.when(number(x) > 4, 9).otherwise(0)))
+    return F.aggregate(each, F.lit(0), lambda a, x: a + x)
+
+
+#: SQL: the remainder by 97 of an account number whose letters count as 10 to 35.
+_REST = "aggregate(filter(split({x}, ''), c -> c <> ''), 0L, (a, c) -> if(c between '0' and '9', a * 10 + ascii(c) - 48, a * 100 + ascii(c) - 55) % 97)"
+
+
 def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canon, attempt) with column sur, the canonical form of the surrogate."""
     h = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon", F.col("attempt").cast("string")), 256)
     d = entities.withColumn("h", h).withColumn("numbers", F.translate(F.concat("h", F.sha2("h", 256)), "abcdef", "271828"))
-    # same domain, same surrogate domain; the last label stays
-    d = d.withColumn("domain", F.regexp_extract("canon", r"@(.*)\.[^.@]+$", 1)).withColumn("top", F.regexp_extract("canon", r"(\.[^.@]+)$", 1))
-    local = F.expr(_CHARS.format(x="regexp_extract(canon, '^([^@]+)@', 1)", low=_LETTERS, n=26))
+    local = F.expr(_CHARS.format(x="canon", low=_LETTERS, n=26))
+    host = F.expr(_CHARS.format(x="substring_index(canon, '.', size(split(canon, '[.]')) - 1)", low=_LETTERS, n=26))  # the last label stays
     more = F.when(F.col("attempt") >= 4, F.expr("substr(numbers, 60, least(2 + attempt, 60))")).otherwise("")
-    host = F.expr(_CHARS.format(x="domain", low=_LETTERS, n=26).replace("substr(h,", "substr(hd,"))
-    d = d.withColumn("hd", F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), "domain"), 256))
     ip = F.concat_ws(".", (_byte(F.col("h"), 0) % 223 + 1).cast("string"), *[_byte(F.col("h"), i).cast("string") for i in (1, 2, 3)])
     body = F.expr("substr(numbers, 1, length(canon) - 1)")
     d = d.withColumn("body", body)
     valid = F.expr(f"{_luhn('canon')} % 10 = 0")
     check = F.expr(f"cast((10 - {_luhn(chr(99) + 'oncat(body, chr(48))')} % 10) % 10 as string)")
     card = F.concat("body", F.when(valid, check).otherwise(F.expr("substr(numbers, length(canon), 1)")))
-    iban = F.concat(F.substring("canon", 1, 2), F.expr(_CHARS.format(x="substring(canon, 3)", low=_LETTERS, n=26)))
+    d = d.withColumn("account", F.expr(_CHARS.format(x="substring(canon, 5)", low=_LETTERS, n=26)))
+    land = F.substring("canon", 1, 2)
+    iban = F.concat(land, F.expr("lpad(cast(98 - " + _REST.format(x="concat(account, substr(canon, 1, 2), '00')") + " as string), 2, '0')"), "account")
 
     def name(script: str, role: str) -> Column:
         middles = "array(" + ", ".join(f"'{m}'" for m in MIDDLES[script]) + ")"
@@ -208,7 +232,8 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
         F.when(F.col("kind") == "given:m:latin", name("latin", "m")),
     )
     sur = (
-        F.when(F.col("kind") == "email", F.concat(local, more, F.lit("@"), host, F.col("top")))
+        F.when(F.col("kind") == "local", F.concat(local, more))
+        .when(F.col("kind") == "domain", F.concat(host, more, F.lit("."), F.substring_index("canon", ".", -1)))
         .when(F.col("kind") == "ip", ip)
         .when(F.col("kind") == "ip6", F.expr("array_join(transform(sequence(0, 7), i -> substr(h, 4 * i + 1, 4)), ':')"))
         .when(F.col("kind") == "hex", F.when(F.col("canon").rlike("[A-F]"), F.upper(F.expr(_CHARS.format(x="canon", low="abcdef", n=6)))).otherwise(F.expr(_CHARS.format(x="canon", low="abcdef", n=6))))
@@ -266,6 +291,7 @@ def resolve(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFr
         real = current.join(entities.select("kind", F.col("canon").alias("sur")), ["kind", "sur"], "left_semi").select("kind", "canon", "attempt")
         redo = saved(again.unionByName(real).distinct().withColumn("attempt", F.col("attempt") + 1), "redraw")
         if redo.isEmpty():
+            discard(redo)
             return current.select("kind", "canon", "sur")
         kept = current.join(redo.select("kind", "canon"), ["kind", "canon"], "left_anti")
         new = _surrogates(redo, key)
@@ -276,7 +302,8 @@ def resolve(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFr
             if dense:
                 here = F.concat_ws("/", "kind", length.cast("string")).isin([f"{k}/{n}" for k, n in dense])
                 new = _surrogates(redo.where(~here), key).unionByName(_exact(redo.where(here), current, entities, dense))
-        current = saved(kept.unionByName(new), "surrogates")
+        before, current = current, saved(kept.unionByName(new), "surrogates")
+        discard(before, redo)
     raise ValueError(f"surrogates still collide after {rounds + FAIL} redraws")
 
 
@@ -291,7 +318,7 @@ def _render() -> Column:
         .when(F.col("kind").isin("phone", "card", "ssn"), F.expr(spread.replace("place(raw, i)", place)))
         .when(F.col("kind") == "iban", F.expr(grouped))
         .when(F.col("kind").isin("ip", "ip6", "hex", "secret"), F.col("sur"))
-        .when(F.col("kind") == "email", F.when(F.col("raw") == F.upper("raw"), F.upper("sur")).otherwise(F.col("sur")))
+        .when(F.col("kind").isin("local", "domain"), F.when(F.col("raw") == F.upper("raw"), F.upper("sur")).otherwise(F.col("sur")))
         .otherwise(F.when((F.length("raw") > 1) & (F.col("raw") == F.upper("raw")), F.upper("sur")).otherwise(F.initcap("sur")))
     )
 
@@ -300,33 +327,34 @@ def surrogates(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame
     """docs with the entities in their texts replaced, and pii_count, the number of mentions replaced.
 
     Row for row and column for column as docs; a column pii_count of docs is replaced. One entity has
-    one surrogate in all texts; equal texts stay equal. Null texts stay null, texts without entities
-    stay as they are, count 0. Only texts with entities are shuffled, by their digest. The same key
-    gives the same surrogates unless other entities collide.
+    one surrogate in all texts; equal texts stay equal, and an empty docs gives an empty result. Null texts stay
+    null, texts without entities stay as they are, count 0. Texts are scanned once, in time linear in their length,
+    whatever they hold, and written with their mentions marked; only those with mentions are shuffled, by their digest.
+    The same key gives the same surrogates unless other entities collide.
     """
     docs = without(docs, ["pii_count"])
-    t, sha = F.col(f"`{text}`"), "__pii_sha"
-    has = F.coalesce(t.rlike(HINT) & t.rlike(PATTERN), F.lit(False))
-    clean = docs.where(~has).withColumn("pii_count", F.lit(0))
-    dirty = docs.where(has).withColumn(sha, F.sha2(t, 256))
-    named = dirty.select(F.col(sha).alias("sha"), t.alias("t"), _known(t).alias("known")).withColumn("pattern", _pattern(F.col("known")))
-    found = named.select("sha", F.regexp_extract_all("t", F.col("pattern"), F.lit(0)).alias("marks"), "known")
-    marks = saved(found.groupBy("sha").agg(F.first("marks").alias("marks"), F.first("known").alias("known")), "mentions")
-    segments = (
-        marks.select("sha", "known", F.posexplode("marks").alias("i", "m"))
-        .select("sha", "i", F.posexplode(_segments(F.col("m"), F.col("known"))).alias("j", "s"))
-        .select("sha", "i", "j", F.col("s.kind").alias("kind"), F.col("s.raw").alias("raw"))
-        .withColumn("canon", _canon(F.col("kind"), F.col("raw")))
-    )
-    entities = resolve(saved(segments.where("kind <> ''").select("kind", "canon").distinct(), "entities"), key)
-    pieces = segments.join(entities, ["kind", "canon"], "left").select("sha", F.struct("i", "j", _render().alias("piece")).alias("p"))
-    filled = pieces.groupBy("sha").agg(F.collect_list("p").alias("pieces"))
-    parts = F.transform(F.split(t, _pattern(_known(t)), -1), lambda p, i: F.struct(i.alias("i"), F.lit(-1).alias("j"), p.alias("piece")))
-    whole = F.array_join(F.transform(F.array_sort(F.concat(parts, F.col("pieces"))), lambda x: x["piece"]), "")
-    joined = dirty.join(filled.withColumnRenamed("sha", "__pii_key"), F.col(sha) == F.col("__pii_key"))
-    count = F.size(F.array_distinct(F.transform("pieces", lambda x: x["i"])))
-    done = joined.select(*[whole.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], count.alias("pii_count"))
-    return clean.unionByName(done)
+    t, sha, parts = F.col(f"`{text}`"), "__pii_sha", "__pii_parts"
+    cut = docs.withColumn(parts, F.when(t.rlike(HINT[0]) | t.rlike(HINT[1]), _parts(t)))
+    held = cut.withColumn(parts, F.when(F.size(parts) > 1, F.col(parts))).withColumn(sha, F.when(F.col(parts).isNotNull(), F.sha2(t, 256)))
+    held = saved(held.select(*[F.when(F.col(parts).isNull(), t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], parts, sha), "texts")
+    clean, dirty = held.where(f"{parts} is null").drop(parts, sha).withColumn("pii_count", F.lit(0)), held.where(f"{parts} is not null")
+    texts = dirty.groupBy(F.col(sha).alias("sha")).agg(F.first(parts).alias("parts"))
+    marks = texts.select("sha", F.posexplode("parts").alias("i", "m")).where("i % 2 = 1")
+    segments = saved(marks.select("sha", "i", F.posexplode(_segments(F.col("m"))).alias("j", "s")).select("sha", "i", "j", F.col("s.kind").alias("kind"), F.col("s.raw").alias("raw")), "segments")
+    # a name's word has one kind throughout its text, titled or not: that of its first titled mention
+    named = segments.where("kind like 'given:%' or kind like 'family:%'")
+    known = named.groupBy(F.col("sha").alias("in_sha"), F.lower("raw").alias("w")).agg(F.min_by("kind", F.struct("i", "j")).alias("named"))
+    joined = segments.join(known, (F.lower("raw") == F.col("w")) & (F.col("sha") == F.col("in_sha")) & F.col("kind").rlike("^(word|given:|family:)"), "left")
+    typed = joined.select("sha", "i", "j", "raw", F.coalesce("named", F.when(F.col("kind") == "word", "").otherwise(F.col("kind"))).alias("kind")).withColumn("canon", _canon(F.col("kind"), F.col("raw")))
+    typed = saved(typed, "mentions")
+    discard(segments)
+    entities = resolve(saved(typed.where("kind <> ''").select("kind", "canon").distinct(), "entities"), key)
+    pieces = typed.join(entities, ["kind", "canon"], "left").select("sha", "i", F.struct("j", _render().alias("piece")).alias("p"), (F.col("kind") != "").alias("hit"))
+    mention = pieces.groupBy("sha", "i").agg(F.array_sort(F.collect_list("p")).alias("p"), F.max("hit").alias("hit"))
+    filled = mention.groupBy(F.col("sha").alias("__pii_key")).agg(F.array_sort(F.collect_list(F.struct("i", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("piece")))).alias("__pii_pieces"), F.count_if("hit").cast("int").alias("pii_count"))
+    done = dirty.join(filled, F.col(sha) == F.col("__pii_key"))
+    whole = _joined(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.get("__pii_pieces", F.floor(i / 2).cast("int"))["piece"])))
+    return clean.unionByName(done.select(*[whole.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "pii_count"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,89 @@ def test_surrogates_of_each_form(spark):
     assert a == b
 
 
+def test_titled_names_in_parts(spark):
+    texts = ["Mr Jean-Luc O'Brien and Mr O'Brien; Luc, Brien and De Brien, brien.", "Mr Jean Brown. Brown \x01\x02 bread \x02\x01x@a.com", "Brown bread"]
+    out = {r.doc_id: r for r in op3_pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    jean, luc, brien = re.match(r"Mr (\w+)-(\w+) O'(\w+) and", out[0].text).groups()
+    assert not {jean, luc, brien} & {"Jean", "Luc", "Brien"} and len({jean, luc, brien}) == 3
+    assert out[0].text == f"Mr {jean}-{luc} O'{brien} and Mr O'{brien}; {luc}, {brien} and De {brien}, brien."
+    brown = re.match(rf"Mr {jean} (\w+)\. ", out[1].text)[1]
+    assert re.fullmatch(rf"Mr {jean} {brown}\. {brown} \x01\x02 bread \x02\x01\w@\w\.com", out[1].text) and out[2].text == "Brown bread"
+
+
+def test_surrogates_of_hostile_texts(spark):
+    """Texts on which patterns with nested or open repetitions recurse or take quadratic time."""
+    texts = ["x@" + "a." * 100_000 + "1", "a" * 1_000_000, "a" * 1_000_000 + "@b.com", "Mr " * 50_000, "Mr " + "Smith " * 50_000, "Mr " + "A" * 500_000 + "b", "a:" * 300_000, "1 " * 300_000, "0" * 500_000, "Mr J. " + "van " * 100_000, "a@b." * 50_000]
+    out = {r.doc_id: r for r in op3_pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert all(out[i].text == texts[i] and out[i].pii_count == 0 for i in (0, 1, 2, 5, 6, 7, 8, 9))
+    assert "Smith" not in out[4].text and out[4].text.count(" ") == 50_001
+
+
+def test_numbers_with_check_digits(spark):
+    """Cards are numbers with a right check digit; surrogates of cards and IBANs have one as well."""
+    texts = ["Order 1234567890123456 at 1719991234567", "4111111111111111", "GB82 WEST 1234 5698 7654 32 or GB82WEST12345698765432", "DE89370400440532013000"]
+    out = [r.text for r in op3_pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    luhn = lambda s: sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(s))) % 10
+    rest = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    assert out[0] == texts[0] and out[1] != texts[1] and luhn(out[1]) == 0
+    a, b = out[2].split(" or ")
+    assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", a) and a.replace(" ", "") == b and rest(b) == rest(out[3]) == 1
+
+
+def _as_python(pattern):
+    """A Java expression for the regex module: there \\d and \\w aren't ASCII only."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two in ("\\d", "\\w"):
+            plain = "0-9" if two == "\\d" else "A-Za-z0-9_"
+            out.append(plain if inside else f"[{plain}]")
+            k += 2
+            continue
+        if two[0] == "\\":
+            out.append(two)
+            k += 2
+            continue
+        inside = two[0] == "[" or inside and two[0] != "]"
+        out.append(two[0])
+        k += 1
+    return "".join(out)
+
+
+def test_surrogates_of_the_table(spark):
+    """Brute force: forms tried one by one at each place of each text. Between mentions texts stay; each entity
+    has one surrogate, of its form, no two share one, and none is an entity."""
+    import regex
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    forms = [(n, regex.compile(_as_python(x))) for n, x in (("mail", op3_pii.EMAIL), *((n, rf"(?<!\w)(?:{x})") for n, x in (("secret", op3_pii.SECRET), ("iban", op3_pii.IBAN), ("ssn", op3_pii.SSN), ("phone", op3_pii.PHONE), ("card", op3_pii.CARD), ("ip", op3_pii.IP), ("ip6", op3_pii.IP6))))]
+    luhn = lambda s: sum(int(x) if i % 2 == 0 else sum(divmod(2 * int(x), 10)) for i, x in enumerate(reversed(s))) % 10
+    digits = lambda s: re.sub(r"\D", "", s)
+    plain = {"mail": str.lower, "phone": lambda s: digits(s)[-10:], "card": digits, "ssn": digits, "iban": lambda s: s.replace(" ", "")}
+    to, found = {}, 0
+    for before, after in zip(docs.orderBy("doc_id", "text").collect(), op3_pii.surrogates(docs.orderBy("doc_id", "text")).orderBy("doc_id").collect()):
+        text, at, gaps, marks = before.text or "", 0, [""], []
+        while at < len(text):
+            kind, hit = next(((n, m) for n, x in forms if (m := x.match(text, at))), (None, None))
+            if hit and (kind != "card" or not hit[0].isdigit() or luhn(hit[0]) == 0):
+                marks.append((kind, hit[0]))
+                gaps.append("")
+                at = hit.end()
+            else:
+                end = hit.end() if hit else at + 1
+                gaps[-1] += text[at:end]
+                at = end
+        assert after.doc_id == before.doc_id and after.pii_count == len(marks)
+        new = re.fullmatch("(.+?)".join(map(re.escape, gaps)), after.text or "", re.S)
+        assert new, before.doc_id
+        for (kind, raw), sur in zip(marks, new.groups()):
+            found += 1
+            assert re.sub(r"\d", "0", raw) == re.sub(r"\d", "0", sur) if kind in ("phone", "card", "ssn") else next(x for n, x in forms if n == kind).fullmatch(sur)
+            key = plain.get(kind, str)
+            assert to.setdefault((kind, key(raw)), key(sur)) == key(sur)
+    assert found > 20 and len(set(zip((k for k, _ in to), to.values()))) == len(to) and not {(k, v) for (k, _), v in to.items()} & set(to)
+
+
 def test_surrogates_stay_distinct(spark):
     """Short numbers collide often: a redraw must part them."""
     ents = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, canon string")
