@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import slices, table, texts_of
 
-PAGES, STEPS, DIMENSIONS = 800, 90, 1 << 15
+PAGES, STEPS, DIMENSIONS = 1200, 90, 1 << 15
 
 # HTML elements by how they bear on blocks.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -34,47 +34,167 @@ CLOSES_P = BLOCKS - set("button label option optgroup legend caption td th tr tb
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = set("ul ol dl table select article section div body main aside nav footer header form blockquote".split())
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)/?>|</?[a-zA-Z][^>]*>""",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements that hold a part of an article rather than an article.
+_SMALL = set("p li h1 h2 h3 h4 h5 h6 dt dd dl td th tr tbody thead tfoot table caption ul ol menu blockquote pre figure figcaption label button legend option optgroup summary hr address".split())
+#: Features of the elements above a block are those of the first so many, that a deep page needs no more memory.
+MOST_ABOVE = 256
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_STOP = re.compile(r"""[>"']""")
+_ENDS = {"comment": re.compile(r"--!?>"), "script": re.compile(r"</script\s*+>", re.I), "style": re.compile(r"</style\s*+>", re.I)}
+_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPLIT = re.compile(r"[^A-Za-z]+")
 
 
+@lru_cache(10_000)
+def _of_element(tag: str, words: str, parent: str) -> tuple[tuple[str, ...], frozenset]:
+    """Class, id and role words of an element, and the features that it adds below the block-level `parent`."""
+    found = () if tag in ("body", "html") else tuple(w.lower().rstrip("s") for w in _SPLIT.split(_CAMEL.sub(" ", words)) if w)[:64]
+    names = [f"tag {tag}", *(f"word {w}" for w in found)]
+    if tag in BLOCKS and parent:
+        names.append(f"in {parent}>{tag}")
+    return found, frozenset(_dim(n) for n in names)
+
+
+@lru_cache(10_000)
+def _of_nearest(near: tuple[str, str], named: tuple[str, ...]) -> list[int]:
+    """Features of the two nearest block-level elements and of the words of the nearest element that has some."""
+    names = [f"leaf {near[1]}", f"near {'>'.join(x for x in near if x)}", *(f"own {w}" for w in named), *(f"both {a} {b}" for a, b in zip(named, named[1:]))]
+    return [_dim(n) for n in sorted(set(names))]
+
+
+class Node:
+    """A path of elements; equal paths are one node. tail: features of its nearest elements, above: of all."""
+
+    __slots__ = ("tag", "kids", "above", "tail", "near", "named", "score")
+
+    def __init__(self, tag: str = "", words: str = "", parent: Node | None = None):
+        self.tag, self.kids, self.score = tag, None, None
+        if parent is None:
+            self.above, self.near, self.named = frozenset(), ("", ""), ()
+        else:
+            self.near = (parent.near[1], tag) if tag in BLOCKS else parent.near
+            found, names = _of_element(tag, words, parent.near[1])
+            self.named = found or parent.named
+            new = () if names <= parent.above else names - parent.above
+            self.above = parent.above | new if new and len(parent.above) < MOST_ABOVE else parent.above
+        self.tail = _of_nearest(self.near, self.named)
+
+    def features(self) -> list[int]:
+        return sorted(self.above) + self.tail
+
+
+class Paths:
+    """The nodes of a worker's pages so far. Beyond `most` no more are kept, so that memory stays bounded."""
+
+    def __init__(self, most: int = 100_000):
+        self.most = most
+        self.clear()
+
+    def clear(self):
+        self.root, self.n = Node(), 0
+
+    def below(self, node: Node, tag: str, words: str) -> Node:
+        kid = node.kids.get((tag, words)) if node.kids else None
+        if kid is None:
+            kid = Node(tag, words, node)
+            if self.n < self.most:
+                node.kids = node.kids or {}
+                node.kids[tag, words] = kid
+                self.n += 1
+        return kid
+
+
 @dataclass
 class Block:
-    path: tuple
+    path: Node
     text: str
     linked: int
+    boxes: tuple[int, int] = (0, 0)
+
+
+def tags(source: str):
+    """(from, to, kind, name, attributes) of each piece of markup, in page order, in time linear in the page.
 
+    kind: open, close, or skip (comments, declarations, scripts and styles with what they hold). A tag ends at the first > outside
+    quotes; where a quote never closes, at the first >; where there is no >, it is text. An unclosed comment, script or
+    style reaches to the end of the page.
+    """
+    at, n = 0, len(source)
+    hopeless: set[int] = set()  # quotes from which on a tag never ends
+    while (lt := source.find("<", at)) >= 0:
+        if source.startswith("<!--", lt):
+            end = _ENDS["comment"].search(source, lt + 4)
+            at = end.end() if end else n
+            yield lt, at, "skip", "", ""
+            continue
+        closing = source.startswith("/", lt + 1)
+        name = _NAME.match(source, lt + 1 + closing)
+        if not name and source[lt + 1 : lt + 2] not in ("!", "?") or (first := source.find(">", lt)) < 0:
+            at = lt + 1
+            if name and first < 0:
+                return
+            continue
+        if not name or closing:
+            at = first + 1
+            yield lt, at, "close" if name else "skip", name[0].lower() if name else "", ""
+            continue
+        seen, k, end = [], name.end(), None
+        while (stop := _STOP.search(source, k)) and stop.start() not in hopeless:
+            if stop[0] == ">":
+                end = stop.start()
+                break
+            seen.append(stop.start())
+            k = source.find(stop[0], stop.end()) + 1
+            if not k:
+                break
+        if end is None:
+            hopeless.update(seen)
+            end = first
+        tag, at = name[0].lower(), end + 1
+        if tag in ("script", "style"):
+            close = _ENDS[tag].search(source, at)
+            at = close.end() if close else n
+            yield lt, at, "skip", "", ""
+            continue
+        yield lt, at, "open", tag, source[name.end() : end]
 
-def blocks(source: str) -> list[Block]:
+
+def blocks(source: str, paths: Paths | None = None) -> list[Block]:
     """The page's blocks of text in page order: maximal runs of text that no block-level tag
     interrupts, references decoded, white space made single spaces. Unclosed and stray tags are borne."""
-    stack: list[tuple[str, str]] = []
+    paths = paths or Paths()
+    stack: list[tuple[str, Node, int]] = [("", paths.root, 0)]
+    places: dict[str, list[int]] = {}  # of each open tag, where it stands on the stack
+    boxes: list[int] = [0, 0]  # open containers, by number
     out: list[Block] = []
     pieces: list[str] = []
-    linked = silent = links = 0
+    linked = silent = links = made = 0
 
     def flush():
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                out.append(Block(stack[-1][1], text, linked, (boxes[-1], boxes[-2])))
             pieces.clear()
         linked = 0
 
     def close(depth: int):
         nonlocal silent, links
-        if any(t in BLOCKS for t, _ in stack[depth:]):
+        if any(stack[i][0] in BLOCKS for i in range(depth, len(stack))):
             flush()
-        for t, _ in stack[depth:]:
+        while len(stack) > depth:
+            t, _, box = stack.pop()
+            places[t].pop()
             silent -= t in SILENT
             links -= t == "a"
-        del stack[depth:]
+            if box:
+                boxes.pop()
+
+    def last(some) -> int:
+        return max((places[t][-1] for t in some if places.get(t)), default=0)
 
     def say(raw: str):
         nonlocal linked
@@ -85,40 +205,39 @@ def blocks(source: str) -> list[Block]:
                 linked += len(text.strip())
 
     at = 0
-    for m in _TOKEN.finditer(source):
-        if m.start() > at:
-            say(source[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if not tag:
+    for start, end, kind, tag, given in tags(source):
+        if start > at:
+            say(source[at:start])
+        at = end
+        if kind == "skip":
             continue
-        tag = tag.lower()
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                close(depth)
+        if kind == "close":
+            if places.get(tag):
+                close(places[tag][-1])
             elif tag in BLOCKS:
                 flush()
             continue
         if tag in BLOCKS:
-            if tag in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if depth is not None:
-                    close(depth)
+            if tag in CLOSES_P and places.get("p"):
+                close(places["p"][-1])
             if tag in _SIBLINGS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in _SIBLINGS[tag]:
-                        close(i)
-                        break
-                    if stack[i][0] in _SCOPE:
+                while (depth := last(_SIBLINGS[tag])) > last(_SCOPE):
+                    close(depth)
+                    if tag not in ("tr", "td", "th"):
                         break
             flush()
         if tag == "br":
             pieces.append(" ")
-        if tag in VOID or m[0].endswith("/>"):
+        if tag in VOID or given.endswith("/"):
             continue
-        words = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m[4])) if m[4] else ""
-        stack.append((tag, words))
+        words = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(given)) if given else ""
+        box = 0
+        if tag in BLOCKS and tag not in _SMALL:
+            made += 1
+            box = made
+            boxes.append(box)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, paths.below(stack[-1][1], tag, words), box))
         silent += tag in SILENT
         links += tag == "a"
     say(source[at:])
@@ -130,40 +249,37 @@ def _dim(name: str) -> int:
     return zlib.crc32(name.encode()) % DIMENSIONS
 
 
-def path_features(path: tuple) -> list[int]:
-    """Of the tags above a block: each tag, each pair of one and the next block-level one, and the words
-    of classes, ids and roles, of all and of the nearest element that has some."""
-    tags = [t for t, _ in path]
-    names = {f"tag {t}" for t in tags}
-    main = [t for t in tags if t in BLOCKS]
-    names |= {f"in {a}>{b}" for a, b in zip(main, main[1:])}
-    names.add(f"leaf {main[-1] if main else ''}")
-    names.add(f"near {'>'.join(main[-2:])}")
-    nearest: list[str] = []
-    for t, words in path:
-        if t in ("body", "html"):
-            continue
-        found = [w.lower().rstrip("s") for w in _SPLIT.split(_CAMEL.sub(" ", words)) if w]
-        names |= {f"word {w}" for w in found}
-        nearest = found or nearest
-    names |= {f"own {w}" for w in nearest} | {f"both {a} {b}" for a, b in zip(nearest, nearest[1:])}
-    return [_dim(n) for n in sorted(names)]
-
-
 _SIGNS = re.compile(r"(©|\(c\) \d|copyright|all rights reserved)|(cookie|gdpr|consent)|(subscribe|newsletter|sign up|log ?in)|(advert|sponsored)|(repl(?:y|ies)\b|comments?\b)", re.I)
 
 
-def text_features(block: Block, first: bool, last: bool) -> list[str]:
-    n, t = block.text.count(" ") + 1, block.text
-    share = block.linked / max(1, len(t))
-    found = [f"words {min(6, n.bit_length())}", f"links {0 if not share else 1 + int(min(1.0, share) * 3)}", f"end {t[-1] in '.!?…:;' }"]
-    if (m := _SIGNS.search(t[:300])) and n < 60:
-        found.append(f"sign {m.lastindex}")
-    if first:
-        found.append("first")
-    if last:
-        found.append("last")
-    return found
+def text_features(found: list[Block]) -> list[list[str]]:
+    """Of each block of a page: its length in words, links, end and signs, those lengths of the blocks beside it, and
+    how much of the page's text that isn't linked its container and the one around that hold."""
+    counts = [b.text.count(" ") + 1 for b in found]
+    size = [min(9, n.bit_length()) for n in counts]
+    shares = [min(1.0, b.linked / max(1, len(b.text))) for b in found]
+    held: dict[int, float] = {}
+    for b, n, share in zip(found, counts, shares):
+        for box in set(b.boxes):
+            held[box] = held.get(box, 0.0) + n * (1 - share)
+    most = [max((held[b.boxes[k]] for b in found), default=0.0) or 1.0 for k in (0, 1)]
+    part = lambda x: 0 if x < 0.05 else 1 if x < 0.3 else 2 if x < 0.7 else 3 if x < 1 else 4
+    out = []
+    for i, (b, n, k, share) in enumerate(zip(found, counts, size, shares)):
+        links = 0 if not share else 1 + int(share * 3)
+        before, after = size[i - 1] if i else -1, size[i + 1] if i + 1 < len(found) else -1
+        leaf = b.path.near[1]
+        names = [f"words {k}", f"links {links}", f"end {b.text[-1] in '.!?…:;' }", f"wl {k} {links}", f"beside {before} {k}", f"beside2 {k} {after}", f"in {leaf} {k}", f"box {part(held[b.boxes[0]] / most[0])}", f"outer {part(held[b.boxes[1]] / most[1])}", f"stops {min(4, b.text.count('. ') + b.text.count(', '))}"]
+        if leaf[:1] == "h" and leaf[1:].isdigit():
+            names.append(f"head {leaf} {after}")
+        if (m := _SIGNS.search(b.text[:300])) and n < 60:
+            names.append(f"sign {m.lastindex}")
+        if not i:
+            names.append("first")
+        if i == len(found) - 1:
+            names.append("last")
+        out.append(names)
+    return out
 
 
 @dataclass
@@ -173,7 +289,7 @@ class Field:
     weights: np.ndarray
     moves: np.ndarray
     start: np.ndarray
-    paths: dict = field(default_factory=dict)
+    paths: Paths = field(default_factory=Paths)
     texts: dict = field(default_factory=dict)
 
     def __getstate__(self):
@@ -181,22 +297,25 @@ class Field:
 
     def __setstate__(self, s):
         self.weights, self.moves, self.start = s
-        self.paths, self.texts = {}, {}
+        self.paths, self.texts = Paths(), {}
+
+    def blocks(self, source: str) -> list[Block]:
+        if self.paths.n >= self.paths.most // 2:
+            self.paths.clear()
+        return blocks(source, self.paths)
 
     def main(self, found: list[Block]) -> list[bool]:
         """Viterbi: the likeliest states of a page's blocks together."""
         if not found:
             return []
-        if len(self.paths) > 50_000:
-            self.paths.clear()
         (s0, s1), ((m00, m01), (m10, m11)) = self.start.tolist(), self.moves.tolist()
         back, a, b = [], s0, s1
-        for i, block in enumerate(found):
-            own = self.paths.get(block.path)
-            if own is None:
-                own = self.paths[block.path] = self.weights[path_features(block.path)].sum(0).tolist()
-            e0, e1 = own
-            for name in text_features(block, i == 0, i == len(found) - 1):
+        for i, (block, names) in enumerate(zip(found, text_features(found))):
+            node = block.path
+            if node.score is None or node.score[0] is not self:
+                node.score = (self, *self.weights[node.features()].sum(0).tolist())
+            _, e0, e1 = node.score
+            for name in names:
                 w = self.texts.get(name)
                 if w is None:
                     w = self.texts[name] = self.weights[_dim(name)].tolist()
@@ -221,8 +340,8 @@ def train(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS, ridge
     feats, where, gold = [], [], np.zeros((n, longest), int)
     length = np.array([len(b) for b, _ in pages])
     for p, (found, main) in enumerate(pages):
-        for i, b in enumerate(found):
-            ids = path_features(b.path) + [_dim(x) for x in text_features(b, i == 0, i == len(found) - 1)]
+        for i, (b, names) in enumerate(zip(found, text_features(found))):
+            ids = b.path.features() + [_dim(x) for x in names]
             feats += ids
             where += [p * longest + i] * len(ids)
             gold[p, i] = main[i]
@@ -265,6 +384,7 @@ REST = {
     "form": "form search search-form login contact-form signup-form".split(),
     "comments": "comments comment-list comment comments-area disqus discussion responses replies reader-comments".split(),
 }
+ODD = "row col-md-8 col-md-4 col-12 container wrapper box inner outer panel block card grid cell clearfix left right center flex item unit layout".split()
 BODY = "content article article-body post post-content entry entry-content story story-body text main page-content body-text article-text prose".split()
 
 
@@ -363,8 +483,85 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
             return f"<section{cls}><div>{inner}</div></section>"
         return inner if k < 0.95 else f"<div>{inner}</div>"
 
+    def odd() -> str:
+        """A class that says nothing of what the element holds."""
+        k = r.random()
+        if k < 0.35:
+            return ""
+        return f' class="{r.choice([r.choice(ODD), r.choice(ODD) + " " + r.choice(ODD), "c" + str(r.randint(1, 99)), "css-" + "".join(r.choice("bcdfgk") for _ in range(5))])}"'
+
+    def foreign() -> str:
+        """A page of unknown class words and no elements that name their role: only texts, links and places tell."""
+        tag = r.choice(["div", "div", "td", "section", "center"])
+        wrap = lambda x: f"<{tag}{odd()}>{x}</{tag}>"
+        some = lambda a, b, main: mark(words(a, b), main)
+        ref = lambda: f"<a href=/{r.randint(1, 99)}>{some(1, 4, False)}</a>"
+
+        def menu() -> str:
+            n = r.randint(2, 9)
+            k = r.random()
+            if k < 0.5:
+                return wrap("<ul>" + "".join(f"<li>{ref()}</li>" for _ in range(n)) + "</ul>")
+            return wrap(r.choice([" | ", " ", "<br>"]).join(ref() for _ in range(n))) if k < 0.8 else "".join(wrap(ref()) for _ in range(n))
+
+        def side() -> str:
+            k = r.random()
+            head = f"<h{r.randint(2, 4)}>{some(1, 3, False)}</h3>"
+            if k < 0.6:
+                return wrap(head + "<ul>" + "".join(f"<li>{ref()}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
+            return wrap(head + "".join(f"<p>{some(1, 9, False)} {ref()}</p>" for _ in range(r.randint(1, 4))))
+
+        def foot() -> str:
+            lead = f"{mark('', False)}{r.choice(['©', 'Copyright', '(c)'])} 2{r.randint(10, 99)} {words(1, 6)}"
+            return wrap(lead + ("" if r.random() < 0.5 else " " + " ".join(ref() for _ in range(r.randint(1, 4)))))
+
+        def top() -> str:
+            return wrap(r.choice([some(1, 3, False), f"<a href=/>{some(1, 3, False)}</a>", f"<h1>{some(1, 3, False)}</h1>"]) + (f"<p>{some(2, 8, False)}</p>" if r.random() < 0.3 else ""))
+
+        def replies() -> str:
+            one = lambda: wrap(r.choice([f"<b>{some(1, 2, False)}</b> " + words(5, 40), f"<p>{some(1, 2, False)} says:</p><p>{some(5, 40, False)}</p>", f"<p>{some(5, 40, False)}</p><a href=#>{mark('Reply', False)}</a>"]))
+            return f"<h3>{mark(r.choice(['Comments', '3 comments', 'Replies', 'Leave a reply']), False)}</h3>" + r.choice(["", "<p>", "<ul><li>"]) + "".join(one() for _ in range(r.randint(1, 4)))
+
+        def story() -> str:
+            leaf = r.choice(["<p>%s</p>", "<p>%s</p>", "<p>%s", "<div>%s</div>", "%s<br><br>"])
+            body = []
+            for _ in range(r.randint(1, 9)):
+                k = r.random()
+                if k < 0.78:
+                    t = words(8, 110) + ("" if r.random() < 0.8 else f" <a href=/x>{words(1, 3)}</a> {words(3, 20)}")
+                    body.append(leaf % mark(t, True))
+                elif k < 0.86:
+                    body.append(f"<h{r.randint(2, 3)}>{some(1, 6, True)}</h2>")
+                elif k < 0.94:
+                    body.append("<ul>" + "".join(f"<li>{some(2, 25, True)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+                else:
+                    body.append(f"<blockquote>{some(5, 40, True)}</blockquote>")
+            if not any(len(x) > 150 for x in body):
+                body.append(leaf % some(40, 110, True))
+            title = f"<h{r.choice([1, 1, 1, 2])}>{some(2, 10, True)}</h1>" if r.random() < 0.85 else ""
+            if title and r.random() < 0.3:
+                title = wrap(title)
+            inner = title + "".join(body) if r.random() < 0.6 else title + wrap("".join(body))
+            for _ in range(r.randint(0, 2)):
+                inner = wrap(inner)
+            return inner
+
+        before = [f() for f in r.sample([top, menu, side, menu], r.randint(0, 3))]
+        after = [f() for f in r.sample([side, foot, menu, replies, foot], r.randint(0, 3))]
+        page = before + [story()] + after
+        if tag == "td":
+            return "<table>" + "".join(f"<tr>{x if x.startswith('<td') else '<td>' + x + '</td>'}</tr>" if r.random() < 0.6 else x if x.startswith("<td") else f"<td>{x}</td>" for x in page) + "</table>"
+        return "".join(page) if r.random() < 0.6 else wrap("".join(page))
+
     out = []
     for _ in range(n):
+        if r.random() < 0.35:
+            found = blocks(f"<html><body>{foreign()}</body></html>")
+            marks = [next((c == "\ue001" for c in b.text if c in "\ue000\ue001"), False) for b in found]
+            for b in found:
+                b.text = b.text.translate({0xE000: None, 0xE001: None}).strip() or "x"
+            out.append((found, marks))
+            continue
         if r.random() < 0.08:  # a page that is nothing but its text
             only = "".join(f"<p>{mark(words(1, 60), True)}</p>" for _ in range(r.randint(1, 6))) if r.random() < 0.6 else mark(words(1, 80), True)
             found = blocks(only if r.random() < 0.5 else f"<html><body>{only}</body></html>")
@@ -390,7 +587,7 @@ def trained(n: int = PAGES) -> Field:
 
 
 def main_text(source: str, field: Field) -> str:
-    found = blocks(source)
+    found = field.blocks(source)
     return "\n\n".join(b.text for b, main in zip(found, field.main(found)) if main)
 
 

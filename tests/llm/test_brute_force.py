@@ -346,7 +346,7 @@ def test_crf_gradient_and_viterbi():
     import itertools
 
     for found, _ in [p for p in pages if 2 <= len(p[0]) <= 9][:8]:
-        e = [field.weights[op8_html.path_features(b.path) + [op8_html._dim(x) for x in op8_html.text_features(b, i == 0, i == len(found) - 1)]].sum(0) for i, b in enumerate(found)]
+        e = [field.weights[b.path.features() + [op8_html._dim(x) for x in names]].sum(0) for b, names in zip(found, op8_html.text_features(found))]
         score = lambda s: field.start[s[0]] + sum(x[k] for x, k in zip(e, s)) + sum(field.moves[a, b] for a, b in zip(s, s[1:]))  # noqa: B023, E731
         best = max(itertools.product((0, 1), repeat=len(found)), key=score)
         assert field.main(found) == [bool(k) for k in best]
@@ -368,6 +368,43 @@ def test_main_text(spark):
         assert text == "\n\n".join(p for p in parts if p)
 
 
+STORY = "The committee met on Tuesday to discuss the plan for the new harbour, which has been delayed twice. Members said that the cost had risen sharply since last year."
+#: Layouts written by hand, not by the templates; main text stands between [ and ].
+LAYOUTS = [
+    f'<div class="row"><div class="col-md-2"><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></div><div class="col-md-8"><h1>[Harbour plan delayed]</h1><p>[{STORY}]</p><p>[{STORY}]</p></div></div>',
+    f'<div><a href=/>Home</a> <a href=/n>News</a></div><div>[{STORY}]</div><div>[{STORY}]</div>',
+    f'<table><tr><td colspan=2><a href=/>Home</a> | <a href=/n>News</a></td></tr><tr><td><a href=/x>Archive</a><br><a href=/y>Links</a></td><td><h1>[Harbour plan]</h1><p>[{STORY}]</p><p>[{STORY}]</p></td></tr></table>',
+    f'<div id="mw-panel"><ul><li><a>Main page</a></li><li><a>Contents</a></li></ul></div><div id="content"><h1>[Harbour]</h1><div id="bodyContent"><p>[{STORY}]</p><h2>[History]</h2><p>[{STORY}]</p><ul><li>[One item in a list of things]</li><li>[Another item in the list]</li></ul></div></div>',
+    f'<div class="c1"><a>Board</a> &gt; <a>Topic</a></div><div class="c2"><h2>[Harbour plan delayed again]</h2><div class="c3">[{STORY}]</div><div class="c3">[{STORY} {STORY}]</div></div><div class="c9">Powered by x. <a>Login</a></div>',
+    f'<div class="post"><h1>[Harbour]</h1><p>[{STORY}]</p></div><div id="comments"><h3>2 comments</h3><ul><li><p>I liked it a lot, thank you.</p></li><li><p>So did I.</p></li></ul></div>',
+    f"<p>[{STORY}]</p>",
+]
+
+
+def test_main_text_of_other_layouts():
+    field = op8_html.trained()
+    for page in LAYOUTS:
+        want = re.findall(r"\[(.*?)\]", page)
+        assert op8_html.main_text(f"<html><body>{re.sub('[][]', '', page)}</body></html>", field).split("\n\n") == want, page
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x " * 100_000, "<div>" * 50_000 + "</p>" * 50_000, '<a ">" ' * 60_000 + "'", "<!--" * 250_000, "<script>" * 100_000, "<p>x" * 100_000])
+def test_main_text_in_linear_time(page):
+    """Unclosed and deep markup, on which a nested pattern or stored paths take quadratic time or memory."""
+    import time
+
+    field, begun = op8_html.trained(), time.process_time()
+    found = field.blocks(page)
+    field.main(found)
+    assert time.process_time() - begun < 10
+    assert sum(b.text.count("x") for b in found) == page.count("x")
+
+
+def test_tags():
+    page = "a<b x='>'>c</b><!-- <i> --><SCRIPT>'</p>'</script ><?x><br/>< d <1>e<a href=\"q>f"
+    assert [(page[a:b], k, t) for a, b, k, t, _ in op8_html.tags(page)] == [("<b x='>'>", "open", "b"), ("</b>", "close", "b"), ("<!-- <i> -->", "skip", ""), ("<SCRIPT>'</p>'</script >", "skip", ""), ("<?x>", "skip", ""), ("<br/>", "open", "br"), ('<a href="q>', "open", "a")]
+
+
 def _lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
