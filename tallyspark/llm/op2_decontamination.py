@@ -39,6 +39,8 @@ SHORT = {
 MIN_WORDS = 5
 IDENTITY = 0.8
 BLOCK_CHARS = 16_000_000
+#: Pairs of equal hashes that are listed at a time.
+MANY = 1_000_000
 LEAK = "doc_id bigint, item_id bigint, doc_from int, doc_to int, matched int, overlap int, item_words int"
 
 
@@ -89,8 +91,17 @@ class Index:
         self.maybe = np.zeros(1 << self.bits, bool)
         self.maybe[(self.keys >> U(64 - self.bits)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray):
-        """(position in words, item, position in item) of each pair of equal hashes."""
+    def hits(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(text, item, diagonal) of the pairs of equal hashes, each once.
+
+        Where words repeat, one hash may stand at many places of a text and of an item. Places of a text with equal
+        words as far around as an item can reach give equal overlaps: of these, the first is taken. What is left is
+        paired in parts of bounded size, each reduced to its different diagonals.
+        """
+        found = np.zeros(0, np.int64)
+        reach = max(map(len, self.words), default=0)
+        span = len(words) + reach + 1  # a triple as one number
+        around = None
         for m, kept in enumerate(self.masks):
             with np.errstate(over="ignore"):
                 h = _keyed(words, kept, m)
@@ -98,46 +109,81 @@ class Index:
             low, high = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
             n = high - low
             at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            if len(at):
-                k = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                yield np.repeat(at, n), self.item[k], self.pos[k]
-
-    def overlap(self, text: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """The best-scoring stretch along a diagonal, +1 for an equal word and -2 for another:
-        (from, to, equal words), if it is long and equal enough."""
+            if n.sum() > MANY:
+                around = _around(words, offsets, reach) if around is None else around
+                with np.errstate(over="ignore"):
+                    first = np.sort(np.unique(mix(around[at] + h[at]), return_index=True)[1])
+                at, low, n = at[first], low[first], n[first]
+            doc = np.searchsorted(offsets, at, "right") - 1
+            cuts = np.searchsorted(np.cumsum(n), np.arange(MANY, n.sum() + MANY, MANY), "left") + 1
+            begin = 0
+            for end in np.unique(np.minimum(cuts, len(n))).tolist():
+                x, y, c = slice(begin, end), low[begin:end], n[begin:end]
+                begin = end
+                if len(c):
+                    k = np.repeat(y - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
+                    new = (np.repeat(doc[x], c) * len(self.ids) + self.item[k]) * span + np.repeat(at[x] - offsets[doc[x]], c) - self.pos[k] + reach
+                    found = np.unique(np.concatenate([found, new]))
+        pair, diagonal = np.divmod(found, span)
+        return np.stack([*np.divmod(pair, max(1, len(self.ids))), diagonal - reach], 1)
+
+    def overlaps(self, text: np.ndarray, item: int, diagonals: np.ndarray):
+        """For each diagonal the best-scoring stretch along it, +1 for an equal word and -2 for another, as
+        (from, to, equal words) in the text, if it is long and equal enough."""
         w = self.words[item]
-        low, high = max(0, -diagonal), min(len(w), len(text) - diagonal)
-        need = needed(len(w))
-        if high - low < need:
-            return None
-        same = w[low:high] == text[low + diagonal : high + diagonal]
-        score = np.concatenate(([0], np.cumsum(np.where(same, 1, -2))))
-        gain = score - np.minimum.accumulate(score)
-        end = int(np.argmax(gain))
-        begin = int(np.flatnonzero(score[: end + 1] == score[: end + 1].min())[0])
-        matched = int(same[begin:end].sum())
-        if end - begin < need or matched < IDENTITY * (end - begin):
+        m, need = len(w), needed(len(w))
+        step = max(1, 1_000_000 // max(1, m))
+        for k in range(0, len(diagonals), step):
+            d = diagonals[k : k + step]
+            low, high = np.maximum(0, -d), np.minimum(m, len(text) - d)
+            place = d[:, None] + np.arange(m)
+            live = (place >= 0) & (place < len(text))
+            same = live & (text[np.clip(place, 0, len(text) - 1)] == w)
+            zero = np.zeros((len(d), 1), np.int64)
+            score = np.concatenate([zero, np.cumsum(np.where(same, 1, np.where(live, -2, 0)), 1)], 1)
+            equal = np.concatenate([zero, np.cumsum(same, 1)], 1)
+            lowest = np.minimum.accumulate(score, 1)
+            rows = np.arange(len(d))
+            end = np.argmax(score - lowest, 1)
+            begin = np.maximum(low, np.argmax(score == lowest[rows, end][:, None], 1))
+            matched = equal[rows, end] - equal[rows, begin]
             # a substitution every third word scores nothing above; take the whole overlap then
-            begin, end, matched = 0, len(same), int(same.sum())
-            if matched < IDENTITY * len(same):
-                return None
-        return low + diagonal + begin, low + diagonal + end, matched
+            weak = (end - begin < need) | (matched < IDENTITY * (end - begin))
+            begin, end = np.where(weak, low, begin), np.where(weak, high, end)
+            matched = np.where(weak, equal[:, -1], matched)
+            good = (high - low >= need) & (matched >= IDENTITY * (end - begin))
+            yield from zip((d + begin)[good].tolist(), (d + end)[good].tolist(), matched[good].tolist())
+
+    def overlap(self, text: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
+        """overlaps of one diagonal, or None."""
+        return next(self.overlaps(text, item, np.array([diagonal])), None) if len(text) else None
 
     def leaks(self, texts: list[str]) -> dict[int, list[tuple]]:
         """Of each text that holds some: (item id, from word, to word, equal words, length, item's words), the best for each item."""
         words, offsets = hash_words(texts)
-        pairs = []
-        for at, item, pos in self.hits(words):
-            doc = np.searchsorted(offsets, at, "right") - 1
-            pairs.append(np.stack([doc, item, at - offsets[doc] - pos], 1))
-        found: dict[int, dict[int, tuple]] = {}
-        if pairs:
-            for doc, item, diagonal in np.unique(np.concatenate(pairs), axis=0).tolist():
-                if o := self.overlap(words[offsets[doc] : offsets[doc + 1]], item, diagonal):
-                    new = (o[2], -o[0], o[1] - o[0])
-                    best = found.setdefault(doc, {})
-                    best[item] = max(best.get(item, new), new)
-        return {d: [(self.ids[i], -b, -b + n, m, n, len(self.words[i])) for i, (m, b, n) in x.items()] for d, x in found.items()}
+        found: dict[int, list[tuple]] = {}
+        pairs = self.hits(words, offsets)
+        starts = np.flatnonzero(np.any(np.diff(pairs[:, :2], axis=0, prepend=-1), 1)).tolist()
+        for a, b in zip(starts, starts[1:] + [len(pairs)]):
+            doc, item = pairs[a, :2].tolist()
+            best = max(((m, -x, y - x) for x, y, m in self.overlaps(words[offsets[doc] : offsets[doc + 1]], item, pairs[a:b, 2])), default=None)
+            if best:
+                found.setdefault(doc, []).append((self.ids[item], -best[1], -best[1] + best[2], best[0], best[2], len(self.words[item])))
+        return found
+
+
+def _around(words: np.ndarray, offsets: np.ndarray, reach: int) -> np.ndarray:
+    """For each word a hash of its text's number, of the words up to `reach` before and 2 * reach after it, and of how near the text's ends are."""
+    n = len(words)
+    odd = int(seeds(1, 5)[0]) | 1
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(n + 1, U(odd)))
+        back = np.cumprod(np.full(n + 1, U(pow(odd, -1, 1 << 64))))
+        total = np.concatenate(([U(0)], np.cumsum(words * power[:n])))
+        doc = np.searchsorted(offsets, np.arange(n), "right") - 1
+        low, high = np.maximum(offsets[doc], np.arange(n) - reach), np.minimum(offsets[doc + 1], np.arange(n) + 2 * reach)
+        ends = (np.arange(n) - low).astype(U) * U(0x9E3779B97F4A7C15) + (high - np.arange(n)).astype(U)
+        return mix((total[high] - total[low]) * back[low] + mix(ends) + mix(doc.astype(U) + U(1)))
 
 
 def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
