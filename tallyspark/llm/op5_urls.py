@@ -1,9 +1,10 @@
 """URL rules indexed by their rarest literal token, in DataFrame functions only.
 
-A rule is a regular expression over `host/path`, with the literal tokens that any match holds. Of
-these, the one that fewest of the given URLs hold is the rule's index entry. Each distinct URL looks
-up its tokens, and only the rules found there run their expression. Rules without a literal token
-are tried on every URL.
+A rule is a regular expression over `host/path`, with the literals that any match holds: `spam` where it is a
+whole token in each match, `casino*`, `*casino` or `*casino*` where other letters or digits may follow or go
+before. A whole token is its own key, the others have their runs of GRAM characters. Of a rule's keys, the one
+that fewest of the given URLs hold is its index entry. Each distinct URL looks up its tokens and their
+runs, and only the rules found there run their expression. Rules without a key are tried on every URL.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ PATTERNS = [
     ("block", r"(^|[./-])spam([./-]|$)", ["spam"]),
     ("block", r"(^|[./-])cheap-(pills|watches|loans)([./-]|$)", ["cheap"]),
     ("block", r"(^|[./-])free-(bets|spins|money)([./-]|$)", ["free"]),
-    ("block", r"(^|[./-])(online-)?casino[^/]*/", ["casino"]),
+    ("block", r"(^|[./-])(online-)?casino[^/]*/", ["casino*"]),
     ("block", r"(^|[./-])poker([./-]|$)", ["poker"]),
     ("block", r"(^|[./-])adult-(video|chat)([./-]|$)", ["adult"]),
     ("block", r"(^|[./-])payday-loans?([./-]|$)", ["payday"]),
@@ -34,6 +35,7 @@ PATTERNS = [
 ]
 #: Above this many rules the index isn't broadcast but joined by shuffle.
 BROADCAST_RULES = 100_000
+GRAM = 4
 OUT = ["host", "path", "rule", "verdict"]
 
 
@@ -59,20 +61,35 @@ def rule_table(spark: SparkSession, listed=LISTED, patterns=PATTERNS) -> DataFra
     return spark.createDataFrame(rows, "rule string, pattern string, tokens array<string>, verdict string, priority int")
 
 
+def _grams(token: Column) -> Column:
+    """The runs of GRAM characters of a token, marked so that they aren't taken for tokens."""
+    return F.when(F.length(token) < GRAM, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(token) - GRAM + 1), lambda i: F.concat(F.lit("~"), F.substring(token, i, F.lit(GRAM)))))
+
+
+def _keys(literals: Column) -> Column:
+    """The index keys of a rule: whole tokens, and the runs of literals with open ends."""
+    open_ = lambda t: t.contains("*")
+    return F.array_distinct(F.concat(F.filter(literals, lambda t: ~open_(t)), F.flatten(F.transform(F.filter(literals, open_), lambda t: _grams(F.replace(t, F.lit("*"), F.lit("")))))))
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """pages, row for row, with host, path, the listed rule that decided (else null) and the verdict.
 
     Where no listed rule fits, the first fitting pattern gives the verdict, and where none does,
     `default`. Null urls, and such without ://, have an empty host and path. Columns of pages named
-    like a new one are replaced. Tokens are the runs of a-z and 0-9 of host and path, case ignored.
+    like a new one are replaced. Tokens are the runs of a-z and 0-9 of host and path, case ignored. Equal URLs
+    have equal verdicts; an empty table gives an empty result.
     """
+    rules = rules.withColumn("tokens", _keys(F.coalesce("tokens", F.array().cast("array<string>"))))
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     sized = F.broadcast if small else (lambda df: df)
     urls = pages.select(F.col(f"`{url}`").cast("string").alias("__url")).distinct()
     host, path = host_path(F.col("__url"))
     urls = urls.select("__url", host.alias("host"), path.alias("path")).withColumn("at", F.concat("host", "path"))
     tokens = F.array_distinct(F.filter(F.split(F.lower("at"), r"[^a-z0-9]+"), lambda t: t != ""))
-    lists = urls.select("__url", "at", F.explode(F.array_append(tokens, F.lit("*"))).alias("token"))
+    runs = not rules.where(F.exists("tokens", lambda t: t.startswith("~"))).isEmpty()
+    keys = F.concat(tokens, F.array_distinct(F.flatten(F.transform(tokens, _grams)))) if runs else tokens
+    lists = urls.select("__url", "at", F.explode(F.array_append(keys, F.lit("*"))).alias("token"))
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
     held = lists.join(sized(wanted), "token", "left_semi").groupBy("token").count()
     # the rarest token of each rule; one that no URL holds is rarest of all
