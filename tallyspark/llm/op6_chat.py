@@ -3,7 +3,8 @@
 A message's content is a text, or a JSON list of parts: text, image, audio or document. A visitor
 flattens the parts in order: texts are escaped, the others become placeholders, and each attachment
 is recorded with its reference and the number of tokens that its placeholder stands for. A turn is
-written `<|im_start|>role\\ncontent<|im_end|>\\n`. Inside roles and texts `<|` never occurs: a backslash
+written `<|im_start|>role\\ncontent<|im_end|>\\n`. Beside a turn of several parts go the exact pieces of its source, so
+that it can be read back as it was given. Inside roles and texts `<|` never occurs: a backslash
 goes after `<` in front of `|`, and after any backslashes already there, which can be undone.
 """
 
@@ -83,34 +84,61 @@ def _count(x) -> float:
     return n if 0 < n < 1e9 else 0
 
 
-def parts_of(content: str | None, typed: bool) -> list:
-    """typed: content that is a JSON list is a list of parts; all else is one text."""
-    if typed and content and content.lstrip().startswith("["):
-        try:
-            found = json.loads(content)
-        except ValueError:
-            found = None
-        if isinstance(found, list) and all(isinstance(p, (str, dict)) for p in found):
-            return found
-    return [{"type": "text", "text": content or ""}]
+_JSON = json.JSONDecoder()
+_SPACE = re.compile(r"[ \t\n\r]*+")
 
 
-def format_turn(role: str | None, content: str | None, typed: bool = True) -> tuple[str, list[dict]]:
+def parts_of(content: str | None, typed: bool = True) -> tuple[list, list[str]]:
+    """The parts of a content and, where it is a JSON list of parts, the pieces of its source that they stand for, which
+    together are the content. typed: content that is a JSON list of texts and objects is a list of parts; all else, with
+    a malformed or an empty list, is one text, without pieces."""
+    content = content or ""
+    at = _SPACE.match(content).end()
+    if typed and content.startswith("[", at):
+        parts, pieces, begin, at = [], [], 0, at + 1
+        try:
+            while True:
+                part, end = _JSON.raw_decode(content, _SPACE.match(content, at).end())
+                if not isinstance(part, (str, dict)):
+                    break
+                at = _SPACE.match(content, end).end() + 1
+                parts.append(part)
+                pieces.append(content[begin:at])
+                begin = at
+                if content.startswith("]", at - 1):
+                    if content[at:].strip(" \t\n\r"):
+                        break
+                    pieces[-1] += content[at:]
+                    return parts, pieces
+                if not content.startswith(",", at - 1):
+                    break
+        except (ValueError, RecursionError):
+            pass
+    return [{"type": "text", "text": content}], []
+
+
+def format_turn(role: str | None, content: str | None, typed: bool = True) -> tuple[str, list[dict], list[str]]:
+    """(formatted turn, attachments, pieces of the source of a turn of parts)."""
     flat = Flatten()
-    body = "".join(flat.visit(p) for p in parts_of(content, typed))
-    return f"{START}{_role(role or '')}\n{body}{END}", flat.attachments
+    parts, pieces = parts_of(content, typed)
+    body = "".join(flat.visit(p) for p in parts)
+    return f"{START}{_role(role or '')}\n{body}{END}", flat.attachments, pieces
 
 
-def read_turn(formatted: str) -> tuple[str, str, bool]:
-    """(role, text, under the loss mask) of a formatted turn; placeholders stay as they are."""
+def read_turn(formatted: str, pieces: list[str] | None = None) -> tuple[str, str, bool]:
+    """(role, text, under the loss mask) of a formatted turn. With the pieces of a turn of parts, its text is the
+    content given, and the placeholders must be those of its parts; without, placeholders stay as they are."""
     if not formatted.startswith(START) or not formatted.endswith(END):
         raise ValueError("not a formatted turn")
     role, _, body = formatted[len(START) : -len(END)].partition("\n")
     role = _unrole(role)
-    return role, unescape(body), role == "assistant"
+    text = "".join(pieces) if pieces else unescape(body)
+    if pieces and format_turn(role, text)[0] != formatted:
+        raise ValueError("a turn's parts aren't those of its source")
+    return role, text, role == "assistant"
 
 
-TURNS = "conv_id bigint, turn bigint, formatted string, tokens_expanded bigint, attachments array<struct<kind:string,ref:string,tokens:bigint,place:bigint>>, loss boolean"
+TURNS = "conv_id bigint, turn bigint, formatted string, tokens_expanded bigint, attachments array<struct<kind:string,ref:string,tokens:bigint,place:bigint>>, pieces array<string>, loss boolean"
 
 
 def format_turns(rows: DataFrame, typed: bool = True) -> DataFrame:
@@ -127,8 +155,8 @@ def format_turns(rows: DataFrame, typed: bool = True) -> DataFrame:
             roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
             made = [format_turn(r, t, typed) for r, t in zip(roles, texts)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("conv_id"), b.column("turn"), pa.array([m[0] for m in made], pa.string()), pa.array([sum(a["tokens"] for a in m[1]) for m in made], pa.int64()), pa.array([m[1] for m in made], kind), pa.array([r == "assistant" for r in roles], pa.bool_())],
-                names=["conv_id", "turn", "formatted", "tokens_expanded", "attachments", "loss"],
+                [b.column("conv_id"), b.column("turn"), pa.array([m[0] for m in made], pa.string()), pa.array([sum(a["tokens"] for a in m[1]) for m in made], pa.int64()), pa.array([m[1] for m in made], kind), pa.array([m[2] for m in made], pa.list_(pa.string())), pa.array([r == "assistant" for r in roles], pa.bool_())],
+                names=["conv_id", "turn", "formatted", "tokens_expanded", "attachments", "pieces", "loss"],
             )
 
     read = rows.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string"))])
@@ -137,12 +165,15 @@ def format_turns(rows: DataFrame, typed: bool = True) -> DataFrame:
 
 class _Digest:
     def __init__(self):
-        self.n = self.loss_chars = self.chars = 0
+        self.n = self.loss_chars = self.chars = self.parts = self.attached = self.expanded = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formatted: str) -> None:
-        role, text, loss = read_turn(formatted)
+    def add(self, formatted: str, pieces: list[str], attached: int, expanded: int) -> None:
+        role, text, loss = read_turn(formatted, pieces)
         self.n += 1
+        self.parts += len(pieces) or 1
+        self.attached += attached
+        self.expanded += expanded
         self.chars += len(formatted)
         self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
         if loss:
@@ -150,7 +181,7 @@ class _Digest:
             self.loss.update(text.encode("utf-8", "surrogatepass"))
 
     def row(self, conv) -> tuple:
-        return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+        return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.parts, self.attached, self.expanded
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -158,19 +189,20 @@ def digests(turns: DataFrame) -> DataFrame:
 
     Turns are dealt by conversation, sorted, and read as a stream: a conversation of any length needs
     the memory of one batch. Null ids form one conversation; null turns come first. Repeated turns count.
+    n_parts, n_attachments and expanded_tokens are sums over its turns.
     """
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_parts", "n_attachments", "expanded_tokens"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
 
     def run(batches):
         now, state, rows = None, None, []
         for b in batches:
-            for conv, text in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist()):
+            for conv, *turn in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "pieces", "attached", "tokens_expanded"))):
                 if state is None or conv != now:
                     if state:
                         rows.append(state.row(now))
                     now, state = conv, _Digest()
-                state.add(text)
+                state.add(*turn)
             if len(rows) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                 rows = []
@@ -179,8 +211,8 @@ def digests(turns: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    dealt = turns.select("conv_id", "turn", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return dealt.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    dealt = turns.select("conv_id", "turn", "formatted", "pieces", F.size("attachments").alias("attached"), "tokens_expanded").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted", "pieces")
+    return dealt.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_parts bigint, n_attachments bigint, expanded_tokens bigint")
 
 
 #: The conversation that the query adds: both turns try to break out of their place.
@@ -190,7 +222,7 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id bigint, turn bigint, role string, text string")
-    return digests(format_turns(given.unionByName(probe), typed=False))
+    return digests(format_turns(given.unionByName(probe)))
 
 
 SQL = rf"""
@@ -201,6 +233,8 @@ sized AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + le
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-       CAST(sum(chars) AS BIGINT) AS formatted_chars
+       CAST(sum(chars) AS BIGINT) AS formatted_chars,
+       -- texts that aren't JSON lists are one part each, without attachments
+       count(*) AS n_parts, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
 FROM sized GROUP BY conv_id
 """
