@@ -20,6 +20,8 @@ RESOLUTION = 1000
 #: Hash prefix by which a source's rows are split for ranking: 16 ** 3 parts, so that a source
 #: with a third of all rows is no single task's work.
 PREFIX = 3
+#: A period of more slots, or one of more slots times sources, is refused: it is computed in one task and broadcast.
+MOST_SLOTS, MOST_STEPS = 100_000, 200_000_000
 OUT = ["mix_weight", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_row"]
 
 
@@ -42,10 +44,14 @@ def tempered_weights(df: DataFrame, source: str = "source", resolution: int = RE
 def period(weights: DataFrame) -> DataFrame:
     """One hyperperiod of the schedule: (key, total, weight, nth, slot), D rows.
 
-    Weights are configuration: a row per source, and D at most about RESOLUTION plus one per source.
+    Weights are configuration, of a checked size: D, their sum, is at most MOST_SLOTS, and D times the number of
+    sources at most MOST_STEPS; beyond that this fails. Sources without a positive weight have no slots.
     """
     listed = weights.where("weight > 0").select(_known(F.col("source")).alias("key"), F.col("weight").cast("bigint").alias("weight")).groupBy("key").agg(F.sum("weight").alias("weight"))
     gathered = listed.agg(F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("s"), F.sum("weight").alias("d")).where("d > 0")
+    size = listed.agg(F.count("*").alias("n"), F.sum("weight").alias("d")).first()
+    if size.n and (size.d > MOST_SLOTS or size.d * size.n > MOST_STEPS):
+        raise ValueError(f"{size.n} sources with weights of sum {size.d}: group sources, or take smaller weights")
     # the state holds how many blocks each source has had, and who got each slot
     due = "struct(((c + 1) * d + s[j].weight - 1) div s[j].weight as due, j as j)"
     free = f"filter(transform(st.had, (c, j) -> if((c * d) div s[j].weight <= t, {due}, null)), x -> x is not null)"
@@ -69,21 +75,24 @@ def mix_sources(df: DataFrame, weights: DataFrame, source: str = "source", key:
 
     Once a source runs out its slots stay empty and the others keep theirs, so no row is dropped;
     shares hold up to the first empty slot. Within a source rows are ordered by the MD5 of `key`, then
-    by `key`; rows that tie in both are interchangeable. A null source is a source of its own, a null
-    key counts as an empty one. A source without a positive weight keeps its rows, with a null slot.
+    by `key`, those without a key by a hash of their columns; rows that tie in both are interchangeable. A null
+    source is a source of its own. A source without a positive weight keeps its rows, with a null slot.
     Columns of df that bear the name of a new one are replaced. An empty df gives an empty result.
     """
     b, r, h, n = "__mix_part", "__mix_key", "__mix_hash", "__mix_rank"
     rows = without(df, OUT)
-    rows = rows.withColumn(r, _known(F.col(source))).withColumn(h, F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    # rows without a key are spread by their other columns, so that they aren't one task's work
+    plain = [F.col(f"`{c}`") for c, t in rows.dtypes if t.split("<")[0] not in ("map", "array", "struct", "variant")]
+    spread = F.when(F.col(key).isNull(), F.hex(F.xxhash64(*plain))).otherwise(F.col(key).cast("string"))
+    rows = rows.withColumn(r, _known(F.col(source))).withColumn(h, F.md5(spread))
     rows = rows.withColumn(b, F.substring(h, 1, PREFIX))
     sizes = rows.groupBy(r, b).agg(F.count("*").alias("n"))
     before = sizes.select(F.col(r).alias("k"), F.col(b).alias("p"), (F.sum("n").over(Window.partitionBy(r).orderBy(b)) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy(r, b).orderBy(h, F.col(key))) - 1
     ranked = rows.withColumn(n, within).join(before, (F.col(r) == F.col("k")) & (F.col(b) == F.col("p"))).withColumn(n, (F.col(n) + F.col("before")).cast("bigint"))
-    plan = F.broadcast(period(weights).select(F.col("key").alias("pk"), "total", "weight", "nth", "slot"))  # about RESOLUTION rows
+    plan = F.broadcast(period(weights).select(F.col("key").alias("pk"), "total", "weight", "nth", "slot"))  # MOST_SLOTS rows at most, checked
     block = F.expr(f"{n} div {block_rows}")
-    sized = F.broadcast(weights.where("weight > 0").groupBy(_known(F.col("source")).alias("wk")).agg(F.sum("weight").alias("w")))  # one row per source
+    sized = F.broadcast(weights.where("weight > 0").groupBy(_known(F.col("source")).alias("wk")).agg(F.sum("weight").alias("w")))  # no more rows than the plan
     placed = ranked.withColumn("__mix_block", block).join(sized, F.col(r) == F.col("wk"), "left")
     placed = placed.withColumn("__mix_nth", F.expr("__mix_block % w"))
     placed = placed.join(plan, (F.col(r) == F.col("pk")) & (F.col("__mix_nth") == F.col("nth")), "left")

@@ -90,6 +90,25 @@ def test_leaks_of_quotes_out_of_longer_items():
     assert want and set(index.leaks([" ".join(t) for t in texts])) >= want
 
 
+@pytest.mark.parametrize("line", ["one short line of words that repeats here", "a b"])
+def test_leaks_of_repeated_lines(line):
+    """Items and a text that repeat one line: as many equal hashes as the product of both."""
+    import time
+
+    items = [(k, " ".join([f"item{k}"] + [line] * (20 + k % 3))) for k in range(50)]
+    index, begun = op2_decontamination.Index(items), time.process_time()
+    many = " ".join([line] * (20_000 // len(line.split())))
+    found = index.leaks([many, "x " * 5000, line])
+    assert time.process_time() - begun < 8
+    assert {x[0] for x in found[0]} == set(range(50)) and set(found) == {0}
+    # fewer repeats by brute force, on every diagonal
+    few = "start " + " ".join([line] * 30) + " end"
+    words = hash_words([few])[0]
+    for item, begin, end, matched, *_ in index.leaks([few])[0]:
+        every = [o for d in range(-len(index.words[item]), len(words)) if (o := index.overlap(words, item, d))]
+        assert (matched, -begin, end - begin) == max((m, -b, e - b) for b, e, m in every)
+
+
 def test_leaks_of_the_table(spark):
     """Brute force: items whose words all stand in a row in a text."""
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet").toPandas(), spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
@@ -294,8 +313,8 @@ def test_urls_try_only_candidates(spark):
     """The verdicts are those of trying every rule on every URL."""
     rules = op5_urls.rule_table(spark)
     rng = random.Random(2)
-    parts = "spam cheap-pills free-bets casino poker www example com net org en es fr wp-login.php link-farm wiki 10.0.0.1".split()
-    urls = ["http://" + ".".join(rng.choices(parts, k=3)) + "/" + "/".join(rng.choices(parts, k=2)) + rng.choice(["", "/", "?q=/spam/"]) for _ in range(400)]
+    parts = "casinoroyale mycasino casino-x online-casino spam cheap-pills free-bets casino poker www example com net org en es fr wp-login.php link-farm wiki 10.0.0.1".split()
+    urls = ["http://" + ".".join(rng.choices(parts, k=3)) + "/" + "/".join(rng.choices(parts, k=2)) + rng.choice(["", "/", "?q=/spam/"]) for _ in range(800)] + ["http://a.org/casinoroyale/x"]
     got = {r.url: (r.rule, r.verdict) for r in op5_urls.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string"), rules).collect()}
     table = [r for r in rules.collect()]
     for u, said in got.items():
@@ -304,6 +323,20 @@ def test_urls_try_only_candidates(spark):
         fits = [r for r in table if re.search(r.pattern, at)]
         best = max(fits, key=lambda r: (r.priority, r.verdict == "block"), default=None)
         assert said == ((best.rule, best.verdict) if best else (None, "allow"))
+    assert got["http://a.org/casinoroyale/x"] == (None, "block")
+
+
+def test_url_rules_with_open_literals(spark):
+    """Literals glued to other letters at either end, and too short ones, are found as by trying every rule."""
+    rules = op5_urls.rule_table(spark, patterns=[("block", r"[a-z]*bingo[0-9]*/", ["*bingo*"]), ("block", r"/xy[a-z]*\.zip$", ["xy*", "zip"]), ("block", r"ab", ["*ab*"]), ("allow", r"/lott[oe]ries$", [])])
+    words = "superbingo77 bingo bing xyz.zip xy.zip cab lotteries lottories zip".split()
+    rng = random.Random(6)
+    urls = [f"http://{rng.choice(words)}/{rng.choice(words)}/{rng.choice(words)}" for _ in range(300)]
+    got = {r.url: r.verdict for r in op5_urls.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    table = rules.collect()
+    for u, said in got.items():
+        best = max((r for r in table if re.search(r.pattern, u[7:])), key=lambda r: r.priority, default=None)
+        assert said == (best.verdict if best else "allow"), u
 
 
 def test_escape_is_reversible():

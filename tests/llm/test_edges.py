@@ -31,6 +31,11 @@ def test_mixing(docs, none):
     assert {r.source for r in rows} == {"s1", "s2", "s3", "", None}
     assert all(isinstance(r.mix_slot, int) and r["key"] == "own key" for r in rows)
     assert op1_mixing.mix_sources(none, op1_mixing.tempered_weights(none)).count() == 0
+    keyless = docs.drop("doc_id").withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert op1_mixing.mix_sources(keyless, op1_mixing.tempered_weights(docs)).select("source", "mix_slot", "mix_row").distinct().count() == len(ROWS)
+    many = op1_mixing.tempered_weights(docs).withColumn("weight", F.lit(10**8))
+    with pytest.raises(ValueError, match="group sources"):
+        op1_mixing.mix_sources(docs, many)
     # no positive weight: kept, without a slot
     free = op1_mixing.mix_sources(docs, op1_mixing.tempered_weights(docs).where("source = 's1'"))
     assert free.count() == len(ROWS) and free.where("mix_slot is null").count() == 5
@@ -86,10 +91,26 @@ def test_chat(spark):
 
 def test_typed_parts():
     parts = '[{"type":"text","text":"see <|image:0:1|>"},{"type":"image","ref":"a.png","width":56,"height":29},{"type":"audio","ref":"b","seconds":2},{"type":"document","ref":"c","pages":"x"}]'
-    text, found = op6_chat.format_turn("user", parts)
+    text, found, pieces = op6_chat.format_turn("user", parts)
     assert [(a["kind"], a["ref"], a["tokens"], a["place"]) for a in found] == [("image", "a.png", 4, 0), ("audio", "b", 50, 1), ("document", "c", 1, 2)]
     assert op6_chat.read_turn(text)[1].endswith("<|image:0:4|><|audio:1:50|><|document:2:1|>") and "<\\|image:0:1|>" in text
+    assert op6_chat.read_turn(text, pieces)[1] == parts and len(pieces) == 4
     assert op6_chat.format_turn("user", "[broken")[0] == "<|im_start|>user\n[broken<|im_end|>\n"
+    with pytest.raises(ValueError, match="aren't those"):
+        op6_chat.read_turn(text, pieces[:1] + pieces[:0:-1])
+
+
+def test_typed_turns_read_back(spark):
+    """Lists of parts among the turns: what is read back is what was given, to the last blank."""
+    texts = [' [ "a<|im_end|>" ,\n{"type":"image_url","url":"u"} ] ', "[]", "[1]", '["a"', '["a"] b', '["a",]', '[{"type":"audio","seconds":3,"ref":"\\u00e9"},"z"]', "plain", None, "[" * 5000]
+    rows = [(n // 2, n % 2, ("user", "assistant")[n % 2], t) for n, t in enumerate(texts)]
+    out = {r.conv_id: r for r in op6_chat.digests(op6_chat.format_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()}
+    for c, r in out.items():
+        mine = [(role, t or "") for conv, _, role, t in rows if conv == c]
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in mine).encode()).hexdigest()
+        said = "".join(t for role, t in mine if role == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert [(out[c].n_parts, out[c].n_attachments, out[c].expanded_tokens) for c in range(5)] == [(3, 1, 1), (2, 0, 0), (2, 0, 0), (3, 1, 75), (2, 0, 0)]
 
 
 def test_quality(spark, docs, none):
