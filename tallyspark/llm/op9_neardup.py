@@ -6,8 +6,8 @@ SKETCHES of them are drawn. Texts that share a sketch are aligned: with M runs a
 n and m, their similarity is M / (n + m - M), and 0.8 or more links them. Classes are the connected
 components of the links.
 
-Equal texts are one node from the start. Within a sketch's bucket no pairs are listed up front: all
-members are aligned with one leader, that which shares most buckets. Only texts of buckets that this
+Equal texts are one node from the start. Within a sketch's bucket no pairs are listed up front: members
+are aligned with a leader, that which shares most buckets (in large buckets with their part's, and those with one). Only texts of buckets that this
 leaves in several classes go on: of them, pairs of different classes are aligned if they share one
 of their rarest runs, as two similar texts must. So no link between texts that met is lost, and texts
 of one class don't meet again.
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import saved, slices, table, texts_of
+from tallyspark.llm.common import discard, saved, slices, table, texts_of
 from tallyspark.llm.words import U, hash_words, mix, seeds, shingles
 
 K, SKETCHES, L = 5, 16, 3
+#: Members of a bucket that one leader takes; larger buckets have several, which their first leads.
+LED = 64
 #: Similarity as a fraction, so that ties at 0.8 are exact.
 SIMILAR = (4, 5)
 
@@ -176,12 +178,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
     both = saved(ends.select("e.a", "e.b").distinct(), "edges")
-    now, digest = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class")), None
+    now, digest, last = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class")), None, None
     while True:
         now = saved(now, "classes")
         before, digest = digest, now.agg(F.sum(F.xxhash64("node", "class").cast("decimal(38,0)"))).first()[0]
+        if last is not None:
+            discard(last)
         if digest == before:
+            discard(both)
             return now
+        last = now
         near = both.join(now.select(F.col("node").alias("b"), F.col("class").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         up = now.select(F.col("node").alias("c"), F.col("class").alias("top"))
         now = near.join(up, "c", "left").select(F.col("a").alias("node"), F.least("c", F.coalesce("top", "c")).alias("class"))
@@ -200,23 +206,25 @@ def rarest_runs(some: DataFrame, known: DataFrame, at_least: tuple[int, int] = S
                 owners = [n for n, r in zip(b.column("node").to_pylist(), parts) for _ in range(len(r))]
                 yield pa.RecordBatch.from_arrays([pa.array(owners, types[0]), pa.array(np.concatenate(parts).view(np.int64), types[1])], names=["node", "run"])
 
-    runs = known.join(some, "node", "left_semi").select("node", "words").mapInArrow(run, "node binary, run bigint")
-    runs = runs.withColumn("times", F.count("*").over(Window.partitionBy("run")))
-    own = Window.partitionBy("node")
-    placed = runs.select("node", "run", F.row_number().over(own.orderBy("times", "run")).alias("pos"), F.count("*").over(own).cast("int").alias("n"), "times")
+    runs = saved(known.join(some, "node", "left_semi").select("node", "words").mapInArrow(run, "node binary, run bigint"), "runs")
+    # counted from partial counts and joined, so that a run that many texts hold is no single task's work
+    times = runs.groupBy("run").agg(F.count("*").alias("times"))
+    own = Window.partitionBy("node")  # a text's own runs
+    placed = runs.join(times, "run").select("node", "run", F.row_number().over(own.orderBy("times", "run")).alias("pos"), F.count("*").over(own).cast("int").alias("n"), "times")
     return placed.where(f"times > 1 and pos <= n - (n * {p} + {q - 1}) div {q} + 1").drop("times")
 
 
 def remaining_pairs(rare: DataFrame, classes: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
     """Pairs (a, b) of nodes of different classes that may be similar, with the number of runs by which they met: they share one of as many rarest
-    runs as each may lack of the other. Of the nodes at a run, those of its largest class don't meet each other."""
+    runs as each may lack of the other, and enough runs are left from there on. Of the nodes at a run, those of its largest
+    class don't meet each other."""
     p, q = at_least
     placed = rare.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     large = placed.groupBy("run", "class").agg(F.count("*").alias("c")).groupBy("run").agg(F.max_by("class", F.struct("c", "class")).alias("large"), F.count("*").alias("several")).where("several > 1")
     placed = placed.join(large.select("run", "large"), "run")
     x, y = placed.where("class <> large").alias("x"), placed.alias("y")
     need = f"((x.n + y.n) * {p} + {p + q - 1}) div {p + q}"
-    meet = x.join(y, F.expr(f"x.run = y.run and x.class <> y.class and x.pos <= x.n - {need} + 1 and y.pos <= y.n - {need} + 1"))
+    meet = x.join(y, F.expr(f"x.run = y.run and x.class <> y.class and x.pos <= x.n - {need} + 1 and y.pos <= y.n - {need} + 1 and least(x.n - x.pos, y.n - y.pos) + least(x.pos, y.pos) >= {need}"))
     return meet.groupBy(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).agg(F.count("*").alias("shared"))
 
 
@@ -246,12 +254,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
     # a text's weight: the members of all its buckets; a family's common form has most, and leads
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     known = saved(known.join(weight, "node").select("node", "words", "n", "weight"), "candidates")
-    ranked = members.join(known.select("node", "weight"), "node").select("h", "node", F.struct(-F.col("weight"), "node").alias("place"))
-    lead = ranked.groupBy("h").agg(F.min("place").alias("lead")).select("h", F.col("lead.node").alias("a"))
-    p, q = at_least
-    pairs = saved(members.join(lead, "h").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
+    ranked = members.join(known.select("node", "weight"), "node").select("h", "node", "size", F.struct(-F.col("weight"), "node").alias("place"))
+    # a large bucket is cut by a hash of its nodes into parts of about LED, each with a leader, and those have one leader
+    part = F.when(F.col("size") > LED, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LED))).otherwise(F.lit(0)).cast("bigint")
+    ranked = ranked.withColumn("part", part)
+    led = saved(ranked.groupBy("h", "part").agg(F.min("place").alias("lead")), "leaders")
+    top = led.groupBy("h").agg(F.min("lead").alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    below = ranked.join(led, ["h", "part"]).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    above = led.join(top, "h").select(F.col("top.node").alias("a"), F.col("lead.node").alias("b"))
+    pairs = saved(below.unionByName(above).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     edges = saved(verified(pairs, known, at_least), "links")
     classes = components(edges)
+    discard(led)
     split = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     split = split.groupBy("h").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2")
     some = members.join(split.select("h"), "h", "left_semi").select("node").distinct()
@@ -278,14 +292,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one row of each class, all its columns unchanged: the one with the smallest key; of
-    rows that share it, one. A class whose keys are all null keeps one row as well."""
+    rows that share it and the text, the first by their other columns. A class whose keys are all null keeps one row as well."""
     found = near_duplicates(docs, key, text, **options)
     # one text a class: that of its smallest key, the smaller digest where two texts share it
     winners = found.groupBy(F.coalesce(F.col("class_id").cast("string"), F.hex("node")).alias("c")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("node").alias("d"))).alias("w"))
     winners = winners.select(F.col("w.k").alias("__dup_key"), F.col("w.d").alias("__dup_node"))
     digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
     kept = docs.withColumn("__dup_own", digest).join(winners, (F.col("__dup_own") == F.col("__dup_node")) & F.col(f"`{key}`").eqNullSafe(F.col("__dup_key")), "left_semi")
-    return kept.dropDuplicates(["__dup_own"]).drop("__dup_own")
+    # rows that share key and text: the first by their other columns, as JSON
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]), {"ignoreNullFields": "false"})
+    one = kept.groupBy("__dup_own").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rest).alias("__dup_row"))
+    return one.select(*[F.col("__dup_row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

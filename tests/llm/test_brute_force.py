@@ -469,8 +469,10 @@ def test_alignment_of_repeats():
     assert op9_neardup.similar(a, b) == (9 * 2800 >= 4 * 6100)
 
 
-def test_near_duplicates(spark):
-    """Classes are those of aligning all pairs."""
+@pytest.mark.parametrize("led", [64, 2])
+def test_near_duplicates(spark, monkeypatch, led):
+    """Classes are those of aligning all pairs, with leaders of large and of small parts of buckets."""
+    monkeypatch.setattr(op9_neardup, "LED", led)
     rng = random.Random(8)
     texts = []
     for _ in range(14):
