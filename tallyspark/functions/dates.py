@@ -33,20 +33,34 @@ def month_number(name: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def day_and_month(t: Column) -> tuple[Column, Column]:
+    """Day and month, two digits each, of dd MON and dd/MM; null for what has another shape."""
+    day = F.lpad(F.nullif(F.regexp_extract(t, r"^(\d{1,2})(?: +[A-Za-z]{3,}\.?|/\d{1,2})$", 1), F.lit("")), 2, "0")
+    worded = F.regexp_extract(t, r"^(\d{1,2}) +([A-Za-z]{3,})\.?$", 2)
+    number = F.nullif(F.regexp_extract(t, r"^\d{1,2}/(\d{1,2})$", 1), F.lit(""))
+    return day, F.when(worded != "", F.lpad(month_number(worded).cast("string"), 2, "0")).otherwise(F.lpad(number, 2, "0"))
+
+
+def try_date(year: Column, month: Column, day: Column) -> Column:
+    """Null where the parts make no date: 29 February only is one in a leap year."""
+    return F.try_to_timestamp(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+
+
 def parse_date(x: Column, as_of: Column) -> Column:
     """dd MON, ISO, dd/MM/yyyy, dd/MM/yy and dd/MM; a date without a year takes as_of's, or the one
-    before where it would lie more than a month ahead. Null where it is no date."""
+    before where it would lie more than a month ahead. Null where it is no date of that year."""
     t = F.trim(x)
-    two = F.lpad(F.regexp_extract(t, r"^(\d{1,2})", 1), 2, "0")
-    worded = F.regexp_extract(t, r"^(\d{1,2}) +([A-Za-z]{3,})\.?$", 2)
-    month_of = F.when(worded != "", F.lpad(month_number(worded).cast("string"), 2, "0")).otherwise(F.lpad(F.regexp_extract(t, r"^\d{1,2}/(\d{1,2})$", 1), 2, "0"))
-    bare = F.try_to_timestamp(F.concat_ws("-", F.year(as_of).cast("string"), month_of, two), F.lit("yyyy-MM-dd")).cast("date")
-    yearless = F.when(bare > F.add_months(as_of, 1), F.add_months(bare, -12)).otherwise(bare)
+    day, month_of = day_and_month(t)
+    year, limit = F.year(as_of), F.add_months(as_of, 1)
+    this = try_date(year, month_of, day)
+    # 29 February of a common year lies ahead where 1 March does
+    ahead = F.coalesce(this, F.when((month_of == "02") & (day == "29"), F.make_date(year, F.lit(3), F.lit(1)))) > limit
+    yearless = F.when(ahead, try_date(year - 1, month_of, day)).otherwise(this)
     return F.coalesce(
         F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date")),
         F.when(t.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_timestamp(t, F.lit("dd/MM/yyyy")).cast("date")),
         F.when(t.rlike(r"^\d{2}/\d{2}/\d{2}$"), F.try_to_timestamp(t, F.lit("dd/MM/yy")).cast("date")),
-        F.when(t.rlike(r"^\d{1,2}( +[A-Za-z]{3,}\.?|/\d{1,2})$"), yearless),
+        F.when(day.isNotNull() & month_of.isNotNull(), yearless),
     )
 
 

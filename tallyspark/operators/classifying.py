@@ -9,18 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.sizes import MOST_ROWS, small
 from tallyspark.functions.text import DEFAULT_CATEGORY, is_uncategorized, loose, normalize
 
-#: Dictionaries larger than this are refused: they would travel with every task.
-DICTIONARY_ROWS = 50_000
+DICTIONARY_ROWS = MOST_ROWS
 
 
 def as_array(table: DataFrame, *columns: str) -> DataFrame:
     """A dictionary as one row with one sorted array, of a checked size."""
-    n = table.limit(DICTIONARY_ROWS + 1).count()
-    if n > DICTIONARY_ROWS:
-        raise ValueError(f"a dictionary of more than {DICTIONARY_ROWS} rows")
-    return table.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("entries"))
+    return small(table, DICTIONARY_ROWS).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("entries"))
 
 
 def matches_loosely(text: Column, pattern: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,42 +56,38 @@ def is_subscription_candidate(tx: DataFrame, least: float = 5, positive: bool =
     return ok & hint if positive else ok
 
 
-def _recurring(group: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of near-equal amounts that come every month about the same day. Amounts are in cents."""
-    out, start = [], 0
-    g = group.sort_values(["cents", "transaction_date", "tx_id"], kind="stable").reset_index(drop=True)
-    while start < len(g):
-        first = int(g.cents[start])
-        end = int((g.cents - first <= max(200, (first * 5 + 50) // 100)).sum())
-        c = g.iloc[start:end]
-        start = end
-        if len(c) < 3 or c.idx.nunique() < 3:
-            continue
-        mean, sd = c.cents.mean() / 100, c.cents.std(ddof=1) / 100
-        days = c.groupby("idx").day.first()
-        if mean <= 0 or sd > max(5.0, 0.08 * mean) or days.max() - days.min() > 10:
-            continue
-        names = c.description.fillna("").str.strip()
-        names = names[names != ""]
-        counts = names.value_counts(sort=False)
-        label = counts.index[counts.values.argmax()] if len(counts) else "Assinatura"  # the first of the most frequent
-        out.append((c.person_id.iloc[0], c.key.iloc[0], label, len(c), int(round(c.cents.sum() / len(c) + 1e-9))))
-    return pd.DataFrame(out, columns=["person_id", "key", "label", "n", "cents"])
-
-
 def recurring(tx: DataFrame, as_of: str, months: int = 3) -> DataFrame:
-    """Recurring payments of the three months to as_of: (person, key, label, rows, monthly cost).
+    """Recurring payments of the three months to as_of: (person, key, label, rows, monthly cost). Clusters of amounts, from the
+    smallest up, each within 5 per cent or 2 of its first; at least three rows in all three months, of a small deviation (5 or
+    8 per cent of the mean), whose first days of the months lie within 10 days. Label: the commonest description.
 
-    Only groups with rows in all three months, three at least, reach the helper; blank keys don't.
+    Groups that can't recur and blank keys are left out first. The rest is counted by amount, month and description, so that a
+    group of many rows is few. Where clusters begin is a fold over a group's different amounts: each begins over 5 per cent
+    and 2 above the one before, so there are few of them, and all else are aggregates.
     """
     last = month_index(F.lit(as_of).cast("date"))
     rows = tx.where(is_subscription_candidate(tx)).withColumn("idx", month_index(F.col("transaction_date"))).where((F.col("idx") > last - months) & (F.col("idx") <= last))
-    rows = rows.withColumn("key", description_key(F.col("description"))).where("key <> ''")
-    groups = rows.groupBy("person_id", "key").agg(F.count("*").alias("c"), F.count_distinct("idx").alias("m")).where(f"c >= 3 and m = {months}")
-    some = rows.join(groups.select("person_id", "key"), ["person_id", "key"], "left_semi")
-    some = some.select(F.col("person_id").cast("bigint").alias("person_id"), "key", "tx_id", "description", "transaction_date", "idx", F.dayofmonth("transaction_date").alias("day"), (F.abs("amount") * 100).cast("bigint").alias("cents"))
-    found = some.groupBy("person_id", "key").applyInPandas(_recurring, "person_id bigint, key string, label string, n bigint, cents bigint")
-    return found.select("person_id", "key", "label", "n", (F.col("cents") / 100).cast(MONEY).alias("monthly_cost"))
+    rows = rows.withColumn("key", description_key(F.col("description"))).where("key <> ''").withColumn("cents", (F.abs("amount") * 100).cast("bigint"))
+    place = F.struct("transaction_date", "tx_id")
+    counts = rows.groupBy(F.col("person_id").cast("bigint").alias("person_id"), "key", "cents", "idx", F.trim(F.coalesce("description", F.lit(""))).alias("name")).agg(F.count("*").alias("n"), F.min(place).alias("at"))
+    group = ["person_id", "key"]
+    starts = counts.groupBy(*group).agg(F.sum("n").alias("c"), F.count_distinct("idx").alias("m"), F.sort_array(F.collect_set("cents")).alias("cents")).where(f"c >= 3 and m = {months}")
+    fold = "aggregate(cents, cast(array() as array<bigint>), (s, c) -> if(size(s) = 0 or c - s[size(s) - 1] > greatest(200, (s[size(s) - 1] * 5 + 50) div 100), array_append(s, c), s))"
+    starts = starts.select(*group, F.expr(fold).alias("starts"))
+    placed = counts.join(starts, group).withColumn("cluster", F.array_max(F.filter("starts", lambda s: s <= F.col("cents")))).drop("starts")
+    cluster = [*group, "cluster"]
+    first = F.struct("cents", "at")
+    days = placed.groupBy(*cluster, "idx").agg(F.dayofmonth(F.min(first)["at"]["transaction_date"]).alias("day"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("cents")).alias("s1"), F.sum((F.col("n") * F.col("cents") * F.col("cents")).cast("decimal(38,0)")).alias("s2"))
+    sums = days.groupBy(*cluster).agg(F.sum("n").alias("n"), F.count("*").alias("m"), F.sum("s1").alias("s1"), F.sum("s2").cast("decimal(38,0)").alias("s2"), (F.max("day") - F.min("day")).alias("spread"))
+    mean = F.col("s1") / F.col("n") / 100
+    spread = (F.col("n") * F.col("s2") - F.col("s1").cast("decimal(19,0)") * F.col("s1").cast("decimal(19,0)")).cast("double")
+    sd = F.sqrt(spread / (F.col("n") * (F.col("n") - 1))) / 100
+    good = sums.where((F.col("n") >= 3) & (F.col("m") >= 3) & (F.col("spread") <= 10)).where((mean > 0) & (sd <= F.greatest(F.lit(5.0), 0.08 * mean)))
+    # the commonest description, of several the one that comes first by amount and date
+    names = placed.where("name <> ''").groupBy(*cluster, "name").agg(F.sum("n").alias("times"), F.min(first).alias("first"))
+    labels = names.groupBy(*cluster).agg(F.min(F.struct(-F.col("times"), "first", "name"))["name"].alias("label"))
+    found = good.join(labels, cluster, "left")
+    return found.select(*group, F.coalesce("label", F.lit("Assinatura")).alias("label"), "n", (F.expr("(2 * s1 + n) div (2 * n)") / 100).cast(MONEY).alias("monthly_cost"))
 
 
 def listed(found: DataFrame, label: str, amount: str, keep: int = 4) -> DataFrame:

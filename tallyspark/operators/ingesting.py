@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import MONEY, percent, total, total_if
+from tallyspark.functions.sizes import small
 from tallyspark.functions.text import is_garbled, normalize
 
 
@@ -27,7 +28,7 @@ def card_identity(card_name: Column, file_name: Column) -> Column:
 def drop_non_purchases(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """Rows whose description fits none of their layout's patterns (layout, pattern)."""
     joined = patterns.groupBy("layout").agg(F.concat_ws("|", F.array_sort(F.collect_list("pattern"))).alias("p"))
-    return rows.join(F.broadcast(joined), "layout", "left").where("p is null or not lower(description) rlike p").drop("p")  # one row a layout
+    return rows.join(small(joined), "layout", "left").where("p is null or not lower(description) rlike p").drop("p")
 
 
 KEY = ["doc_id", "card_name", "date", "amount", "type"]

@@ -120,10 +120,15 @@ def recategorize(tx: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def apply_trip(tx: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Marks chosen (person_id, tx_id, trip_id) expenses without a trip; the old category becomes the trip's sub-category."""
-    joined = tx.join(chosen.select("person_id", "tx_id", F.col("trip_id").alias("new_trip")).distinct(), ["person_id", "tx_id"], "left")
-    hit = (F.col("type") == "EXPENSE") & F.col("new_trip").isNotNull()
-    return joined.withColumn("trip_id", F.when(hit, F.col("new_trip"))).withColumn("trip_subcategory", F.when(hit, F.col("category"))).withColumn("category", F.when(hit, "Viagem").otherwise(F.col("category"))).drop("new_trip")
+    """Marks chosen (person_id, tx_id, trip_id) expenses that have no trip yet: category Viagem; the sub-category stays
+    where there is one, else it is the old category. All other rows stay as they are. Of several trips the first by id."""
+    have = lambda c: F.col(c) if c in tx.columns else F.lit(None).cast("string")
+    one = chosen.groupBy("person_id", "tx_id").agg(F.min("trip_id").alias("new_trip"))
+    joined = tx.join(one, ["person_id", "tx_id"], "left").withColumn("__trip", have("trip_id"))
+    hit = (F.col("type") == "EXPENSE") & F.col("new_trip").isNotNull() & F.col("__trip").isNull()
+    out = joined.withColumn("trip_subcategory", F.when(hit, F.coalesce(have("trip_subcategory"), "category")).otherwise(have("trip_subcategory")))
+    out = out.withColumn("trip_id", F.when(hit, F.col("new_trip")).otherwise(F.col("__trip")))
+    return out.withColumn("category", F.when(hit, "Viagem").otherwise(F.col("category"))).drop("new_trip", "__trip")
 
 
 def rank_first(df: DataFrame, by: list[str], *order) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import composites as C
 from tallyspark.operators import invoicing
 from tallyspark.operators.summaries import base_cube, cashflow, live
+from tallyspark.plans.detection import _VOLATILE
 from tallyspark.plans.registry import query
 from tallyspark.plans.summaries import CUBE
 from tallyspark.sources.testdata import AS_OF
@@ -100,7 +101,7 @@ def _(tx):
     return C.subscription_cleanup(live(tx), AS_OF, least_keys=1)
 
 
-@query("go5_budget_optimization", "tx_dense")
+@query("go5_budget_optimization", "tx_dense", sql=_VOLATILE + "SELECT person_id, CAST(4 AS INT) AS priority, 'Budget: ' || category AS title, budget AS target, budget AS monthly, CAST(3 AS INT) AS months FROM volatile")
 def _(tx):
     return C.budget_optimization(base_cube(tx))
 

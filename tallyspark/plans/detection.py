@@ -37,7 +37,24 @@ _CAND = r"type = 'EXPENSE' AND abs(amount) >= 5 AND NOT regexp_matches(regexp_re
 _KEY = "trim(regexp_replace(regexp_replace(lower(trim(description)), '[0-9]', '', 'g'), '[^a-z]+', ' ', 'g'))"
 
 
-@query("wn5_wn12_recurring", "recurring")
+_RECURRING = f"""WITH RECURSIVE a AS (SELECT person_id, {_KEY} AS key, CAST(abs(amount) * 100 AS BIGINT) AS cents, transaction_date, tx_id, trim(description) AS name, year(transaction_date) * 12 + month(transaction_date) AS idx, day(transaction_date) AS day
+  FROM recurring WHERE deleted_at IS NULL AND {_CAND} AND transaction_date BETWEEN DATE '2000-04-01' AND DATE '2000-06-30' AND {_KEY} <> ''),
+g AS (SELECT person_id, key, min(cents) AS low FROM a GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT idx) = 3),
+b AS (SELECT a.* FROM a JOIN g ON g.person_id = a.person_id AND g.key = a.key),
+s AS (SELECT person_id, key, low AS start FROM g
+  UNION ALL SELECT s.person_id, s.key, min(b.cents) FROM s JOIN b ON b.person_id = s.person_id AND b.key = s.key WHERE b.cents - s.start > greatest(200, (s.start * 5 + 50) // 100) GROUP BY s.person_id, s.key),
+c AS (SELECT b.person_id, b.key, b.tx_id, max(s.start) AS cluster FROM b JOIN s ON b.person_id = s.person_id AND b.key = s.key AND s.start <= b.cents GROUP BY ALL),
+r AS (SELECT b.*, c.cluster FROM b JOIN c ON b.person_id = c.person_id AND b.key = c.key AND b.tx_id = c.tx_id),
+d AS (SELECT person_id, key, cluster, max(day) - min(day) AS spread FROM (SELECT *, row_number() OVER (PARTITION BY person_id, key, cluster, idx ORDER BY cents, transaction_date, tx_id) AS k FROM r) WHERE k = 1 GROUP BY ALL),
+m AS (SELECT person_id, key, cluster, count(*) AS n, count(DISTINCT idx) AS months, CAST(sum(cents) AS HUGEINT) AS s1, sum(CAST(cents AS HUGEINT) * cents) AS s2 FROM r GROUP BY ALL),
+l AS (SELECT person_id, key, cluster, name FROM (SELECT person_id, key, cluster, name, count(*) AS times, min(cents * 100000 + (transaction_date - DATE '2000-01-01')) AS first FROM r GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY person_id, key, cluster ORDER BY times DESC, first, name) = 1),
+found AS (SELECT m.person_id, m.key, coalesce(l.name, 'Assinatura') AS label, m.n, CAST(((2 * s1 + m.n) // (2 * m.n)) / 100.0 AS DECIMAL(19,2)) AS monthly_cost
+  FROM m JOIN d ON d.person_id = m.person_id AND d.key = m.key AND d.cluster = m.cluster LEFT JOIN l ON l.person_id = m.person_id AND l.key = m.key AND l.cluster = m.cluster
+  WHERE m.n >= 3 AND months = 3 AND spread <= 10 AND sqrt(CAST(m.n * s2 - s1 * s1 AS DOUBLE) / (m.n * (m.n - 1))) / 100 <= greatest(5.0, 0.08 * (CAST(s1 AS DOUBLE) / m.n / 100)))
+"""
+
+
+@query("wn5_wn12_recurring", "recurring", sql=_RECURRING + "SELECT * FROM found")
 def _(tx):
     return D.recurring(live(tx), AS_OF)
 
@@ -81,11 +98,15 @@ def _(tx):
     return D.trip_expenses(tx, D.trips(tx, ["ring"]))
 
 
-@query("wn10_volatility", "tx_dense", sql=DENSE + f""", s AS (SELECT person_id, month, category, {_M} FROM cube WHERE type = 'EXPENSE' GROUP BY ALL), p AS (SELECT person_id, count(DISTINCT month) AS months FROM cube GROUP BY 1),
+_VOLATILE = DENSE + f""", s AS (SELECT person_id, month, category, {_M} FROM cube WHERE type = 'EXPENSE' GROUP BY ALL), p AS (SELECT person_id, count(DISTINCT month) AS months FROM cube GROUP BY 1),
 g AS (SELECT q.person_id, q.category, q.month, coalesce(s.total, 0) AS total, months FROM (SELECT * FROM (SELECT DISTINCT person_id, category FROM s) JOIN (SELECT DISTINCT person_id, month FROM cube) USING (person_id)) q JOIN p ON p.person_id = q.person_id LEFT JOIN s ON s.person_id = q.person_id AND s.category = q.category AND s.month = q.month),
 v AS (SELECT person_id, category, sum(total) AS t, any_value(months) AS months, avg(CAST(total AS DOUBLE)) AS mean, round(stddev_samp(CAST(total AS DOUBLE)) / avg(CAST(total AS DOUBLE)), 4) AS cv FROM g GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY cv DESC, category) AS rank FROM v WHERE mean >= 120 AND cv >= 0.35)
-SELECT person_id, category, round(mean, 4) AS mean, cv, CAST(((2 * CAST(t * 100 AS HUGEINT) * 11 + months * 10) // (2 * months * 10)) / 100.0 AS DECIMAL(19,2)) AS budget, rank FROM r WHERE rank <= 2""")
+r AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY cv DESC, category) AS rank FROM v WHERE mean >= 120 AND cv >= 0.35),
+volatile AS (SELECT person_id, category, round(mean, 4) AS mean, cv, CAST(((2 * CAST(t * 100 AS HUGEINT) * 11 + months * 10) // (2 * months * 10)) / 100.0 AS DECIMAL(19,2)) AS budget, rank FROM r WHERE rank <= 2)
+"""
+
+
+@query("wn10_volatility", "tx_dense", sql=_VOLATILE + "SELECT * FROM volatile")
 def _(tx):
     return D.volatility(base_cube(tx))
 

@@ -70,13 +70,13 @@ def _layouts(df):
     return df.sparkSession.createDataFrame(X.LAYOUTS, X.LAYOUT_SCHEMA)
 
 
-_INV = """WITH p AS (SELECT *, make_date(CAST(year(due_date) - CASE WHEN month(date) > month(due_date) THEN 1 ELSE 0 END AS INT), CAST(month(date) AS INT), CAST(CASE WHEN month(date) = 2 AND day(date) = 29 THEN 1 ELSE day(date) END AS INT)) AS d FROM parsed WHERE date IS NOT NULL AND amount > 0 AND NOT (month(date) = 2 AND day(date) = 29))
+_INV = """WITH p AS (SELECT *, TRY_CAST((year(due_date) - CASE WHEN month(date) > month(due_date) THEN 1 ELSE 0 END) || '-' || month(date) || '-' || day(date) AS DATE) AS d FROM parsed WHERE date IS NOT NULL AND amount > 0)
 """
 
 
 @query("src4_sf24_invoice_text", "parsed", sql=_INV + "SELECT doc_id, d AS date, description, amount, type, CASE WHEN doc_id % 2 = 1 THEN installment_number END AS installment_number, due_date FROM p")
 def _(parsed):
-    docs = _invoice_docs(parsed.where("date is null or not (month(date) = 2 and day(date) = 29)"))
+    docs = _invoice_docs(parsed)
     found = X.parse_invoice_text(docs, _layouts(parsed))
     chosen = X.select_layout(docs, found, _layouts(parsed))
     return found.join(chosen, ["doc_id", "layout"]).select("doc_id", "date", "description", "amount", "type", "installment_number", "due_date")
@@ -205,12 +205,11 @@ def _(tx):
     return tx.select("tx_id", parse_brazilian(text).alias("parsed"), parse_brazilian(trailing).alias("trailing"), parse_loose(F.col("amount").cast("string")).alias("loose"))
 
 
-@query("sf10_dates", "tx", sql=f"""SELECT tx_id, transaction_date AS iso, transaction_date AS slashed, CAST(CASE WHEN year(transaction_date) < 2000 THEN transaction_date + INTERVAL 100 YEAR ELSE transaction_date END AS DATE) AS short, CASE WHEN month(transaction_date) = 2 AND day(transaction_date) = 29 THEN NULL ELSE CAST(CASE WHEN make_date(2000, CAST(month(transaction_date) AS INT), CAST(day(transaction_date) AS INT)) > DATE '2000-07-30' THEN make_date(1999, CAST(month(transaction_date) AS INT), CAST(day(transaction_date) AS INT)) ELSE make_date(2000, CAST(month(transaction_date) AS INT), CAST(day(transaction_date) AS INT)) END AS DATE) END AS yearless FROM tx""")
+@query("sf10_dates", "tx", sql=f"""SELECT tx_id, transaction_date AS iso, transaction_date AS slashed, CAST(CASE WHEN year(transaction_date) < 2000 THEN transaction_date + INTERVAL 100 YEAR ELSE transaction_date END AS DATE) AS short, CAST(CASE WHEN make_date(2000, CAST(month(transaction_date) AS INT), CAST(day(transaction_date) AS INT)) > DATE '2000-07-30' THEN make_date(1999, CAST(month(transaction_date) AS INT), CAST(day(transaction_date) AS INT)) ELSE make_date(2000, CAST(month(transaction_date) AS INT), CAST(day(transaction_date) AS INT)) END AS DATE) AS yearless FROM tx""")
 def _(tx):
     d, today = F.col("transaction_date"), F.lit(AS_OF).cast("date")
-    leap = (F.month(d) == 2) & (F.dayofmonth(d) == 29)
     parse = lambda f: parse_date(F.date_format(d, f), today)
-    return tx.select("tx_id", parse("yyyy-MM-dd").alias("iso"), parse("dd/MM/yyyy").alias("slashed"), parse("dd/MM/yy").alias("short"), F.when(~leap, F.when(F.dayofmonth(d) % 2 == 0, parse("dd/MM")).otherwise(parse("dd MMM"))).alias("yearless"))
+    return tx.select("tx_id", parse("yyyy-MM-dd").alias("iso"), parse("dd/MM/yyyy").alias("slashed"), parse("dd/MM/yy").alias("short"), F.when(F.dayofmonth(d) % 2 == 0, parse("dd/MM")).otherwise(parse("dd MMM")).alias("yearless"))
 
 
 @query("sf11_installments", "parsed", sql="SELECT doc_id, line_no, CASE WHEN line_no <= 6 THEN line_no END AS number, CASE WHEN line_no <= 6 THEN 6 END AS total, CAST(lower('VISA') AS VARCHAR) AS brand, lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') AS last_four, CAST(date_trunc('month', due_date) + INTERVAL 1 MONTH AS DATE) + CASE WHEN line_no BETWEEN 1 AND 28 THEN line_no ELSE 10 END - 1 AS due FROM parsed")

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import parse_date
+from tallyspark.functions.dates import day_and_month, parse_date, try_date
 from tallyspark.functions.money import MONEY, parse_brazilian, parse_loose
+from tallyspark.functions.sizes import small
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -124,13 +125,17 @@ def due_date(text: Column) -> Column:
 
 def parse_invoice_text(docs: DataFrame, layouts: DataFrame) -> DataFrame:
     """Rows of every applicable layout (its marker occurs): purchase year is the due year, one less where
-    the month is later. Payments and refunds (a minus, or 'pagamento') are income."""
-    dated = docs.withColumn("due_date", due_date(F.col("text")))
-    lines = lines_of(docs).join(dated.select("doc_id", "due_date", F.col("text").alias("whole")), "doc_id")
-    hits = lines.join(F.broadcast(layouts), F.expr("whole rlike marker and line rlike shape"))  # a handful of layouts
+    the month is later; a day that this year lacks has a null date. Payments and refunds (a minus, or 'pagamento') are
+    income. Layouts are chosen once a document, and its lines are split in place: nothing is shuffled."""
+    text = F.regexp_replace("text", "^\\ufeff", "")
+    chosen = docs.select("doc_id", "text", due_date(F.col("text")).alias("due_date")).join(small(layouts), F.expr("text rlike marker"))
+    lines = chosen.select("doc_id", "due_date", *layouts.columns, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
+    hits = lines.where("line rlike shape")
     get = lambda g: F.expr(f"case when {g} > 0 then regexp_extract(line, shape, {g}) end")
-    day = parse_date(get("g_day"), F.col("due_date"))
-    day = F.make_date(F.year("due_date") - F.when(F.month(day) > F.month("due_date"), 1).otherwise(0), F.month(day), F.dayofmonth(day))
+    day, month_of = day_and_month(F.trim(get("g_day")))
+    full = parse_date(get("g_day"), F.col("due_date"))
+    day, month_of = F.coalesce(day.cast("int"), F.dayofmonth(full)), F.coalesce(month_of.cast("int"), F.month(full))
+    day = try_date(F.year("due_date") - F.when(month_of > F.month("due_date"), 1).otherwise(0), month_of, day)
     value = parse_loose(get("g_amount"))
     kind = F.when((value < 0) | F.lower(get("g_desc")).contains("pagamento"), "INCOME").otherwise("EXPENSE")
     number = lambda g: F.nullif(get(g), F.lit("")).try_cast("int")
@@ -140,7 +145,7 @@ def parse_invoice_text(docs: DataFrame, layouts: DataFrame) -> DataFrame:
 def select_layout(docs: DataFrame, parsed: DataFrame, layouts: DataFrame) -> DataFrame:
     """(doc_id, layout, score): applicable 1,000,000, due date 100,000, rows 10,000 and 20 each up to 5,000
     more; rows count only if applicable or dated. The best by score, then ordinal; none at 0 or less."""
-    base = docs.select("doc_id", F.col("text").alias("whole"), due_date(F.col("text")).isNotNull().alias("dated")).crossJoin(F.broadcast(layouts.select("layout", "ordinal", "marker").distinct()))  # a handful of layouts
+    base = docs.select("doc_id", F.col("text").alias("whole"), due_date(F.col("text")).isNotNull().alias("dated")).crossJoin(small(layouts.select("layout", "ordinal", "marker").distinct()))
     counts = parsed.groupBy("doc_id", "layout").agg(F.count("*").alias("n"))
     fits = F.expr("whole rlike marker")
     rows = F.when((fits | F.col("dated")) & (F.coalesce("n", F.lit(0)) > 0), 10_000 + F.least(F.lit(5_000), 20 * F.col("n"))).otherwise(0)
