@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import month_index
+from tallyspark.functions.dates import month_index, period_start
 from tallyspark.functions.money import MONEY, total_if, whole_percent
 from tallyspark.functions.text import description_key
 from tallyspark.operators import classifying, detection, ingesting, invoicing, portfolio, summaries
@@ -209,25 +209,69 @@ def generate_goals(flow: DataFrame, cube: DataFrame, debt: DataFrame, goals: Dat
     return fill_goals(reduce(lambda a, b: a.unionByName(b), found), goals)
 
 
-def period_reports(tx: DataFrame, kind: str, investments: DataFrame, budgets: DataFrame) -> DataFrame:
-    """A JSON document per person and period: summary with the period before, breakdown, portfolio, budget."""
-    summary = summaries.period_summary(tx, kind)
-    parts = summaries.period_breakdown(tx, kind).groupBy("person_id", "period_start").agg(F.array_sort(F.collect_list(F.struct("type", "category", "total", "percent"))).alias("breakdown"))
-    folio = portfolio.investment_summary(investments).where("type is null").select(F.col("owner_id").alias("person_id"), F.struct("n", "initial", "current", "profitability").alias("investments"))
-    budget = portfolio.budget_health(budgets).select(F.col("owner_id").alias("person_id"), F.struct("total", "balance", "healthy").alias("budget"))
-    facts = F.struct("income", "expenses", "previous_income", "previous_expenses", "income_change", "expense_change").alias("summary")
-    wide = summary.select("person_id", "period_start", "period_end", facts).join(parts, ["person_id", "period_start"], "left").join(folio, "person_id", "left").join(budget, "person_id", "left")
-    return wide.select("person_id", F.lit(kind).alias("report_type"), "period_start", "period_end", F.to_json(F.struct("summary", "breakdown", "investments", "budget")).alias("data"))
+def monthly_insights(cube: DataFrame, keep: int = 5) -> DataFrame:
+    """(person_id, month, insights): those that follow from the cube alone, of every month, the first `keep`."""
+    c = F.col
+    made = lambda df, ord_, kind, category, message, rank=F.lit(1): df.select("person_id", "month", F.struct(F.lit(ord_).alias("ord"), rank.cast("bigint").alias("rank"), kind.alias("type"), category.alias("category"), message.alias("message")).alias("i"))
+    found = [
+        made(detection.top_category(cube), 10, F.lit("info"), c("category"), _text("share ", c("percent"))),
+        made(detection.default_quality(cube), 11, F.lit("warning"), F.lit("Outros"), _text("share ", c("percent"))),
+        made(detection.monthly_growth(cube).where("growth > 10"), 20, F.lit("warning"), F.lit("Growth"), _text("growth ", c("growth"))),
+        made(detection.anomalies(cube), 30, c("severity"), c("category"), _text("unusual ", c("total")), c("rank")),
+    ]
+    all_ = reduce(lambda a, b: a.unionByName(b), found)
+    return all_.groupBy("person_id", "month").agg(F.slice(F.array_sort(F.collect_list("i")), 1, keep).alias("insights"))  # six at most
+
 
+def period_statements(stx: DataFrame, kind: str) -> DataFrame:
+    rows = stx.where("type <> 'BALANCE'").groupBy(F.col("user_id").alias("person_id"), period_start(F.col("transaction_date"), kind).alias("period_start"))
+    return rows.agg(F.struct(total_if(F.col("type") == "CREDIT", F.abs("amount")).alias("credits"), total_if(F.col("type") != "CREDIT", F.abs("amount")).alias("expenses"), F.count("*").alias("n")).alias("statements"))
 
-def ingest(parsed: DataFrame, rules: DataFrame, feedback: DataFrame, past: DataFrame, dictionary: DataFrame, keywords: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
-    """One batch of uploads: parsed rows to transactions, installments, invoices and summaries.
 
-    Rows without date or with amount 0 are left out; the transaction date is the due date and the line's date the purchase date.
+def period_reports(tx: DataFrame, kind: str, investments: DataFrame, budgets: DataFrame, assets: DataFrame, goals: DataFrame, stx: DataFrame) -> DataFrame:
+    """A JSON document per person and period: title, summary with the period before, breakdown, investments, assets, goals,
+    budget, bank statements, and the insights that the cube gives for the period's last month. Sections without data are left out."""
+    summary = summaries.period_summary(tx, kind)
+    parts = summaries.period_breakdown(tx, kind).groupBy("person_id", "period_start").agg(F.array_sort(F.collect_list(F.struct("type", "category", "total", "percent"))).alias("breakdown"))
+    whole = lambda df, name, *cols: df.select(F.col("owner_id").alias("person_id"), F.struct(*cols).alias(name))
+    own = [
+        whole(portfolio.investment_summary(investments).where("type is null"), "investments", "n", "initial", "current", "profitability"),
+        whole(portfolio.asset_summary(assets).where("type is null"), "assets", "n", "current"),
+        whole(portfolio.goal_summary(goals), "goals", "active", "completed", "canceled", "target", "current"),
+        whole(portfolio.budget_health(budgets), "budget", "total", "balance", "healthy"),
+    ]
+    facts = F.struct("income", "expenses", "previous_income", "previous_expenses", "income_change", "expense_change").alias("summary")
+    wide = summary.select("person_id", "period_start", "period_end", facts).join(parts, ["person_id", "period_start"], "left").join(period_statements(stx, kind), ["person_id", "period_start"], "left")
+    wide = reduce(lambda a, b: a.join(b, "person_id", "left"), own, wide)
+    said = monthly_insights(summaries.base_cube(tx)).withColumnRenamed("month", "last_month")
+    wide = wide.withColumn("last_month", F.trunc("period_end", "month")).join(said, ["person_id", "last_month"], "left")
+    title = _text(kind.capitalize(), " report ", F.date_format("period_start", "yyyy-MM-dd"), " to ", F.date_format("period_end", "yyyy-MM-dd")).alias("title")
+    document = F.to_json(F.struct(title, "summary", "breakdown", "investments", "assets", "goals", "budget", "statements", "insights"))
+    return wide.select("person_id", F.lit(kind).alias("report_type"), "period_start", "period_end", document.alias("data"))
+
+
+def ingest(parsed: DataFrame, rules: DataFrame, feedback: DataFrame, past: DataFrame, dictionary: DataFrame, keywords: DataFrame, existing: DataFrame, cards: DataFrame, net: Column | None = None, amounts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One batch of uploads: parsed rows to transactions, cards, installments, invoices and summaries.
+
+    Rows without date or with amount 0 are left out; the transaction date is the due date and the line's date the purchase
+    date. A row's card is the owner's with its brand and last digits, else with its brand and name, else a new one, whose key
+    holds owner, brand, digits and name. Invoices are keyed by card. Numbers and totals of instalments are the line's, 1 without.
+    net: whether an upload's sum counts refunds as negative. amounts: the invoices' own figures, for the capture summary.
     """
-    good = parsed.where("date is not null and amount > 0").withColumn("tx_id", F.concat_ws("-", "doc_id", "line_no", "description", F.col("amount").cast("string"), "card_name"))
+    c = F.col
+    given = lambda name, type_: c(name) if name in parsed.columns else F.lit(None).cast(type_)
+    good = parsed.where("date is not null and amount > 0").withColumn("tx_id", F.concat_ws("-", "doc_id", "line_no", "description", c("amount").cast("string"), "card_name"))
     classes = classifying.classify(good.select("tx_id", "person_id", "description", "amount", "type").dropDuplicates(["tx_id"]), rules, feedback, past, dictionary, keywords)
-    tx = good.join(classes.select("tx_id", "category", "confidence"), "tx_id").select("tx_id", "doc_id", "line_no", "person_id", "description", "amount", "type", "category", "confidence", F.coalesce("due_date", "date").alias("transaction_date"), F.col("date").alias("purchase_date"), "card_name")
-    lines = tx.select("doc_id", F.col("tx_id").alias("transaction_id"), F.col("line_no").alias("number"), "amount", F.col("transaction_date").alias("due_date"))
-    keyed = tx.select((2 * F.col("person_id")).alias("card_id"), F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month"), F.when(F.col("type") == "EXPENSE", F.col("amount")).otherwise(-F.col("amount")).alias("amount"), F.col("transaction_date").alias("due_date"))
-    return {"transactions": tx, "installments": lines, "invoices": invoicing.upsert_invoices(keyed, existing), "uploads": ingesting.upload_summary(good, F.lit(True))}
+    seen = ingesting.card_identity(c("card_name"), F.coalesce(given("file_name", "string"), F.lit("")))
+    rows = good.withColumn("brand", seen["brand"]).withColumn("last_four", seen["last_four"])
+    who = F.concat_ws("|", "person_id", F.coalesce("brand", F.lit("")), F.coalesce("last_four", F.lit("")), F.coalesce("card_name", F.lit("")))
+    rows = rows.withColumn("row_id", who)
+    named = rows.select("row_id", c("person_id").alias("owner_id"), c("card_name").alias("name"), "brand", "last_four").distinct()
+    resolved = invoicing.resolve_cards(named, cards).withColumn("card_key", F.coalesce(c("card_id").cast("string"), F.concat(F.lit("new|"), "row_id")))
+    tx = rows.join(classes.select("tx_id", "category", "confidence"), "tx_id").join(resolved.select("row_id", "card_key", "matched_by"), "row_id")
+    tx = tx.select("tx_id", "doc_id", "line_no", "person_id", "description", "amount", "type", "category", "confidence", F.coalesce("due_date", "date").alias("transaction_date"), c("date").alias("purchase_date"), "card_name", "card_key", "matched_by", F.coalesce(given("installment_number", "int"), F.lit(1)).alias("number"), F.coalesce(given("installment_total", "int"), F.lit(1)).alias("total"))
+    lines = tx.select("doc_id", c("tx_id").alias("transaction_id"), "card_key", "number", "total", "amount", c("transaction_date").alias("due_date"))
+    keyed = tx.select("card_key", F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month"), F.when(c("type") == "EXPENSE", c("amount")).otherwise(-c("amount")).alias("amount"), c("transaction_date").alias("due_date"))
+    old = existing.withColumn("card_key", c("card_id").cast("string"))
+    out = {"transactions": tx.drop("number", "total"), "cards": named.join(resolved, "row_id").drop("row_id"), "installments": lines, "invoices": invoicing.upsert_invoices(keyed, old, ("card_key",)), "uploads": ingesting.upload_summary(good, F.lit(True) if net is None else net)}
+    return out if amounts is None else out | {"capture": ingesting.capture_summary(good, amounts)}

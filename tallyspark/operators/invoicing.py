@@ -102,13 +102,15 @@ def resolve_cards(rows: DataFrame, cards: DataFrame) -> DataFrame:
     return out.select("row_id", F.coalesce("by_digits", "by_name").alias("card_id"), how.alias("matched_by"))
 
 
-def upsert_invoices(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Invoices to insert or update by (card, month, year): new sums are added to those there are."""
-    fresh = rows.groupBy("card_id", "year", "month").agg(F.sum("amount").cast(MONEY).alias("added"), F.max("due_date").alias("new_due"))
-    old = existing.groupBy("card_id", "year", "month").agg(F.sum("total_amount").cast(MONEY).alias("before"), F.min("due_date").alias("old_due"))
-    joined = fresh.join(old, ["card_id", "year", "month"], "full_outer")
+def upsert_invoices(rows: DataFrame, existing: DataFrame, key: tuple[str, ...] = ("card_id",)) -> DataFrame:
+    """Invoices to insert or update by key, month and year: new sums are added to those there are. The key is the card;
+    for banks that bill all cards of a user together it is (bank, user_id)."""
+    by = [*key, "year", "month"]
+    fresh = rows.groupBy(*by).agg(F.sum("amount").cast(MONEY).alias("added"), F.max("due_date").alias("new_due"))
+    old = existing.groupBy(*by).agg(F.sum("total_amount").cast(MONEY).alias("before"), F.min("due_date").alias("old_due"))
+    joined = fresh.join(old, by, "full_outer")
     action = F.when(F.col("before").isNull(), "insert").when(F.col("added").isNull(), "keep").otherwise("update")
-    return joined.select("card_id", "year", "month", (F.coalesce("before", F.lit(0)) + F.coalesce("added", F.lit(0))).cast(MONEY).alias("total"), F.coalesce("old_due", "new_due").alias("due_date"), action.alias("action"))
+    return joined.select(*by, (F.coalesce("before", F.lit(0)) + F.coalesce("added", F.lit(0))).cast(MONEY).alias("total"), F.coalesce("old_due", "new_due").alias("due_date"), action.alias("action"))
 
 
 def recategorize(tx: DataFrame, updates: DataFrame) -> DataFrame:

@@ -123,15 +123,60 @@ def _(goals, budgets):
     return C.fill_goals(s, goals).select("person_id", "priority", F.lower(F.trim("title")).alias("t"), "place")
 
 
-@query("rp1_snk1_sf21_reports", "tx", "investments", "budgets", sql="""SELECT person_id, 'ANNUAL' AS report_type, CAST(date_trunc('year', transaction_date) AS DATE) AS period_start, CAST(coalesce(sum(abs(amount)) FILTER (type = 'INCOME'), 0) AS DECIMAL(19,2)) AS income, CAST(coalesce(sum(abs(amount)) FILTER (type = 'EXPENSE'), 0) AS DECIMAL(19,2)) AS expenses,
-  count(DISTINCT type || coalesce(nullif(trim(category), ''), 'Outros')) AS n_parts FROM tx WHERE deleted_at IS NULL GROUP BY ALL""")
-def _(tx, investments, budgets):
-    r = C.period_reports(tx, "ANNUAL", investments, budgets)
-    doc = F.from_json("data", "summary struct<income decimal(19,2), expenses decimal(19,2)>, breakdown array<struct<type string>>")
-    return r.withColumn("d", doc).select("person_id", "report_type", "period_start", F.col("d.summary.income").alias("income"), F.col("d.summary.expenses").alias("expenses"), F.size("d.breakdown").cast("bigint").alias("n_parts"))
-
-
-@query("up1_ingest", "parsed", "rules", "feedback", "tx", "dictionary", "keywords", "invoices", sql="""SELECT CAST(year(coalesce(due_date, date)) AS INT) AS year, CAST(month(coalesce(due_date, date)) AS INT) AS month, count(*) AS n, CAST(sum(amount) AS DECIMAL(19,2)) AS total FROM parsed WHERE date IS NOT NULL AND amount > 0 GROUP BY ALL""")
-def _(parsed, rules, feedback, tx, dictionary, keywords, invoices):
-    made = C.ingest(parsed, rules, feedback, tx, dictionary, keywords, invoices.where("deleted_at is null"))["transactions"]
-    return made.groupBy(F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month")).agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(19,2)").alias("total"))
+_CHANGE = "CAST(coalesce(sum(abs(amount)) FILTER (type = '{}'), 0) AS DECIMAL(19,2))"
+
+
+@query("rp1_snk1_sf21_reports", "tx", "investments", "budgets", "assets", "goals", "stx", sql=CUBE + f""", p AS (SELECT person_id, CAST(date_trunc('year', transaction_date) AS DATE) AS period_start, {_CHANGE.format('INCOME')} AS income, {_CHANGE.format('EXPENSE')} AS expenses,
+  count(DISTINCT type || coalesce(nullif(trim(category), ''), 'Outros')) AS n_parts FROM tx WHERE deleted_at IS NULL GROUP BY ALL),
+i AS (SELECT owner_id, CAST(sum(current_value) AS DECIMAL(19,2)) AS invested FROM investments GROUP BY 1), a AS (SELECT owner_id, count(*) AS n_assets, CAST(sum(current_value) AS DECIMAL(19,2)) AS assets FROM assets GROUP BY 1),
+g AS (SELECT owner_id, count(*) FILTER (status = 'ACTIVE') AS active_goals, CAST(sum(target_amount) AS DECIMAL(19,2)) AS goal_target FROM goals GROUP BY 1),
+s AS (SELECT user_id, CAST(date_trunc('year', transaction_date) AS DATE) AS period_start, CAST(coalesce(sum(abs(amount)) FILTER (type = 'CREDIT'), 0) AS DECIMAL(19,2)) AS credits, count(*) AS n_statements FROM stx WHERE type <> 'BALANCE' GROUP BY ALL),
+m AS (SELECT person_id, month, category, CAST(sum(total_abs) AS DECIMAL(19,2)) AS total FROM cube WHERE type = 'EXPENSE' GROUP BY ALL),
+t AS (SELECT person_id, month, category AS top_category FROM (SELECT *, sum(total) OVER (PARTITION BY person_id, month) AS whole, row_number() OVER (PARTITION BY person_id, month ORDER BY total DESC, category) AS r FROM m) WHERE r = 1 AND whole > 0)
+SELECT p.person_id, 'ANNUAL' AS report_type, p.period_start, 'Annual report ' || year(p.period_start) || '-01-01 to ' || year(p.period_start) || '-12-31' AS title, p.income, p.expenses, CAST(coalesce(q.income, 0) AS DECIMAL(19,2)) AS previous_income, CAST(p.expenses - coalesce(q.expenses, 0) AS DECIMAL(19,2)) AS expense_change, p.n_parts,
+  invested, n_assets, assets, active_goals, goal_target, credits, n_statements, top_category, b.owner_id IS NOT NULL AS has_budget
+FROM p LEFT JOIN p q ON q.person_id = p.person_id AND year(q.period_start) = year(p.period_start) - 1 LEFT JOIN i ON i.owner_id = p.person_id LEFT JOIN a ON a.owner_id = p.person_id LEFT JOIN g ON g.owner_id = p.person_id LEFT JOIN budgets b ON b.owner_id = p.person_id
+  LEFT JOIN s ON s.user_id = p.person_id AND s.period_start = p.period_start LEFT JOIN t ON t.person_id = p.person_id AND year(t.month) = year(p.period_start) AND month(t.month) = 12""")
+def _(tx, investments, budgets, assets, goals, stx):
+    r = C.period_reports(tx, "ANNUAL", investments, budgets, assets, goals, stx)
+    m = "decimal(19,2)"
+    doc = F.from_json("data", f"title string, summary struct<income {m}, expenses {m}, previous_income {m}, expense_change {m}>, breakdown array<struct<type string>>, investments struct<current {m}>, assets struct<n bigint, current {m}>, goals struct<active bigint, target {m}>, budget struct<total {m}>, statements struct<credits {m}, n bigint>, insights array<struct<ord int, category string>>")
+    d = lambda x: F.col(f"d.{x}")
+    top = F.get(F.filter(d("insights"), lambda i: i["ord"] == 10), F.lit(0))["category"]
+    return r.withColumn("d", doc).select(
+        "person_id", "report_type", "period_start", d("title"), d("summary.income"), d("summary.expenses"), d("summary.previous_income"), d("summary.expense_change"), F.size(d("breakdown")).cast("bigint").alias("n_parts"), d("investments.current").alias("invested"),
+        d("assets.n").alias("n_assets"), d("assets.current").alias("assets"), d("goals.active").alias("active_goals"), d("goals.target").alias("goal_target"), d("statements.credits"), d("statements.n").alias("n_statements"), top.alias("top_category"), d("budget").isNotNull().alias("has_budget"),
+    )
+
+
+# Uploads name a card of the owner in odd lines and an unknown one in the others.
+_UP = """WITH c AS (SELECT owner_id, min(card_id) FILTER (card_id % 2 = 0) AS card_id FROM cards GROUP BY 1),
+g AS (SELECT p.doc_id, p.line_no, p.description, p.amount, p.type, p.date, p.due_date, p.person_id, p.installment_number, CASE WHEN line_no % 2 = 1 THEN 'Visa ' || lpad(CAST(person_id % 10000 AS VARCHAR), 4, '0') ELSE 'Elo 99999' END AS card_name, c.card_id FROM parsed p LEFT JOIN c ON c.owner_id = p.person_id WHERE p.date IS NOT NULL AND p.amount > 0),
+made AS (SELECT concat_ws('-', doc_id, line_no, description, amount, card_name) AS tx_id, doc_id, line_no, person_id, description, amount, type, coalesce(due_date, date) AS transaction_date, date AS purchase_date,
+  CASE WHEN line_no % 2 = 1 THEN CAST(card_id AS VARCHAR) ELSE 'new|' || person_id || '|elo|9999|Elo 99999' END AS card_key, coalesce(installment_number, 1) AS number FROM g)
+"""
+_UP_VIEWS = ("parsed", "rules", "feedback", "tx", "dictionary", "keywords", "invoices", "cards")
+
+
+def _ingested(part: str, parsed, rules, feedback, tx, dictionary, keywords, invoices, cards):
+    digits = lambda x: F.lpad((x % 10000).cast("string"), 4, "0")
+    uploads = parsed.withColumn("card_name", F.when(F.col("line_no") % 2 == 1, F.concat(F.lit("Visa "), digits(F.col("person_id")))).otherwise("Elo 99999"))
+    known = cards.withColumn("brand", F.when(F.col("card_id") % 2 == 0, "visa").otherwise("elo")).withColumn("last_four", digits(F.col("owner_id")))
+    return C.ingest(uploads, rules, feedback, tx, dictionary, keywords, invoices.where("deleted_at is null"), known)[part]
+
+
+@query("up1_ingest", *_UP_VIEWS, sql=_UP + "SELECT tx_id, doc_id, line_no, person_id, description, amount, type, transaction_date, purchase_date, card_key FROM made")
+def _(*views):
+    return _ingested("transactions", *views).select("tx_id", "doc_id", "line_no", "person_id", "description", "amount", "type", "transaction_date", "purchase_date", "card_key")
+
+
+@query("up1_installments", *_UP_VIEWS, sql=_UP + "SELECT doc_id, tx_id AS transaction_id, card_key, CAST(number AS INT) AS number, CAST(1 AS INT) AS total, amount, transaction_date AS due_date FROM made")
+def _(*views):
+    return _ingested("installments", *views)
+
+
+@query("up1_invoices", *_UP_VIEWS, sql=_UP + """, f AS (SELECT card_key, CAST(year(transaction_date) AS INT) AS year, CAST(month(transaction_date) AS INT) AS month, sum(CASE WHEN type = 'EXPENSE' THEN amount ELSE -amount END) AS added, max(transaction_date) AS new_due FROM made GROUP BY ALL),
+o AS (SELECT CAST(card_id AS VARCHAR) AS card_key, year, month, sum(total_amount) AS before, min(due_date) AS old_due FROM invoices WHERE deleted_at IS NULL GROUP BY ALL)
+SELECT card_key, year, month, CAST(coalesce(before, 0) + coalesce(added, 0) AS DECIMAL(19,2)) AS total, coalesce(old_due, new_due) AS due_date, CASE WHEN before IS NULL THEN 'insert' WHEN added IS NULL THEN 'keep' ELSE 'update' END AS action FROM f FULL JOIN o USING (card_key, year, month)""")
+def _(*views):
+    return _ingested("invoices", *views)

@@ -122,7 +122,12 @@ def _(parsed):
     return G.disambiguate(rows).select("doc_id", "line_no", "description")
 
 
-@query("so7_cancel_refunds", "parsed")
+@query("so7_cancel_refunds", "parsed", sql="""WITH r AS (SELECT doc_id % 300 AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id, line_no, description, amount) AS INT) AS line_no, CASE WHEN type = 'INCOME' THEN 'Estorno tarifa' ELSE 'Tarifa' END AS description, type = 'INCOME' AS refund FROM parsed),
+s AS (SELECT *, sum(CASE WHEN refund THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS s FROM r),
+m AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM s),
+f AS (SELECT *, NOT refund AND s >= low AS taken, row_number() OVER (PARTITION BY doc_id, refund ORDER BY line_no) AS nth FROM m),
+t AS (SELECT doc_id AS d, count(*) FILTER (taken) AS n FROM f GROUP BY 1)
+SELECT doc_id, line_no, description, CAST(1 AS INT) AS amount, DATE '2000-01-01' AS date FROM f JOIN t ON d = doc_id WHERE NOT taken AND NOT (refund AND nth <= n)""")
 def _(parsed):
     name = F.when(F.col("type") == "INCOME", "Estorno tarifa").otherwise("Tarifa")
     order = F.row_number().over(Window.partitionBy(F.col("doc_id") % 300).orderBy("doc_id", "line_no", "description", "amount"))
