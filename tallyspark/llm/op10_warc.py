@@ -25,6 +25,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 #: The dictionary is built from at most so many records of at most so many characters.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 50_000, 65_536
 ARCHIVE_BYTES, LEVEL = 8_000_000, 6
+#: Bytes of an archive that are handed to the reader at a time.
+FEED = 16_384
 
 
 def payload_digest(payload: bytes) -> str:
@@ -82,9 +84,12 @@ def read_archive(data: bytes):
     reader = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
     view = memoryview(data)
     while at < len(data):
-        one = reader.decompressobj()
-        record = one.decompress(view[at:])
-        at = len(data) - len(one.unused_data)
+        # fed in parts: what is left of one is copied, not the rest of the archive
+        one, parts = reader.decompressobj(), []
+        while not one.eof and at < len(data):
+            parts.append(one.decompress(view[at : at + FEED]))
+            at = min(len(data), at + FEED) - len(one.unused_data)
+        record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         if lines[0] != "WARC/1.1":
