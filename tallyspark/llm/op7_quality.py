@@ -50,6 +50,8 @@ def statistics(texts: list[str]) -> np.ndarray:
     out = np.zeros((n, len(NAMES)), np.float64)
     if not n:
         return out
+    # the one letter whose lower-casing lengthens a text, so that the places of words are those of their letters
+    texts = [t.replace("\u0130", "I") for t in texts]
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.fromiter(map(len, texts), np.int64, n)
     doc = np.repeat(np.arange(n), sizes)
@@ -74,8 +76,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     base = np.concatenate(([0], np.cumsum(sizes)))
     upper = np.concatenate(([0], np.cumsum(kind == s)))
     at = np.repeat(base[:-1], n_words)
-    if len(begin) and (low := at + end).max() <= len(codes):  # lower-casing may lengthen a text
-        out[:, 18] = total(((upper[low] - upper[at + begin]) == length) & (length > 1)) / many
+    out[:, 18] = total(((upper[at + end] - upper[at + begin]) == length) & (length > 1)) / many
     for i, t in enumerate(texts):
         w = words[offsets[i] : offsets[i + 1]]
         if len(w):
@@ -172,7 +173,8 @@ def held_out(doc_id: int | None) -> bool:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Forest:
     """Learns from labelled documents that aren't held out: the `sample` ids first by hash, so that
-    the driver gets at most `sample` rows of statistics. Null and contradicting labels are left out."""
+    the driver gets at most `sample` rows of statistics. Null and contradicting labels are left out, and texts of more
+    than SAMPLE_CHARS characters. Of rows that share an id, the one of the smallest statistics counts."""
     spark = docs.sparkSession
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
@@ -185,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             for b in slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(statistics(texts_of(b, "text")).tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "y", "text").mapInArrow(run, "doc_id bigint, y int, x array<double>").dropDuplicates(["doc_id"]).toArrow()
+    got = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "y", "text").mapInArrow(run, "doc_id bigint, y int, x array<double>").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow()
     got = got.sort_by("doc_id")
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))
     return fit(x, np.array(got.column("y").to_pylist(), float))

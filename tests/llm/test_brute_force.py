@@ -355,6 +355,41 @@ def test_quality_held_out(spark):
     assert len(held) > 40 and (held.predicted == held.quality).mean() > 0.95
 
 
+def test_statistics_are_a_texts_own():
+    """Whatever the texts beside it in a batch, with a letter that lower-casing lengthens as well."""
+    texts = ["AB cd EF", "\u0130STANBUL \u0130\u0130 ab", "", "THE END \u0130\u0130\u0130\u0130", "x Y Z99"]
+    alone = np.concatenate([op7_quality.statistics([t]) for t in texts])
+    assert (op7_quality.statistics(texts) == alone).all() and alone[0, 18] == 2 / 3 and alone[1, 18] == 2 / 3
+
+
+def test_quality_query_by_one_text_at_a_time(spark):
+    """The query against learning and scoring on the driver, text by text."""
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    label = {d: q for d, q in zip(labels.doc_id, labels.quality) if q in (0, 1)}
+    own = {d: op7_quality.statistics([t or ""])[0] for d, t in zip(docs.doc_id, docs.text)}
+    learned = sorted(d for d in own if d in label and zlib.crc32(str(d).encode()) % 5)
+    forest = op7_quality.fit(np.array([own[d] for d in learned]), np.array([float(label[d]) for d in learned]))
+    for r in QUERIES["op7_quality"](spark, SF).collect():
+        score = forest.score(own[r.doc_id][None])[0]
+        assert abs(score - r.score) < 1e-9 and r.predicted == (score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_media_query(spark):
+    """Each row's digests against those of its text, padded by hand; repeated and extra columns don't matter."""
+    import hashlib
+    import zlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op4_matroska"](spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        raw = docs[r.doc_id].encode()
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+
+
 def test_forest_traversal():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 6))
