@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import month, period_end, period_start
 from tallyspark.functions.money import MONEY, percent, total, total_if
-from tallyspark.functions.text import category_or_default
+from tallyspark.functions.text import DEFAULT_CATEGORY, category_or_default
+from tallyspark.operators.classifying import ordered_rule
+
 
 def default_range(start: str | None, end: str | None, as_of: str) -> tuple[Column, Column]:
     """A missing end takes the other end; without either it is the month of as_of."""
@@ -115,15 +117,17 @@ def kept_statement_rows(stx: DataFrame) -> DataFrame:
     return stx.where((F.col("type") != "BALANCE") & ~F.coalesce(is_bill_payment(F.col("description"), F.col("type")), F.lit(False)))
 
 
-def cashflow(tx: DataFrame, stx: DataFrame) -> DataFrame:
-    """Live transactions and mapped statement rows, which keep their signed amount."""
+def cashflow(tx: DataFrame, stx: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Live transactions and mapped statement rows, which keep their signed amount. A statement row's category is that of the
+    first of the rules (as in classifying.ordered_rule, by the statement's types) that fits, else the default one."""
     rows = kept_statement_rows(stx).where("transaction_date is not null and trim(description) <> ''")
+    rows = ordered_rule(rows, rules, DEFAULT_CATEGORY) if rules is not None else rows.withColumn("rule_category", F.lit(DEFAULT_CATEGORY))
     mapped = rows.select(
         F.concat(F.lit("s"), F.col("stx_id").cast("string")).alias("tx_id"), F.col("user_id").alias("person_id"), "description", "amount",
-        F.when(F.col("type") == "CREDIT", "INCOME").otherwise("EXPENSE").alias("type"), "transaction_date", F.col("transaction_date").alias("purchase_date"), F.lit("PAID").alias("status"), F.lit("statement").alias("origin"),
+        F.when(F.col("type") == "CREDIT", "INCOME").otherwise("EXPENSE").alias("type"), F.col("rule_category").alias("category"), "transaction_date", F.col("transaction_date").alias("purchase_date"), F.lit("PAID").alias("status"), F.lit("statement").alias("origin"),
     )
     own = live(tx).withColumn("origin", F.lit("transaction"))
-    return own.select("tx_id", "person_id", "description", "amount", "type", "transaction_date", "purchase_date", "status", "origin").unionByName(mapped)
+    return own.select("tx_id", "person_id", "description", "amount", "type", "category", "transaction_date", "purchase_date", "status", "origin").unionByName(mapped)
 
 
 def statement_summary(stx: DataFrame, statements: DataFrame) -> DataFrame:

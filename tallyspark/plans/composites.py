@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyspark.operators import composites as C
@@ -9,8 +11,10 @@ from tallyspark.operators import invoicing
 from tallyspark.operators.summaries import base_cube, cashflow, live
 from tallyspark.plans.detection import _VOLATILE
 from tallyspark.plans.registry import query
-from tallyspark.plans.summaries import CUBE
+from tallyspark.plans.summaries import CUBE, statement_rules
 from tallyspark.sources.testdata import AS_OF
+from tallyspark.sources.texts import write_scores
+from tallyspark.streaming.audit import shared_dir
 
 MONTH = "2000-06-01"
 _FLOW = """flow AS (SELECT person_id, description, amount, type, transaction_date FROM tx WHERE deleted_at IS NULL UNION ALL SELECT user_id, description, amount, CASE WHEN type = 'CREDIT' THEN 'INCOME' ELSE 'EXPENSE' END, transaction_date FROM stx WHERE type <> 'BALANCE')
@@ -108,7 +112,7 @@ def _(tx):
 
 @query("go_so4_generate_goals", "recurring", "stx", "invoices", "cards", "goals")
 def _(tx, stx, invoices, cards, goals):
-    flow = cashflow(tx, stx).withColumn("category", F.lit(None).cast("string"))
+    flow = cashflow(tx, stx, statement_rules(tx))
     return C.generate_goals(flow, base_cube(tx), invoicing.outstanding_debt(invoices, cards), goals, AS_OF)
 
 
@@ -180,3 +184,13 @@ o AS (SELECT CAST(card_id AS VARCHAR) AS card_key, year, month, sum(total_amount
 SELECT card_key, year, month, CAST(coalesce(before, 0) + coalesce(added, 0) AS DECIMAL(19,2)) AS total, coalesce(old_due, new_due) AS due_date, CASE WHEN before IS NULL THEN 'insert' WHEN added IS NULL THEN 'keep' ELSE 'update' END AS action FROM f FULL JOIN o USING (card_key, year, month)""")
 def _(*views):
     return _ingested("invoices", *views)
+
+
+@query("snk2_score_history", "persons", "tx", "cards", "invoices", sql="SELECT person_id, DATE '2000-05-31' AS calculation_date FROM persons UNION ALL SELECT person_id, DATE '2000-06-30' FROM persons")
+def _(persons, tx, cards, invoices):
+    """Two dates are written, the second twice, and read back."""
+    spark = persons.sparkSession
+    at = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    for day in ("2000-05-31", AS_OF, AS_OF):
+        write_scores(C.health_scores(persons, tx, cards, invoices, day).withColumn("calculation_date", F.lit(day).cast("date")), at)
+    return spark.read.parquet(at).where("score between 0 and 100").select("person_id", "calculation_date")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.dates import estimated_due, parse_date
 from tallyspark.functions.money import brazilian, parse_brazilian, parse_loose
 from tallyspark.operators import ingesting as G
-from tallyspark.plans.registry import pct_sql, query
+from tallyspark.plans.registry import ORACLES, QUERIES, pct_sql, query
 from tallyspark.sources import texts as X
 from tallyspark.sources.testdata import AS_OF
 
@@ -229,3 +229,11 @@ def _(parsed):
 def _(stx):
     rows = stx.select("stx_id", F.when(F.col("stx_id") % 3 != 0, F.col("type")).alias("type"), "amount", F.when(F.col("stx_id") % 2 == 0, "paid + R$ 3").otherwise("paid - R$ 3").alias("text"))
     return G.statement_amounts(rows).select("stx_id", "type", "amount")
+
+
+def _read_orders(spark, sf_dir):
+    return X.read_table(spark, "orders.parquet", base=sf_dir).where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+
+
+QUERIES["src2_read_table"] = _read_orders
+ORACLES["src2_read_table"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'"

@@ -90,10 +90,14 @@ def _(stx, statements):
     return S.statement_summary(stx, statements)
 
 
-@query("so1_tk6_cashflow", "tx", "stx", sql="""SELECT tx_id, person_id, description, amount, type, transaction_date, purchase_date, status, 'transaction' AS origin FROM tx WHERE deleted_at IS NULL
-UNION ALL SELECT 's' || stx_id, user_id, description, amount, CASE WHEN type = 'CREDIT' THEN 'INCOME' ELSE 'EXPENSE' END, transaction_date, transaction_date, 'PAID', 'statement' FROM stx WHERE type <> 'BALANCE' AND trim(description) <> ''""")
+def statement_rules(df):
+    return df.sparkSession.createDataFrame([(0, "CREDIT", ["urgent"], "Renda"), (1, None, ["high", "urgent"], "Moradia"), (2, "DEBIT", ["medium"], "Utilidades")], "ordinal int, type string, patterns array<string>, category string")
+
+
+@query("so1_tk6_cashflow", "tx", "stx", sql="""SELECT tx_id, person_id, description, amount, type, category, transaction_date, purchase_date, status, 'transaction' AS origin FROM tx WHERE deleted_at IS NULL
+UNION ALL SELECT 's' || stx_id, user_id, description, amount, CASE WHEN type = 'CREDIT' THEN 'INCOME' ELSE 'EXPENSE' END, CASE WHEN type = 'CREDIT' AND contains(description, 'URGENT') THEN 'Renda' WHEN contains(description, 'HIGH') OR contains(description, 'URGENT') THEN 'Moradia' WHEN type = 'DEBIT' AND contains(description, 'MEDIUM') THEN 'Utilidades' ELSE 'Outros' END, transaction_date, transaction_date, 'PAID', 'statement' FROM stx WHERE type <> 'BALANCE' AND trim(description) <> ''""")
 def _(tx, stx):
-    return S.cashflow(tx, stx).orderBy(F.asc_nulls_last("transaction_date"), "tx_id")
+    return S.cashflow(tx, stx, statement_rules(tx)).orderBy(F.asc_nulls_last("transaction_date"), "tx_id")
 
 
 @query("tk1_latest", "tx_dense", sql="SELECT person_id, tx_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY person_id ORDER BY transaction_date DESC, tx_id) AS INT) AS rank FROM tx_dense WHERE deleted_at IS NULL) WHERE rank <= 200")

@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, money, text
+from tallyspark.functions.dates import parse_date
+from tallyspark.functions.sizes import small
 from tallyspark.operators import classifying, composites, detection, ingesting, invoicing, portfolio, summaries
 from tallyspark.sources import texts
 from tallyspark.streaming import audit
+from tallyspark.sources.testdata import view
 
 TX = "tx_id string, person_id bigint, description string, amount decimal(19,2), type string, category string, transaction_date date, purchase_date date, status string, deleted_at date, line_no int"
 
@@ -215,8 +218,51 @@ def test_quota_is_anchored(spark):
     assert out == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False}
 
 
+def test_quota_stream(spark, tmp_path):
+    """The stateful stream allows what the batch form does."""
+    times = ["00:00", "00:10", "00:59", "01:00", "01:01", "01:02"]
+    df = spark.createDataFrame([(i, k, f"2024-01-01 {t}:00") for k in ("a", "b") for i, t in enumerate(times, 10 * (k == "b"))], "event_id bigint, ip string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = audit.quota_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "ip", limit=2)
+        out.writeStream.format("memory").queryName("quotas").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {r.event_id: r.allowed for r in spark.table("quotas").collect()}
+    assert len(got) == 12 and got == {r.event_id: r.allowed for r in audit.quota(df, "ip", limit=2).collect()}
+
+
+def test_yearless_dates(spark):
+    """29 February is a date of leap years only; as_of chooses the year."""
+    day = lambda x, as_of: spark.range(1).select(parse_date(F.lit(x), F.lit(as_of).cast("date"))).first()[0]
+    assert day("29/02", "2024-03-10") == day("29 FEV", "2024-12-31") == date(2024, 2, 29)
+    assert day("29/02", "2023-03-10") is None and day("29/02", "2025-01-05") == date(2024, 2, 29) and day("31/02", "2024-03-01") is None
+    assert day("10/12", "2024-01-05") == date(2023, 12, 10) and day("05/02", "2024-01-05") == date(2024, 2, 5)
+    docs = spark.createDataFrame([(1, "fatura de x\nvencimento 10/03/2024\n29 FEV Cafe R$ 5,00"), (2, "fatura de x\nvencimento 10/01/2025\n29 FEV Cafe R$ 5,00"), (3, "fatura de x\nvencimento 10/03/2023\n29 FEV Cafe R$ 5,00")], "doc_id int, text string")
+    got = {r.doc_id: r.date for r in texts.parse_invoice_text(docs, spark.createDataFrame(texts.LAYOUTS, texts.LAYOUT_SCHEMA)).collect()}
+    assert got == {1: date(2024, 2, 29), 2: date(2024, 2, 29), 3: None}
+
+
+def test_trips_stay(spark):
+    rows = [(1, "a", "EXPENSE", "Food", None, None), (1, "b", "EXPENSE", "Food", "old", "hotel"), (1, "c", "INCOME", "Food", None, None), (1, "d", "EXPENSE", "Food", None, "hotel"), (1, "e", "EXPENSE", "Food", "old", None)]
+    df = spark.createDataFrame(rows, "person_id int, tx_id string, type string, category string, trip_id string, trip_subcategory string")
+    chosen = spark.createDataFrame([(1, x, "new") for x in "abcd"], "person_id int, tx_id string, trip_id string")
+    out = {r.tx_id: (r.category, r.trip_id, r.trip_subcategory) for r in invoicing.apply_trip(df, chosen).collect()}
+    assert out == {"a": ("Viagem", "new", "Food"), "b": ("Food", "old", "hotel"), "c": ("Food", None, None), "d": ("Viagem", "new", "hotel"), "e": ("Food", "old", None)}
+
+
+def test_small_tables(spark):
+    assert small(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        small(spark.range(3), 2)
+
+
 def test_pushdown(spark):
-    """A scan of facts for one month reads only the columns that it needs, with the filter at the scan."""
-    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderstatus = 'F'").select("o_orderkey")
-    plan = orders._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(o_orderstatus,F)" in plan and "o_totalprice" not in plan
+    """The scans below the base cube read only the columns that it needs, and a range of dates reaches the scan."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    cube = plan(summaries.base_cube(view(spark, "/root/testdata/sf0.001", "tx")))
+    assert "l_extendedprice" in cube and not any(c in cube for c in ("l_tax", "l_comment", "o_comment", "p_brand", "p_name", "l_shipmode"))
+    some = plan(summaries.live(view(spark, "/root/testdata/sf0.001", "tx")).where("transaction_date between '1995-01-01' and '1995-01-31'"))
+    assert "PushedFilters" in some and "l_shipdate" in some.split("PushedFilters", 1)[1]
