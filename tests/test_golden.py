@@ -253,6 +253,13 @@ def test_trips_stay(spark):
     assert out == {"a": ("Viagem", "new", "Food"), "b": ("Food", "old", "hotel"), "c": ("Food", None, None), "d": ("Viagem", "new", "hotel"), "e": ("Food", "old", None)}
 
 
+def test_subscription_cleanup_wants_three(spark):
+    """With the default threshold: three subscriptions in all three months make a goal, two don't."""
+    rows = [(p, f"{name} plan", 12 + k, "EXPENSE", "Services", f"2024-0{m}-05") for p, n in ((1, 3), (2, 2)) for k, name in enumerate("alpha beta gamma".split()[:n]) for m in (1, 2, 3)]
+    out = composites.subscription_cleanup(tx(spark, *rows), "2024-03-31").collect()
+    assert [(r.person_id, r.target) for r in out] == [(1, M("39.00"))]
+
+
 def test_small_tables(spark):
     assert small(spark.range(3), 3).count() == 3
     with pytest.raises(ValueError, match="more than 2 rows"):
