@@ -152,3 +152,20 @@ def test_warc(spark):
     assert op10_warc.read_archives(op10_warc.archive_pages(df.where("false"))).count() == 0
     floor = op10_warc.read_archives(op10_warc.archive_pages(df, min_bytes=5)).where("record_type = 'response'").count()
     assert floor == len(pages)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline(spark, tmp_path, empty):
+    """All stages on nulls, repeats, empty and long texts, a column of another's name, and on empty tables."""
+    import corpus_pipeline
+
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string, source string")
+    df = df.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("bigint").alias("n_chars"), F.lit("own").alias("node"))
+    bench = spark.createDataFrame([(1, ROWS[4][1]), (2, None)], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    for name, table in (("documents", df), ("benchmark", bench), ("labels", labels)):
+        (table.where("false") if empty else table).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # of the repeated and of the null and empty texts one stays each; the text without an id is a benchmark item
+    assert sorted(r.doc_id for r in out) == ([] if empty else [1, 2, 4, 5, 6])
+    assert all(r.node == "own" and r.mix_slot is not None for r in out)
