@@ -33,6 +33,27 @@ def by_rules(tx: DataFrame, rules: DataFrame) -> DataFrame:
     return tx.join(ordered, "person_id", "left").withColumn("rule_category", F.get(hit, F.lit(0))["category"]).drop("rules")
 
 
+def _runs(x: Column, n: int = 4) -> Column:
+    """The different runs of n characters of a text; none of a shorter one."""
+    return F.when(F.length(x) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(x, i, F.lit(n)))))
+
+
+def _held_by(wanted: DataFrame, history: DataFrame) -> DataFrame:
+    """wanted (person_id, target) joined to the person's history whose past description contains the target.
+
+    Each target is looked up by the one of its runs of four characters that fewest of the person's past descriptions have, so
+    that a person of many descriptions isn't paired with all of a long history; targets of three characters meet all of it.
+    """
+    past = history.select("person_id", "past").distinct().select("person_id", "past", F.explode(_runs(F.col("past"))).alias("run"))
+    held = past.groupBy("person_id", "run").agg(F.count("*").alias("n"))
+    runs = wanted.select("person_id", "target").distinct().select("person_id", "target", F.explode(_runs(F.col("target"))).alias("run"))
+    entry = runs.join(held, ["person_id", "run"], "left").groupBy("person_id", "target").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("e")).where("e.n > 0")
+    found = entry.select("person_id", "target", "e.run").join(past, ["person_id", "run"]).where(F.col("past").contains(F.col("target"))).select("person_id", "target", "past")
+    long = wanted.join(found, ["person_id", "target"]).join(history, ["person_id", "past"])
+    short = wanted.where(F.length("target") < 4).join(history, "person_id").where(F.col("past").contains(F.col("target")))
+    return long.unionByName(short)
+
+
 def by_feedback(tx: DataFrame, feedback: DataFrame, past: DataFrame, newest: int = 50) -> DataFrame:
     """(person, description, feedback_category) for the distinct descriptions of tx: of the newest 50 choices
     whose past description contains the description's first 80 characters, the most frequent; ties: the newest.
@@ -42,7 +63,7 @@ def by_feedback(tx: DataFrame, feedback: DataFrame, past: DataFrame, newest: int
     history = feedback.join(past.select(F.col("tx_id").alias("transaction_id"), F.lower("description").alias("past")), "transaction_id")
     history = history.groupBy(F.col("user_id").alias("person_id"), "past", "chosen_category", "created_at").agg(F.count("*").alias("times"))
     wanted = tx.select("person_id", "description").distinct().withColumn("target", F.substring(normalize(F.col("description")), 1, 80)).where("target <> ''")
-    pairs = wanted.join(history, "person_id").where(F.col("past").contains(F.col("target")))
+    pairs = _held_by(wanted, history)
     recent = Window.partitionBy("person_id", "description").orderBy(F.desc("created_at"), "chosen_category", "past")
     ranked = pairs.withColumn("upto", F.sum("times").over(recent.rowsBetween(Window.unboundedPreceding, 0))).withColumn("counted", F.greatest(F.lit(0), F.least("times", F.lit(newest) - F.col("upto") + F.col("times"))))
     votes = ranked.where("counted > 0").groupBy("person_id", "description", "chosen_category").agg(F.sum("counted").alias("n"), F.max("created_at").alias("last"))

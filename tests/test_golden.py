@@ -260,6 +260,16 @@ def test_subscription_cleanup_wants_three(spark):
     assert [(r.person_id, r.target) for r in out] == [(1, M("39.00"))]
 
 
+def test_feedback_by_runs(spark):
+    """The index finds what comparing each description with all of its person's history does, short ones as well."""
+    pasts = ["padaria sol", "sol", "uber trip 12", "supermercado sol e mar", "uber", "aaaaaaa"]
+    targets = ["sol", "uber", "ub", "aaaa", "aaaaaaaa", "mercado", "sol e", "x"]
+    history = spark.createDataFrame([(p, x, "c", date(2024, 1, 1), 1) for p in (1, 2) for x in pasts[p - 1 :]], "person_id int, past string, chosen_category string, created_at date, times int")
+    wanted = spark.createDataFrame([(p, x.upper(), x) for p in (1, 2, 3) for x in targets], "person_id int, description string, target string")
+    got = sorted((r.person_id, r.target, r.past) for r in classifying._held_by(wanted, history).collect())
+    assert got == sorted((p, x, y) for p in (1, 2) for x in targets for y in pasts[p - 1 :] if x in y)
+
+
 def test_small_tables(spark):
     assert small(spark.range(3), 3).count() == 3
     with pytest.raises(ValueError, match="more than 2 rows"):
