@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tallyspark.operators import composites as C
 from tallyspark.operators import invoicing
 from tallyspark.operators.summaries import base_cube, cashflow, live
-from tallyspark.plans.detection import _VOLATILE
-from tallyspark.plans.registry import query
+from tallyspark.plans.detection import _RECURRING, _VOLATILE
+from tallyspark.plans.registry import pct_sql, query
 from tallyspark.plans.summaries import CUBE, statement_rules
 from tallyspark.sources.testdata import AS_OF
 from tallyspark.sources.texts import write_scores
@@ -65,7 +65,47 @@ def _inputs(tx, stx, cards, invoices, goals):
     return {"cube": base_cube(tx), "flow": flow, "cards": cards, "invoices": invoices, "goals": goals, "as_of": AS_OF}
 
 
-@query("in_tk4_so3_so6_insights", "recurring", "stx", "cards", "invoices", "goals")
+# All live rows and the mapped statement rows, as a table that the SQL of single operators can read.
+_ALL = """allrows AS (SELECT tx_id, person_id, description, amount, type, category, transaction_date, deleted_at FROM recurring WHERE deleted_at IS NULL
+  UNION ALL SELECT 's' || stx_id, user_id, description, amount, CASE WHEN type = 'CREDIT' THEN 'INCOME' ELSE 'EXPENSE' END, CASE WHEN type = 'CREDIT' AND contains(description, 'URGENT') THEN 'Renda' WHEN contains(description, 'HIGH') OR contains(description, 'URGENT') THEN 'Moradia' WHEN type = 'DEBIT' AND contains(description, 'MEDIUM') THEN 'Utilidades' ELSE 'Outros' END, transaction_date, NULL
+  FROM stx WHERE type <> 'BALANCE' AND transaction_date IS NOT NULL AND trim(description) <> '')
+"""
+_JUNE = CUBE.replace("WITH ", "", 1).replace("FROM tx ", "FROM recurring ")
+_CENTS = "CAST({} * 100 AS HUGEINT)"
+
+
+def _halves(part: str, whole: str) -> str:
+    """100 * part / whole, half up, in whole per cent; for amounts in cents."""
+    return f"CAST(sign({part}) * ((2 * abs({part}) * 100 + {whole}) // (2 * {whole})) AS DECIMAL(19,2))"
+
+
+_INSIGHTS = f"""WITH RECURSIVE {_ALL}, {_JUNE}, {_RECURRING.replace("WITH RECURSIVE ", "", 1).replace("FROM recurring ", "FROM allrows ")},
+spent AS (SELECT person_id, month, category, CAST(sum(total_abs) AS DECIMAL(19,2)) AS total, year(month) * 12 + month(month) AS idx FROM cube WHERE type = 'EXPENSE' GROUP BY ALL),
+months AS (SELECT person_id, month, idx, CAST(sum(total) AS DECIMAL(19,2)) AS total, CAST(coalesce(sum(total) FILTER (category = 'Outros'), 0) AS DECIMAL(19,2)) AS other FROM spent GROUP BY ALL),
+flows AS (SELECT person_id, CAST(coalesce(sum(abs(amount)) FILTER (type = 'INCOME'), 0) - coalesce(sum(abs(amount)) FILTER (type = 'EXPENSE'), 0) AS DECIMAL(19,2)) AS balance, sum(abs(amount)) AS moved FROM allrows WHERE transaction_date BETWEEN DATE '{MONTH}' AND DATE '{AS_OF}' GROUP BY 1),
+tops AS (SELECT spent.*, months.total AS whole FROM spent JOIN months ON months.person_id = spent.person_id AND months.month = spent.month WHERE spent.month = DATE '{MONTH}' QUALIFY row_number() OVER (PARTITION BY spent.person_id ORDER BY spent.total DESC, category) = 1),
+shares AS (SELECT person_id, {pct_sql('other', 'total')} AS percent FROM months WHERE month = DATE '{MONTH}' AND total > 0),
+grown AS (SELECT x.person_id, {_halves(_CENTS.format("(x.total - y.total)"), _CENTS.format("y.total"))} AS growth FROM months x JOIN months y ON x.person_id = y.person_id AND x.idx = y.idx + 1 WHERE y.total > 0 AND x.month = DATE '{MONTH}'),
+past AS (SELECT x.person_id, x.category, any_value(x.total) AS total, CAST(any_value(x.total) AS DOUBLE) AS v, avg(CAST(y.total AS DOUBLE)) AS mean, coalesce(stddev_samp(CAST(y.total AS DOUBLE)), 0) AS sd FROM spent x JOIN spent y ON y.person_id = x.person_id AND y.category = x.category AND y.idx BETWEEN x.idx - 3 AND x.idx - 1 WHERE x.month = DATE '{MONTH}' AND y.total > 0 GROUP BY x.person_id, x.category HAVING count(*) >= 2),
+odd AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY round(v - mean, 4) DESC, category) AS rank FROM past WHERE v > CASE WHEN sd = 0 THEN 1.75 * mean ELSE mean + 2 * sd END AND v > 1.35 * mean AND v - mean > 50),
+listed AS (SELECT person_id, count(*) AS items, CAST(sum(monthly_cost) AS DECIMAL(19,2)) AS total, string_agg(label, ', ' ORDER BY place) FILTER (place <= 4) AS names FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY monthly_cost DESC, label) AS place FROM found) GROUP BY 1),
+billed AS (SELECT card_id, CAST(sum(total_amount) AS DECIMAL(19,2)) AS billed FROM invoices WHERE year = 2000 AND month = 6 AND deleted_at IS NULL GROUP BY 1),
+used AS (SELECT owner_id AS person_id, billed.card_id, {_halves(_CENTS.format("billed"), _CENTS.format("limit_amount"))} AS used FROM billed JOIN cards ON cards.card_id = billed.card_id WHERE limit_amount > 0),
+limits AS (SELECT goal_id, owner_id AS person_id, lower(trim(regexp_extract(title, '(?i)^budget:\\s*(.+)$', 1))) AS wanted, target_amount FROM goals WHERE status = 'ACTIVE'),
+over AS (SELECT limits.person_id, wanted, CAST(sum(total) - any_value(target_amount) AS DECIMAL(19,2)) AS excess, goal_id FROM limits JOIN spent ON spent.person_id = limits.person_id AND lower(category) = wanted AND month = DATE '{MONTH}' GROUP BY limits.person_id, wanted, goal_id),
+said AS (SELECT person_id, 5 AS ord, 1 AS rank, CASE WHEN balance < 0 THEN 'warning' ELSE 'info' END AS type, 'Cashflow' AS category, 'balance ' || balance AS message FROM flows WHERE moved > 0
+  UNION ALL SELECT person_id, 10, 1, 'info', category, 'share ' || {pct_sql('total', 'whole', 1)} FROM tops WHERE whole > 0
+  UNION ALL SELECT person_id, 11, 1, 'warning', 'Outros', 'share ' || percent FROM shares WHERE percent >= 20
+  UNION ALL SELECT person_id, 20, 1, 'warning', 'Growth', 'growth ' || growth FROM grown WHERE growth > 10
+  UNION ALL SELECT person_id, 30, rank, CASE WHEN v > 2 * mean THEN 'alert' ELSE 'warning' END, category, 'unusual ' || total FROM odd WHERE rank <= 3
+  UNION ALL SELECT person_id, 40, 1, 'info', 'Assinaturas', items || ' recurring: ' || names || CASE WHEN items > 4 THEN ' and ' || (items - 4) || ' more' ELSE '' END || ', ' || total FROM listed
+  UNION ALL SELECT person_id, 50, row_number() OVER (PARTITION BY person_id ORDER BY used DESC, card_id), 'warning', 'Credit', 'used ' || used FROM used WHERE used > 80
+  UNION ALL SELECT person_id, 60, 1, 'alert', wanted, 'over by ' || excess FROM over WHERE excess > 0 QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY excess DESC, goal_id) = 1),
+fresh AS (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY person_id, lower(trim(category)), lower(trim(message)) ORDER BY ord, rank) = 1)
+SELECT person_id, ord, CAST(rank AS BIGINT) AS rank, type, category, message, row_number() OVER (PARTITION BY person_id ORDER BY ord, rank, category, message) AS place FROM fresh QUALIFY place <= 5"""
+
+
+@query("in_tk4_so3_so6_insights", "recurring", "stx", "cards", "invoices", "goals", sql=_INSIGHTS)
 def _(tx, stx, cards, invoices, goals):
     return C.insights(_inputs(tx, stx, cards, invoices, goals), MONTH)
 
@@ -76,31 +116,43 @@ a AS (SELECT person_id, n, (2 * CAST(i * 100 AS HUGEINT) + n) // (2 * n) AS inco
 """
 
 
-@query("go1_emergency_fund", "tx", sql=_AVG + """, g AS (SELECT person_id, expenses * CASE WHEN income * 10 >= expenses * 12 THEN 6 ELSE 3 END AS target, greatest(5000, CASE WHEN income > 0 THEN (2 * income + 10) // 20 ELSE (2 * expenses + 20) // 40 END) AS monthly FROM a WHERE expenses >= 50000)
-SELECT person_id, CAST(1 AS INT) AS priority, 'Emergency fund' AS title, CAST(target / 100.0 AS DECIMAL(19,2)) AS target, CAST(monthly / 100.0 AS DECIMAL(19,2)) AS monthly, CAST(greatest(6, least(24, ((2 * target * 1000000 + monthly) // (2 * monthly) + 999999) // 1000000)) AS INT) AS months FROM g""")
+_EMERGENCY = """g AS (SELECT person_id, expenses * CASE WHEN income * 10 >= expenses * 12 THEN 6 ELSE 3 END AS target, greatest(5000, CASE WHEN income > 0 THEN (2 * income + 10) // 20 ELSE (2 * expenses + 20) // 40 END) AS monthly FROM a WHERE expenses >= 50000)
+SELECT person_id, CAST(1 AS INT) AS priority, 'Emergency fund' AS title, CAST(target / 100.0 AS DECIMAL(19,2)) AS target, CAST(monthly / 100.0 AS DECIMAL(19,2)) AS monthly, CAST(greatest(6, least(24, ((2 * target * 1000000 + monthly) // (2 * monthly) + 999999) // 1000000)) AS INT) AS months FROM g"""
+
+
+@query("go1_emergency_fund", "tx", sql=f"{_AVG}, {_EMERGENCY}")
 def _(tx):
     return C.emergency_fund(C._recent(live(tx), AS_OF))
 
 
-@query("go2_debt_payoff", "tx", "invoices", "cards", sql=_AVG + """, o AS (SELECT owner_id AS person_id, sum(greatest(total_amount - paid_amount, 0)) AS debt FROM invoices i JOIN cards c ON c.card_id = i.card_id WHERE deleted_at IS NULL AND status = 'OPEN' GROUP BY 1 HAVING sum(greatest(total_amount - paid_amount, 0)) >= 500),
+_DEBT = """o AS (SELECT owner_id AS person_id, sum(greatest(total_amount - paid_amount, 0)) AS debt FROM invoices i JOIN cards c ON c.card_id = i.card_id WHERE deleted_at IS NULL AND status = 'OPEN' GROUP BY 1 HAVING sum(greatest(total_amount - paid_amount, 0)) >= 500),
 j AS (SELECT o.person_id, CAST(debt * 100 AS HUGEINT) AS debt, (2 * CAST(debt * 100 AS HUGEINT) + 6) // 12 AS base, coalesce(income, 0) - coalesce(expenses, 0) AS surplus FROM o LEFT JOIN a ON a.person_id = o.person_id),
 g AS (SELECT *, greatest(CASE WHEN surplus > 0 THEN least(2 * base, surplus) ELSE 2 * base END, 30000) AS twice FROM j)
-SELECT person_id, CAST(2 AS INT) AS priority, 'Pay off debt' AS title, CAST(debt / 100.0 AS DECIMAL(19,2)) AS target, CAST(((twice + 1) // 2) / 100.0 AS DECIMAL(19,2)) AS monthly, CAST(greatest(3, least(24, ((4 * debt * 1000000 + twice) // (2 * twice) + 999999) // 1000000)) AS INT) AS months FROM g""")
+SELECT person_id, CAST(2 AS INT) AS priority, 'Pay off debt' AS title, CAST(debt / 100.0 AS DECIMAL(19,2)) AS target, CAST(((twice + 1) // 2) / 100.0 AS DECIMAL(19,2)) AS monthly, CAST(greatest(3, least(24, ((4 * debt * 1000000 + twice) // (2 * twice) + 999999) // 1000000)) AS INT) AS months FROM g"""
+
+
+@query("go2_debt_payoff", "tx", "invoices", "cards", sql=f"{_AVG}, {_DEBT}")
 def _(tx, invoices, cards):
     return C.debt_payoff(C._recent(live(tx), AS_OF), invoicing.outstanding_debt(invoices, cards))
 
 
-@query("go3_reducible_spending", "tx", sql=_AVG + """, c AS (SELECT person_id, coalesce(nullif(trim(category), ''), 'Outros') AS category, sum(abs(amount)) AS spent FROM r WHERE type = 'EXPENSE' GROUP BY ALL),
+_REDUCIBLE = """c AS (SELECT person_id, coalesce(nullif(trim(category), ''), 'Outros') AS category, sum(abs(amount)) AS spent FROM r WHERE type = 'EXPENSE' GROUP BY ALL),
 t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY spent DESC, category) = 1), k AS (SELECT t.person_id, category, (2 * CAST(spent * 100 AS HUGEINT) + n) // (2 * n) AS average FROM t JOIN a ON a.person_id = t.person_id),
 g AS (SELECT *, (2 * average * 9 + 10) // 20 AS goal FROM k)
-SELECT person_id, CAST(3 AS INT) AS priority, 'Reduce ' || category AS title, CAST(goal / 100.0 AS DECIMAL(19,2)) AS target, CAST((average - goal) / 100.0 AS DECIMAL(19,2)) AS monthly, CAST(3 AS INT) AS months FROM g WHERE average >= 15000 AND average - goal >= 3000""")
+SELECT person_id, CAST(3 AS INT) AS priority, 'Reduce ' || category AS title, CAST(goal / 100.0 AS DECIMAL(19,2)) AS target, CAST((average - goal) / 100.0 AS DECIMAL(19,2)) AS monthly, CAST(3 AS INT) AS months FROM g WHERE average >= 15000 AND average - goal >= 3000"""
+
+
+@query("go3_reducible_spending", "tx", sql=f"{_AVG}, {_REDUCIBLE}")
 def _(tx):
     return C.reducible_spending(C._recent(live(tx), AS_OF))
 
 
-@query("go4_subscription_cleanup", "recurring", sql="""WITH k AS (SELECT person_id, trim(regexp_replace(regexp_replace(lower(description), '[0-9]', '', 'g'), '[^a-z]+', ' ', 'g')) AS key, sum(abs(amount)) AS s FROM recurring WHERE deleted_at IS NULL AND type = 'EXPENSE' AND abs(amount) >= 8 AND contains(description, 'plan') AND transaction_date BETWEEN DATE '2000-04-01' AND DATE '2000-06-30' GROUP BY ALL HAVING count(DISTINCT month(transaction_date)) = 3),
+_CLEANUP = """k AS (SELECT person_id, trim(regexp_replace(regexp_replace(lower(description), '[0-9]', '', 'g'), '[^a-z]+', ' ', 'g')) AS key, sum(abs(amount)) AS s FROM recurring WHERE deleted_at IS NULL AND type = 'EXPENSE' AND abs(amount) >= 8 AND contains(description, 'plan') AND transaction_date BETWEEN DATE '2000-04-01' AND DATE '2000-06-30' GROUP BY ALL HAVING count(DISTINCT month(transaction_date)) = 3),
 c AS (SELECT person_id, (2 * CAST(s * 100 AS HUGEINT) + 3) // 6 AS cost FROM k), g AS (SELECT person_id, sum(cost) AS t FROM c GROUP BY 1 HAVING count(*) >= 1 AND sum(cost) >= 3000)
-SELECT person_id, CAST(3 AS INT) AS priority, 'Clean up subscriptions' AS title, CAST(t / 100.0 AS DECIMAL(19,2)) AS target, CAST(t / 100.0 AS DECIMAL(19,2)) AS monthly, CAST(1 AS INT) AS months FROM g""")
+SELECT person_id, CAST(3 AS INT) AS priority, 'Clean up subscriptions' AS title, CAST(t / 100.0 AS DECIMAL(19,2)) AS target, CAST(t / 100.0 AS DECIMAL(19,2)) AS monthly, CAST(1 AS INT) AS months FROM g"""
+
+
+@query("go4_subscription_cleanup", "recurring", sql=f"WITH {_CLEANUP}")
 def _(tx):
     return C.subscription_cleanup(live(tx), AS_OF, least_keys=1)
 
@@ -110,7 +162,19 @@ def _(tx):
     return C.budget_optimization(base_cube(tx))
 
 
-@query("go_so4_generate_goals", "recurring", "stx", "invoices", "cards", "goals")
+_ESSENTIAL = "moradia|aluguel|saude|educacao|housing|health|education|rent"
+_GOALS = f"""WITH {_ALL}, {_AVG.replace("WITH ", "", 1).replace("FROM tx ", "FROM allrows ")},
+suggested AS (SELECT * FROM (WITH {_EMERGENCY}) UNION ALL SELECT * FROM (WITH {_DEBT})
+  UNION ALL SELECT * FROM (WITH {_REDUCIBLE.replace("GROUP BY ALL)", f"AND NOT regexp_matches(lower(coalesce(category, '')), '{_ESSENTIAL}') GROUP BY ALL)", 1)})
+  UNION ALL SELECT * FROM (WITH {_CLEANUP.replace("FROM recurring ", "FROM allrows ").replace("HAVING count(*) >= 1", "HAVING count(*) >= 3")})
+  UNION ALL SELECT * FROM ({_VOLATILE.replace("FROM tx_dense ", "FROM recurring ")} SELECT person_id, 4, 'Budget: ' || category, budget, budget, 3 FROM volatile)),
+active AS (SELECT owner_id AS person_id, lower(trim(title)) AS t FROM goals WHERE status = 'ACTIVE'),
+fresh AS (SELECT s.*, lower(trim(title)) AS t FROM suggested s WHERE NOT EXISTS (SELECT 1 FROM active WHERE active.person_id = s.person_id AND active.t = lower(trim(s.title))) QUALIFY row_number() OVER (PARTITION BY s.person_id, lower(trim(title)) ORDER BY priority, target) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY priority, starts_with(t, 'clean'), target, t) AS place FROM fresh)
+SELECT p.person_id, priority, title, target, monthly, months, place FROM placed p LEFT JOIN (SELECT person_id, count(*) AS n FROM active GROUP BY 1) a ON a.person_id = p.person_id WHERE place <= 4 - coalesce(n, 0)"""
+
+
+@query("go_so4_generate_goals", "recurring", "stx", "invoices", "cards", "goals", sql=_GOALS)
 def _(tx, stx, invoices, cards, goals):
     flow = cashflow(tx, stx, statement_rules(tx))
     return C.generate_goals(flow, base_cube(tx), invoicing.outstanding_debt(invoices, cards), goals, AS_OF)
