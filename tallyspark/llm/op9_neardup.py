@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
     known = saved(known.join(weight, "node").select("node", "words", "n", "weight"), "candidates")
     ranked = members.join(known.select("node", "weight"), "node").select("h", "node", "size", F.struct(-F.col("weight"), "node").alias("place"))
     # a large bucket is cut by a hash of its nodes into parts of about LED, each with a leader, and those have one leader
-    part = F.when(F.col("size") > LED, F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LED))).otherwise(F.lit(0)).cast("bigint")
+    parts = F.greatest(F.ceil(F.col("size") / LED), F.lit(1)).cast("bigint")
+    part = F.pmod(F.xxhash64("node"), parts)
     ranked = ranked.withColumn("part", part)
     led = saved(ranked.groupBy("h", "part").agg(F.min("place").alias("lead")), "leaders")
     top = led.groupBy("h").agg(F.min("lead").alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -268,7 +269,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
     discard(led)
     split = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     split = split.groupBy("h").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2")
-    some = members.join(split.select("h"), "h", "left_semi").select("node").distinct()
+    # a row for each part of a bucket, so that a large one is not met in one task
+    split = split.select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    some = members.withColumn("part", part).join(split, ["h", "part"], "left_semi").select("node").distinct()
     rest = remaining_pairs(saved(rarest_runs(some, known, at_least), "rarest"), classes, at_least)
     rest = saved(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     # each node's most promising pair first: its links settle most of the others
