@@ -1,7 +1,7 @@
 """Categorisation: user rules, feedback, a merchant dictionary, keywords, and ordered rules.
 
-Dictionaries are tables that the user supplies. They travel as one array each, so that a row meets
-its patterns in higher-order functions, without a row for every pair.
+Dictionaries are tables that the user supplies, of a checked size. Merchants and keywords are indexed by their
+rarest run of characters, so that a text meets only patterns that share one; a few ordered rules travel as one array.
 """
 
 from __future__ import annotations
@@ -71,26 +71,41 @@ def by_feedback(tx: DataFrame, feedback: DataFrame, past: DataFrame, newest: int
     return votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("person_id", "description", F.col("chosen_category").alias("feedback_category"), F.col("n").alias("votes"))
 
 
+def _candidates(texts: DataFrame, text: Column, entries: DataFrame, pattern: str, literal: Column) -> DataFrame:
+    """Each different description with text, joined to the entries that it may hold: those whose literal's rarest run of four
+    characters (all of a shorter literal) it has, once each. The rarest is that of the fewest patterns, so that a run of a text
+    stands for few of them. An empty literal is in all texts, a null one in none."""
+    entries = small(entries, DICTIONARY_ROWS)
+    runs = entries.select(pattern, F.explode(F.when(F.length(literal) < 4, F.array(literal)).otherwise(_runs(literal))).alias("run")).distinct()
+    rarest = runs.join(runs.groupBy("run").agg(F.count("*").alias("n")), "run").groupBy(pattern).agg(F.min(F.struct("n", "run")).alias("e"))
+    index = entries.join(rarest.select(pattern, "e.run"), pattern)  # a row an entry at most
+    keys = F.concat(F.array(F.lit("")), *[_runs(F.col("text"), n) for n in (1, 2, 3, 4)])
+    own = texts.select("description").distinct().withColumn("text", text)
+    return own.withColumn("run", F.explode(keys)).join(F.broadcast(index), "run").drop("run")
+
+
 def by_merchant(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """merchant: the entry (category, confidence) of all that match, by confidence, then length, then order in the dictionary."""
-    entries = F.broadcast(as_array(dictionary, "ordinal", "pattern", "category", "confidence"))
-    text = loose(F.col("description"))
-    length = lambda e: F.length(F.replace(e["pattern"], F.lit("|"), F.lit("")))
-    keys = F.transform(F.filter("entries", lambda e: matches_loosely(text, e["pattern"])), lambda e: F.struct(e["confidence"].cast("double").alias("confidence"), length(e).alias("length"), (-e["ordinal"]).alias("order"), e["category"].alias("category")))
-    return texts.crossJoin(entries).withColumn("merchant", F.array_max(keys)).drop("entries")  # one row
+    entries = dictionary.select("ordinal", "pattern", "category", F.col("confidence").cast("double").alias("confidence"))
+    parts = F.transform(F.split("pattern", r"\|"), lambda p: F.struct(F.length(p).alias("n"), F.when(F.length(p) <= 3, F.concat(F.lit(" "), p, F.lit(" "))).otherwise(p).alias("p")))
+    padded = F.concat(F.lit(" "), loose(F.col("description")), F.lit(" "))
+    met = _candidates(texts, padded, entries, "pattern", F.array_max(parts)["p"])
+    hit = met.where(matches_loosely(F.substring("text", F.lit(2), F.length("text") - 2), F.col("pattern")))
+    length = F.length(F.replace("pattern", F.lit("|"), F.lit("")))
+    best = hit.groupBy("description").agg(F.max(F.struct("confidence", length.alias("length"), (-F.col("ordinal")).alias("order"), "category")).alias("merchant"))
+    return texts.join(best, "description", "left")
 
 
 def by_keywords(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """keyword: the category with the largest sum of the weights of the words it holds (ties by name), and the words."""
-    grouped = keywords.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("keyword", F.col("weight").cast("double").alias("weight")))).alias("words"))
-    entries = F.broadcast(as_array(grouped, "category", "words"))
-    text = normalize(F.col("description"))
-    scored = F.transform(
-        F.transform("entries", lambda e: F.struct(e["category"].alias("category"), F.filter(e["words"], lambda w: text.contains(w["keyword"])).alias("hits"))),
-        lambda e: F.struct(F.aggregate(e["hits"], F.lit(0.0), lambda a, w: a + w["weight"]).alias("score"), e["category"].alias("category"), F.array_join(F.transform(e["hits"], lambda w: w["keyword"]), ",").alias("words")),
-    )
-    best = F.get(F.array_sort(F.filter(scored, lambda s: s["score"] > 0), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["category"] < b["category"], -1).otherwise(1)), F.lit(0))
-    return texts.crossJoin(entries).withColumn("keyword", best).drop("entries")  # one row
+    entries = keywords.select("category", "keyword", F.col("weight").cast("double").alias("weight"))
+    met = _candidates(texts, normalize(F.col("description")), entries, "keyword", F.col("keyword")).where(F.col("text").contains(F.col("keyword")))
+    # sorted before they are added up, so that the sum doesn't hang on their order
+    hits = met.groupBy("description", "category").agg(F.array_sort(F.collect_list(F.struct("keyword", "weight"))).alias("hits"))
+    score = F.aggregate("hits", F.lit(0.0), lambda a, w: a + w["weight"])
+    scored = hits.select("description", "category", score.alias("score"), F.array_join(F.transform("hits", lambda w: w["keyword"]), ",").alias("words")).where("score > 0")
+    best = scored.groupBy("description").agg(F.min(F.struct((-F.col("score")).alias("down"), "category", "score", "words")).alias("b"))
+    return texts.join(best.select("description", F.struct("b.score", "b.category", "b.words").alias("keyword")), "description", "left")
 
 
 def confidence_of(score: Column) -> Column:

@@ -270,6 +270,30 @@ def test_feedback_by_runs(spark):
     assert got == sorted((p, x, y) for p in (1, 2) for x in targets for y in pasts[p - 1 :] if x in y)
 
 
+def test_dictionaries_by_runs(spark):
+    """Merchants and keywords found by the index are those found by trying each pattern on each text."""
+    texts = ["Uber trip", "uber", "PAG uber eats", "tv", "tv box", "atv", "", None, "x", "abc loja", "abcd loja", "loja abc sol", "a a", "Açaí do Zé"]
+    patterns = ["uber", "uber|trip", "tv", "abc|loja", "loja", "a", "acai", "sol|abc|loja", "eats|uber", "zzzz", "ze", "ube"]
+    frame = spark.createDataFrame([(t,) for t in texts], "description string")
+    dictionary = spark.createDataFrame([(i, p, f"c{i}", 0.5 + (i % 3) / 10) for i, p in enumerate(patterns)] + [(99, None, "none", 0.9)], "ordinal int, pattern string, category string, confidence double")
+    plain = {None: None, "Açaí do Zé": "acai do ze"}
+    plain = {t: plain.get(t, t and t.lower()) for t in texts}
+    holds = lambda t, p: f" {p} " in f" {t} " if len(p) <= 3 else p in t
+    want = {}
+    for t in texts:
+        found = [(0.5 + (i % 3) / 10, len(p.replace("|", "")), -i, f"c{i}") for i, p in enumerate(patterns) if t is not None and all(holds(plain[t], x) for x in p.split("|"))]
+        want[t] = max(found)[3] if found else None
+    got = classifying.by_merchant(frame, dictionary).collect()
+    assert {r.description: r.merchant and r.merchant.category for r in got} == want and len(got) == len(texts)
+    words = [("A", "uber", 1.0), ("A", "tv", 2.0), ("B", "u", 1.0), ("B", "loja", 0.5), ("C", "loja", 0.5), ("C", "abcd", 0.25), ("C", "abcd", 0.25), ("D", "acai do", 3.0)]
+    want = {}
+    for t in texts:
+        sums = {c: sum(w for d, k, w in words if d == c and t is not None and k in plain[t]) for c in "ABCD"}
+        want[t] = min((-s, c) for c, s in sums.items()) if any(sums.values()) else None
+    got = classifying.by_keywords(frame, spark.createDataFrame(words, "category string, keyword string, weight double")).collect()
+    assert {r.description: r.keyword and (-r.keyword.score, r.keyword.category) for r in got} == want
+
+
 def test_small_tables(spark):
     assert small(spark.range(3), 3).count() == 3
     with pytest.raises(ValueError, match="more than 2 rows"):
