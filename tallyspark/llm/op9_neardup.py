@@ -287,8 +287,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     rows = docs.select("key", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("node"))
     texts = rows.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
-    texts = texts.join(classes, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    sizes = texts.groupBy("class").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    texts = saved(texts.join(classes, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node")), "texts")
+    # written first: a join right after the aggregate would keep its partitions, with a large class whole in one task, while
+    # one of two tables is broadcast or split by AQE
+    sizes = saved(texts.groupBy("class").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), "sizes")
     facts = texts.join(sizes, "class").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     return rows.join(facts, "node").select(F.col("key").alias(key), "node", "class_id", "class_size", "links")
 
