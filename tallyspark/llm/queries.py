@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import op1_mixing, op2_decontamination, op3_pii, op4_matroska, op5_urls, op6_chat, op7_quality, op8_html, op9_neardup, op10_warc
+from tallyspark.llm import op1_mixing, op2_decontamination, op3_pii, op4_matroska, op5_urls, op6_chat, op7_quality, op8_html, op9_neardup, op10_warc, op13_periodic
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_html": op8_html.query,
     "op9_neardup": op9_neardup.query,
     "op10_warc": op10_warc.query,
+    "op13_periodic": op13_periodic.query,
     "pipeline": pipeline,
 }
 
