@@ -31,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 _written: set[str] = set()
 
 
+def kept_until_release(at: str) -> None:
+    """Notes a folder that release deletes."""
+    _written.add(at)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df once into the shared folder and returns the written table: later steps don't
     compute it again, and its lineage is cut. discard deletes it, release all that are left."""
