@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import op1_mixing, op2_decontamination, op3_pii, op4_matroska, op5_urls, op6_chat, op7_quality, op8_html, op9_neardup, op10_warc, op12_lines, op13_periodic
+from tallyspark.llm import op1_mixing, op2_decontamination, op3_pii, op4_matroska, op5_urls, op6_chat, op7_quality, op8_html, op9_neardup, op10_warc, op11_phrases, op12_lines, op13_periodic
 
 
 def pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_html": op8_html.query,
     "op9_neardup": op9_neardup.query,
     "op10_warc": op10_warc.query,
+    "op11_phrases": op11_phrases.query,
     "op12_lines": op12_lines.query,
     "op13_periodic": op13_periodic.query,
     "pipeline": pipeline,
@@ -32,5 +33,6 @@ ORACLES = {
     "op5_urls": op5_urls.SQL,
     "op6_chat": op6_chat.SQL,
     "op10_warc": op10_warc.SQL,
+    "op11_phrases": op11_phrases.SQL,
     "op12_lines": op12_lines.SQL,
 }
