@@ -64,8 +64,7 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
         at = f"{shared_dir(self.spark)}/{name}"
-        dealt = rows.repartition(self.buckets, "key")  # where the rows lie so already, as after a merge, Spark leaves this out
-        dealt.write.bucketBy(self.buckets, "key").sortBy("key").option("path", at).option("compression", "zstd").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", at).option("compression", "zstd").saveAsTable(name)
         run = self.spark.table(name)
         run.saved_at, run.name = at, name
         kept_until_release(at)
@@ -75,6 +74,18 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE {run.name}")
         discard(run)
 
+    @staticmethod
+    def both(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs' rows, merged bucket by bucket: each task has one bucket's rows, in order."""
+        rows = a.withColumnRenamed("docs", "before").join(b, "key", "full")
+        return rows.select("key", (F.coalesce("before", F.lit(0)) + F.coalesce("docs", F.lit(0))).alias("docs"))
+
+    def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        merged = self._write(self.both(a, b))
+        self._drop(a)
+        self._drop(b)
+        return merged
+
     def settled(self) -> Iterable[DataFrame]:
         return [run.where(F.col("docs") >= self.least_docs).select("key") for run in self.levels if run]
 
@@ -83,13 +94,9 @@ class LineRuns:
         own = lines.groupBy("key").agg(F.sum("copies").alias("docs"))
         for keys in self.settled():
             own = own.join(keys, "key", "left_anti")
-        run, level = self._write(own), 0
+        run, level = self._write(own.repartition(self.buckets, "key")), 0
         while level < len(self.levels) and (other := self.levels[level]):
-            both = other.withColumnRenamed("docs", "before").join(run, "key", "full")
-            merged = self._write(both.select("key", (F.coalesce("before", F.lit(0)) + F.coalesce("docs", F.lit(0))).alias("docs")))
-            self._drop(other)
-            self._drop(run)
-            run, self.levels[level], level = merged, None, level + 1
+            run, self.levels[level], level = self._merge(other, run), None, level + 1
         if level == len(self.levels):
             self.levels.append(None)
         self.levels[level] = run
@@ -99,11 +106,7 @@ class LineRuns:
         runs = [run for run in self.levels if run]
         self.levels = []
         while len(runs) > 1:
-            a, b = runs[:2]
-            both = a.withColumnRenamed("docs", "before").join(b, "key", "full")
-            runs = [self._write(both.select("key", (F.coalesce("before", F.lit(0)) + F.coalesce("docs", F.lit(0))).alias("docs"))), *runs[2:]]
-            self._drop(a)
-            self._drop(b)
+            runs = [self._merge(*runs[:2]), *runs[2:]]
         if not runs:
             return self.spark.createDataFrame([], "key binary")
         keys = saved(runs[0].where(F.col("docs") >= self.least_docs).select("key"), "settled")
