@@ -118,6 +118,7 @@ def drop_lines(docs: DataFrame, lines: DataFrame, settled: DataFrame, text: str
     """docs with n_lines, n_dropped and kept_text, without the lines of settled keys. lines are line_keys of docs."""
     docs = without(docs, ["n_lines", "n_dropped", "kept_text"])
     gone = lines.join(settled, "key", "left_semi").groupBy(F.col("node").alias("__node")).agg(F.collect_list("key").alias("__gone"))
+    gone = saved(gone, "gone")  # a join right after the aggregate would keep its partitions, and with them all copies of a text in one task
     own = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
     joined = docs.withColumn("__own", own).join(gone, F.col("__own") == F.col("__node"), "left").drop("__own", "__node")
 
