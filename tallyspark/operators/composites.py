@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import month_index, period_start
 from tallyspark.functions.money import MONEY, total_if, whole_percent
+from tallyspark.functions.shared import saved
 from tallyspark.functions.text import description_key
 from tallyspark.operators import classifying, detection, ingesting, invoicing, portfolio, summaries
 
@@ -250,28 +251,80 @@ def period_reports(tx: DataFrame, kind: str, investments: DataFrame, budgets: Da
     return wide.select("person_id", F.lit(kind).alias("report_type"), "period_start", "period_end", document.alias("data"))
 
 
-def ingest(parsed: DataFrame, rules: DataFrame, feedback: DataFrame, past: DataFrame, dictionary: DataFrame, keywords: DataFrame, existing: DataFrame, cards: DataFrame, net: Column | None = None, amounts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One batch of uploads: parsed rows to transactions, cards, installments, invoices and summaries.
+def estimated_due(date: Column, due_day: Column) -> Column:
+    """The card's due day, 1 to 28, else the tenth, of the month after a purchase."""
+    day = F.when(due_day.between(1, 28), due_day).otherwise(10)
+    return F.date_add(F.add_months(F.trunc(date, "month"), 1), (day - 1).cast("int"))
+
+
+def invoice_totals(lines: DataFrame, stated: DataFrame, existing: DataFrame) -> DataFrame:
+    """Invoices by card and month after uploads in the order of doc_id: each adds its lines (doc_id, card_key, year, month, amount, due_date) to what
+    there is; one that states its total (doc_id, stated) and is of one invoice sets that invoice to it. So an invoice is what the last such
+    upload states and what later ones add. action: insert, update or keep."""
+    by = ["card_key", "year", "month"]
+    added = lines.groupBy("doc_id", *by).agg(F.sum("amount").alias("added"), F.max("due_date").alias("new_due"))
+    alone = added.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").join(stated.where("stated > 0"), "doc_id")
+    sets = added.join(alone.select("doc_id", "stated"), "doc_id", "left")
+    last = sets.where("stated is not null").groupBy(*by).agg(F.max(F.struct("doc_id", "stated")).alias("last"))
+    sums = sets.join(last, by, "left").groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(F.col("last").isNull() | (F.col("doc_id") > F.col("last.doc_id")), F.col("added"))), F.lit(0)).alias("added"), F.max("last.stated").alias("stated"), F.max("new_due").alias("new_due")
+    )
+    old = existing.groupBy(*by).agg(F.sum("total_amount").alias("before"), F.min("due_date").alias("old_due"))
+    c = F.col
+    action = F.when(c("before").isNull(), "insert").when(c("added").isNull(), "keep").otherwise("update")
+    whole = F.coalesce("stated", "before", F.lit(0)) + F.coalesce("added", F.lit(0))
+    return sums.join(old, by, "full_outer").select(*by, whole.cast(MONEY).alias("total"), F.coalesce("old_due", "new_due").alias("due_date"), action.alias("action"))
+
+
+def ingest(parsed: DataFrame, rules: DataFrame, feedback: DataFrame, past: DataFrame, dictionary: DataFrame, keywords: DataFrame, existing: DataFrame, cards: DataFrame, net: Column | None = None, amounts: DataFrame | None = None, one_invoice: list[str] | None = None) -> dict[str, DataFrame]:
+    """One batch of uploads, in the order of doc_id: parsed rows to transactions, cards, installments, invoices and summaries.
 
-    Rows without date or with amount 0 are left out; the transaction date is the due date and the line's date the purchase
-    date. A row's card is the owner's with its brand and last digits, else with its brand and name, else a new one, whose key
-    holds owner, brand, digits and name. Invoices are keyed by card. Numbers and totals of instalments are the line's, 1 without.
+    Rows without date or with amount 0 are left out; the transaction date is the due date, without one the card's due day in the month after the
+    line's date, which is the purchase date. A category that a row brings stays, unless it is blank or the default; others are classified. A row's
+    card is found or made as by invoicing.resolve_cards; without a brand in the names of card and file the card's name is its brand. A new card's key holds owner, brand, digits and name.
+    Invoices are keyed by card and month; where a card's name in an upload holds one of the words of one_invoice, all rows of a month are of the invoice of the first one's card. Numbers and totals of instalments are the line's, 1 without.
     net: whether an upload's sum counts refunds as negative. amounts: the invoices' own figures, for the capture summary.
     """
     c = F.col
     given = lambda name, type_: c(name) if name in parsed.columns else F.lit(None).cast(type_)
     good = parsed.where("date is not null and amount > 0").withColumn("tx_id", F.concat_ws("-", "doc_id", "line_no", "description", c("amount").cast("string"), "card_name"))
-    classes = classifying.classify(good.select("tx_id", "person_id", "description", "amount", "type").dropDuplicates(["tx_id"]), rules, feedback, past, dictionary, keywords)
-    seen = ingesting.card_identity(c("card_name"), F.coalesce(given("file_name", "string"), F.lit("")))
-    rows = good.withColumn("brand", seen["brand"]).withColumn("last_four", seen["last_four"])
-    who = F.concat_ws("|", "person_id", F.coalesce("brand", F.lit("")), F.coalesce("last_four", F.lit("")), F.coalesce("card_name", F.lit("")))
-    rows = rows.withColumn("row_id", who)
-    named = rows.select("row_id", c("person_id").alias("owner_id"), c("card_name").alias("name"), "brand", "last_four").distinct()
-    resolved = invoicing.resolve_cards(named, cards).withColumn("card_key", F.coalesce(c("card_id").cast("string"), F.concat(F.lit("new|"), "row_id")))
-    tx = rows.join(classes.select("tx_id", "category", "confidence"), "tx_id").join(resolved.select("row_id", "card_key", "matched_by"), "row_id")
-    tx = tx.select("tx_id", "doc_id", "line_no", "person_id", "description", "amount", "type", "category", "confidence", F.coalesce("due_date", "date").alias("transaction_date"), c("date").alias("purchase_date"), "card_name", "card_key", "matched_by", F.coalesce(given("installment_number", "int"), F.lit(1)).alias("number"), F.coalesce(given("installment_total", "int"), F.lit(1)).alias("total"))
+    own = F.nullif(F.trim(given("category", "string")), F.lit(""))
+    good = good.withColumn("own_category", F.when(~F.lower(own).isin("outros", "other"), own))
+    unknown = good.where("own_category is null").select("tx_id", "person_id", "description", "amount", "type").dropDuplicates(["tx_id"])
+    classes = classifying.classify(unknown, rules, feedback, past, dictionary, keywords).select("tx_id", c("category").alias("found_category"), c("confidence").alias("found_confidence"), c("reason").alias("category_by"))
+    file = F.coalesce(given("file_name", "string"), F.lit(""))
+    seen = ingesting.card_identity(F.coalesce("card_name", F.lit("")), file)
+    name = F.coalesce(F.nullif(F.trim("card_name"), F.lit("")), seen["brand"], F.nullif(file, F.lit("")), F.lit("Card"))
+    rows = good.withColumn("name", name).withColumn("brand", F.coalesce(seen["brand"], name)).withColumn("last_four", seen["last_four"])
+    rows = rows.withColumn("row_id", F.concat_ws("|", "doc_id", "person_id", "brand", F.coalesce("last_four", F.lit("")), "name"))
+    named = rows.groupBy("row_id", c("person_id").alias("owner_id"), "name", "brand", "last_four", c("doc_id").alias("upload")).agg(F.min("line_no").alias("place"))
+    resolved = saved(invoicing.resolve_cards(named, cards), "cards")
+    made = invoicing.new_cards(named, resolved)
+    key = F.concat_ws("|", F.lit("new"), "owner_id", "brand", F.coalesce("last_four", F.lit("")), "name")
+    day = cards.select("card_id", c("due_day").alias("old_day")) if "due_day" in cards.columns else cards.select("card_id", F.lit(None).cast("int").alias("old_day"))
+    found = resolved.join(made.select("made_by", key.alias("new_key"), "due_day"), "made_by", "left").join(day, "card_id", "left")
+    found = found.select("row_id", "card_id", "matched_by", F.coalesce(c("card_id").cast("string"), "new_key").alias("card_key"), F.coalesce("old_day", "due_day").alias("due_day"))
+    due = F.coalesce("due_date", estimated_due(c("date"), c("due_day")))
+    tx = rows.join(classes, "tx_id", "left").join(found.drop("card_id"), "row_id")
+    tx = tx.select(
+        "tx_id", "doc_id", "line_no", "person_id", "description", "amount", "type", F.coalesce("own_category", "found_category").alias("category"), F.when(c("own_category").isNull(), c("found_confidence")).alias("confidence"), F.when(c("own_category").isNotNull(), "given").otherwise(c("category_by")).alias("category_by"),
+        due.alias("transaction_date"), c("date").alias("purchase_date"), "card_name", "card_key", "matched_by", F.coalesce(given("installment_number", "int"), F.lit(1)).alias("number"), F.coalesce(given("installment_total", "int"), F.lit(1)).alias("total"), "document_total",
+    )
+    month = [F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month")]
+    keyed = tx.select("doc_id", "person_id", "line_no", "tx_id", "card_name", "card_key", *month, F.when(c("type") == "EXPENSE", c("amount")).otherwise(-c("amount")).alias("amount"), c("transaction_date").alias("due_date"), "document_total")
+    if one_invoice:
+        bank = F.coalesce(*[F.when(F.lower("card_name").contains(w.lower()), w) for w in one_invoice])
+        shared = keyed.groupBy("doc_id").agg(F.max(bank).alias("bank")).where("bank is not null")
+        first = keyed.join(shared, "doc_id").groupBy("doc_id", "year", "month").agg(F.min_by("card_key", F.struct("line_no", "tx_id")).alias("first_card"))
+        keyed = keyed.join(first, ["doc_id", "year", "month"], "left").withColumn("card_key", F.coalesce("first_card", "card_key")).drop("first_card")
     lines = tx.select("doc_id", c("tx_id").alias("transaction_id"), "card_key", "number", "total", "amount", c("transaction_date").alias("due_date"))
-    keyed = tx.select("card_key", F.year("transaction_date").alias("year"), F.month("transaction_date").alias("month"), F.when(c("type") == "EXPENSE", c("amount")).otherwise(-c("amount")).alias("amount"), c("transaction_date").alias("due_date"))
-    old = existing.withColumn("card_key", c("card_id").cast("string"))
-    out = {"transactions": tx.drop("number", "total"), "cards": named.join(resolved, "row_id").drop("row_id"), "installments": lines, "invoices": invoicing.upsert_invoices(keyed, old, ("card_key",)), "uploads": ingesting.upload_summary(good, F.lit(True) if net is None else net)}
+    stated = keyed.groupBy("doc_id").agg(F.max("document_total").alias("stated"))
+    uploads = keyed.select("doc_id", F.concat_ws("|", "card_key", "year", "month").alias("k")).groupBy("doc_id").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    counted = good.join(uploads.where("low = high").select("doc_id", F.lit("one").alias("invoice")), "doc_id", "left").withColumn("invoice_key", F.coalesce("invoice", "tx_id"))
+    counted = counted.withColumn("document_total", F.when(c("invoice").isNotNull(), c("document_total")))
+    out = {
+        "transactions": tx.drop("number", "total", "document_total"),
+        "cards": named.select("row_id", "owner_id", "name", "brand", "last_four").join(found, "row_id").drop("row_id", "due_day").distinct(), "new_cards": made.withColumn("card_key", key).drop("made_by"), "installments": lines,
+        "invoices": invoice_totals(keyed, stated, existing.withColumn("card_key", c("card_id").cast("string"))), "uploads": ingesting.upload_summary(counted, F.lit(True) if net is None else net),
+    }
     return out if amounts is None else out | {"capture": ingesting.capture_summary(good, amounts)}

@@ -18,10 +18,16 @@ def installment(description: Column) -> Column:
     return F.struct(F.when(ok, n).alias("number"), F.when(ok, m).alias("total"))
 
 
-def card_identity(card_name: Column, file_name: Column) -> Column:
-    """(brand, last four digits) from the card's name, else the file's."""
-    brand = lambda x: F.nullif(F.lower(F.regexp_extract(x, r"(?i)(visa|master(?:card)?|elo|amex|hipercard)", 1)), F.lit(""))
-    last = lambda x: F.nullif(F.regexp_extract(x, r"(\d{4})(?!.*\d{4})", 1), F.lit(""))
+#: Card networks by the words that name them, the first that occurs; fixed values.
+NETWORKS = [("visa", "visa"), ("mastercard", "mastercard"), ("master", "mastercard"), ("elo", "elo"), ("amex", "amex"), ("american express", "amex"), ("hipercard", "hipercard"), ("diners", "diners")]
+
+
+def card_identity(card_name: Column, file_name: Column, brands: list[tuple[str, str]] = NETWORKS) -> Column:
+    """(brand, last four digits) from the card's name, else the file's. brands: words and the brand that each stands for, in order.
+    The digits are the last four that no digit follows, else those after 'final'."""
+    brand = lambda x: F.coalesce(*[F.when(F.contains(F.lower(x), F.lit(word)), F.lit(name)) for word, name in brands])
+    digits = lambda x, pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
+    last = lambda x: F.coalesce(digits(x, r"(?s)(\d{4})(?!.*\d)"), digits(x, r"(?i)final\s*(\d{4})"))
     return F.struct(F.coalesce(brand(card_name), brand(file_name)).alias("brand"), F.coalesce(last(card_name), last(file_name)).alias("last_four"))
 
 
@@ -159,11 +165,16 @@ def choose_extraction(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def upload_summary(rows: DataFrame, net: Column) -> DataFrame:
-    """Dates, count and total of each upload: signed (expenses less income) for net layouts, else the sum;
-    the document's own total replaces it."""
+    """Dates, count and total of each upload: signed (expenses less income) for net layouts, else the sum. The
+    document's own total replaces it if it is positive and all rows are of one invoice: column invoice_key, without it card and due month."""
+    key = F.col("invoice_key") if "invoice_key" in rows.columns else F.concat_ws("|", F.coalesce("card_name", F.lit("")), F.date_format(F.coalesce("due_date", "date"), "yyyy-MM"))
     signed = F.when(F.col("type") == "EXPENSE", F.col("amount")).otherwise(-F.col("amount"))
-    sums = rows.groupBy("doc_id").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n"), total(F.when(net, signed).otherwise(F.col("amount"))).alias("summed"), F.max("document_total").alias("stated"))
-    return sums.select("doc_id", "first_date", "last_date", "n", F.coalesce("stated", "summed").cast(MONEY).alias("total"), "summed")
+    sums = rows.groupBy("doc_id").agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n"), total(F.when(net, signed).otherwise(F.col("amount"))).alias("summed"),
+        F.max("document_total").alias("stated"), (F.min(key) == F.max(key)).alias("one_invoice"),
+    )
+    total_ = F.when(F.col("one_invoice") & (F.col("stated") > 0), F.col("stated")).otherwise(F.col("summed"))
+    return sums.select("doc_id", "first_date", "last_date", "n", total_.cast(MONEY).alias("total"), "summed")
 
 
 def statement_amounts(rows: DataFrame) -> DataFrame:

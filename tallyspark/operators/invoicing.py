@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import MONEY, total
+from tallyspark.functions.shared import discard, saved
 
 
 def invoice_net_totals(installments: DataFrame, tx: DataFrame) -> DataFrame:
@@ -92,14 +95,67 @@ def backfill_reference_month(tx: DataFrame, installments: DataFrame) -> DataFram
     )
 
 
+#: What a card has that a batch makes; fixed values.
+CARD_DEFAULTS = {"limit_amount": 10_000, "closing_day": 5, "due_day": 15}
+
+
 def resolve_cards(rows: DataFrame, cards: DataFrame) -> DataFrame:
-    """rows (row_id, owner_id, name, brand, last_four) with a card: same last digits and brand, else same name
-    and brand, else a new one. Of several cards the smallest id."""
-    by_digits = cards.groupBy("owner_id", "brand", "last_four").agg(F.min("card_id").alias("by_digits"))
-    by_name = cards.groupBy("owner_id", "brand", F.lower("name").alias("lname")).agg(F.min("card_id").alias("by_name"))
-    out = rows.withColumn("lname", F.lower("name")).join(by_digits, ["owner_id", "brand", "last_four"], "left").join(by_name, ["owner_id", "brand", "lname"], "left")
-    how = F.when(F.col("by_digits").isNotNull(), "digits").when(F.col("by_name").isNotNull(), "name").otherwise("new")
-    return out.select("row_id", F.coalesce("by_digits", "by_name").alias("card_id"), how.alias("matched_by"))
+    """rows (row_id, owner_id, name, brand, last_four; upload and place where uploads have several rows) with a card: the first of the
+    owner's with the same brand and last digits, else the first with the same brand and name, else a new one, which later
+    rows find in turn. Brands and names are compared without case; a missing name is the brand, a missing brand the name.
+
+    Uploads come in the order of `upload`, their rows in that of `place`, then row_id. Within an upload, rows with the brand and last digits
+    (the name, where there are none) of an earlier row have that row's card. Cards there are come first, by id.
+    Result: row_id, card_id (null: a new card), made_by (the row that makes the new card), matched_by (upload, digits, name or new).
+
+    A row makes a card when neither its digits nor its name are taken before it, and then takes both. So the rows that do are
+    those that, of all that are left, come first for both of their keys; rows whose keys they take are done, and the rest goes
+    another round. Rounds are as many as such rows wait for each other in a chain; each is a few joins and aggregates, however many rows one owner has.
+    """
+    c = F.col
+    for name in ("upload", "place"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, c("row_id"))
+    text = lambda x: F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(None).cast("string"))
+    name, brand = F.coalesce(text(c("name").cast("string")), text(c("brand").cast("string")), F.lit("")), F.coalesce(text(c("brand").cast("string")), text(c("name").cast("string")), F.lit(""))
+    own = rows.select("row_id", "owner_id", "upload", F.struct("upload", "place", "row_id").alias("at"), F.lower(brand).alias("b"), F.lower(name).alias("n"), text(c("last_four").cast("string")).alias("d"))
+    own = own.withColumn("k", F.coalesce("d", "n"))
+    keys = ["owner_id", "upload", "b", "k"]
+    first = own.groupBy(*keys).agg(F.min("at").alias("at"), F.min_by("n", "at").alias("n"), F.min_by("d", "at").alias("d"))
+    first = saved(first, "card-keys")
+    known = cards.select("owner_id", "card_id", F.lower(F.trim("brand")).alias("b"), F.lower(F.trim("name")).alias("n"), c("last_four").cast("string").alias("d"))
+    old = {k: known.where(c(k).isNotNull()).groupBy("owner_id", "b", k).agg(F.min("card_id").alias("card_id")) for k in ("d", "n")}
+    left = first.join(old["d"], ["owner_id", "b", "d"], "left_anti").join(old["n"], ["owner_id", "b", "n"], "left_anti")
+    left = saved(left.groupBy("owner_id", "b", "d", "n").agg(F.min("at").alias("at")), "cards-left")
+    made = []
+    while not left.isEmpty():
+        of = {k: left.where(c(k).isNotNull()).groupBy("owner_id", "b", k).agg(F.min("at").alias(f"{k}_at")) for k in ("d", "n")}
+        here = left.join(of["n"], ["owner_id", "b", "n"]).join(of["d"], ["owner_id", "b", "d"], "left").where("at = n_at and (d is null or at = d_at)")
+        made.append(saved(here.select("owner_id", "b", "d", "n", "at"), "cards-made"))
+        rest = left.join(made[-1].select("owner_id", "b", "d"), ["owner_id", "b", "d"], "left_anti").join(made[-1].select("owner_id", "b", "n"), ["owner_id", "b", "n"], "left_anti")
+        rest = saved(rest, "cards-left")
+        discard(left)
+        left = rest
+    new = reduce(lambda a, b: a.unionByName(b), made, left)
+    found = first
+    for k in ("d", "n"):
+        hits = old[k].withColumn("since", F.lit(None).cast(first.schema["at"].dataType)).unionByName(new.where(c(k).isNotNull()).select("owner_id", "b", k, F.lit(None).cast(cards.schema["card_id"].dataType).alias("card_id"), c("at").alias("since")))
+        hits = hits.select("owner_id", "b", k, F.struct("card_id", "since").alias(f"by_{k}"))
+        found = found.join(hits, ["owner_id", "b", k], "left")
+    before = lambda hit: hit.isNotNull() & (hit["since"].isNull() | (hit["since"] < c("at")))
+    how = F.when(before(c("by_d")), F.struct(F.lit("digits").alias("how"), "by_d.card_id", "by_d.since")).when(before(c("by_n")), F.struct(F.lit("name").alias("how"), "by_n.card_id", "by_n.since"))
+    none = F.lit(None).cast(cards.schema["card_id"].dataType).alias("card_id")
+    found = found.select(*keys, c("at").alias("first"), F.coalesce(how, F.struct(F.lit("new").alias("how"), none, c("at").alias("since"))).alias("hit"))
+    same = c("at") == c("first")
+    return own.join(found, keys).select("row_id", c("hit.card_id").alias("card_id"), c("hit.since")["row_id"].alias("made_by"), F.when(same, c("hit.how")).otherwise("upload").alias("matched_by"))
+
+
+def new_cards(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The cards that resolved rows make: made_by, owner_id, name, brand and last_four of the row that makes each, and defaults."""
+    own = resolved.where("matched_by = 'new'").select("row_id").join(rows, "row_id")
+    name, brand = F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("brand"), F.lit(""))
+    defaults = [F.lit(v).cast(MONEY if k == "limit_amount" else "int").alias(k) for k, v in CARD_DEFAULTS.items()]
+    return own.select(F.col("row_id").alias("made_by"), "owner_id", F.coalesce(name, brand).alias("name"), F.coalesce(brand, name).alias("brand"), "last_four", *defaults)
 
 
 def upsert_invoices(rows: DataFrame, existing: DataFrame, key: tuple[str, ...] = ("card_id",)) -> DataFrame:
@@ -131,8 +187,3 @@ def apply_trip(tx: DataFrame, chosen: DataFrame) -> DataFrame:
     out = joined.withColumn("trip_subcategory", F.when(hit, F.coalesce(have("trip_subcategory"), "category")).otherwise(have("trip_subcategory")))
     out = out.withColumn("trip_id", F.when(hit, F.col("new_trip")).otherwise(F.col("__trip")))
     return out.withColumn("category", F.when(hit, "Viagem").otherwise(F.col("category"))).drop("new_trip", "__trip")
-
-
-def rank_first(df: DataFrame, by: list[str], *order) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__rank = 1").drop("__rank")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from tallyspark.functions.shared import new_folder
 from tallyspark.operators import composites as C
 from tallyspark.operators import invoicing
 from tallyspark.operators.summaries import base_cube, cashflow, live
+from tallyspark.plans.classifying import _FEED, _MERCH, _RULES, _WORDS
 from tallyspark.plans.detection import _RECURRING, _VOLATILE
 from tallyspark.plans.registry import pct_sql, query
 from tallyspark.plans.summaries import CUBE, statement_rules
 from tallyspark.sources.testdata import AS_OF
 from tallyspark.sources.texts import write_scores
-from tallyspark.streaming.audit import shared_dir
 
 MONTH = "2000-06-01"
 _FLOW = """flow AS (SELECT person_id, description, amount, type, transaction_date FROM tx WHERE deleted_at IS NULL UNION ALL SELECT user_id, description, amount, CASE WHEN type = 'CREDIT' THEN 'INCOME' ELSE 'EXPENSE' END, transaction_date FROM stx WHERE type <> 'BALANCE')
@@ -217,20 +216,26 @@ def _(tx, investments, budgets, assets, goals, stx):
     )
 
 
-# Uploads name a card of the owner in odd lines and an unknown one in the others.
+# Uploads name a card of the owner, whose brand is stored in capitals, and a new one under two names.
 _UP = """WITH c AS (SELECT owner_id, min(card_id) FILTER (card_id % 2 = 0) AS card_id FROM cards GROUP BY 1),
-g AS (SELECT p.doc_id, p.line_no, p.description, p.amount, p.type, p.date, p.due_date, p.person_id, p.installment_number, CASE WHEN line_no % 2 = 1 THEN 'Visa ' || lpad(CAST(person_id % 10000 AS VARCHAR), 4, '0') ELSE 'Elo 99999' END AS card_name, c.card_id FROM parsed p LEFT JOIN c ON c.owner_id = p.person_id WHERE p.date IS NOT NULL AND p.amount > 0),
-made AS (SELECT concat_ws('-', doc_id, line_no, description, amount, card_name) AS tx_id, doc_id, line_no, person_id, description, amount, type, coalesce(due_date, date) AS transaction_date, date AS purchase_date,
-  CASE WHEN line_no % 2 = 1 THEN CAST(card_id AS VARCHAR) ELSE 'new|' || person_id || '|elo|9999|Elo 99999' END AS card_key, coalesce(installment_number, 1) AS number FROM g)
+g0 AS (SELECT p.doc_id, p.line_no, p.description, p.amount, p.type, p.date, p.due_date, p.person_id, p.installment_number, p.document_total, CASE line_no % 3 WHEN 1 THEN 'Visa ' || lpad(CAST(person_id % 10000 AS VARCHAR), 4, '0') WHEN 2 THEN 'Elo 99999' ELSE 'gold elo 9999' END AS card_name, CASE WHEN line_no % 5 = 0 THEN 'Own' WHEN line_no % 5 = 1 THEN ' outros ' END AS own_category
+  FROM parsed p WHERE p.date IS NOT NULL AND p.amount > 0),
+e AS (SELECT person_id, 'new|' || person_id || '|elo|9999|' || arg_min(card_name, {'d': doc_id, 'l': line_no}) AS elo_key FROM g0 WHERE line_no % 3 <> 1 GROUP BY person_id),
+made AS (SELECT concat_ws('-', doc_id, line_no, description, amount, card_name) AS tx_id, doc_id, line_no, g0.person_id, description, amount, type, coalesce(due_date, date) AS transaction_date, date AS purchase_date, document_total, card_name,
+  CASE WHEN line_no % 3 = 1 THEN CAST(card_id AS VARCHAR) ELSE elo_key END AS card_key, coalesce(installment_number, 1) AS number, own_category FROM g0 LEFT JOIN e ON e.person_id = g0.person_id LEFT JOIN c ON c.owner_id = g0.person_id),
+added AS (SELECT doc_id, card_key, CAST(year(transaction_date) AS INT) AS year, CAST(month(transaction_date) AS INT) AS month, sum(CASE WHEN type = 'EXPENSE' THEN amount ELSE -amount END) AS added, max(transaction_date) AS new_due, max(document_total) AS stated FROM made GROUP BY ALL),
+alone AS (SELECT doc_id FROM added GROUP BY doc_id HAVING count(*) = 1 AND max(stated) > 0)
 """
 _UP_VIEWS = ("parsed", "rules", "feedback", "tx", "dictionary", "keywords", "invoices", "cards")
 
 
 def _ingested(part: str, parsed, rules, feedback, tx, dictionary, keywords, invoices, cards):
-    digits = lambda x: F.lpad((x % 10000).cast("string"), 4, "0")
-    uploads = parsed.withColumn("card_name", F.when(F.col("line_no") % 2 == 1, F.concat(F.lit("Visa "), digits(F.col("person_id")))).otherwise("Elo 99999"))
-    known = cards.withColumn("brand", F.when(F.col("card_id") % 2 == 0, "visa").otherwise("elo")).withColumn("last_four", digits(F.col("owner_id")))
-    return C.ingest(uploads, rules, feedback, tx, dictionary, keywords, invoices.where("deleted_at is null"), known)[part]
+    c, digits = F.col, lambda x: F.lpad((x % 10000).cast("string"), 4, "0")
+    name = F.when(c("line_no") % 3 == 1, F.concat(F.lit("Visa "), digits(c("person_id")))).when(c("line_no") % 3 == 2, "Elo 99999").otherwise("gold elo 9999")
+    uploads = parsed.withColumn("card_name", name).withColumn("category", F.when(c("line_no") % 5 == 0, "Own").when(c("line_no") % 5 == 1, " outros "))
+    known = cards.withColumn("brand", F.when(c("card_id") % 2 == 0, "VISA").otherwise("Visa Gold")).withColumn("last_four", digits(c("owner_id")))
+    amounts = parsed.groupBy("doc_id").agg(F.max("document_total").alias("invoice_amount")).select("*", F.lit(100).cast("decimal(19,2)").alias("previous_balance"), F.lit(40).cast("decimal(19,2)").alias("credits_payments"), c("invoice_amount").alias("purchases_debits"))
+    return C.ingest(uploads, rules, feedback, tx, dictionary, keywords, invoices.where("deleted_at is null"), known, amounts=amounts)[part]
 
 
 @query("up1_ingest", *_UP_VIEWS, sql=_UP + "SELECT tx_id, doc_id, line_no, person_id, description, amount, type, transaction_date, purchase_date, card_key FROM made")
@@ -238,23 +243,53 @@ def _(*views):
     return _ingested("transactions", *views).select("tx_id", "doc_id", "line_no", "person_id", "description", "amount", "type", "transaction_date", "purchase_date", "card_key")
 
 
+_UP_CLASSES = ", ".join([_UP.rstrip(), (_RULES.replace("WITH ", "", 1).replace("FROM tx t", "FROM made t").rstrip()), _FEED.replace("AS target FROM tx)", "AS target FROM made)").rstrip(), _MERCH.replace("FROM tx) d", "FROM made) d").rstrip(), _WORDS.replace("FROM tx) d", "FROM made) d").rstrip()])
+
+
+@query("up1_categories", *_UP_VIEWS, sql=_UP_CLASSES + """ SELECT t.tx_id, CASE WHEN own_category = 'Own' THEN 'Own' ELSE coalesce(rule.c, feedback_category, merch.category, words.category, 'Outros') END AS category,
+  CASE WHEN own_category = 'Own' THEN NULL ELSE CAST(CASE WHEN rule.c IS NOT NULL THEN 0.92 WHEN feedback_category IS NOT NULL THEN 0.90 WHEN merch.category IS NOT NULL THEN merch.confidence WHEN words.category IS NOT NULL THEN CASE WHEN score >= 3 THEN 0.85 WHEN score >= 2 THEN 0.75 WHEN score >= 1 THEN 0.65 ELSE 0.55 END ELSE 0.50 END AS DOUBLE) END AS confidence,
+  CASE WHEN own_category = 'Own' THEN 'given' WHEN rule.c IS NOT NULL THEN 'rule' WHEN feedback_category IS NOT NULL THEN 'feedback' WHEN merch.category IS NOT NULL THEN 'merchant' WHEN words.category IS NOT NULL THEN 'keywords:' || words.words ELSE 'default' END AS category_by
+FROM made t LEFT JOIN rule ON rule.tx_id = t.tx_id LEFT JOIN fb ON fb.person_id = t.person_id AND fb.description = t.description LEFT JOIN merch ON merch.description = t.description LEFT JOIN words ON words.description = t.description""")
+def _(*views):
+    return _ingested("transactions", *views).select("tx_id", "category", "confidence", "category_by")
+
+
 @query("up1_installments", *_UP_VIEWS, sql=_UP + "SELECT doc_id, tx_id AS transaction_id, card_key, CAST(number AS INT) AS number, CAST(1 AS INT) AS total, amount, transaction_date AS due_date FROM made")
 def _(*views):
     return _ingested("installments", *views)
 
 
-@query("up1_invoices", *_UP_VIEWS, sql=_UP + """, f AS (SELECT card_key, CAST(year(transaction_date) AS INT) AS year, CAST(month(transaction_date) AS INT) AS month, sum(CASE WHEN type = 'EXPENSE' THEN amount ELSE -amount END) AS added, max(transaction_date) AS new_due FROM made GROUP BY ALL),
+@query("up1_invoices", *_UP_VIEWS, sql=_UP + """, z AS (SELECT card_key, year, month, arg_max(stated, doc_id) FILTER (doc_id IN (SELECT doc_id FROM alone)) AS stated, max(doc_id) FILTER (doc_id IN (SELECT doc_id FROM alone)) AS since, max(new_due) AS new_due FROM added GROUP BY ALL),
+f AS (SELECT card_key, year, month, z.stated, z.new_due, (SELECT coalesce(sum(a.added), 0) FROM added a WHERE a.card_key = z.card_key AND a.year = z.year AND a.month = z.month AND (z.since IS NULL OR a.doc_id > z.since)) AS added FROM z),
 o AS (SELECT CAST(card_id AS VARCHAR) AS card_key, year, month, sum(total_amount) AS before, min(due_date) AS old_due FROM invoices WHERE deleted_at IS NULL GROUP BY ALL)
-SELECT card_key, year, month, CAST(coalesce(before, 0) + coalesce(added, 0) AS DECIMAL(19,2)) AS total, coalesce(old_due, new_due) AS due_date, CASE WHEN before IS NULL THEN 'insert' WHEN added IS NULL THEN 'keep' ELSE 'update' END AS action FROM f FULL JOIN o USING (card_key, year, month)""")
+SELECT card_key, year, month, CAST(coalesce(stated, before, 0) + coalesce(added, 0) AS DECIMAL(19,2)) AS total, coalesce(old_due, new_due) AS due_date, CASE WHEN before IS NULL THEN 'insert' WHEN added IS NULL THEN 'keep' ELSE 'update' END AS action FROM f FULL JOIN o USING (card_key, year, month)""")
 def _(*views):
     return _ingested("invoices", *views)
 
 
+@query("up1_new_cards", *_UP_VIEWS, sql=_UP + "SELECT elo_key AS card_key, person_id AS owner_id, split_part(elo_key, '|', 5) AS name, 'elo' AS brand, '9999' AS last_four, CAST(10000 AS DECIMAL(19,2)) AS limit_amount, CAST(5 AS INT) AS closing_day, CAST(15 AS INT) AS due_day FROM e")
+def _(*views):
+    return _ingested("new_cards", *views)
+
+
+@query("up1_uploads", *_UP_VIEWS, sql=_UP + """
+SELECT m.doc_id, min(purchase_date) AS first_date, max(purchase_date) AS last_date, count(*) AS n, CASE WHEN any_value(alone.doc_id) IS NOT NULL THEN max(document_total) ELSE CAST(sum(CASE WHEN type = 'EXPENSE' THEN amount ELSE -amount END) AS DECIMAL(19,2)) END AS total, CAST(sum(CASE WHEN type = 'EXPENSE' THEN amount ELSE -amount END) AS DECIMAL(19,2)) AS summed
+FROM made m LEFT JOIN alone ON alone.doc_id = m.doc_id GROUP BY m.doc_id""")
+def _(*views):
+    return _ingested("uploads", *views)
+
+
+@query("up1_capture", *_UP_VIEWS, sql=_UP + f""", t AS (SELECT doc_id, max(document_total) AS invoice_amount FROM parsed GROUP BY 1), s AS (SELECT doc_id, sum(CASE WHEN type = 'EXPENSE' THEN amount ELSE 0 END) AS s FROM made GROUP BY 1), k AS (SELECT t.doc_id, invoice_amount, CAST(coalesce(s, 0) AS DECIMAL(19,2)) AS captured FROM t LEFT JOIN s ON s.doc_id = t.doc_id WHERE invoice_amount > 0)
+SELECT doc_id, captured, CAST(invoice_amount - captured AS DECIMAL(19,2)) AS difference, {pct_sql('captured', 'invoice_amount')} AS coverage, CAST(60 AS DECIMAL(19,2)) AS previous_outstanding, abs(invoice_amount - captured) <= 1 AS period_match, FALSE AS recommend FROM k""")
+def _(*views):
+    return _ingested("capture", *views).select("doc_id", "captured", "difference", "coverage", "previous_outstanding", "period_match", "recommend")
+
+
 @query("snk2_score_history", "persons", "tx", "cards", "invoices", sql="SELECT person_id, DATE '2000-05-31' AS calculation_date FROM persons UNION ALL SELECT person_id, DATE '2000-06-30' FROM persons")
 def _(persons, tx, cards, invoices):
     """Two dates are written, the second twice, and read back."""
     spark = persons.sparkSession
-    at = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    at = new_folder(spark, "scores")
     for day in ("2000-05-31", AS_OF, AS_OF):
         write_scores(C.health_scores(persons, tx, cards, invoices, day).withColumn("calculation_date", F.lit(day).cast("date")), at)
     return spark.read.parquet(at).where("score between 0 and 100").select("person_id", "calculation_date")

@@ -198,9 +198,12 @@ def _(parsed):
     return G.choose_extraction(a, b)
 
 
-@query("ag23_upload_summary", "parsed", sql="SELECT doc_id, min(date) AS first_date, max(date) AS last_date, count(*) AS n, max(document_total) AS total, CAST(sum(CASE WHEN doc_id % 2 = 0 AND type <> 'EXPENSE' THEN -amount ELSE amount END) AS DECIMAL(19,2)) AS summed FROM parsed GROUP BY doc_id")
+@query("ag23_upload_summary", "parsed", sql="""SELECT doc_id, min(date) AS first_date, max(date) AS last_date, count(*) AS n,
+  CASE WHEN count(DISTINCT card_name || year(due_date) || month(due_date)) = 1 AND max(stated) > 0 THEN max(stated) ELSE CAST(sum(CASE WHEN doc_id % 2 = 0 AND type <> 'EXPENSE' THEN -amount ELSE amount END) AS DECIMAL(19,2)) END AS total, CAST(sum(CASE WHEN doc_id % 2 = 0 AND type <> 'EXPENSE' THEN -amount ELSE amount END) AS DECIMAL(19,2)) AS summed
+  FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE document_total END AS stated FROM parsed) GROUP BY doc_id""")
 def _(parsed):
-    return G.upload_summary(parsed, F.col("doc_id") % 2 == 0)
+    stated = F.when(F.col("doc_id") % 5 == 0, 0).when(F.col("doc_id") % 5 > 1, F.col("document_total")).cast("decimal(19,2)")
+    return G.upload_summary(parsed.withColumn("document_total", stated), F.col("doc_id") % 2 == 0)
 
 
 @query("sf8_sf15_money", "tx", sql="SELECT tx_id, amount AS parsed, CASE WHEN type = 'INCOME' THEN -amount ELSE amount END AS trailing, amount AS loose FROM tx")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,17 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import month
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a temporary folder for a local session, and an error on a cluster."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from tallyspark.functions.shared import new_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 1) -> DataFrame:
@@ -33,7 +21,7 @@ def run_now(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFra
     """Runs a stream over what there is; of rows with one key the newest batch's counts. Each batch is
     written under its number, so that one that is run again replaces itself."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/run={number}")
