@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions.shared import new_folder
 from tallyspark.plans.registry import ORACLES, QUERIES, query
 from tallyspark.streaming import audit as A
 
@@ -38,8 +39,39 @@ QUERIES["st4_running_totals"] = st4
 ORACLES["st4_running_totals"] = """SELECT user_id AS person_id, CAST(date_trunc('month', ts) AS DATE) AS month, CASE WHEN event_type = 'purchase' THEN 'EXPENSE' ELSE 'INCOME' END AS type, CAST(sum(CAST(value AS DECIMAL(19,2))) AS DECIMAL(19,2)) AS total, count(*) AS n FROM events GROUP BY ALL"""
 
 
-@query("st2_quota", "audit", sql="""WITH RECURSIVE w AS (SELECT ip, min(ts) AS ts FROM audit GROUP BY ip UNION ALL SELECT ip, n FROM (SELECT w.ip, (SELECT min(a.ts) FROM audit a WHERE a.ip = w.ip AND a.ts >= w.ts + INTERVAL 6 HOUR) AS n FROM w) WHERE n IS NOT NULL),
+def st4_corrections(spark, sf_dir):
+    """Every event is a change of one of its user's seven rows; of the newest versions, those that aren't deleted count. Changes
+    come in six files in the order of a hash, a micro-batch each, so older versions come after newer ones."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    c = F.col
+    changes = events.select(
+        F.concat_ws("-", "user_id", (c("event_id") % 7).cast("string")).alias("tx_id"), c("event_id").alias("version"), c("user_id").alias("person_id"), F.to_date("ts").alias("transaction_date"), F.when(c("event_type") == "purchase", "EXPENSE").otherwise("INCOME").alias("type"),
+        c("event_type").alias("category"), c("value").cast("decimal(19,2)").alias("amount"), (c("event_type") == "error").alias("deleted"), c("event_type").alias("description"),
+    )
+    source = new_folder(spark, "changes")
+    changes.repartition(6, "version").write.parquet(source)
+    kept = A.CorrectedTotals(spark, new_folder(spark, "corrected"), every=2)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    kept.start(stream, dict(threshold=300, risky=["view"], keywords=["click"])).awaitTermination()
+    return kept.totals()
+
+
+QUERIES["st4_corrections"] = st4_corrections
+ORACLES["st4_corrections"] = """WITH c AS (SELECT user_id, event_id, ts, event_type, CAST(value AS DECIMAL(19,2)) AS amount FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY event_id DESC) = 1)
+SELECT user_id AS person_id, CAST(date_trunc('month', ts) AS DATE) AS month, CASE WHEN event_type = 'purchase' THEN 'EXPENSE' ELSE 'INCOME' END AS type, CAST(sum(amount) AS DECIMAL(19,2)) AS total, count(*) AS n, count(*) FILTER (amount >= 300 OR event_type IN ('view', 'click')) AS n_critical FROM c WHERE event_type <> 'error' GROUP BY ALL"""
+
+
+_QUOTA = """WITH RECURSIVE w AS (SELECT ip, min(ts) AS ts FROM audit GROUP BY ip UNION ALL SELECT ip, n FROM (SELECT w.ip, (SELECT min(a.ts) FROM audit a WHERE a.ip = w.ip AND a.ts >= w.ts + INTERVAL 6 HOUR) AS n FROM w) WHERE n IS NOT NULL),
 j AS (SELECT a.event_id, a.ip AS key, w.ts AS anchor, a.ts FROM audit a ASOF JOIN w ON w.ip = a.ip AND a.ts >= w.ts)
-SELECT event_id, key, row_number() OVER (PARTITION BY key, anchor ORDER BY ts, event_id) <= 2 AS allowed FROM j""")
+SELECT event_id, key, row_number() OVER (PARTITION BY key, anchor ORDER BY ts, event_id) <= 2 AS allowed FROM j"""
+
+
+@query("st2_quota", "audit", sql=_QUOTA)
 def _(audit):
     return A.quota(audit, "ip", limit=2, seconds=6 * 3600)
+
+
+@query("st2_quota_slices", "audit", sql=_QUOTA)
+def _(audit):
+    """The same with every key cut into slices of time."""
+    return A.quota(audit, "ip", limit=2, seconds=6 * 3600, folded=0)
