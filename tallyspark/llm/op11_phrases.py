@@ -29,10 +29,12 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 COVERED = 50
 #: The sample: so many different texts, those first by hash, of up to so many characters; phrases that it holds so often are proposed.
 SAMPLE, SAMPLE_CHARS, SAMPLE_LEAST = 2000, 20_000, 2
+#: Parts of a language that are ranked first.
+PARTS = 16
 #: Bits of the set of known phrases of one length.
 FILTER_BITS = 1 << 25
 #: Words that a task counts together before it hands on their counts.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 _SEPARATORS = bytes.maketrans(b".,;:!?\n\v\f\r", b"." * 10)
 
@@ -102,26 +104,38 @@ def counted(words: list[bytes], ids: np.ndarray, lang: str, longest: int, new: K
         there = np.flatnonzero(times)
         yield 1, spelt.take(pa.array(there)), times[there]
     own = _hash_words(words, _seed(lang))
-    # of each place: the phrase of the present length that begins there, and whether it is known; parts: the words of each
-    at, parts, hashes = np.where(ids > 0, ids, -1), np.arange(len(words))[:, None], own
+    # of each place: the hash of the phrase one shorter that begins there, and whether it is known now and was before
+    word = ids > 0
+    h, is_new, was = own[ids], word & new.has(1, own)[ids], word & old.has(1, own)[ids]
     for length in range(2, longest + 1):
-        is_new, was = new.has(length - 1, hashes), old.has(length - 1, hashes)
-        if len(at) < 2 or not len(hashes):
+        places = np.flatnonzero(is_new[:-1] & is_new[1:])
+        if not len(places):
             return
-        a, b = at[:-1], at[1:]
-        places = np.flatnonzero((a >= 0) & (b >= 0))
-        places = places[is_new[a[places]] & is_new[b[places]]]
-        before = was[a[places]] & was[b[places]]
-        code = (a[places].astype(U) << U(32)) | ids[places + length - 1].astype(U)
-        kinds, of, n = np.unique(code, return_inverse=True, return_counts=True)
-        head, last = (kinds >> U(32)).astype(np.int64), (kinds & U(0xFFFFFFFF)).astype(np.int64)
-        hashes, parts = _hash_longer(hashes[head], own[last]), np.concatenate([parts[head], last[:, None]], axis=1)
-        fresh = np.ones(len(kinds), bool)
-        fresh[of[before]] = False
-        if fresh.any():
-            yield length, pc.binary_join_element_wise(*(spelt.take(pa.array(c)) for c in parts[fresh].T), " "), n[fresh]
-        at = np.full(len(at) - 1, -1, np.int64)
-        at[places] = of
+        fresh = places[~(was[places] & was[places + 1])]
+        if len(fresh):
+            parts, n = _distinct(ids, fresh, length)
+            yield length, pc.binary_join_element_wise(*(spelt.take(pa.array(c)) for c in parts), " "), n
+        if length < longest:
+            longer = _hash_longer(h[places], own[ids[places + length - 1]])
+            h, is_new, was = np.zeros(len(h) - 1, U), np.zeros(len(h) - 1, bool), np.zeros(len(h) - 1, bool)
+            h[places], is_new[places], was[places] = longer, new.has(length, longer), old.has(length, longer)
+
+
+def _distinct(ids: np.ndarray, places: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different runs of `length` ids that begin at the places, as a list of columns, and how often each does."""
+    code, columns = ids[places].astype(U), None
+    for j in range(1, length):
+        if j > 1:
+            kinds, code = np.unique(code, return_inverse=True)
+            columns = _columns(kinds, columns)
+        code = (code.astype(U) << U(32)) | ids[places + j].astype(U)
+    kinds, n = np.unique(code, return_counts=True)
+    return _columns(kinds, columns), n
+
+
+def _columns(kinds: np.ndarray, heads: list[np.ndarray] | None) -> list[np.ndarray]:
+    head, last = (kinds >> U(32)).astype(np.int64), (kinds & U(0xFFFFFFFF)).astype(np.int64)
+    return [head, last] if heads is None else [*(c[head] for c in heads), last]
 
 
 def counts(docs: DataFrame, longest: int, new: Known, old: Known, first: bool) -> DataFrame:
@@ -247,6 +261,9 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     scored = scored.withColumns({"aa": whole("a") * whole("a"), "lr": whole("l") * whole("r")}).withColumn("score", F.expr("(aa * 1000000) div lr"))
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("b")).select("lang", "phrase", "b.a", "b.l", "b.r", "b.score")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # first in parts, so that a language's last task has no more rows than PARTS times top
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    best = best.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     total = found.where("length = 0").select("lang", "n")
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
