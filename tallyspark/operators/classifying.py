@@ -1,7 +1,7 @@
 """Categorisation: user rules, feedback, a merchant dictionary, keywords, and ordered rules.
 
-Dictionaries are tables that the user supplies, of a checked size. Merchants and keywords are indexed by their
-rarest run of characters, so that a text meets only patterns that share one; a few ordered rules travel as one array.
+Dictionaries are tables that the user supplies, of any size. Merchants, keywords and ordered rules are indexed by their
+rarest run of characters, so that a text meets only patterns that share one; Spark broadcasts an index that is small.
 """
 
 from __future__ import annotations
@@ -9,17 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.sizes import MOST_ROWS, small
+from tallyspark.functions.shared import saved
 from tallyspark.functions.text import DEFAULT_CATEGORY, is_uncategorized, loose, normalize
 
-DICTIONARY_ROWS = MOST_ROWS
-
-
-def as_array(table: DataFrame, *columns: str) -> DataFrame:
-    """A dictionary as one row with one sorted array, of a checked size."""
-    return small(table, DICTIONARY_ROWS).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("entries"))
-
-
 def matches_loosely(text: Column, pattern: Column) -> Column:
     """All |-separated parts occur; those of three letters or fewer at the bounds of a word."""
     padded = F.concat(F.lit(" "), text, F.lit(" "))
@@ -41,17 +33,27 @@ def _runs(x: Column, n: int = 4) -> Column:
 def _held_by(wanted: DataFrame, history: DataFrame) -> DataFrame:
     """wanted (person_id, target) joined to the person's history whose past description contains the target.
 
-    Each target is looked up by the one of its runs of four characters that fewest of the person's past descriptions have, so
-    that a person of many descriptions isn't paired with all of a long history; targets of three characters meet all of it.
+    A target is the beginning of a suffix of each description that contains it. Of past descriptions, the suffixes that begin with
+    the first four characters of some target are sorted, by person and those characters, among the targets: the targets that a suffix begins with
+    are the last one at or before it and those that this one begins with, as far as they fit. So a suffix meets no more targets than it has
+    beginnings, however common its words are. Targets of three characters or fewer meet the runs of their length.
     """
-    past = history.select("person_id", "past").distinct().select("person_id", "past", F.explode(_runs(F.col("past"))).alias("run"))
-    held = past.groupBy("person_id", "run").agg(F.count("*").alias("n"))
-    runs = wanted.select("person_id", "target").distinct().select("person_id", "target", F.explode(_runs(F.col("target"))).alias("run"))
-    entry = runs.join(held, ["person_id", "run"], "left").groupBy("person_id", "target").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("e")).where("e.n > 0")
-    found = entry.select("person_id", "target", "e.run").join(past, ["person_id", "run"]).where(F.col("past").contains(F.col("target"))).select("person_id", "target", "past")
-    long = wanted.join(found, ["person_id", "target"]).join(history, ["person_id", "past"])
-    short = wanted.where(F.length("target") < 4).join(history, "person_id").where(F.col("past").contains(F.col("target")))
-    return long.unionByName(short)
+    who, c = "person_id", F.col
+    past, targets = history.select(who, "past").distinct(), wanted.select(who, "target").distinct()
+    long = targets.where(F.length("target") >= 4).withColumn("head", F.substring("target", 1, 4))
+    places = past.where(F.length("past") >= 4).select(who, "past", F.explode(F.sequence(F.lit(1), F.length("past") - 3)).alias("i")).withColumn("head", F.substr("past", "i", F.lit(4)))
+    starts = places.join(long.select(who, "head").distinct(), [who, "head"], "left_semi").select(who, "head", F.substr("past", "i").alias("text"), "past")
+    both = starts.withColumn("target", F.lit(None).cast("string")).unionByName(long.select(who, "head", c("target").alias("text"), F.lit(None).cast("string").alias("past"), "target"))
+    order = Window.partitionBy(who, "head").orderBy("text", F.asc_nulls_first("past")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("last", F.last("target", ignorenulls=True).over(order)).where("past is not null and last is not null")
+    # of each target the targets that it begins with: itself and at most one for each of its beginnings
+    begins = long.select(who, c("target").alias("last"), F.explode(F.transform(F.sequence(F.lit(4), F.length("target")), lambda n: F.substr("target", F.lit(1), n))).alias("target"))
+    chains = begins.join(long.select(who, "target"), [who, "target"], "left_semi").groupBy(who, "last").agg(F.collect_list("target").alias("chain"))
+    found = near.join(chains, [who, "last"]).select(who, "past", F.explode(F.filter("chain", lambda t: F.startswith("text", t))).alias("target")).distinct()
+    few = targets.where(F.length("target") < 4)
+    runs = past.join(few.select(who).distinct(), who, "left_semi").select(who, "past", F.explode(F.concat(*[_runs(c("past"), n) for n in (1, 2, 3)])).alias("target"))
+    found = found.select(who, "target", "past").unionByName(runs.join(few, [who, "target"]).select(who, "target", "past"))
+    return wanted.join(found, [who, "target"]).join(history, [who, "past"])
 
 
 def by_feedback(tx: DataFrame, feedback: DataFrame, past: DataFrame, newest: int = 50) -> DataFrame:
@@ -63,6 +65,9 @@ def by_feedback(tx: DataFrame, feedback: DataFrame, past: DataFrame, newest: int
     history = feedback.join(past.select(F.col("tx_id").alias("transaction_id"), F.lower("description").alias("past")), "transaction_id")
     history = history.groupBy(F.col("user_id").alias("person_id"), "past", "chosen_category", "created_at").agg(F.count("*").alias("times"))
     wanted = tx.select("person_id", "description").distinct().withColumn("target", F.substring(normalize(F.col("description")), 1, 80)).where("target <> ''")
+    # both are read several times; written, neither is derived again
+    wanted = saved(wanted, "feedback-targets")
+    history = saved(history.join(wanted.select("person_id").distinct(), "person_id", "left_semi"), "feedback-history")
     pairs = _held_by(wanted, history)
     recent = Window.partitionBy("person_id", "description").orderBy(F.desc("created_at"), "chosen_category", "past")
     ranked = pairs.withColumn("upto", F.sum("times").over(recent.rowsBetween(Window.unboundedPreceding, 0))).withColumn("counted", F.greatest(F.lit(0), F.least("times", F.lit(newest) - F.col("upto") + F.col("times"))))
@@ -74,14 +79,15 @@ def by_feedback(tx: DataFrame, feedback: DataFrame, past: DataFrame, newest: int
 def _candidates(texts: DataFrame, text: Column, entries: DataFrame, pattern: str, literal: Column) -> DataFrame:
     """Each different description with text, joined to the entries that it may hold: those whose literal's rarest run of four
     characters (all of a shorter literal) it has, once each. The rarest is that of the fewest patterns, so that a run of a text
-    stands for few of them. An empty literal is in all texts, a null one in none."""
-    entries = small(entries, DICTIONARY_ROWS)
+    stands for few of them. An empty literal is in all texts, a null one in none. Entries may be as many as one likes: the join is by run, and
+    a text gives runs of only those lengths that literals have."""
     runs = entries.select(pattern, F.explode(F.when(F.length(literal) < 4, F.array(literal)).otherwise(_runs(literal))).alias("run")).distinct()
     rarest = runs.join(runs.groupBy("run").agg(F.count("*").alias("n")), "run").groupBy(pattern).agg(F.min(F.struct("n", "run")).alias("e"))
     index = entries.join(rarest.select(pattern, "e.run"), pattern)  # a row an entry at most
-    keys = F.concat(F.array(F.lit("")), *[_runs(F.col("text"), n) for n in (1, 2, 3, 4)])
+    lengths = [r[0] for r in entries.select(F.least(F.length(literal), F.lit(4)).alias("n")).where("n is not null").distinct().collect()]  # five at most
+    keys = F.concat(F.array().cast("array<string>"), *[_runs(F.col("text"), n) if n else F.array(F.lit("")) for n in lengths])
     own = texts.select("description").distinct().withColumn("text", text)
-    return own.withColumn("run", F.explode(keys)).join(F.broadcast(index), "run").drop("run")
+    return own.withColumn("run", F.explode(keys)).join(index, "run").drop("run")
 
 
 def by_merchant(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -128,11 +134,15 @@ def classify(tx: DataFrame, rules: DataFrame, feedback: DataFrame, past: DataFra
 
 
 def ordered_rule(texts: DataFrame, rules: DataFrame, default: str = DEFAULT_CATEGORY) -> DataFrame:
-    """The category of the first rule (ordinal, type or null for any, patterns, category) of which any pattern occurs."""
-    entries = F.broadcast(as_array(rules, "ordinal", "type", "patterns", "category"))
-    text = loose(F.col("description"))
-    hit = F.filter("entries", lambda r: (r["type"].isNull() | (r["type"] == F.col("type"))) & F.exists(r["patterns"], lambda p: text.contains(p)))
-    return texts.crossJoin(entries).withColumn("rule_category", F.coalesce(F.get(hit, F.lit(0))["category"], F.lit(default))).drop("entries")  # one row
+    """rule_category: that of the first rule (ordinal, type or null for any, patterns, category) of which any pattern occurs, else the
+    default. Rules may be as many as one likes: descriptions look their patterns up, and the smallest ordinal that fits a row's type wins."""
+    patterns = rules.select("ordinal", F.col("type").alias("rule_type"), "category", F.explode("patterns").alias("pattern"))
+    entries = patterns.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("ordinal", "rule_type", "category"))).alias("rules"))
+    met = _candidates(texts, loose(F.col("description")), entries, "pattern", F.col("pattern")).where(F.col("text").contains(F.col("pattern")))
+    hits = met.select("description", F.explode("rules").alias("r")).groupBy("description", "r.rule_type").agg(F.min(F.struct("r.ordinal", "r.category")).alias("first"))
+    by_type = hits.groupBy("description").agg(F.min(F.when(F.col("rule_type").isNull(), F.col("first"))).alias("any"), F.map_from_entries(F.collect_list(F.when(F.col("rule_type").isNotNull(), F.struct("rule_type", "first")))).alias("own"))
+    fits = F.least(F.col("any"), F.try_element_at("own", "type"))
+    return texts.join(by_type, "description", "left").withColumn("rule_category", F.coalesce(fits["category"], F.lit(default))).drop("any", "own")
 
 
 def uncategorized(tx: DataFrame) -> DataFrame:
