@@ -100,10 +100,18 @@ def latest(tx: DataFrame, n: int = 200, most: int = 500) -> DataFrame:
 
 
 def page(tx: DataFrame, number: int, size: int) -> DataFrame:
-    """A page of each person's transactions, newest first, with the number of pages."""
+    """A page of each person's transactions, newest first, with the number of pages. Counts by day tell which days lie on
+    the page, and only their rows are ranked, each day on its own; days come by date, rows of a day by id, rows without a date last."""
+    low, high = number * size, number * size + size
+    rows = live(tx)
     group = Window.partitionBy("person_id")
-    ranked = live(tx).withColumn("rank", F.row_number().over(group.orderBy(F.desc("transaction_date"), "tx_id"))).withColumn("n", F.count("*").over(group))
-    return ranked.where(F.col("rank").between(number * size + 1, number * size + size)).withColumn("pages", F.expr(f"(n + {size - 1}) div {size}"))
+    newest = group.orderBy(F.desc_nulls_last("transaction_date")).rowsBetween(Window.unboundedPreceding, 0)
+    days = rows.groupBy("person_id", "transaction_date").agg(F.count("*").alias("c")).select("person_id", "transaction_date", (F.sum("c").over(newest) - F.col("c")).alias("before"), F.col("c"), F.sum("c").over(group).alias("n"))
+    days = days.where((F.col("before") < high) & (F.col("before") + F.col("c") > low)).select(F.col("person_id").alias("on_person"), F.col("transaction_date").alias("on_day"), "before", "n")
+    on = F.col("person_id").eqNullSafe(F.col("on_person")) & F.col("transaction_date").eqNullSafe(F.col("on_day"))
+    place = F.row_number().over(Window.partitionBy("person_id", "transaction_date").orderBy("tx_id"))
+    ranked = rows.join(days, on).withColumn("rank", (F.col("before") + place).cast("int")).drop("on_person", "on_day", "before")
+    return ranked.where(F.col("rank").between(low + 1, high)).withColumn("pages", F.expr(f"(n + {size - 1}) div {size}"))
 
 
 def is_bill_payment(description: Column, kind: Column) -> Column:

@@ -235,8 +235,8 @@ def _(stx):
 
 
 def _read_orders(spark, sf_dir):
-    return X.read_table(spark, "orders.parquet", base=sf_dir).where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
+    return X.read_table(spark, "orders.parquet", base=sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
 QUERIES["src2_read_table"] = _read_orders
-ORACLES["src2_read_table"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'"
+ORACLES["src2_read_table"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"

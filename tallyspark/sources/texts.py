@@ -5,7 +5,9 @@ Documents are rows (doc_id, text). Everything is JVM regular expressions over ex
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import datetime
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import day_and_month, parse_date, try_date
@@ -19,34 +21,73 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
 
 
-def read_table(spark: SparkSession, name: str, base: str | None = None, url: str | None = None, partition_column: str | None = None, bounds: tuple[int, int] = (0, 1), partitions: int = 16, **options) -> DataFrame:
-    """An operational table from Parquet, or over JDBC in partitions."""
+def read_table(spark: SparkSession, name: str, base: str | None = None, url: str | None = None, partition_column: str | None = None, partitions: int = 16, **options) -> DataFrame:
+    """An operational table from Parquet, or over JDBC in partitions of about as many rows each, with filters pushed to the database.
+
+    The column that parts the table is numeric or a date. Its quantiles are those of the table: it is read first, alone and in
+    even steps from its smallest to its largest value. A value that more than a partition's share of the rows have is a partition
+    of its own; nulls go with the first one."""
     if base:
         return spark.read.parquet(f"{base}/{name}")
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**options)
-    if partition_column:
-        reader = reader.option("partitionColumn", partition_column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
-    return reader.load()
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if not partition_column:
+        return reader.option("dbtable", name).load()
+    return spark.read.jdbc(url, name, predicates=quantile_predicates(spark, reader, url, name, partition_column, partitions), properties=options)
+
+
+def quantile_predicates(spark: SparkSession, reader: DataFrameReader, url: str, name: str, column: str, partitions: int) -> list[str]:
+    """Conditions that part a table by a column: each of its rows, those with nulls too, fulfils one."""
+    columns = reader.option("dbtable", name).load().columns
+    plain = next(c for c in columns if c.lower() == column.lower())
+    column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(plain)  # as the database has it
+    low, high = reader.option("dbtable", f"(SELECT min({column}) AS low, max({column}) AS high FROM {name}) ends").load().first()
+    if low is None or low == high:
+        return ["1 = 1"]
+    even = reader.options(dbtable=name, partitionColumn=plain, lowerBound=str(low), upperBound=str(high), numPartitions=partitions)
+    ids = even.load().select(F.col(plain).alias("v")).where("v is not null")
+    marks = ids.agg(F.percentile_approx("v", [i / partitions for i in range(1, partitions)], 10_000).alias("q")).first()[0]
+    said = lambda v: f"'{v}'" if isinstance(v, (datetime.date, str)) else str(v)
+    out, after = [], None  # after: a lower bound that is set
+    for v in sorted(set(marks)):
+        out.append(f"{column} < {said(v)}" if after is None else f"{after} AND {column} < {said(v)}")
+        if marks.count(v) > 1:
+            out.append(f"{column} = {said(v)}")
+        after = f"{column} > {said(v)}" if marks.count(v) > 1 else f"{column} >= {said(v)}"
+    return [f"{out[0]} OR {column} IS NULL", *out[1:], after]
 
 
 def read_csv_exports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected lines) of the export files under a path."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
-    return parse_exports(files)
+    """(rows, rejected lines) of the export files under a path, doc_id being the file's. Files are read in splits: a line's number comes from the
+    numbers of lines in the splits before its own, and a file's first line that isn't blank goes to all of its lines by a join, a row a file."""
+    c = F.col
+    read = spark.read.text(path).select(c("_metadata.file_path").alias("doc_id"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), c("value").alias("line"))
+    blocks = read.groupBy("doc_id", "block").agg(F.min("i").alias("low"), F.count("*").alias("n"))  # a row a split
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    clean = F.regexp_replace("line", "^\\ufeff", "")
+    some = read.withColumn("line", clean).where(F.trim("line") != "")
+    heads = some.groupBy("doc_id").agg(F.min(F.struct("block", "i", "line")).alias("head"))
+    lines = some.join(blocks, ["doc_id", "block"]).join(heads, "doc_id").where((c("block") != c("head.block")) | (c("i") != c("head.i")))
+    return _export_rows(lines.select("doc_id", (c("before") + c("i") - c("low")).cast("int").alias("line_no"), "line", c("head.line").alias("first")))
 
 
 def parse_exports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected lines) of exports held as documents (doc_id, text); nothing is shuffled."""
+    lines = F.transform(F.split("text", r"\r?\n"), lambda x: F.regexp_replace(x, "^\\ufeff", ""))
+    first = F.array_position(F.transform(lines, lambda x: F.trim(x) != ""), True) - 1
+    split = files.select("doc_id", lines.alias("lines"), first.cast("int").alias("head")).select("doc_id", "head", F.when(F.col("head") >= 0, F.get("lines", F.col("head"))).alias("first"), F.posexplode("lines").alias("line_no", "line"))
+    return _export_rows(split.where((F.trim("line") != "") & (F.col("line_no") != F.col("head"))).drop("head"))
+
+
+def _export_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of three header layouts: full (card, date, description, amount, category, type), pt (data,
     descricao, valor, categoria) and en (description, amount, category, date[, type]). The first line that isn't
     blank selects the layout; commas always separate. Lines without date or amount are rejected."""
-    lines = lines_of(files)
-    head = Window.partitionBy("doc_id").orderBy("line_no")
-    ranked = lines.withColumn("first", F.first("line").over(head.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(head)).where("n > 1")
     title = F.lower(F.regexp_replace("first", r"\s", ""))
     layout = F.when(title.startswith("card,"), "full").when(title.startswith("data,") | title.startswith("date,desc"), "pt").when(title.startswith("description,"), "en").otherwise("unknown")
     parts = F.split("line", ",")
     at = lambda full, pt, en: F.trim(F.when(F.col("layout") == "full", F.get(parts, F.lit(full))).when(F.col("layout") == "pt", F.get(parts, F.lit(pt)) if pt is not None else None).otherwise(F.get(parts, F.lit(en)) if en is not None else None))
-    out = ranked.withColumn("layout", layout).select(
+    out = lines.withColumn("layout", layout).select(
         "doc_id", "line_no", "layout", "line",
         at(0, None, None).alias("card_name"), F.coalesce(F.try_to_timestamp(at(1, 0, 3), F.lit("yyyy-MM-dd")), F.try_to_timestamp(at(1, 0, 3), F.lit("dd/MM/yyyy"))).cast("date").alias("date"),
         at(2, 1, 0).alias("description"), at(3, 2, 1).try_cast(MONEY).alias("signed"), at(4, 3, 2).alias("category"), F.upper(at(5, None, 4)).alias("given"),
@@ -60,12 +101,16 @@ def parse_exports(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 _AMOUNT = r"-?\d{1,3}(?:\.\d{3})*,\d{2}|-?\d+,\d{2}"
 
 
+def _period_end() -> Column:
+    end = F.regexp_extract("text", r"(?is)(?:per[ií]odo|at[eé])\D*(?:\d{2}/\d{2}/\d{4}\s*(?:a|at[eé])\s*)?(\d{2}/\d{2}/\d{4})", 1)
+    return F.try_to_timestamp(end, F.lit("dd/MM/yyyy")).cast("date")
+
+
 def statement_header(docs: DataFrame) -> DataFrame:
     """Period end, opening, closing and limits of each statement text; 0 where an amount is missing."""
     after = lambda label: parse_brazilian(F.nullif(F.regexp_extract("text", rf"(?is)(?:{label})[^\d\n-]*({_AMOUNT})", 1), F.lit("")))
-    end = F.regexp_extract("text", r"(?is)(?:per[ií]odo|at[eé])\D*(?:\d{2}/\d{2}/\d{4}\s*(?:a|at[eé])\s*)?(\d{2}/\d{2}/\d{4})", 1)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast(MONEY)
-    return docs.select("doc_id", F.try_to_timestamp(end, F.lit("dd/MM/yyyy")).cast("date").alias("statement_date"), after("saldo anterior").alias("opening_text"), after("saldo final").alias("closing_text"), zero(after("limite total")).alias("credit_limit"), zero(after("limite dispon[ií]vel")).alias("available_limit"))
+    return docs.select("doc_id", _period_end().alias("statement_date"), after("saldo anterior").alias("opening_text"), after("saldo final").alias("closing_text"), zero(after("limite total")).alias("credit_limit"), zero(after("limite dispon[ií]vel")).alias("available_limit"))
 
 
 def parse_statement_text(docs: DataFrame) -> DataFrame:
@@ -74,8 +119,7 @@ def parse_statement_text(docs: DataFrame) -> DataFrame:
     A date without a year takes the statement's. Text on one line is split before each date."""
     cut = F.regexp_replace("text", r"(?is)^.*?lan[cç]amentos[^\n]*\n", "")
     cut = F.regexp_replace(cut, r"(?is)\n\s*lan[cç]amentos futuros.*$", "")
-    rows = docs.select("doc_id", F.posexplode(F.split(cut, r"\r?\n|(?<=[0-9DC]) +(?=\d{2}/\d{2}(?:/\d{4})? )")).alias("line_no", "line"))
-    rows = rows.join(statement_header(docs).select("doc_id", "statement_date"), "doc_id")
+    rows = docs.select("doc_id", _period_end().alias("statement_date"), F.posexplode(F.split(cut, r"\r?\n|(?<=[0-9DC]) +(?=\d{2}/\d{2}(?:/\d{4})? )")).alias("line_no", "line"))
     shape = rf"^\s*(\d{{2}}/\d{{2}}(?:/\d{{4}})?)\s+(.+?)\s+({_AMOUNT})\s*([DC]?)(?:\s+({_AMOUNT}))?\s*$"
     get = lambda i: F.regexp_extract("line", shape, i)
     day = get(1)
@@ -145,11 +189,12 @@ def parse_invoice_text(docs: DataFrame, layouts: DataFrame) -> DataFrame:
 def select_layout(docs: DataFrame, parsed: DataFrame, layouts: DataFrame) -> DataFrame:
     """(doc_id, layout, score): applicable 1,000,000, due date 100,000, rows 10,000 and 20 each up to 5,000
     more; rows count only if applicable or dated. The best by score, then ordinal; none at 0 or less."""
-    base = docs.select("doc_id", F.col("text").alias("whole"), due_date(F.col("text")).isNotNull().alias("dated")).crossJoin(small(layouts.select("layout", "ordinal", "marker").distinct()))
+    each = small(layouts.select("layout", "ordinal", "marker").distinct())
+    # markers are tried before anything is shuffled, so that no text is
+    base = docs.select("doc_id", F.col("text").alias("whole"), due_date(F.col("text")).isNotNull().alias("dated")).crossJoin(each).select("doc_id", "layout", "ordinal", "dated", F.expr("whole rlike marker").alias("fits"))
     counts = parsed.groupBy("doc_id", "layout").agg(F.count("*").alias("n"))
-    fits = F.expr("whole rlike marker")
-    rows = F.when((fits | F.col("dated")) & (F.coalesce("n", F.lit(0)) > 0), 10_000 + F.least(F.lit(5_000), 20 * F.col("n"))).otherwise(0)
-    score = F.when(fits, 1_000_000).otherwise(0) + F.when(F.col("dated"), 100_000).otherwise(0) + rows
+    rows = F.when((F.col("fits") | F.col("dated")) & (F.coalesce("n", F.lit(0)) > 0), 10_000 + F.least(F.lit(5_000), 20 * F.col("n"))).otherwise(0)
+    score = F.when(F.col("fits"), 1_000_000).otherwise(0) + F.when(F.col("dated"), 100_000).otherwise(0) + rows
     scored = base.join(counts, ["doc_id", "layout"], "left").select("doc_id", "layout", "ordinal", score.alias("score"))
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal"))
     return scored.withColumn("r", best).where("r = 1 and score > 0").select("doc_id", "layout", F.col("score").cast("bigint").alias("score"))
