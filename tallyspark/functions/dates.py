@@ -18,6 +18,11 @@ def month_index(x: Column) -> Column:
     return F.year(x) * 12 + F.month(x) - 1
 
 
+def month_of_index(i: Column) -> Column:
+    """The first day of the month with an index."""
+    return F.make_date(F.floor(i / 12).cast("int"), (F.pmod(i, F.lit(12)) + 1).cast("int"), F.lit(1))
+
+
 def period_start(x: Column, kind: str) -> Column:
     n = PERIODS[kind]
     return F.make_date(F.year(x), (F.floor((F.month(x) - 1) / n) * n + 1).cast("int"), F.lit(1))

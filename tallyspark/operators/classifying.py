@@ -145,6 +145,16 @@ def ordered_rule(texts: DataFrame, rules: DataFrame, default: str = DEFAULT_CATE
     return texts.join(by_type, "description", "left").withColumn("rule_category", F.coalesce(fits["category"], F.lit(default))).drop("any", "own")
 
 
+def word_kinds(rows: DataFrame, words: DataFrame, column: str = "description") -> DataFrame:
+    """rows with kinds, those of the words (kind, pattern) that a text holds as parts, sorted. Words may be as many as one likes."""
+    entries = words.groupBy("pattern").agg(F.collect_set("kind").alias("of"))
+    texts = rows.select(F.col(column).alias("description"))
+    met = _candidates(texts, normalize(F.col("description")), entries, "pattern", F.col("pattern")).where(F.col("text").contains(F.col("pattern")))
+    kinds = met.select(F.col("description").alias("__text"), F.explode("of").alias("kind")).groupBy("__text").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    joined = rows.join(kinds, F.col(column) == F.col("__text"), "left").drop("__text")
+    return joined.withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+
+
 def uncategorized(tx: DataFrame) -> DataFrame:
     return tx.where(is_uncategorized(F.col("category")))
 
@@ -155,6 +165,16 @@ def infer_scope(description: Column, category: Column) -> Column:
 
 
 def category_label(x: Column) -> Column:
-    """One label for Portuguese and English synonyms; others as they are, trimmed."""
+    """One label for Portuguese and English synonyms, of our own few; others as they are, trimmed. A whole list is a table for category_labels."""
     n = normalize(x)
     return F.when(n.isin("food", "alimentacao", "comida"), "Alimentação").when(n.isin("transport", "transporte"), "Transporte").when(n.isin("economy", "economia"), "Economia").when(n.isin("promo", "promocao"), "Promoção").otherwise(F.trim(x))
+
+
+def category_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (category) with label: that of the first of the labels (ordinal, patterns, label) of which a pattern is part of the category; a missing
+    category and the default's synonyms are the default, others stay as they are."""
+    rules = labels.select("ordinal", F.lit(None).cast("string").alias("type"), "patterns", F.col("label").alias("category"))
+    names = rows.select(F.col("category").alias("description")).where("description is not null").distinct().withColumn("type", F.lit(None).cast("string"))
+    found = ordered_rule(names, rules, "").select(F.col("description").alias("__name"), F.nullif("rule_category", F.lit("")).alias("label"))
+    same = F.when(normalize(F.coalesce("category", F.lit(""))).isin("", "other", "outros"), DEFAULT_CATEGORY).otherwise(F.col("category"))
+    return rows.join(found, F.col("category") == F.col("__name"), "left").drop("__name").withColumn("label", F.coalesce("label", same))

@@ -125,10 +125,23 @@ PROVIDERS = {
 }
 
 
+def run_providers(inputs: dict, month: str, providers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(insights, failures): each provider's rows are computed and written on their own; one that fails is left out and named in
+    failures (provider, error, message), and the others' rows stay as they are. inputs: cube, flow (cashflow), cards, invoices, goals, as_of."""
+    spark, found, failed = inputs["cube"].sparkSession, [], []
+    shared = inputs | {"cube": saved(inputs["cube"], "insights-cube")}  # most providers read it
+    for name, f in (providers or PROVIDERS).items():
+        try:
+            found.append(saved(f(shared, month).select(*INSIGHT), "insights"))
+        except Exception as e:  # whatever a provider does, the others go on
+            failed.append((name, type(e).__name__, str(e)[:500]))
+    none = spark.createDataFrame([], "person_id bigint, ord int, rank bigint, type string, category string, message string")
+    return reduce(lambda a, b: a.unionByName(b), found, none), spark.createDataFrame(failed, "provider string, error string, message string")
+
+
 def insights(inputs: dict, month: str, providers: dict | None = None) -> DataFrame:
-    """inputs: cube, flow (cashflow), cards, invoices, goals, as_of."""
-    found = [f(inputs, month) for f in (providers or PROVIDERS).values()]
-    return first_insights(reduce(lambda a, b: a.unionByName(b), found))
+    """The first insights of those providers that don't fail, as in run_providers."""
+    return first_insights(run_providers(inputs, month, providers)[0])
 
 
 def _recent(flow: DataFrame, as_of: str, months: int = 3) -> DataFrame:
@@ -169,20 +182,21 @@ def debt_payoff(recent: DataFrame, debt: DataFrame) -> DataFrame:
     return _goal(a, 2, F.lit("Pay off debt"), F.col("outstanding"), F.round(monthly, 2), months)
 
 
-def reducible_spending(recent: DataFrame) -> DataFrame:
+def reducible_spending(recent: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """A tenth less of the largest category that isn't essential, from 150 a month and 30 saved; ties by name."""
     divisor = _averages(recent).select("person_id", "months")
-    sums = recent.where("type = 'EXPENSE'").groupBy("person_id", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("Outros")).alias("category")).agg(F.sum(F.abs("amount")).cast(MONEY).alias("spent")).where(detection.is_reducible(F.col("category")) & (F.col("spent") > 0))
+    sums = recent.where("type = 'EXPENSE'").groupBy("person_id", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("Outros")).alias("category")).agg(F.sum(F.abs("amount")).cast(MONEY).alias("spent"))
+    sums = detection.reducible(sums, words).where("reducible and spent > 0").drop("reducible")
     top = sums.withColumn("r", F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("spent"), "category"))).where("r = 1")
     a = top.join(divisor, "person_id").withColumn("average", F.round(F.col("spent") / F.col("months"), 2).cast(MONEY)).withColumn("goal", F.round(F.col("average") * F.lit(0.9).cast("decimal(3,2)"), 2).cast(MONEY))
     a = a.where("average >= 150 and average - goal >= 30")
     return _goal(a, 3, _text("Reduce ", F.col("category")), F.col("goal"), F.col("average") - F.col("goal"), F.lit(3))
 
 
-def subscription_cleanup(flow: DataFrame, as_of: str, least_keys: int = 3, least_total: int = 30) -> DataFrame:
+def subscription_cleanup(flow: DataFrame, as_of: str, least_keys: int = 3, least_total: int = 30, words: DataFrame | None = None) -> DataFrame:
     """Likely subscriptions present in all three months, when there are some; target: their monthly cost."""
     last = month_index(F.lit(as_of).cast("date"))
-    rows = flow.where(detection.is_subscription_candidate(flow, 8, positive=True)).withColumn("idx", month_index(F.col("transaction_date"))).where((F.col("idx") > last - 3) & (F.col("idx") <= last))
+    rows = detection.subscription_candidates(flow, words, 8, positive=True).withColumn("idx", month_index(F.col("transaction_date"))).where((F.col("idx") > last - 3) & (F.col("idx") <= last))
     keyed = rows.withColumn("key", description_key(F.col("description"))).where("key <> ''").groupBy("person_id", "key").agg(F.count_distinct("idx").alias("m"), F.sum(F.abs("amount")).alias("s")).where("m = 3")
     costs = keyed.select("person_id", F.round(F.col("s") / 3, 2).cast(MONEY).alias("cost"))
     a = costs.groupBy("person_id").agg(F.count("*").alias("n"), F.sum("cost").cast(MONEY).alias("total")).where(f"n >= {least_keys} and total >= {least_total}")
@@ -210,30 +224,67 @@ def generate_goals(flow: DataFrame, cube: DataFrame, debt: DataFrame, goals: Dat
     return fill_goals(reduce(lambda a, b: a.unionByName(b), found), goals)
 
 
-def monthly_insights(cube: DataFrame, keep: int = 5) -> DataFrame:
-    """(person_id, month, insights): those that follow from the cube alone, of every month, the first `keep`."""
+def monthly_insights(cube: DataFrame, flow: DataFrame, cards: DataFrame, invoices: DataFrame, goals: DataFrame, every: int = 1, keep: int = 5) -> DataFrame:
+    """(person_id, month, insights): those of all providers as of each month that is the last of `every`, the first `keep` without repeats."""
     c = F.col
-    made = lambda df, ord_, kind, category, message, rank=F.lit(1): df.select("person_id", "month", F.struct(F.lit(ord_).alias("ord"), rank.cast("bigint").alias("rank"), kind.alias("type"), category.alias("category"), message.alias("message")).alias("i"))
+    last = F.pmod(F.month("month"), F.lit(every)) == 0
+    months = lambda df: df.where(last)
+    made = lambda df, ord_, kind, category, message, rank=F.lit(1): df.select("person_id", "month", F.lit(ord_).alias("ord"), rank.cast("bigint").alias("rank"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), (F.lit(category) if isinstance(category, str) else category).alias("category"), message.alias("message"))
+    size = F.abs("amount")
+    sums = months(flow.withColumn("month", F.trunc("transaction_date", "month"))).groupBy("person_id", "month").agg(total_if(c("type") == "INCOME", size).alias("income"), total_if(c("type") == "EXPENSE", size).alias("expenses")).where("income > 0 or expenses > 0")
+    balance = (c("income") - c("expenses")).cast(MONEY)
+    # the largest items and their sum by person and month, as listed does by person
+    paid = detection.recurring_by_month(flow, every=every)
+    place = F.row_number().over(Window.partitionBy("person_id", "month").orderBy(F.desc("monthly_cost"), "label"))
+    items = paid.withColumn("r", place).groupBy("person_id", "month").agg(F.count("*").alias("n"), F.sum("monthly_cost").cast(MONEY).alias("total"), F.array_sort(F.collect_list(F.when(c("r") <= 4, F.struct("r", "label")))).alias("top"))
+    names = F.concat(F.array_join(F.transform("top", lambda t: t["label"]), ", "), F.when(c("n") > 4, F.concat(F.lit(" and "), (c("n") - 4).cast("string"), F.lit(" more"))).otherwise(""))
+    billed = invoices.where("deleted_at is null").groupBy("card_id", F.make_date("year", "month", F.lit(1)).alias("month")).agg(F.sum("total_amount").cast(MONEY).alias("billed"))
+    used = months(billed).join(cards.where("limit_amount > 0"), "card_id").withColumn("used", whole_percent(c("billed"), c("limit_amount"))).where("used > 80").withColumn("person_id", c("owner_id"))
+    wanted = goals.where("status = 'ACTIVE'").select("goal_id", c("owner_id").alias("person_id"), F.lower(F.trim(F.regexp_extract("title", r"(?i)^budget:\s*(.+)$", 1))).alias("key"), "target_amount").where("key <> ''")
+    spent = months(cube).where("type = 'EXPENSE'").groupBy("person_id", "month", F.lower("category").alias("key")).agg(F.sum("total_abs").cast(MONEY).alias("spent"))
+    over = wanted.join(spent, ["person_id", "key"]).where("spent > target_amount").withColumn("excess", (c("spent") - c("target_amount")).cast(MONEY))
     found = [
-        made(detection.top_category(cube), 10, F.lit("info"), c("category"), _text("share ", c("percent"))),
-        made(detection.default_quality(cube), 11, F.lit("warning"), F.lit("Outros"), _text("share ", c("percent"))),
-        made(detection.monthly_growth(cube).where("growth > 10"), 20, F.lit("warning"), F.lit("Growth"), _text("growth ", c("growth"))),
-        made(detection.anomalies(cube), 30, c("severity"), c("category"), _text("unusual ", c("total")), c("rank")),
-    ]
+        made(sums, 5, F.when(balance < 0, "warning").otherwise("info"), "Cashflow", _text("balance ", balance)),
+        made(months(detection.top_category(cube)), 10, "info", c("category"), _text("share ", c("percent"))),
+        made(months(detection.default_quality(cube)), 11, "warning", "Outros", _text("share ", c("percent"))),
+        made(months(detection.monthly_growth(cube)).where("growth > 10"), 20, "warning", "Growth", _text("growth ", c("growth"))),
+        made(months(detection.anomalies(cube)), 30, c("severity"), c("category"), _text("unusual ", c("total")), c("rank")),
+        made(items, 40, "info", "Assinaturas", _text(c("n"), " recurring: ", names, ", ", c("total"))),
+        made(used, 50, "warning", "Credit", _text("used ", c("used")), F.row_number().over(Window.partitionBy("person_id", "month").orderBy(F.desc("used"), "card_id"))),
+        made(over.withColumn("r", F.row_number().over(Window.partitionBy("person_id", "month").orderBy(F.desc("excess"), "goal_id"))).where("r = 1"), 60, "alert", c("key"), _text("over by ", c("excess"))),
+    ]
     all_ = reduce(lambda a, b: a.unionByName(b), found)
-    return all_.groupBy("person_id", "month").agg(F.slice(F.array_sort(F.collect_list("i")), 1, keep).alias("insights"))  # six at most
-
-
-def period_statements(stx: DataFrame, kind: str) -> DataFrame:
-    rows = stx.where("type <> 'BALANCE'").groupBy(F.col("user_id").alias("person_id"), period_start(F.col("transaction_date"), kind).alias("period_start"))
-    return rows.agg(F.struct(total_if(F.col("type") == "CREDIT", F.abs("amount")).alias("credits"), total_if(F.col("type") != "CREDIT", F.abs("amount")).alias("expenses"), F.count("*").alias("n")).alias("statements"))
-
-
-def period_reports(tx: DataFrame, kind: str, investments: DataFrame, budgets: DataFrame, assets: DataFrame, goals: DataFrame, stx: DataFrame) -> DataFrame:
+    same = Window.partitionBy("person_id", "month", F.lower(F.trim("category")), F.lower(F.trim("message"))).orderBy("ord", "rank")
+    one = all_.withColumn("k", F.row_number().over(same)).where("k = 1")
+    first = Window.partitionBy("person_id", "month").orderBy("ord", "rank", "category", "message")
+    kept = one.withColumn("place", F.row_number().over(first)).where(c("place") <= keep)
+    entry = F.struct("place", "ord", "rank", "type", "category", "message")
+    return kept.groupBy("person_id", "month").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda i: i.dropFields("place")).alias("insights"))
+
+
+def period_statements(stx: DataFrame, statements: DataFrame, kind: str, rows: int = 200) -> DataFrame:
+    """(person_id, period_start, statements): sums without balances, the opening balance of the period's first statement and the closing
+    one of its last, the number of rows of any type, and the first `rows` of them by date and id."""
+    start = period_start(F.col("transaction_date"), kind).alias("period_start")
+    own = stx.select(F.col("user_id").alias("person_id"), start, "stx_id", "transaction_date", "description", "amount", "type", *(["balance"] if "balance" in stx.columns else []))
+    key = ["person_id", "period_start"]
+    credits, expenses = total_if(F.col("type") == "CREDIT", F.abs("amount")), total_if(~F.col("type").isin("CREDIT", "BALANCE"), F.abs("amount"))
+    sums = own.groupBy(*key).agg(credits.alias("credits"), expenses.alias("expenses"), F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("transaction_date", "stx_id"))
+    entry = F.struct("place", *[c for c in own.columns if c not in key])
+    first = own.withColumn("place", place).where(F.col("place") <= rows).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda r: r.dropFields("place")).alias("rows"))
+    ends = statements.groupBy(F.col("user_id").alias("person_id"), period_start(F.col("statement_date"), kind).alias("period_start")).agg(F.min_by("opening_balance", "statement_date").alias("opening"), F.max_by("closing_balance", "statement_date").alias("closing"))
+    joined = sums.join(first, key).join(ends, key, "left")
+    return joined.select(*key, F.struct("opening", "closing", "credits", "expenses", (F.col("credits") - F.col("expenses")).cast(MONEY).alias("balance"), "n", "rows", F.lit(rows).alias("limited_to")).alias("statements"))
+
+
+def period_reports(tx: DataFrame, kind: str, investments: DataFrame, budgets: DataFrame, assets: DataFrame, goals: DataFrame, stx: DataFrame, statements: DataFrame, cards: DataFrame, invoices: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """A JSON document per person and period: title, summary with the period before, breakdown, investments, assets, goals,
-    budget, bank statements, and the insights that the cube gives for the period's last month. Sections without data are left out."""
-    summary = summaries.period_summary(tx, kind)
-    parts = summaries.period_breakdown(tx, kind).groupBy("person_id", "period_start").agg(F.array_sort(F.collect_list(F.struct("type", "category", "total", "percent"))).alias("breakdown"))
+    budget, bank statements, and the insights of all providers as of the period's last month. Sections without data are left out. The
+    facts are aggregated once, to a cube that is written."""
+    cube = saved(summaries.base_cube(tx), "reports-cube")
+    summary = summaries.cube_period_summary(cube, kind)
+    parts = summaries.cube_period_breakdown(cube, kind).groupBy("person_id", "period_start").agg(F.array_sort(F.collect_list(F.struct("type", "category", "total", "percent"))).alias("breakdown"))
     whole = lambda df, name, *cols: df.select(F.col("owner_id").alias("person_id"), F.struct(*cols).alias(name))
     own = [
         whole(portfolio.investment_summary(investments).where("type is null"), "investments", "n", "initial", "current", "profitability"),
@@ -242,9 +293,10 @@ def period_reports(tx: DataFrame, kind: str, investments: DataFrame, budgets: Da
         whole(portfolio.budget_health(budgets), "budget", "total", "balance", "healthy"),
     ]
     facts = F.struct("income", "expenses", "previous_income", "previous_expenses", "income_change", "expense_change").alias("summary")
-    wide = summary.select("person_id", "period_start", "period_end", facts).join(parts, ["person_id", "period_start"], "left").join(period_statements(stx, kind), ["person_id", "period_start"], "left")
+    wide = summary.select("person_id", "period_start", "period_end", facts).join(parts, ["person_id", "period_start"], "left").join(period_statements(stx, statements, kind), ["person_id", "period_start"], "left")
     wide = reduce(lambda a, b: a.join(b, "person_id", "left"), own, wide)
-    said = monthly_insights(summaries.base_cube(tx)).withColumnRenamed("month", "last_month")
+    every = {"MONTHLY": 1, "SEMIANNUAL": 6, "ANNUAL": 12}[kind]
+    said = monthly_insights(cube, summaries.cashflow(tx, stx, rules), cards, invoices, goals, every).withColumnRenamed("month", "last_month")
     wide = wide.withColumn("last_month", F.trunc("period_end", "month")).join(said, ["person_id", "last_month"], "left")
     title = _text(kind.capitalize(), " report ", F.date_format("period_start", "yyyy-MM-dd"), " to ", F.date_format("period_end", "yyyy-MM-dd")).alias("title")
     document = F.to_json(F.struct(title, "summary", "breakdown", "investments", "assets", "goals", "budget", "statements", "insights"))

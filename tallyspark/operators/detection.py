@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import month_index
+from tallyspark.functions.dates import month_index, month_of_index
 from tallyspark.functions.money import MONEY, percent, total_if, whole_percent
-from tallyspark.functions.text import DEFAULT_CATEGORY, category_or_default, description_key, loose
+from tallyspark.functions.text import DEFAULT_CATEGORY, category_or_default, description_key, loose, normalize
+from tallyspark.operators.classifying import word_kinds
 
 TRANSFER_HINTS = ["pix", "transfer", "ted", "doc", "saque", "withdrawal"]
 SUBSCRIPTION_HINTS = ["plan", "assinatura", "subscription", "mensal", "premium"]
@@ -48,16 +49,37 @@ def anomalies(cube: DataFrame, keep: int = 3) -> DataFrame:
     return hits.select("person_id", "month", "category", "total", F.round("mean", 4).alias("mean"), F.when(d > 2 * F.col("mean"), "alert").otherwise("warning").alias("severity"), rank.cast("bigint").alias("rank")).where(F.col("rank") <= keep)
 
 
-def is_subscription_candidate(tx: DataFrame, least: float = 5, positive: bool = False) -> Column:
-    """An expense of some size without a hint at a transfer; positive: also with a hint at a subscription."""
-    text = loose(F.col("description"))
-    ok = (F.col("type") == "EXPENSE") & (F.abs("amount") >= least) & ~text.rlike(r"\b(" + "|".join(TRANSFER_HINTS) + r")\b")
-    hint = text.rlike("|".join(SUBSCRIPTION_HINTS)) | F.lower(F.coalesce("category", F.lit(""))).startswith("assinatura")
+def _holds(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))
+
+
+def is_subscription_candidate(tx: DataFrame, least: float = 5, positive: bool = False, transfers: list[str] = TRANSFER_HINTS, hints: list[str] = SUBSCRIPTION_HINTS) -> Column:
+    """An expense of some size with a description that holds no word of transfers; positive: also one of hints, in the description or its category's beginning.
+    Words are parts of a text, in lower case and without accents."""
+    text = normalize(F.coalesce("description", F.lit("")))
+    ok = (F.col("type") == "EXPENSE") & (F.abs("amount") >= least) & (text != "") & ~_holds(text, transfers)
+    hint = _holds(text, hints) | normalize(F.coalesce("category", F.lit(""))).startswith("assin")
     return ok & hint if positive else ok
 
 
-def recurring(tx: DataFrame, as_of: str, months: int = 3) -> DataFrame:
-    """Recurring payments of the three months to as_of: (person, key, label, rows, monthly cost). Clusters of amounts, from the
+def subscription_candidates(tx: DataFrame, words: DataFrame | None = None, least: float = 5, positive: bool = False) -> DataFrame:
+    """The rows that may be subscriptions. words: a table (kind, pattern) of any size with the kinds transfer and subscription, in place of our own few words."""
+    if words is None:
+        return tx.where(is_subscription_candidate(tx, least, positive))
+    known = word_kinds(tx.where(is_subscription_candidate(tx, least, transfers=[])), words)
+    ok = ~F.array_contains("kinds", "transfer")
+    wanted = F.array_contains("kinds", "subscription") | normalize(F.coalesce("category", F.lit(""))).startswith("assin")
+    return known.where(ok & wanted if positive else ok).drop("kinds")
+
+
+def recurring(tx: DataFrame, as_of: str, months: int = 3, words: DataFrame | None = None) -> DataFrame:
+    """Recurring payments of the three months to as_of: (person, key, label, n, monthly_cost), as in recurring_by_month."""
+    last = month_index(F.lit(as_of).cast("date"))
+    return recurring_by_month(tx.where(month_index(F.col("transaction_date")).between(last - months + 1, last)), months, F.lit(as_of).cast("date"), words).drop("month")
+
+
+def recurring_by_month(tx: DataFrame, months: int = 3, until: Column | None = None, words: DataFrame | None = None, every: int = 1) -> DataFrame:
+    """(person, key, month, label, n, monthly_cost) of each month, or of that of `until`, or of each that is the last of `every`: recurring payments of the three months to as_of: (person, key, label, rows, monthly cost). Clusters of amounts, from the
     smallest up, each within 5 per cent or 2 of its first; at least three rows in all three months, of a small deviation (5 or
     8 per cent of the mean), whose first days of the months lie within 10 days. Label: the commonest description.
 
@@ -65,12 +87,14 @@ def recurring(tx: DataFrame, as_of: str, months: int = 3) -> DataFrame:
     group of many rows is few. Where clusters begin is a fold over a group's different amounts: each begins over 5 per cent
     and 2 above the one before, so there are few of them, and all else are aggregates.
     """
-    last = month_index(F.lit(as_of).cast("date"))
-    rows = tx.where(is_subscription_candidate(tx)).withColumn("idx", month_index(F.col("transaction_date"))).where((F.col("idx") > last - months) & (F.col("idx") <= last))
+    rows = subscription_candidates(tx.where("transaction_date is not null"), words).withColumn("idx", month_index(F.col("transaction_date")))
+    # each row counts in the spans of so many months that end with its own month or one of the next
+    ends = F.array(month_index(until)) if until is not None else F.filter(F.sequence(F.col("idx"), F.col("idx") + months - 1), lambda e: (e + 1) % every == 0)
+    rows = rows.withColumn("end", F.explode(ends))
     rows = rows.withColumn("key", description_key(F.col("description"))).where("key <> ''").withColumn("cents", (F.abs("amount") * 100).cast("bigint"))
     place = F.struct("transaction_date", "tx_id")
-    counts = rows.groupBy(F.col("person_id").cast("bigint").alias("person_id"), "key", "cents", "idx", F.trim(F.coalesce("description", F.lit(""))).alias("name")).agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    group = ["person_id", "key"]
+    counts = rows.groupBy(F.col("person_id").cast("bigint").alias("person_id"), "key", "end", "cents", "idx", F.trim(F.coalesce("description", F.lit(""))).alias("name")).agg(F.count("*").alias("n"), F.min(place).alias("at"))
+    group = ["person_id", "key", "end"]
     starts = counts.groupBy(*group).agg(F.sum("n").alias("c"), F.count_distinct("idx").alias("m"), F.sort_array(F.collect_set("cents")).alias("cents")).where(f"c >= 3 and m = {months}")
     fold = "aggregate(cents, cast(array() as array<bigint>), (s, c) -> if(size(s) = 0 or c - s[size(s) - 1] > greatest(200, (s[size(s) - 1] * 5 + 50) div 100), array_append(s, c), s))"
     starts = starts.select(*group, F.expr(fold).alias("starts"))
@@ -87,7 +111,7 @@ def recurring(tx: DataFrame, as_of: str, months: int = 3) -> DataFrame:
     names = placed.where("name <> ''").groupBy(*cluster, "name").agg(F.sum("n").alias("times"), F.min(first).alias("first"))
     labels = names.groupBy(*cluster).agg(F.min(F.struct(-F.col("times"), "first", "name"))["name"].alias("label"))
     found = good.join(labels, cluster, "left")
-    return found.select(*group, F.coalesce("label", F.lit("Assinatura")).alias("label"), "n", (F.expr("(2 * s1 + n) div (2 * n)") / 100).cast(MONEY).alias("monthly_cost"))
+    return found.select("person_id", "key", month_of_index(F.col("end")).alias("month"), F.coalesce("label", F.lit("Assinatura")).alias("label"), "n", (F.expr("(2 * s1 + n) div (2 * n)") / 100).cast(MONEY).alias("monthly_cost"))
 
 
 def listed(found: DataFrame, label: str, amount: str, keep: int = 4) -> DataFrame:
@@ -98,21 +122,22 @@ def listed(found: DataFrame, label: str, amount: str, keep: int = 4) -> DataFram
     return sums.select("person_id", "n", "total", F.concat(names, F.when(F.col("n") > keep, F.concat(F.lit(" and "), (F.col("n") - keep).cast("string"), F.lit(" more"))).otherwise("")).alias("items"))
 
 
-def trips(tx: DataFrame, words: list[str], days: int = 30, least: int = 4) -> DataFrame:
-    """The densest stretch of at most so many days with enough travel expenses, per person; the earliest on ties."""
+def trips(tx: DataFrame, words: list[str], days: int = 30, least: int = 4, by: tuple[str, ...] = ("person_id",)) -> DataFrame:
+    """The densest stretch of at most so many days with enough travel expenses, per person, or per person and batch where by names
+    both; the earliest on ties."""
     best = F.coalesce("purchase_date", "transaction_date")
-    some = tx.where((F.col("type") == "EXPENSE") & loose(F.col("description")).rlike(r"\b(" + "|".join(words) + r")\b")).select("person_id", best.alias("day"), F.datediff(best, F.lit("1970-01-01").cast("date")).alias("d"))
-    ahead = Window.partitionBy("person_id").orderBy("d").rangeBetween(0, days)
-    spans = some.select("person_id", "day", "d", F.count("*").over(ahead).alias("n"), F.max("day").over(ahead).alias("last")).where(F.col("n") >= least)
-    first = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("n"), "d"))
-    return spans.withColumn("r", first).where("r = 1").select("person_id", F.col("day").alias("trip_start"), F.col("last").alias("trip_end"), F.col("n").alias("candidates"))
+    some = tx.where((F.col("type") == "EXPENSE") & loose(F.col("description")).rlike(r"\b(" + "|".join(words) + r")\b")).select(*by, best.alias("day"), F.datediff(best, F.lit("1970-01-01").cast("date")).alias("d"))
+    ahead = Window.partitionBy(*by).orderBy("d").rangeBetween(0, days)
+    spans = some.select(*by, "day", "d", F.count("*").over(ahead).alias("n"), F.max("day").over(ahead).alias("last")).where(F.col("n") >= least)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "d"))
+    return spans.withColumn("r", first).where("r = 1").select(*by, F.col("day").alias("trip_start"), F.col("last").alias("trip_end"), F.col("n").alias("candidates"))
 
 
-def trip_expenses(tx: DataFrame, found: DataFrame, least: int = 4) -> DataFrame:
-    """Every expense of a person within the trip, where there are enough of them."""
+def trip_expenses(tx: DataFrame, found: DataFrame, least: int = 4, by: tuple[str, ...] = ("person_id",)) -> DataFrame:
+    """Every expense of a person, or of a person's batch, within the trip, where there are enough of them."""
     best = F.coalesce("purchase_date", "transaction_date")
-    rows = tx.where("type = 'EXPENSE'").join(found, "person_id").where(best.between(F.col("trip_start"), F.col("trip_end")))
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("person_id"))).where(F.col("n") >= least).select("person_id", "tx_id", "trip_start", "trip_end", "n")
+    rows = tx.where("type = 'EXPENSE'").join(found, list(by)).where(best.between(F.col("trip_start"), F.col("trip_end")))
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where(F.col("n") >= least).select(*by, "tx_id", "trip_start", "trip_end", "n")
 
 
 def volatility(cube: DataFrame, keep: int = 2) -> DataFrame:
@@ -130,8 +155,16 @@ def volatility(cube: DataFrame, keep: int = 2) -> DataFrame:
     return out.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= keep).select("person_id", "category", F.round("mean", 4).alias("mean"), "cv", F.round(F.col("s") * 11 / (F.col("months") * 10), 2).cast(MONEY).alias("budget"), "rank")
 
 
-def is_reducible(category: Column) -> Column:
-    return ~loose(category).rlike("|".join(ESSENTIAL))
+def is_reducible(category: Column, essential: list[str] = ESSENTIAL) -> Column:
+    """Whether a category holds none of the words of what is essential, as parts of its name."""
+    return ~_holds(normalize(category), essential)
+
+
+def reducible(rows: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """rows with reducible. words: a table (kind, pattern) of any size with the kind essential, in place of our own few words."""
+    if words is None:
+        return rows.withColumn("reducible", is_reducible(F.col("category")))
+    return word_kinds(rows, words, "category").withColumn("reducible", ~F.array_contains("kinds", "essential")).drop("kinds")
 
 
 def flag_critical(tx: DataFrame, threshold: float = 5000, risky: list[str] = (), keywords: list[str] = (), enabled: bool = True) -> DataFrame:

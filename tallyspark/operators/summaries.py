@@ -67,9 +67,22 @@ def dashboard_totals(cube: DataFrame, year: int, month_no: int) -> DataFrame:
     return out.withColumn("month_balance", (F.col("month_income") - F.col("month_expenses")).cast(MONEY)).withColumn("year_balance", (F.col("year_income") - F.col("year_expenses")).cast(MONEY))
 
 
-def category_breakdown(cube: DataFrame) -> DataFrame:
-    """Expenses by category and month with their share of the month, ranked; none where all is 0."""
-    sums = cube.where("type = 'EXPENSE'").groupBy("person_id", "month", "category").agg(F.sum("total_abs").cast(MONEY).alias("total"))
+def charts_cube(tx: DataFrame, stx: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """base_cube of transactions and statement rows, told apart by source. Of statements, credits are income and debits expenses that
+    no card made, of absolute amounts; balances and payments of card bills are left out. Their category is that of the first of the rules that fits."""
+    rows = kept_statement_rows(stx).where(F.col("type").isin("CREDIT", "DEBIT"))
+    rows = ordered_rule(rows, rules, DEFAULT_CATEGORY) if rules is not None else rows.withColumn("rule_category", F.lit(DEFAULT_CATEGORY))
+    kind = F.when(F.col("type") == "CREDIT", "INCOME").otherwise("EXPENSE")
+    size = F.abs("amount")
+    kept = rows.groupBy(F.col("user_id").alias("person_id"), month(F.col("transaction_date")).alias("month"), kind.alias("type"), category_or_default(F.col("rule_category")).alias("category")).agg(F.sum(size).cast(MONEY).alias("total"), F.sum(size).cast(MONEY).alias("total_abs"), F.count("*").alias("n"))
+    own = base_cube(tx).withColumn("source", F.lit("transaction"))
+    return own.unionByName(kept.withColumn("card", F.lit(False)).withColumn("source", F.lit("statement")))
+
+
+def category_breakdown(cube: DataFrame, period: str = "month") -> DataFrame:
+    """Expenses by category and month, or year, with their share of it, ranked; none where all is 0. Of a cube with statements, their debits count too."""
+    start = F.trunc("month", period).alias("month")
+    sums = cube.where("type = 'EXPENSE'").groupBy("person_id", start, "category").agg(F.sum("total_abs").cast(MONEY).alias("total"))
     group = Window.partitionBy("person_id", "month")
     whole = F.sum("total").over(group)
     return sums.withColumn("whole", whole).where("whole <> 0").select("person_id", "month", "category", "total", percent(F.col("total"), F.col("whole")).alias("percent"), F.row_number().over(group.orderBy(F.desc("total"), "category")).cast("bigint").alias("rank"))
@@ -82,13 +95,18 @@ def month_grid(people: DataFrame, first: str, months: int) -> DataFrame:
 
 
 def monthly_evolution(cube: DataFrame, first: str, months: int) -> DataFrame:
-    """A row for every person and month; months without transactions are 0. Expenses are split into
-    card and checking, of absolute amounts; income is as booked."""
+    """A row for every person and month; months without rows are 0. Income is that of transactions, as booked, and statements' credits, which are
+    income_checking; expenses are those of cards and of checking accounts: statements' debits and what no card made. cube: charts_cube, or
+    base_cube, which has no statements."""
     last = F.add_months(F.lit(first).cast("date"), months - 1)
+    statement = F.col("source") == "statement" if "source" in cube.columns else F.lit(False)
+    expense = F.col("type") == "EXPENSE"
     sums = cube.where(F.col("month").between(F.lit(first).cast("date"), last)).groupBy("person_id", "month").agg(
-        total_if(F.col("type") == "INCOME", F.col("total")).alias("income_checking"),
-        total_if((F.col("type") == "EXPENSE") & ~F.col("card"), F.col("total_abs")).alias("expenses_checking"),
-        total_if((F.col("type") == "EXPENSE") & F.col("card"), F.col("total_abs")).alias("expenses_card"),
+        total_if(F.col("type") == "INCOME", F.col("total")).alias("income"),
+        total_if(expense, F.col("total_abs")).alias("expenses"),
+        total_if((F.col("type") == "INCOME") & statement, F.col("total")).alias("income_checking"),
+        total_if(expense & ~F.col("card"), F.col("total_abs")).alias("expenses_checking"),
+        total_if(expense & F.col("card"), F.col("total_abs")).alias("expenses_card"),
     )
     return month_grid(cube, first, months).join(sums, ["person_id", "month"], "left").na.fill(0)
 
@@ -157,17 +175,25 @@ def statement_ends(statements: DataFrame) -> DataFrame:
 
 def period_summary(tx: DataFrame, kind: str) -> DataFrame:
     """Absolute sums by report period, with those of the period before and the differences."""
-    start = period_start(F.col("transaction_date"), kind)
-    now = live(tx).groupBy("person_id", start.alias("period_start")).agg(total_if(F.col("type") == "INCOME", F.abs("amount")).alias("income"), total_if(F.col("type") == "EXPENSE", F.abs("amount")).alias("expenses"))
+    return cube_period_summary(base_cube(tx), kind)
+
+
+def cube_period_summary(cube: DataFrame, kind: str) -> DataFrame:
+    """period_summary of a cube."""
+    now = cube.groupBy("person_id", period_start(F.col("month"), kind).alias("period_start")).agg(total_if(F.col("type") == "INCOME", F.col("total_abs")).alias("income"), total_if(F.col("type") == "EXPENSE", F.col("total_abs")).alias("expenses"))
     months = {"MONTHLY": 1, "SEMIANNUAL": 6, "ANNUAL": 12}[kind]
     before = now.select("person_id", F.add_months("period_start", months).alias("period_start"), F.col("income").alias("p_income"), F.col("expenses").alias("p_expenses"))
     joined = now.join(before, ["person_id", "period_start"], "left").na.fill(0, ["p_income", "p_expenses"])
     return joined.select("person_id", "period_start", period_end(F.col("period_start"), kind).alias("period_end"), "income", "expenses", F.col("p_income").cast(MONEY).alias("previous_income"), F.col("p_expenses").cast(MONEY).alias("previous_expenses"), (F.col("income") - F.col("p_income")).cast(MONEY).alias("income_change"), (F.col("expenses") - F.col("p_expenses")).cast(MONEY).alias("expense_change"))
 
 
-def period_breakdown(tx: DataFrame, kind: str, null_category: str = "Outros") -> DataFrame:
+def period_breakdown(tx: DataFrame, kind: str) -> DataFrame:
     """Sums by period, type and category with their share of the type."""
-    category = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit(null_category))
-    sums = live(tx).groupBy("person_id", period_start(F.col("transaction_date"), kind).alias("period_start"), "type", category.alias("category")).agg(F.sum(F.abs("amount")).cast(MONEY).alias("total"))
+    return cube_period_breakdown(base_cube(tx), kind)
+
+
+def cube_period_breakdown(cube: DataFrame, kind: str) -> DataFrame:
+    """period_breakdown of a cube."""
+    sums = cube.groupBy("person_id", period_start(F.col("month"), kind).alias("period_start"), "type", "category").agg(F.sum("total_abs").cast(MONEY).alias("total"))
     whole = F.sum("total").over(Window.partitionBy("person_id", "period_start", "type"))
     return sums.select("*", percent(F.col("total"), whole).alias("percent"))

@@ -52,6 +52,12 @@ def _(tx):
     return tx.select("description", "category").distinct().withColumn("label", C.category_label(F.col("category"))).withColumn("inferred", C.infer_scope(F.col("description"), F.col("category")))
 
 
+@query("sf7_label_table", "tx", sql="SELECT DISTINCT category, CASE WHEN contains(lower(category), 'small') OR contains(lower(category), 'econ') THEN 'First' WHEN contains(lower(category), 'brush') THEN 'Second' WHEN contains(lower(category), 'econ') OR contains(lower(category), 'plat') THEN 'Third' WHEN coalesce(trim(category), '') = '' THEN 'Outros' ELSE category END AS label FROM tx")
+def _(tx):
+    labels = tx.sparkSession.createDataFrame([(0, ["small", "econ"], "First"), (1, ["brush"], "Second"), (2, ["econ", "plat"], "Third")], "ordinal int, patterns array<string>, label string")
+    return C.category_labels(tx.select("category").distinct(), labels)
+
+
 _RULES = """WITH r AS (SELECT tx_id, r.category AS c, row_number() OVER (PARTITION BY tx_id, t.person_id ORDER BY priority DESC, created_at DESC, pattern DESC, r.category DESC) AS k FROM tx t JOIN rules r ON r.user_id = t.person_id AND contains(lower(description), pattern)), rule AS (SELECT tx_id, c FROM r WHERE k = 1)
 """
 

@@ -193,29 +193,37 @@ def _(goals, budgets):
 _CHANGE = "CAST(coalesce(sum(abs(amount)) FILTER (type = '{}'), 0) AS DECIMAL(19,2))"
 
 
-@query("rp1_snk1_sf21_reports", "tx", "investments", "budgets", "assets", "goals", "stx", sql=CUBE + f""", p AS (SELECT person_id, CAST(date_trunc('year', transaction_date) AS DATE) AS period_start, {_CHANGE.format('INCOME')} AS income, {_CHANGE.format('EXPENSE')} AS expenses,
+@query("rp1_snk1_sf21_reports", "tx", "investments", "budgets", "assets", "goals", "stx", "statements", "cards", "invoices", sql=CUBE + f""", p AS (SELECT person_id, CAST(date_trunc('year', transaction_date) AS DATE) AS period_start, {_CHANGE.format('INCOME')} AS income, {_CHANGE.format('EXPENSE')} AS expenses,
   count(DISTINCT type || coalesce(nullif(trim(category), ''), 'Outros')) AS n_parts FROM tx WHERE deleted_at IS NULL GROUP BY ALL),
 i AS (SELECT owner_id, CAST(sum(current_value) AS DECIMAL(19,2)) AS invested FROM investments GROUP BY 1), a AS (SELECT owner_id, count(*) AS n_assets, CAST(sum(current_value) AS DECIMAL(19,2)) AS assets FROM assets GROUP BY 1),
 g AS (SELECT owner_id, count(*) FILTER (status = 'ACTIVE') AS active_goals, CAST(sum(target_amount) AS DECIMAL(19,2)) AS goal_target FROM goals GROUP BY 1),
-s AS (SELECT user_id, CAST(date_trunc('year', transaction_date) AS DATE) AS period_start, CAST(coalesce(sum(abs(amount)) FILTER (type = 'CREDIT'), 0) AS DECIMAL(19,2)) AS credits, count(*) AS n_statements FROM stx WHERE type <> 'BALANCE' GROUP BY ALL),
+s AS (SELECT user_id, CAST(date_trunc('year', transaction_date) AS DATE) AS period_start, CAST(coalesce(sum(abs(amount)) FILTER (type = 'CREDIT'), 0) AS DECIMAL(19,2)) AS credits, CAST(coalesce(sum(CASE WHEN type = 'CREDIT' THEN abs(amount) WHEN type <> 'BALANCE' THEN -abs(amount) END), 0) AS DECIMAL(19,2)) AS statement_balance, count(*) AS n_statements, least(count(*), 200) AS listed, arg_min(stx_id, {{'d': transaction_date, 'i': stx_id}}) AS first_listed FROM stx GROUP BY ALL),
+v AS (SELECT user_id, CAST(date_trunc('year', statement_date) AS DATE) AS period_start, arg_min(opening_balance, statement_date) AS opening, arg_max(closing_balance, statement_date) AS closing FROM statements GROUP BY ALL),
 m AS (SELECT person_id, month, category, CAST(sum(total_abs) AS DECIMAL(19,2)) AS total FROM cube WHERE type = 'EXPENSE' GROUP BY ALL),
 t AS (SELECT person_id, month, category AS top_category FROM (SELECT *, sum(total) OVER (PARTITION BY person_id, month) AS whole, row_number() OVER (PARTITION BY person_id, month ORDER BY total DESC, category) AS r FROM m) WHERE r = 1 AND whole > 0)
 SELECT p.person_id, 'ANNUAL' AS report_type, p.period_start, 'Annual report ' || year(p.period_start) || '-01-01 to ' || year(p.period_start) || '-12-31' AS title, p.income, p.expenses, CAST(coalesce(q.income, 0) AS DECIMAL(19,2)) AS previous_income, CAST(p.expenses - coalesce(q.expenses, 0) AS DECIMAL(19,2)) AS expense_change, p.n_parts,
-  invested, n_assets, assets, active_goals, goal_target, credits, n_statements, top_category, b.owner_id IS NOT NULL AS has_budget
+  invested, n_assets, assets, active_goals, goal_target, credits, n_statements, statement_balance, listed, first_listed, CASE WHEN s.user_id IS NOT NULL THEN opening END AS opening, CASE WHEN s.user_id IS NOT NULL THEN closing END AS closing, top_category, b.owner_id IS NOT NULL AS has_budget
 FROM p LEFT JOIN p q ON q.person_id = p.person_id AND year(q.period_start) = year(p.period_start) - 1 LEFT JOIN i ON i.owner_id = p.person_id LEFT JOIN a ON a.owner_id = p.person_id LEFT JOIN g ON g.owner_id = p.person_id LEFT JOIN budgets b ON b.owner_id = p.person_id
-  LEFT JOIN s ON s.user_id = p.person_id AND s.period_start = p.period_start LEFT JOIN t ON t.person_id = p.person_id AND year(t.month) = year(p.period_start) AND month(t.month) = 12""")
-def _(tx, investments, budgets, assets, goals, stx):
-    r = C.period_reports(tx, "ANNUAL", investments, budgets, assets, goals, stx)
+  LEFT JOIN s ON s.user_id = p.person_id AND s.period_start = p.period_start LEFT JOIN v ON v.user_id = p.person_id AND v.period_start = p.period_start LEFT JOIN t ON t.person_id = p.person_id AND year(t.month) = year(p.period_start) AND month(t.month) = 12""")
+def _(tx, investments, budgets, assets, goals, stx, statements, cards, invoices):
+    r = C.period_reports(tx, "ANNUAL", investments, budgets, assets, goals, stx, statements, cards, invoices)
     m = "decimal(19,2)"
-    doc = F.from_json("data", f"title string, summary struct<income {m}, expenses {m}, previous_income {m}, expense_change {m}>, breakdown array<struct<type string>>, investments struct<current {m}>, assets struct<n bigint, current {m}>, goals struct<active bigint, target {m}>, budget struct<total {m}>, statements struct<credits {m}, n bigint>, insights array<struct<ord int, category string>>")
+    doc = F.from_json("data", f"title string, summary struct<income {m}, expenses {m}, previous_income {m}, expense_change {m}>, breakdown array<struct<type string>>, investments struct<current {m}>, assets struct<n bigint, current {m}>, goals struct<active bigint, target {m}>, budget struct<total {m}>, statements struct<credits {m}, n bigint, balance {m}, opening {m}, closing {m}, rows array<struct<stx_id bigint>>>, insights array<struct<ord int, category string>>")
     d = lambda x: F.col(f"d.{x}")
     top = F.get(F.filter(d("insights"), lambda i: i["ord"] == 10), F.lit(0))["category"]
     return r.withColumn("d", doc).select(
         "person_id", "report_type", "period_start", d("title"), d("summary.income"), d("summary.expenses"), d("summary.previous_income"), d("summary.expense_change"), F.size(d("breakdown")).cast("bigint").alias("n_parts"), d("investments.current").alias("invested"),
-        d("assets.n").alias("n_assets"), d("assets.current").alias("assets"), d("goals.active").alias("active_goals"), d("goals.target").alias("goal_target"), d("statements.credits"), d("statements.n").alias("n_statements"), top.alias("top_category"), d("budget").isNotNull().alias("has_budget"),
+        d("assets.n").alias("n_assets"), d("assets.current").alias("assets"), d("goals.active").alias("active_goals"), d("goals.target").alias("goal_target"), d("statements.credits"), d("statements.n").alias("n_statements"), d("statements.balance").alias("statement_balance"), F.when(d("statements").isNotNull(), F.size(d("statements.rows"))).cast("bigint").alias("listed"), F.get(d("statements.rows"), F.lit(0))["stx_id"].alias("first_listed"), d("statements.opening"), d("statements.closing"), top.alias("top_category"), d("budget").isNotNull().alias("has_budget"),
     )
 
 
+@query("rp1_report_insights", "recurring", "stx", "cards", "invoices", "goals", sql=_INSIGHTS)
+def _(tx, stx, cards, invoices, goals):
+    """A report's insights as of one month are those of the dashboard."""
+    found = C.monthly_insights(base_cube(tx), cashflow(tx, stx), cards, invoices, goals).where(F.col("month") == F.lit(MONTH).cast("date"))
+    return found.select("person_id", F.posexplode("insights").alias("place", "i")).select("person_id", "i.*", (F.col("place") + 1).cast("bigint").alias("place"))
+
+
 # Uploads name a card of the owner, whose brand is stored in capitals, and a new one under two names.
 _UP = """WITH c AS (SELECT owner_id, min(card_id) FILTER (card_id % 2 = 0) AS card_id FROM cards GROUP BY 1),
 g0 AS (SELECT p.doc_id, p.line_no, p.description, p.amount, p.type, p.date, p.due_date, p.person_id, p.installment_number, p.document_total, CASE line_no % 3 WHEN 1 THEN 'Visa ' || lpad(CAST(person_id % 10000 AS VARCHAR), 4, '0') WHEN 2 THEN 'Elo 99999' ELSE 'gold elo 9999' END AS card_name, CASE WHEN line_no % 5 = 0 THEN 'Own' WHEN line_no % 5 = 1 THEN ' outros ' END AS own_category

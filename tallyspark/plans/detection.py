@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tallyspark.functions.text import description_key
 from tallyspark.operators import detection as D
 from tallyspark.operators.summaries import base_cube, live
 from tallyspark.plans.registry import pct_sql, query
@@ -33,7 +36,7 @@ def _(tx):
     return D.anomalies(base_cube(tx))
 
 
-_CAND = r"type = 'EXPENSE' AND abs(amount) >= 5 AND NOT regexp_matches(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g'), '\b(pix|transfer|ted|doc|saque|withdrawal)\b')"
+_CAND = "type = 'EXPENSE' AND abs(amount) >= 5 AND trim(description) <> '' AND NOT regexp_matches(lower(description), 'pix|transfer|ted|doc|saque|withdrawal')"
 _KEY = "trim(regexp_replace(regexp_replace(lower(trim(description)), '[0-9]', '', 'g'), '[^a-z]+', ' ', 'g'))"
 
 
@@ -64,12 +67,18 @@ def _(tx):
     return tx.where(D.is_subscription_candidate(tx, 5, positive=True)).select("tx_id")
 
 
-@query("so5_month_coverage", "recurring", sql=f"""SELECT person_id, {_KEY} AS key, count(*) AS n FROM recurring WHERE deleted_at IS NULL AND {_CAND} AND transaction_date BETWEEN DATE '2000-04-01' AND DATE '2000-06-30' AND {_KEY} <> '' GROUP BY ALL HAVING count(DISTINCT month(transaction_date)) = 3""")
+def _words(df, *rows):
+    return df.sparkSession.createDataFrame(rows, "kind string, pattern string")
+
+
+@query("flt7_subscription_words", "recurring", sql="SELECT tx_id FROM recurring WHERE type = 'EXPENSE' AND abs(amount) >= 8 AND NOT regexp_matches(lower(description), 'bolt|lar|5') AND regexp_matches(lower(description), 'pla|ing|gear')")
 def _(tx):
-    from pyspark.sql import functions as F
+    words = _words(tx, *[("transfer", w) for w in ("bolt", "lar", "5")], *[("subscription", w) for w in ("pla", "ing", "gear")])
+    return D.subscription_candidates(tx, words, 8, positive=True).select("tx_id")
 
-    from tallyspark.functions.text import description_key
 
+@query("so5_month_coverage", "recurring", sql=f"""SELECT person_id, {_KEY} AS key, count(*) AS n FROM recurring WHERE deleted_at IS NULL AND {_CAND} AND transaction_date BETWEEN DATE '2000-04-01' AND DATE '2000-06-30' AND {_KEY} <> '' GROUP BY ALL HAVING count(DISTINCT month(transaction_date)) = 3""")
+def _(tx):
     rows = live(tx).where(D.is_subscription_candidate(tx) & F.col("transaction_date").between("2000-04-01", "2000-06-30"))
     keyed = rows.withColumn("key", description_key(F.col("description"))).where("key <> ''")
     return keyed.groupBy("person_id", "key").agg(F.count("*").alias("n"), F.count_distinct(F.month("transaction_date")).alias("m")).where("m = 3").drop("m")
@@ -93,6 +102,20 @@ def _(tx):
     return D.trips(tx, ["ring"])
 
 
+_BATCH_TRIP = _TRIP.replace("c AS (SELECT person_id,", "c AS (SELECT person_id, invoice_key % 3 AS batch,").replace("w AS (SELECT person_id,", "w AS (SELECT person_id, batch,").replace("PARTITION BY person_id", "PARTITION BY person_id, batch").replace("SELECT DISTINCT person_id,", "SELECT DISTINCT person_id, batch,")
+
+
+@query("wn8_batch_trips", "tx_dense", sql=_BATCH_TRIP + "SELECT person_id, batch, trip_start, CAST(trip_end AS DATE) AS trip_end, candidates FROM t")
+def _(tx):
+    return D.trips(tx.withColumn("batch", F.col("invoice_key") % 3), ["ring"], by=("person_id", "batch"))
+
+
+@query("jn13_batch_trip_expenses", "tx_dense", sql=_BATCH_TRIP + ", e AS (SELECT x.person_id, x.invoice_key % 3 AS batch, tx_id, trip_start, CAST(trip_end AS DATE) AS trip_end, count(*) OVER (PARTITION BY x.person_id, x.invoice_key % 3) AS n FROM tx_dense x JOIN t ON t.person_id = x.person_id AND t.batch = x.invoice_key % 3 AND coalesce(purchase_date, transaction_date) BETWEEN trip_start AND trip_end WHERE type = 'EXPENSE') SELECT * FROM e WHERE n >= 4")
+def _(tx):
+    by, batched = ("person_id", "batch"), tx.withColumn("batch", F.col("invoice_key") % 3)
+    return D.trip_expenses(batched, D.trips(batched, ["ring"], by=by), by=by)
+
+
 @query("jn13_trip_expenses", "tx_dense", sql=_TRIP + ", e AS (SELECT x.person_id, tx_id, trip_start, CAST(trip_end AS DATE) AS trip_end, count(*) OVER (PARTITION BY x.person_id) AS n FROM tx_dense x JOIN t ON t.person_id = x.person_id AND coalesce(purchase_date, transaction_date) BETWEEN trip_start AND trip_end WHERE type = 'EXPENSE') SELECT * FROM e WHERE n >= 4")
 def _(tx):
     return D.trip_expenses(tx, D.trips(tx, ["ring"]))
@@ -140,6 +163,9 @@ def _(tx, goals):
 
 @query("flt8_reducible", "tx", sql="SELECT DISTINCT category, NOT regexp_matches(lower(category), 'moradia|aluguel|saude|educacao|housing|health|education|rent') AS reducible FROM tx WHERE category IS NOT NULL")
 def _(tx):
-    from pyspark.sql import functions as F
-
     return tx.where("category is not null").select("category").distinct().withColumn("reducible", D.is_reducible(F.col("category")))
+
+
+@query("flt8_reducible_words", "tx", sql="SELECT DISTINCT category, NOT regexp_matches(lower(category), 'econ|plate|brush') AS reducible FROM tx WHERE category IS NOT NULL")
+def _(tx):
+    return D.reducible(tx.where("category is not null").select("category").distinct(), _words(tx, *[("essential", w) for w in ("econ", "plate", "brush")]))

@@ -68,18 +68,42 @@ def _(tx):
     return S.dashboard_totals(S.base_cube(tx), 2000, 6)
 
 
-@query("ag6_wn1_category_breakdown", "tx", sql=CUBE + f""", s AS (SELECT person_id, month, category, CAST(sum(total_abs) AS DECIMAL(19,2)) AS total FROM cube WHERE type = 'EXPENSE' GROUP BY ALL),
+STATEMENT_CATEGORY = "CASE WHEN type = 'CREDIT' AND contains(description, 'URGENT') THEN 'Renda' WHEN contains(description, 'HIGH') OR contains(description, 'URGENT') THEN 'Moradia' WHEN type = 'DEBIT' AND contains(description, 'MEDIUM') THEN 'Utilidades' ELSE 'Outros' END"
+CHARTS = CUBE + f""", sides AS (SELECT person_id, month, type, card, category, total, total_abs, FALSE AS statement FROM cube
+  UNION ALL SELECT user_id, CAST(date_trunc('month', transaction_date) AS DATE), CASE WHEN type = 'CREDIT' THEN 'INCOME' ELSE 'EXPENSE' END, FALSE, {STATEMENT_CATEGORY}, abs(amount), abs(amount), TRUE FROM stx WHERE type IN ('CREDIT', 'DEBIT') AND NOT (type = 'DEBIT' AND (contains(lower(description), 'fatura') OR contains(lower(description), 'invoice'))))
+"""
+
+
+def _breakdown(month: str) -> str:
+    return CHARTS + f""", s AS (SELECT person_id, {month} AS month, category, CAST(sum(total_abs) AS DECIMAL(19,2)) AS total FROM sides WHERE type = 'EXPENSE' GROUP BY ALL),
 w AS (SELECT *, sum(total) OVER (PARTITION BY person_id, month) AS whole FROM s)
-SELECT person_id, month, category, total, {pct_sql('total', 'whole')} AS percent, row_number() OVER (PARTITION BY person_id, month ORDER BY total DESC, category) AS rank FROM w WHERE whole <> 0""")
-def _(tx):
-    return S.category_breakdown(S.base_cube(tx))
+SELECT person_id, month, category, total, {pct_sql('total', 'whole')} AS percent, row_number() OVER (PARTITION BY person_id, month ORDER BY total DESC, category) AS rank FROM w WHERE whole <> 0"""
 
 
-@query("ag7_ag8_monthly_evolution", "tx", sql=CUBE + f""", grid AS (SELECT DISTINCT person_id, CAST(m AS DATE) AS month FROM cube, (SELECT unnest(generate_series(DATE '2000-01-01', DATE '2000-12-01', INTERVAL 1 MONTH)) AS m)),
-s AS (SELECT person_id, month, {_of('INCOME')} AS a, {SUM("type = 'EXPENSE' AND NOT card", 'total_abs')} AS b, {SUM("type = 'EXPENSE' AND card", 'total_abs')} AS c FROM cube GROUP BY ALL)
-SELECT person_id, month, CAST(coalesce(a, 0) AS DECIMAL(19,2)) AS income_checking, CAST(coalesce(b, 0) AS DECIMAL(19,2)) AS expenses_checking, CAST(coalesce(c, 0) AS DECIMAL(19,2)) AS expenses_card FROM grid LEFT JOIN s USING (person_id, month)""")
-def _(tx):
-    return S.monthly_evolution(S.base_cube(tx), "2000-01-01", 12)
+@query("ag6_wn1_category_breakdown", "tx", "stx", sql=_breakdown("month"))
+def _(tx, stx):
+    return S.category_breakdown(S.charts_cube(tx, stx, statement_rules(tx)))
+
+
+@query("ag6_year_breakdown", "tx", "stx", sql=_breakdown("CAST(date_trunc('year', month) AS DATE)"))
+def _(tx, stx):
+    return S.category_breakdown(S.charts_cube(tx, stx, statement_rules(tx)), "year")
+
+
+def _evolution(first: str, last: str) -> str:
+    return CHARTS + f""", grid AS (SELECT DISTINCT person_id, CAST(m AS DATE) AS month FROM sides, (SELECT unnest(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 MONTH)) AS m)),
+s AS (SELECT person_id, month, {_of('INCOME')} AS i, {SUM("type = 'EXPENSE'", 'total_abs')} AS e, {_of('INCOME', ' AND statement')} AS a, {SUM("type = 'EXPENSE' AND NOT card", 'total_abs')} AS b, {SUM("type = 'EXPENSE' AND card", 'total_abs')} AS c FROM sides GROUP BY ALL)
+SELECT person_id, month, CAST(coalesce(i, 0) AS DECIMAL(19,2)) AS income, CAST(coalesce(e, 0) AS DECIMAL(19,2)) AS expenses, CAST(coalesce(a, 0) AS DECIMAL(19,2)) AS income_checking, CAST(coalesce(b, 0) AS DECIMAL(19,2)) AS expenses_checking, CAST(coalesce(c, 0) AS DECIMAL(19,2)) AS expenses_card FROM grid LEFT JOIN s USING (person_id, month)"""
+
+
+@query("ag7_ag8_monthly_evolution", "tx", "stx", sql=_evolution("2000-01-01", "2000-12-01"))
+def _(tx, stx):
+    return S.monthly_evolution(S.charts_cube(tx, stx, statement_rules(tx)), "2000-01-01", 12)
+
+
+@query("ag7_six_months", "tx", "stx", sql=_evolution("1999-11-01", "2000-04-01"))
+def _(tx, stx):
+    return S.monthly_evolution(S.charts_cube(tx, stx, statement_rules(tx)), "1999-11-01", 6)
 
 
 @query("ag10_wn6_statement_summary", "stx", "statements", sql="""WITH r AS (SELECT user_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month, CAST(coalesce(sum(CASE WHEN type = 'CREDIT' THEN abs(amount) END), 0) AS DECIMAL(19,2)) AS credits, CAST(coalesce(sum(CASE WHEN type <> 'CREDIT' THEN abs(amount) END), 0) AS DECIMAL(19,2)) AS expenses, count(*) AS c
