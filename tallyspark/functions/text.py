@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Latin letters with marks, and without.
 MARKED = "áàâãäåéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ"
@@ -11,9 +15,18 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN"
 DEFAULT_CATEGORY = "Outros"
 
 
-def normalize(x: Column) -> Column:
-    """Trimmed, lower case, without accents, single spaces."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(x), MARKED, PLAIN), r"\s+", " "))
+@F.pandas_udf(StringType())
+def without_marks(texts: pd.Series) -> pd.Series:
+    """Texts decomposed by Unicode's canonical mapping, without the marks that are left; null stays null. In Arrow batches, different texts once."""
+    bare = {t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn") for t in texts.dropna().unique()}
+    return texts.map(bare).astype(object)
+
+
+def normalize(x: Column, unicode: bool = False) -> Column:
+    """Trimmed, lower case, without accents, single spaces. The common Latin letters lose their marks by a table in the JVM; with
+    unicode, all letters do by their decomposition, which takes Python workers."""
+    bare = without_marks(F.lower(x)) if unicode else F.translate(F.lower(x), MARKED, PLAIN)
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def loose(x: Column) -> Column:

@@ -18,6 +18,11 @@ def _(docs):
     return docs.select("doc_id", F.md5(T.normalize(F.col("text"))).alias("normal"), F.md5(T.loose(F.col("text"))).alias("loose"))
 
 
+@query("sf1_unicode", "docs", sql="SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g'))) AS normal FROM docs")
+def _(docs):
+    return docs.select("doc_id", F.md5(T.normalize(F.col("text"), unicode=True)).alias("normal"))
+
+
 @query("sf3_merchant", "docs", sql=f"""WITH m AS (SELECT doc_id, trim(regexp_replace(regexp_replace(upper(translate(trim(replace(text, 'ß', 's')), '{_FROM}', '{_TO}')), '^(?:MP|PAG|PAYPAL|SUMUP|IZ|EC)\\s*\\*\\s*', ''), '[^A-Z0-9]+', ' ', 'g')) AS merchant FROM docs)
 SELECT doc_id, md5(merchant) AS merchant, length(replace(merchant, ' ', '')) AS n_compact FROM m""")
 def _(docs):
