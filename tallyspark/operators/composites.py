@@ -12,6 +12,7 @@ from tallyspark.functions.money import MONEY, total_if, whole_percent
 from tallyspark.functions.shared import saved
 from tallyspark.functions.text import description_key
 from tallyspark.operators import classifying, detection, ingesting, invoicing, portfolio, summaries
+from tallyspark.sources import texts
 
 
 def _steps(x: Column, steps: list[tuple[float, int]], default: int, below: bool = True) -> Column:
@@ -380,3 +381,28 @@ def ingest(parsed: DataFrame, rules: DataFrame, feedback: DataFrame, past: DataF
         "invoices": invoice_totals(keyed, stated, existing.withColumn("card_key", c("card_id").cast("string"))), "uploads": ingesting.upload_summary(counted, F.lit(True) if net is None else net),
     }
     return out if amounts is None else out | {"capture": ingesting.capture_summary(good, amounts)}
+
+
+def ingest_texts(docs: DataFrame, jobs: DataFrame, layouts: DataFrame, patterns: DataFrame, *tables: DataFrame, least_score: int = 75, least_text: int = 800, duplicates: str = "keep", **options) -> dict[str, DataFrame]:
+    """A batch of uploaded invoice texts (doc_id, person_id, sha256, password, due_date, card_name, text) through all stages: ingest of what is left.
+
+    Uploads that a job (person_id, sha256, job_id, status, password, due_date, created_at) has done already are reused; texts are parsed by the layout
+    that fits best; documents whose extraction scores under least_score are refused; lines that are no purchases (patterns: layout, pattern) go, duplicates
+    too with duplicates = drop. A text's own total is what it states. tables and options are those of ingest; added results: reused
+    (doc_id, reused_job) and refused (doc_id, score)."""
+    files = docs.select("person_id", "sha256", F.col("doc_id").alias("file_id"), "password", "due_date")
+    checked = saved(texts.dedup_uploads(files, jobs).select(F.col("file_id").alias("doc_id"), "reused_job"), "uploads")
+    fresh = docs.join(checked.where("reused_job is null").select("doc_id"), "doc_id", "left_semi")
+    found = saved(texts.parse_invoice_text(fresh.select("doc_id", "text"), layouts), "upload-rows")
+    rows = found.join(texts.select_layout(fresh.select("doc_id", "text"), found, layouts).select("doc_id", "layout"), ["doc_id", "layout"])
+    stated = ingesting.expected_total(texts.lines_of(fresh)).withColumnRenamed("expected", "total_amount")
+    seen = ingesting.card_identity(F.coalesce("card_name", F.lit("")), F.lit(""))
+    facts = fresh.select("doc_id", "text", F.coalesce("due_date", texts.due_date(F.col("text"))).alias("due_date"), seen["last_four"].alias("last_four")).join(stated, "doc_id", "left")
+    quality = saved(ingesting.parse_quality(facts, rows, least_text=least_text).select("doc_id", "score"), "upload-scores")
+    rows = rows.join(quality.where(F.col("score") >= least_score).select("doc_id"), "doc_id", "left_semi")
+    rows = ingesting.drop_non_purchases(rows, patterns)
+    own = fresh.select("doc_id", "person_id", "card_name", F.col("due_date").alias("given_due")).join(stated.withColumnRenamed("total_amount", "document_total"), "doc_id", "left")
+    rows = rows.join(own, "doc_id").withColumn("due_date", F.coalesce("given_due", "due_date")).drop("given_due")
+    parsed = saved(ingesting.remove_duplicates(rows, duplicates), "upload-parsed")
+    refused = quality.where(F.col("score") < least_score)
+    return ingest(parsed, *tables, **options) | {"reused": checked.where("reused_job is not null"), "refused": refused}

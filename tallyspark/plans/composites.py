@@ -10,6 +10,7 @@ from tallyspark.operators import invoicing
 from tallyspark.operators.summaries import base_cube, cashflow, live
 from tallyspark.plans.classifying import _FEED, _MERCH, _RULES, _WORDS
 from tallyspark.plans.detection import _RECURRING, _VOLATILE
+from tallyspark.plans.ingesting import _INV, _invoice_docs, _layouts
 from tallyspark.plans.registry import pct_sql, query
 from tallyspark.plans.summaries import CUBE, statement_rules
 from tallyspark.sources.testdata import AS_OF
@@ -293,6 +294,32 @@ def _(*views):
     return _ingested("capture", *views).select("doc_id", "captured", "difference", "coverage", "previous_outstanding", "period_match", "recommend")
 
 
+def _from_texts(part: str, parsed, rules, feedback, tx, dictionary, keywords, invoices, cards):
+    """Uploads as invoice texts; one in seven was done before, with the same digest."""
+    c = F.col
+    who = parsed.groupBy("doc_id").agg(F.min("person_id").alias("person_id"))
+    docs = _invoice_docs(parsed).join(who, "doc_id").select("doc_id", "person_id", "text", F.sha2("text", 256).alias("sha256"), F.lit(None).cast("string").alias("password"), F.lit(None).cast("date").alias("due_date"), F.lit("Visa 1234").alias("card_name"))
+    jobs = docs.where("doc_id % 7 = 0").select("person_id", "sha256", c("doc_id").alias("job_id"), F.lit("DONE").alias("status"), "password", "due_date", F.lit(AS_OF).cast("date").alias("created_at"))
+    patterns = parsed.sparkSession.createDataFrame([("worded", "gear"), ("slashed", "widget")], "layout string, pattern string")
+    return C.ingest_texts(docs, jobs, _layouts(parsed), patterns, rules, feedback, tx, dictionary, keywords, invoices.where("deleted_at is null"), cards, least_score=50, least_text=0)[part]
+
+
+_TEXTS = _INV + """, n AS (SELECT doc_id, min(person_id) AS person_id, count(*) AS n, count(d) AS v FROM p GROUP BY 1),
+s AS (SELECT *, greatest(0, 30 + CASE WHEN n >= 3 THEN 20 ELSE -25 END + CASE WHEN v * 100 >= n * 80 THEN 30 ELSE 0 END) AS score FROM n WHERE doc_id % 7 <> 0)
+"""
+
+
+@query("up1_from_texts", *_UP_VIEWS, sql=_TEXTS + """SELECT p.doc_id, description, amount, type, due_date AS transaction_date, d AS purchase_date, s.person_id FROM p JOIN s ON s.doc_id = p.doc_id
+WHERE score >= 50 AND d IS NOT NULL AND NOT (p.doc_id % 2 = 0 AND contains(description, 'gear')) AND NOT (p.doc_id % 2 = 1 AND contains(description, 'widget'))""")
+def _(*views):
+    return _from_texts("transactions", *views).select("doc_id", "description", "amount", "type", "transaction_date", "purchase_date", "person_id")
+
+
+@query("up1_refused_texts", *_UP_VIEWS, sql=_TEXTS + "SELECT doc_id, CAST(score AS INT) AS score FROM s WHERE score < 50")
+def _(*views):
+    return _from_texts("refused", *views)
+
+
 @query("snk2_score_history", "persons", "tx", "cards", "invoices", sql="SELECT person_id, DATE '2000-05-31' AS calculation_date FROM persons UNION ALL SELECT person_id, DATE '2000-06-30' FROM persons")
 def _(persons, tx, cards, invoices):
     """Two dates are written, the second twice, and read back."""
