@@ -34,7 +34,7 @@ PARTS = 16
 #: Bits of the set of known phrases of one length.
 FILTER_BITS = 1 << 25
 #: Words that a task counts together before it hands on their counts.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 _SEPARATORS = bytes.maketrans(b".,;:!?\n\v\f\r", b"." * 10)
 
