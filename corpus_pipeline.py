@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import saved, table
+from tallyspark.llm.common import discard, saved, table
 from tallyspark.llm.op1_mixing import mix_sources, tempered_weights
 from tallyspark.llm.op2_decontamination import decontaminate
 from tallyspark.llm.op3_pii import surrogates
@@ -61,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(*before)  # the stage that was read is no longer needed
+        before = [docs]
     return docs

@@ -2,70 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyspark.functions.shared import discard, new_folder, release, saved, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session (as in
-    tests) gets a temporary folder, set for the session; on a cluster, whose machines share none, this fails."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-#: Tables written by this process that haven't been deleted.
-_written: set[str] = set()
-
-
-def kept_until_release(at: str) -> None:
-    """Notes a folder that release deletes."""
-    _written.add(at)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once into the shared folder and returns the written table: later steps don't
-    compute it again, and its lineage is cut. discard deletes it, release all that are left."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    _written.add(at)
-    table = spark.read.schema(df.schema).parquet(at)
-    table.saved_at = at
-    return table
-
-
-def _delete(spark: SparkSession, at: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _written.discard(at)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes saved tables that nothing will read again: all that was made of them is written."""
-    for t in tables:
-        _delete(t.sparkSession, t.saved_at)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all saved tables that are left. For the end of a job: results that read them must have been written."""
-    for at in list(_written):
-        _delete(spark, at)
-
-
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns that an operator is about to add; names are compared without case."""
     taken = {n.lower() for n in names}

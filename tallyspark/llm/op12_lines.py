@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyspark.llm.common import discard, kept_until_release, saved, shared_dir, slices, table, texts_of, without
+from tallyspark.llm.common import discard, new_folder, saved, slices, table, texts_of, without
 
 LEAST_DOCS, LEAST_CHARS, BATCHES = 10, 1, 4
 
@@ -62,12 +62,11 @@ class LineRuns:
         self.levels: list[DataFrame | None] = []
 
     def _write(self, rows: DataFrame) -> DataFrame:
+        at = new_folder(self.spark, "line-run")
         name = f"line_run_{uuid.uuid4().hex}"
-        at = f"{shared_dir(self.spark)}/{name}"
         rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", at).option("compression", "zstd").saveAsTable(name)
         run = self.spark.table(name)
         run.saved_at, run.name = at, name
-        kept_until_release(at)
         return run
 
     def _drop(self, run: DataFrame) -> None:
