@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,9 +132,11 @@ def run_providers(inputs: dict, month: str, providers: dict | None = None) -> tu
     failures (provider, error, message), and the others' rows stay as they are. inputs: cube, flow (cashflow), cards, invoices, goals, as_of."""
     spark, found, failed = inputs["cube"].sparkSession, [], []
     shared = inputs | {"cube": saved(inputs["cube"], "insights-cube")}  # most providers read it
-    for name, f in (providers or PROVIDERS).items():
+    with ThreadPoolExecutor(4) as pool:  # their jobs share the cluster, as those of one plan would
+        runs = {name: pool.submit(lambda f=f: saved(f(shared, month).select(*INSIGHT), "insights")) for name, f in (providers or PROVIDERS).items()}
+    for name, run in runs.items():
         try:
-            found.append(saved(f(shared, month).select(*INSIGHT), "insights"))
+            found.append(run.result())
         except Exception as e:  # whatever a provider does, the others go on
             failed.append((name, type(e).__name__, str(e)[:500]))
     none = spark.createDataFrame([], "person_id bigint, ord int, rank bigint, type string, category string, message string")
