@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import slices, table, texts_of
 
-PAGES, STEPS, DIMENSIONS = 1200, 90, 1 << 15
+PAGES, STEPS, DIMENSIONS = 2000, 90, 1 << 15
 
 # HTML elements by how they bear on blocks.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -36,8 +36,6 @@ _SCOPE = set("ul ol dl table select article section div body main aside nav foot
 
 #: Elements that hold a part of an article rather than an article.
 _SMALL = set("p li h1 h2 h3 h4 h5 h6 dt dd dl td th tr tbody thead tfoot table caption ul ol menu blockquote pre figure figcaption label button legend option optgroup summary hr address".split())
-#: Features of the elements above a block are those of the first so many, that a deep page needs no more memory.
-MOST_ABOVE = 256
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _STOP = re.compile(r"""[>"']""")
@@ -47,46 +45,68 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPLIT = re.compile(r"[^A-Za-z]+")
 
 
-@lru_cache(10_000)
 def _of_element(tag: str, words: str, parent: str) -> tuple[tuple[str, ...], frozenset]:
     """Class, id and role words of an element, and the features that it adds below the block-level `parent`."""
-    found = () if tag in ("body", "html") else tuple(w.lower().rstrip("s") for w in _SPLIT.split(_CAMEL.sub(" ", words)) if w)[:64]
+    found = () if tag in ("body", "html") else tuple(w.lower().rstrip("s") for w in _SPLIT.split(_CAMEL.sub(" ", words)) if w)
     names = [f"tag {tag}", *(f"word {w}" for w in found)]
     if tag in BLOCKS and parent:
         names.append(f"in {parent}>{tag}")
     return found, frozenset(_dim(n) for n in names)
 
 
+_of_short_element = lru_cache(10_000)(_of_element)
+
+
 @lru_cache(10_000)
-def _of_nearest(near: tuple[str, str], named: tuple[str, ...]) -> list[int]:
-    """Features of the two nearest block-level elements and of the words of the nearest element that has some."""
-    names = [f"leaf {near[1]}", f"near {'>'.join(x for x in near if x)}", *(f"own {w}" for w in named), *(f"both {a} {b}" for a, b in zip(named, named[1:]))]
-    return [_dim(n) for n in sorted(set(names))]
+def _of_nearest(near: tuple[str, str]) -> list[int]:
+    """Features of the two nearest block-level elements."""
+    return [_dim(f"leaf {near[1]}"), _dim(f"near {'>'.join(x for x in near if x)}")]
 
 
 class Node:
-    """A path of elements; equal paths are one node. tail: features of its nearest elements, above: of all."""
+    """A path of elements; equal paths are one node. A node holds only the features that it adds to its parent's, so that
+    deep paths and long class lists take memory in proportion to the page."""
 
-    __slots__ = ("tag", "kids", "above", "tail", "near", "named", "score")
+    __slots__ = ("tag", "kids", "parent", "new", "near", "namer", "own", "score")
 
-    def __init__(self, tag: str = "", words: str = "", parent: Node | None = None):
-        self.tag, self.kids, self.score = tag, None, None
+    def __init__(self, tag: str = "", words: str = "", parent: Node | None = None, above: set[int] = frozenset()):
+        self.tag, self.kids, self.parent, self.score = tag, None, parent, None
+        self.namer, self.own = self, []
         if parent is None:
-            self.above, self.near, self.named = frozenset(), ("", ""), ()
+            self.new, self.near = frozenset(), ("", "")
+            return
+        self.near = (parent.near[1], tag) if tag in BLOCKS else parent.near
+        found, names = (_of_element if len(words) > 1000 else _of_short_element)(tag, words, parent.near[1])
+        self.new = names - above
+        if found:
+            self.own = [_dim(n) for n in sorted({*(f"own {w}" for w in found), *(f"both {a} {b}" for a, b in zip(found, found[1:]))})]
         else:
-            self.near = (parent.near[1], tag) if tag in BLOCKS else parent.near
-            found, names = _of_element(tag, words, parent.near[1])
-            self.named = found or parent.named
-            new = () if names <= parent.above else names - parent.above
-            self.above = parent.above | new if new and len(parent.above) < MOST_ABOVE else parent.above
-        self.tail = _of_nearest(self.near, self.named)
+            self.namer = parent.namer
 
     def features(self) -> list[int]:
-        return sorted(self.above) + self.tail
+        """Of all elements above, of the nearest block-level two, and of the nearest element with class words."""
+        above, node = set(), self
+        while node:
+            above |= node.new
+            node = node.parent
+        return sorted(above) + _of_nearest(self.near) + self.namer.own
+
+    def scored(self, field: Field) -> tuple:
+        """(field, score of all above, score of own class words if it has some), by way of the nearest ancestor that has one."""
+        way, node = [], self
+        while node and (node.score is None or node.score[0] is not field):
+            way.append(node)
+            node = node.parent
+        sums = node.score[1] if node else np.zeros(2)
+        for node in reversed(way):
+            if node.new:
+                sums = sums + field.weights[sorted(node.new)].sum(0)
+            node.score = (field, sums, field.weights[node.own].sum(0) if node.own else np.zeros(2))
+        return self.score
 
 
 class Paths:
-    """The nodes of a worker's pages so far. Beyond `most` no more are kept, so that memory stays bounded."""
+    """The nodes of a worker's pages so far. Beyond `most` (long class lists count more) no more are kept, so that memory stays bounded."""
 
     def __init__(self, most: int = 100_000):
         self.most = most
@@ -95,14 +115,15 @@ class Paths:
     def clear(self):
         self.root, self.n = Node(), 0
 
-    def below(self, node: Node, tag: str, words: str) -> Node:
+    def below(self, node: Node, tag: str, words: str, above: set[int]) -> Node:
+        """The node of an element under `node`, whose features and its ancestors' are `above`."""
         kid = node.kids.get((tag, words)) if node.kids else None
         if kid is None:
-            kid = Node(tag, words, node)
+            kid = Node(tag, words, node, above)
             if self.n < self.most:
                 node.kids = node.kids or {}
                 node.kids[tag, words] = kid
-                self.n += 1
+                self.n += 1 + len(words) // 100
         return kid
 
 
@@ -112,6 +133,7 @@ class Block:
     text: str
     linked: int
     boxes: tuple[int, int] = (0, 0)
+    breaks: int = 0
 
 
 def tags(source: str):
@@ -163,30 +185,32 @@ def tags(source: str):
 
 def blocks(source: str, paths: Paths | None = None) -> list[Block]:
     """The page's blocks of text in page order: maximal runs of text that no block-level tag
-    interrupts, references decoded, white space made single spaces. Unclosed and stray tags are borne."""
+    interrupts, references decoded, white space made single spaces. Signs between links count as linked. Unclosed and stray tags are borne."""
     paths = paths or Paths()
     stack: list[tuple[str, Node, int]] = [("", paths.root, 0)]
     places: dict[str, list[int]] = {}  # of each open tag, where it stands on the stack
     boxes: list[int] = [0, 0]  # open containers, by number
+    above: set[int] = set()  # features of the open elements
     out: list[Block] = []
     pieces: list[str] = []
-    linked = silent = links = made = 0
+    linked = silent = links = made = breaks = plain = 0
 
     def flush():
-        nonlocal linked
+        nonlocal linked, breaks, plain
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(stack[-1][1], text, linked, (boxes[-1], boxes[-2])))
+                out.append(Block(stack[-1][1], text, len(text) if linked and not plain else linked, (boxes[-1], boxes[-2]), breaks))
             pieces.clear()
-        linked = 0
+        linked = breaks = plain = 0
 
     def close(depth: int):
         nonlocal silent, links
         if any(stack[i][0] in BLOCKS for i in range(depth, len(stack))):
             flush()
         while len(stack) > depth:
-            t, _, box = stack.pop()
+            t, node, box = stack.pop()
+            above.difference_update(node.new)
             places[t].pop()
             silent -= t in SILENT
             links -= t == "a"
@@ -197,12 +221,14 @@ def blocks(source: str, paths: Paths | None = None) -> list[Block]:
         return max((places[t][-1] for t in some if places.get(t)), default=0)
 
     def say(raw: str):
-        nonlocal linked
+        nonlocal linked, plain
         if raw and not silent:
             text = entities.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if links:
                 linked += len(text.strip())
+            elif not plain:
+                plain = any(map(str.isalnum, text))
 
     at = 0
     for start, end, kind, tag, given in tags(source):
@@ -228,6 +254,7 @@ def blocks(source: str, paths: Paths | None = None) -> list[Block]:
             flush()
         if tag == "br":
             pieces.append(" ")
+            breaks += not silent
         if tag in VOID or given.endswith("/"):
             continue
         words = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(given)) if given else ""
@@ -237,7 +264,9 @@ def blocks(source: str, paths: Paths | None = None) -> list[Block]:
             box = made
             boxes.append(box)
         places.setdefault(tag, []).append(len(stack))
-        stack.append((tag, paths.below(stack[-1][1], tag, words), box))
+        node = paths.below(stack[-1][1], tag, words, above)
+        above |= node.new
+        stack.append((tag, node, box))
         silent += tag in SILENT
         links += tag == "a"
     say(source[at:])
@@ -253,7 +282,7 @@ _SIGNS = re.compile(r"(©|\(c\) \d|copyright|all rights reserved)|(cookie|gdpr|c
 
 
 def text_features(found: list[Block]) -> list[list[str]]:
-    """Of each block of a page: its length in words, links, end and signs, those lengths of the blocks beside it, and
+    """Of each block of a page: its length in words, links, line breaks, end and signs, those lengths of the blocks beside it, and
     how much of the page's text that isn't linked its container and the one around that hold."""
     counts = [b.text.count(" ") + 1 for b in found]
     size = [min(9, n.bit_length()) for n in counts]
@@ -269,7 +298,8 @@ def text_features(found: list[Block]) -> list[list[str]]:
         links = 0 if not share else 1 + int(share * 3)
         before, after = size[i - 1] if i else -1, size[i + 1] if i + 1 < len(found) else -1
         leaf = b.path.near[1]
-        names = [f"words {k}", f"links {links}", f"end {b.text[-1] in '.!?…:;' }", f"wl {k} {links}", f"beside {before} {k}", f"beside2 {k} {after}", f"in {leaf} {k}", f"box {part(held[b.boxes[0]] / most[0])}", f"outer {part(held[b.boxes[1]] / most[1])}", f"stops {min(4, b.text.count('. ') + b.text.count(', '))}"]
+        stops = min(4, b.text.count(". ") + b.text.count(", "))
+        names = [f"words {k}", f"links {links}", f"breaks {min(3, b.breaks)} {links}", f"prose {k} {stops} {links}", f"end {b.text[-1] in '.!?…:;' }", f"wl {k} {links}", f"beside {before} {k}", f"beside2 {k} {after}", f"in {leaf} {k}", f"box {part(held[b.boxes[0]] / most[0])}", f"outer {part(held[b.boxes[1]] / most[1])}", f"stops {stops}"]
         if leaf[:1] == "h" and leaf[1:].isdigit():
             names.append(f"head {leaf} {after}")
         if (m := _SIGNS.search(b.text[:300])) and n < 60:
@@ -304,6 +334,12 @@ class Field:
             self.paths.clear()
         return blocks(source, self.paths)
 
+    def of_path(self, node: Node) -> list[float]:
+        near = self.texts.get(node.near)
+        if near is None:
+            near = self.texts[node.near] = self.weights[_of_nearest(node.near)].sum(0)
+        return (node.scored(self)[1] + near + node.namer.scored(self)[2]).tolist()
+
     def main(self, found: list[Block]) -> list[bool]:
         """Viterbi: the likeliest states of a page's blocks together."""
         if not found:
@@ -311,10 +347,7 @@ class Field:
         (s0, s1), ((m00, m01), (m10, m11)) = self.start.tolist(), self.moves.tolist()
         back, a, b = [], s0, s1
         for i, (block, names) in enumerate(zip(found, text_features(found))):
-            node = block.path
-            if node.score is None or node.score[0] is not self:
-                node.score = (self, *self.weights[node.features()].sum(0).tolist())
-            _, e0, e1 = node.score
+            e0, e1 = self.of_path(block.path)
             for name in names:
                 w = self.texts.get(name)
                 if w is None:
@@ -403,6 +436,16 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
             made = [w + r.choice(["***", "###", " |", "%%%"]) for w in made]
         return " ".join(made).capitalize() + tail
 
+    def prose(low: int, high: int) -> str:
+        """Sentences, some with commas, of so many words together."""
+        left, made = r.randint(low, high), []
+        while left > 0:
+            made.append(words(min(left, 4), min(left, 18)))
+            left -= made[-1].count(" ") + 1
+            if r.random() < 0.3 and left > 0:
+                made[-1] = made[-1].rstrip(".") + ","
+        return " ".join(made)
+
     def mark(text: str, main: bool) -> str:
         return ("\ue001" if main else "\ue000") + text
 
@@ -413,7 +456,7 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
         return f'<a href="/{r.randint(1, 999)}">{words(1, 5)}</a>'
 
     def filler(kind: str) -> str:
-        some = lambda a, b: [mark(words(a, b), False) for _ in range(r.randint(1, 4))]
+        some = lambda a, b: [mark(r.choice([words, prose])(a, b), False) for _ in range(r.randint(1, 4))]
         if kind in ("nav", "aside") and r.random() < 0.7:
             n = r.randint(2, 5)
             heading = f"<h{n}>{mark(words(1, 3), False)}</h{n}>" if r.random() < 0.5 else ""
@@ -428,7 +471,7 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
         if kind == "header":
             return f"<{r.choice(['h1', 'h1', 'h1', 'h2', 'div', 'p'])}>{mark(words(1, 4), False)}</div></p>" + (f"<p>{mark(words(2, 10), False)}</p>" if r.random() < 0.5 else "")
         if r.random() < 0.45:
-            return mark(words(1, 40), False)
+            return mark(r.choice([words, prose])(1, 40), False)
         n = r.randint(1, 4)
         heading = f"<h{n}>{mark(words(1, 4), False)}</h{n}>" if r.random() < 0.45 else ""
         return heading + "".join(f"<p>{x}</p>" for x in some(1, 40))
@@ -442,7 +485,7 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
     def article() -> str:
         def leaf() -> str:
             k = r.random()
-            t = mark(words(1, 70) if r.random() < 0.8 else words(1, 4), True)
+            t = mark(r.choice([words, prose])(1, 70) if r.random() < 0.75 else r.choice([words, prose])(1, 12), True)
             if k < 0.62:
                 return f"<p>{t}</p>" if r.random() < 0.7 else f"<p><b>{t}<br>"
             if k < 0.7:
@@ -528,7 +571,7 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
             for _ in range(r.randint(1, 9)):
                 k = r.random()
                 if k < 0.78:
-                    t = words(8, 110) + ("" if r.random() < 0.8 else f" <a href=/x>{words(1, 3)}</a> {words(3, 20)}")
+                    t = r.choice([words, prose])(8, 110) + ("" if r.random() < 0.8 else f" <a href=/x>{words(1, 3)}</a> {words(3, 20)}")
                     body.append(leaf % mark(t, True))
                 elif k < 0.86:
                     body.append(f"<h{r.randint(2, 3)}>{some(1, 6, True)}</h2>")
@@ -553,10 +596,56 @@ def labelled_pages(n: int = PAGES, seed: int = 7) -> list[tuple[list[Block], lis
             return "<table>" + "".join(f"<tr>{x if x.startswith('<td') else '<td>' + x + '</td>'}</tr>" if r.random() < 0.6 else x if x.startswith("<td") else f"<td>{x}</td>" for x in page) + "</table>"
         return "".join(page) if r.random() < 0.6 else wrap("".join(page))
 
+    def old() -> str:
+        """A page laid out by cells, fonts and line breaks, its text often a single block."""
+        some = lambda a, b, main: mark(words(a, b), main)
+        ref = lambda: f"<a href=/{r.randint(1, 99)}>{some(1, 3, False)}</a>"
+        face = lambda x: r.choice(["%s", "%s", "%s", "<font>%s</font>", "<span>%s</span>", "<b>%s</b>"]) % x
+        menu = lambda: face(r.choice(["<br>", "<br>", "<br><br>", " | ", " ", " - ", "<p>"]).join(ref() for _ in range(r.randint(1, 7))))
+        note = lambda: r.choice([lambda: f"{mark('', False)}{r.choice(['©', 'Copyright', '(c)'])} 2{r.randint(10, 99)} {words(1, 6)}", lambda: some(1, 6, False), lambda: f"{some(1, 5, False)} {ref()}"])()
+        ad = lambda: r.choice([lambda: note(), lambda: menu() + "<br><br>" + some(2, 12, False), lambda: f"<b>{some(1, 3, False)}</b><br>" + prose(3, 14)])()
+
+        def story() -> str:
+            brk = r.choice(["<br><br>", "<br><br>", "<br><br>\n", "<br>", "<p>"])
+            parts = [prose(15, 70) for _ in range(r.randint(1, 5))]
+            k = r.random()
+            title = words(1, 8).rstrip(".")
+            if k < 0.25:
+                head, parts[0] = "", f"<b>{title}</b><br>{parts[0]}" if r.random() < 0.5 else f"{title}<br>{parts[0]}"
+            elif k < 0.75:
+                n = r.choice([1, 1, 2, 3, 3, 4])
+                head = r.choice([f"<h{n}>%s</h{n}>", f"<h{n}>%s</h{n}>", "<center><b>%s</b></center>", f"<center><h{n}>%s</h{n}></center>", "<p><b>%s</b><p>", "<div><font>%s</font></div>", "<tr><td><font>%s</font></td></tr><tr><td>", "<tr><td><b>%s</b></td></tr><tr><td>"]) % mark(title, True)
+            else:
+                head = ""
+            text = brk.join(mark(x, True) for x in parts)
+            text = r.choice(["%s", "%s", "%s", "<font>%s</font>", "<font>%s</font>", "<span>%s</span>", "<blockquote>%s</blockquote>"]) % text
+            return head + text if r.random() < 0.85 else f"<font>{head}{text}</font>"
+
+        k = r.random()
+        if k < 0.45:  # cells in a row, or the story in rows of its own
+            cell = lambda x: f"<td>{x}</td>"
+            if r.random() < 0.25:
+                cell = lambda x: f"<td><table><tr><td>{x}</td></tr></table></td>"
+            row = [cell(menu()) for _ in range(r.choice([0, 1, 1, 1]))] + [cell(story())] + [cell(ad()) for _ in range(r.choice([0, 0, 1]))]
+            rows = ([f"<tr><td>{r.choice([note, menu])()}</td></tr>"] if r.random() < 0.4 else []) + [f"<tr>{''.join(row)}</tr>"] + ([f"<tr><td>{r.choice([note, menu])()}</td></tr>"] if r.random() < 0.4 else [])
+            page = f"<table>{''.join(rows)}</table>"
+            return r.choice(["%s", "%s", "<center>%s</center>", "<div>%s</div>"]) % page
+        if k < 0.75:  # pieces one after another, parted by rules, centred or boxed
+            tag = r.choice(["", "", "center", "div", "div", "p"])
+            box = lambda x: f"<{tag}>{x}</{tag}>" if tag else x + "<hr>"
+            text = story()
+            if r.random() < 0.6:
+                text = f"<{(t := r.choice(['div', 'center', 'td', 'div']))}>{text}</{t}>"
+            return "".join([*(box(r.choice([menu, note, menu])()) for _ in range(r.randint(0, 2))), text, "" if tag else "<hr>", *(box(r.choice([menu, note, ad])()) for _ in range(r.randint(0, 2)))])
+        if k < 0.9:  # tables of links around the story
+            links = lambda: "<table><tr>" + "".join(f"<{(t := r.choice(['td', 'th']))}>{ref()}</{t}>" for _ in range(r.randint(1, 4))) + "</tr></table>"
+            return (links() if r.random() < 0.7 else "") + story() + (links() if r.random() < 0.7 else "")
+        return r.choice(["%s", "<center>%s</center>", "<table><tr><td>%s</td></tr></table>", "<div>%s</div>", "<td>%s</td>"]) % story()
+
     out = []
     for _ in range(n):
-        if r.random() < 0.35:
-            found = blocks(f"<html><body>{foreign()}</body></html>")
+        if (k := r.random()) < 0.5:
+            found = blocks(f"<html><body>{old() if k < 0.14 else foreign()}</body></html>")
             marks = [next((c == "\ue001" for c in b.text if c in "\ue000\ue001"), False) for b in found]
             for b in found:
                 b.text = b.text.translate({0xE000: None, 0xE001: None}).strip() or "x"
