@@ -3,9 +3,10 @@
 A message's content is a text, or a JSON list of parts: text, image, audio or document. A visitor
 flattens the parts in order: texts are escaped, the others become placeholders, and each attachment
 is recorded with its reference and the number of tokens that its placeholder stands for. A turn is
-written `<|im_start|>role\\ncontent<|im_end|>\\n`. Beside a turn of several parts go the exact pieces of its source, so
-that it can be read back as it was given. Inside roles and texts `<|` never occurs: a backslash
-goes after `<` in front of `|`, and after any backslashes already there, which can be undone.
+written `<|im_start|>role\\ncontent<|im_end|>\\n`. Beside a turn of parts go their frames: the JSON around each text and its
+length, and the JSON of each attachment. The texts themselves are read back from the formatted turn, and with the frames
+around them the turn is what was given. Inside roles and texts `<|` never occurs, also not where one text of a turn ends
+and the next begins: a backslash goes after `<` in front of `|`, and after any backslashes already there, which can be undone.
 """
 
 from __future__ import annotations
@@ -44,36 +45,48 @@ def _unrole(role: str) -> str:
 
 
 class Flatten:
-    """The visitor: one method a part type, returning the placeholder or escaped text."""
+    """The visitor: one method a part type. Texts in a row are escaped together, so that no mark arises between two."""
 
     def __init__(self, media_first: int = 0):
         self.attachments: list[dict] = []
         self.base = media_first
+        self.done: list[str] = []
+        self.texts: list[str] = []
 
-    def visit(self, part) -> str:
+    def visit(self, part) -> None:
         if isinstance(part, str):
             return self.text({"text": part})
-        kind = str(part.get("type", "text")).removeprefix("input_").removesuffix("_url")
-        return {"text": self.text, "image": self.image, "audio": self.audio, "document": self.document}.get(kind, self.text)(part)
+        return {"image": self.image, "audio": self.audio, "document": self.document}.get(_kind(part), self.text)(part)
 
-    def text(self, part: dict) -> str:
-        return escape(str(part.get("text") or ""))
+    def text(self, part: dict) -> None:
+        self.texts.append(str(part.get("text") or ""))
 
-    def image(self, part: dict) -> str:
+    def flattened(self) -> str:
+        """What the parts visited so far become."""
+        self.done.append(escape("".join(self.texts)))
+        self.texts = []
+        return "".join(self.done)
+
+    def image(self, part: dict) -> None:
         """As many tokens as patches cover the image; one where its size isn't given."""
-        return self._place("image", part, math.ceil(_count(part.get("width")) / PATCH) * math.ceil(_count(part.get("height")) / PATCH))
+        self._place("image", part, math.ceil(_count(part.get("width")) / PATCH) * math.ceil(_count(part.get("height")) / PATCH))
 
-    def audio(self, part: dict) -> str:
-        return self._place("audio", part, math.ceil(_count(part.get("seconds")) * AUDIO_HZ))
+    def audio(self, part: dict) -> None:
+        self._place("audio", part, math.ceil(_count(part.get("seconds")) * AUDIO_HZ))
 
-    def document(self, part: dict) -> str:
+    def document(self, part: dict) -> None:
         """Tokens of its pages at 256 each."""
-        return self._place("document", part, math.ceil(_count(part.get("pages")) * 256))
+        self._place("document", part, math.ceil(_count(part.get("pages")) * 256))
 
-    def _place(self, kind: str, part: dict, tokens: int) -> str:
+    def _place(self, kind: str, part: dict, tokens: int) -> None:
         tokens, n = max(1, tokens), self.base + len(self.attachments)
         self.attachments.append({"kind": kind, "ref": str(part.get("ref") or part.get("url") or ""), "tokens": tokens, "place": n})
-        return f"<|{kind}:{n}:{tokens}|>"
+        self.flattened()
+        self.done.append(f"<|{kind}:{n}:{tokens}|>")
+
+
+def _kind(part: dict) -> str:
+    return str(part.get("type", "text")).removeprefix("input_").removesuffix("_url")
 
 
 def _count(x) -> float:
@@ -91,7 +104,7 @@ _SPACE = re.compile(r"[ \t\n\r]*+")
 def parts_of(content: str | None, typed: bool = True) -> tuple[list, list[str]]:
     """The parts of a content and, where it is a JSON list of parts, the pieces of its source that they stand for, which
     together are the content. typed: content that is a JSON list of texts and objects is a list of parts; all else, with
-    a malformed or an empty list, is one text, without pieces."""
+    a malformed or an empty list and one that spells half of a surrogate pair, is one text, without pieces."""
     content = content or ""
     at = _SPACE.match(content).end()
     if typed and content.startswith("[", at):
@@ -101,6 +114,7 @@ def parts_of(content: str | None, typed: bool = True) -> tuple[list, list[str]]:
                 part, end = _JSON.raw_decode(content, _SPACE.match(content, at).end())
                 if not isinstance(part, (str, dict)):
                     break
+                json.dumps(part, ensure_ascii=False).encode()  # an error where a half pair stands
                 at = _SPACE.match(content, end).end() + 1
                 parts.append(part)
                 pieces.append(content[begin:at])
@@ -117,28 +131,92 @@ def parts_of(content: str | None, typed: bool = True) -> tuple[list, list[str]]:
     return [{"type": "text", "text": content}], []
 
 
-def format_turn(role: str | None, content: str | None, typed: bool = True) -> tuple[str, list[dict], list[str]]:
-    """(formatted turn, attachments, pieces of the source of a turn of parts)."""
+_LITERAL = re.compile(r'"(?:[^"\\]|\\.)*+"')
+_LETTER = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|[^\\]", re.S)
+
+
+def _spelling(literal: str, text: str) -> str:
+    """How a JSON literal spells its text: empty as is usual, `a` in ASCII only, else the letters that it spells otherwise."""
+    if literal == json.dumps(text, ensure_ascii=False):
+        return ""
+    if literal == json.dumps(text):
+        return "a"
+    return json.dumps([[i, given] for i, (given, c) in enumerate(zip(_LETTER.findall(literal[1:-1]), text)) if given != json.dumps(c, ensure_ascii=False)[1:-1]])
+
+
+def _spelled(text: str, spelling: str) -> str:
+    if spelling in ("", "a"):
+        return json.dumps(text, ensure_ascii=spelling == "a")
+    letters = list(text)
+    odd = dict(json.loads(spelling))
+    return '"' + "".join(odd[i] if i in odd else json.dumps(c, ensure_ascii=False)[1:-1] for i, c in enumerate(letters)) + '"'
+
+
+def _frame(part, piece: str) -> dict:
+    """What of a part's piece doesn't stand in the formatted turn. chars: the length of its text there; -1 for an attachment, and for
+    a text that its source doesn't spell as a string, whose whole piece is kept."""
+    text = part if isinstance(part, str) else part.get("text") if _kind(part) not in ("image", "audio", "document") else None
+    if isinstance(text, str):
+        for m in _LITERAL.finditer(piece):
+            if json.loads(m[0]) == text:
+                return {"before": piece[: m.start()], "chars": len(text), "after": piece[m.end() :], "spelling": _spelling(m[0], text)}
+    return {"before": piece, "chars": -1, "after": "", "spelling": ""}
+
+
+def format_turn(role: str | None, content: str | None, typed: bool = True) -> tuple[str, list[dict], list[dict]]:
+    """(formatted turn, attachments, frames of a turn of parts)."""
     flat = Flatten()
     parts, pieces = parts_of(content, typed)
-    body = "".join(flat.visit(p) for p in parts)
-    return f"{START}{_role(role or '')}\n{body}{END}", flat.attachments, pieces
+    for p in parts:
+        flat.visit(p)
+    return f"{START}{_role(role or '')}\n{flat.flattened()}{END}", flat.attachments, [_frame(*x) for x in zip(parts, pieces)]
+
+
+def _framed(body: str, frames: list[dict]) -> str:
+    """The source of a turn of parts: its texts out of the body within their frames; its placeholders must be those that
+    the attachments' pieces give."""
+    shown, at = [], 0  # texts and placeholders by turns
+    for m in _MARK.finditer(body):
+        shown += [unescape(body[at : m.start()]), m[0]]
+        at = m.end()
+    shown.append(unescape(body[at:]))
+    flat, out, k, at = Flatten(), [], 0, 0
+    for n, frame in enumerate(frames):
+        chars, piece = frame["chars"], frame["before"]
+        if chars >= 0:
+            text = shown[k][at : at + chars]
+            piece += _spelled(text, frame["spelling"]) + frame["after"]
+        else:
+            begin = _SPACE.match(piece).end()
+            part, _ = _JSON.raw_decode(piece, begin if n else _SPACE.match(piece, begin + 1).end())
+            flat.done.clear()
+            flat.visit(part)
+            if not flat.texts:
+                if at != len(shown[k]) or shown[k + 1 : k + 2] != flat.done[-1:]:
+                    raise ValueError("a turn's parts aren't those of its source")
+                k, at = k + 2, 0
+            text, chars = "".join(flat.texts), len("".join(flat.texts))
+            flat.texts = []
+        if shown[k][at : at + chars] != text or len(text) != chars:
+            raise ValueError("a turn's parts aren't those of its source")
+        at += chars
+        out.append(piece)
+    if k != len(shown) - 1 or at != len(shown[k]):
+        raise ValueError("a turn's parts aren't those of its source")
+    return "".join(out)
 
 
-def read_turn(formatted: str, pieces: list[str] | None = None) -> tuple[str, str, bool]:
-    """(role, text, under the loss mask) of a formatted turn. With the pieces of a turn of parts, its text is the
-    content given, and the placeholders must be those of its parts; without, placeholders stay as they are."""
+def read_turn(formatted: str, frames: list[dict] | None = None) -> tuple[str, str, bool]:
+    """(role, text, under the loss mask) of a formatted turn. With the frames of a turn of parts, its text is the
+    content given; without, placeholders stay as they are."""
     if not formatted.startswith(START) or not formatted.endswith(END):
         raise ValueError("not a formatted turn")
     role, _, body = formatted[len(START) : -len(END)].partition("\n")
     role = _unrole(role)
-    text = "".join(pieces) if pieces else unescape(body)
-    if pieces and format_turn(role, text)[0] != formatted:
-        raise ValueError("a turn's parts aren't those of its source")
-    return role, text, role == "assistant"
+    return role, _framed(body, frames) if frames else unescape(body), role == "assistant"
 
 
-TURNS = "conv_id bigint, turn bigint, formatted string, tokens_expanded bigint, attachments array<struct<kind:string,ref:string,tokens:bigint,place:bigint>>, pieces array<string>, loss boolean"
+TURNS = "conv_id bigint, turn bigint, formatted string, tokens_expanded bigint, attachments array<struct<kind:string,ref:string,tokens:bigint,place:bigint>>, frames array<struct<before:string,chars:int,after:string,spelling:string>>, loss boolean"
 
 
 def format_turns(rows: DataFrame, typed: bool = True) -> DataFrame:
@@ -148,6 +226,7 @@ def format_turns(rows: DataFrame, typed: bool = True) -> DataFrame:
     Row for row: nothing is grouped here. A null role or text counts as empty, a malformed list of
     parts as text. Roles may hold anything: line breaks and control strings are escaped as well.
     """
+    frame = pa.list_(pa.struct([("before", pa.string()), ("chars", pa.int32()), ("after", pa.string()), ("spelling", pa.string())]))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64()), ("place", pa.int64())]))
 
     def run(batches):
@@ -155,8 +234,8 @@ def format_turns(rows: DataFrame, typed: bool = True) -> DataFrame:
             roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
             made = [format_turn(r, t, typed) for r, t in zip(roles, texts)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("conv_id"), b.column("turn"), pa.array([m[0] for m in made], pa.string()), pa.array([sum(a["tokens"] for a in m[1]) for m in made], pa.int64()), pa.array([m[1] for m in made], kind), pa.array([m[2] for m in made], pa.list_(pa.string())), pa.array([r == "assistant" for r in roles], pa.bool_())],
-                names=["conv_id", "turn", "formatted", "tokens_expanded", "attachments", "pieces", "loss"],
+                [b.column("conv_id"), b.column("turn"), pa.array([m[0] for m in made], pa.string()), pa.array([sum(a["tokens"] for a in m[1]) for m in made], pa.int64()), pa.array([m[1] for m in made], kind), pa.array([m[2] for m in made], frame), pa.array([r == "assistant" for r in roles], pa.bool_())],
+                names=["conv_id", "turn", "formatted", "tokens_expanded", "attachments", "frames", "loss"],
             )
 
     read = rows.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "bigint"), ("turn", "bigint"), ("role", "string"), ("text", "string"))])
@@ -168,10 +247,10 @@ class _Digest:
         self.n = self.loss_chars = self.chars = self.parts = self.attached = self.expanded = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, formatted: str, pieces: list[str], attached: int, expanded: int) -> None:
-        role, text, loss = read_turn(formatted, pieces)
+    def add(self, formatted: str, frames: list[dict], attached: int, expanded: int) -> None:
+        role, text, loss = read_turn(formatted, frames)
         self.n += 1
-        self.parts += len(pieces) or 1
+        self.parts += len(frames) or 1
         self.attached += attached
         self.expanded += expanded
         self.chars += len(formatted)
@@ -197,7 +276,7 @@ def digests(turns: DataFrame) -> DataFrame:
     def run(batches):
         now, state, rows = None, None, []
         for b in batches:
-            for conv, *turn in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "pieces", "attached", "tokens_expanded"))):
+            for conv, *turn in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "frames", "attached", "tokens_expanded"))):
                 if state is None or conv != now:
                     if state:
                         rows.append(state.row(now))
@@ -211,7 +290,7 @@ def digests(turns: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    dealt = turns.select("conv_id", "turn", "formatted", "pieces", F.size("attachments").alias("attached"), "tokens_expanded").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted", "pieces")
+    dealt = turns.select("conv_id", "turn", "formatted", "frames", F.size("attachments").alias("attached"), "tokens_expanded").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted", "frames")
     return dealt.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_parts bigint, n_attachments bigint, expanded_tokens bigint")
 
 

@@ -91,13 +91,14 @@ def test_chat(spark):
 
 def test_typed_parts():
     parts = '[{"type":"text","text":"see <|image:0:1|>"},{"type":"image","ref":"a.png","width":56,"height":29},{"type":"audio","ref":"b","seconds":2},{"type":"document","ref":"c","pages":"x"}]'
-    text, found, pieces = op6_chat.format_turn("user", parts)
+    text, found, frames = op6_chat.format_turn("user", parts)
     assert [(a["kind"], a["ref"], a["tokens"], a["place"]) for a in found] == [("image", "a.png", 4, 0), ("audio", "b", 50, 1), ("document", "c", 1, 2)]
     assert op6_chat.read_turn(text)[1].endswith("<|image:0:4|><|audio:1:50|><|document:2:1|>") and "<\\|image:0:1|>" in text
-    assert op6_chat.read_turn(text, pieces)[1] == parts and len(pieces) == 4
+    assert op6_chat.read_turn(text, frames)[1] == parts and len(frames) == 4
+    assert "see" not in str(frames)
     assert op6_chat.format_turn("user", "[broken")[0] == "<|im_start|>user\n[broken<|im_end|>\n"
     with pytest.raises(ValueError, match="aren't those"):
-        op6_chat.read_turn(text, pieces[:1] + pieces[:0:-1])
+        op6_chat.read_turn(text, frames[:1] + frames[:0:-1])
 
 
 def test_typed_turns_read_back(spark):
