@@ -15,7 +15,7 @@ import uuid
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import saved, slices, table, texts_of
@@ -25,6 +25,8 @@ DICTIONARY_FRAME = 0x184D2A5D
 #: The dictionary is built from at most so many records of at most so many characters.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 50_000, 65_536
 ARCHIVE_BYTES, LEVEL = 8_000_000, 6
+#: Repeated rows of one id, url and payload that a part of a task makes anew.
+TIES = 10_000
 #: Bytes of an archive that are handed to the reader at a time.
 FEED = 16_384
 
@@ -107,7 +109,8 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Payloads are compared by digest. Digests with copies are found from partial counts by id, without
     payloads; these are then shuffled once, and a digest with many copies is a skewed join that Spark
-    splits. Only repeated rows of a smallest id are ranked.
+    splits. Repeated rows of a smallest id are counted by url and made anew from their counts, TIES to a task's part, so
+    that no task holds them all: one of the first url (a null one before others) is the response.
     """
     rows = pages.withColumn("__sha", F.sha1("payload"))
     each = rows.where(F.octet_length("payload") >= min_bytes).groupBy("__sha", "page_id").agg(F.count("*").alias("c"))
@@ -121,8 +124,11 @@ def deduplicated(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     if many.isEmpty():
         return out
     tied = rows.join(many, F.col("__sha") == F.col("s")).where(same)
-    turn = F.row_number().over(Window.partitionBy("__sha").orderBy("url"))
-    return out.unionByName(made(tied.withColumn("turn", turn), F.col("turn") == 1))
+    urls = tied.groupBy("__sha", "page_id", "first", "url").agg(F.count("*").alias("c"), F.first("payload").alias("payload"))
+    lead = urls.groupBy("__sha").agg(F.min(F.struct(F.col("url").isNotNull(), "url"))["url"].alias("lead"))
+    parts = urls.join(lead, "__sha").withColumn("part", F.explode(F.expr(f"sequence(0, (c - 1) div {TIES})"))).repartition("__sha", "url", "part")
+    again = parts.withColumn("turn", F.explode(F.expr(f"sequence(part * {TIES} + 1, least(c, (part + 1) * {TIES}))")))
+    return out.unionByName(made(again, (F.col("turn") == 1) & F.col("url").eqNullSafe(F.col("lead"))))
 
 
 def write_archives(records: DataFrame, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

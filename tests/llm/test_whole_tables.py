@@ -74,3 +74,21 @@ def test_media_query_on_odd_tables(spark, tmp_path):
     assert len({r.media_sha256 for r in got if r.n_bytes == 0}) == 1
     none = QUERIES["op4_matroska"](spark, f"{tmp_path}/none")
     assert none.count() == 0 and none.columns[0] == "doc_id"
+
+
+def test_records_of_repeated_rows(spark, monkeypatch):
+    """Many rows of one id and payload, in parts of any size: each row has a record, and one of the first url is the response."""
+    from tallyspark.llm import op10_warc
+
+    rows = [(7, u, "same") for u in ["b"] * 11 + ["a"] * 4 + ["c"]] + [(8, u, "other") for u in [None] * 5 + ["a"] * 2] + [(None, "z", "third")] * 6 + [(9, "b", "same"), (9, "b", "same"), (10, "x", "alone")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    first = {"same": (7, "a"), "other": (8, ""), "third": (None, "z"), "alone": (10, "x")}
+    want, said = [], set()
+    for i, url, text in rows:
+        response = (i, url or "") == first[text] and text not in said
+        said |= {text} if response else set()
+        want.append((str(i), url or "", len(text), "response" if response else "revisit", str(None if response else first[text][0])))
+    for ties in (1, 3, 4, 10_000):
+        monkeypatch.setattr(op10_warc, "TIES", ties)
+        got = op10_warc.read_archives(op10_warc.archive_pages(df)).collect()
+        assert sorted((str(r.page_id), r.url, r.payload_bytes, r.record_type, str(r.refers_to)) for r in got) == sorted(want)
