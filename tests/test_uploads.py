@@ -82,3 +82,28 @@ def test_totals_of_uploads_and_invoices(spark):
     from pyspark.sql import functions as F
 
     assert {r.doc_id: (r.total, r.summed) for r in ingesting.upload_summary(rows, F.lit(True)).collect()} == {1: (M("10.00"), M("10.00")), 2: (M("15.00"), M("10.00")), 3: (M("6.00"), M("6.00"))}
+
+
+def test_only_the_parts_asked_for_are_computed(spark, monkeypatch):
+    """Invoices classify nothing, and rows of an upload are derived once, however many results read them."""
+    from pyspark.sql import functions as F
+
+    calls = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (calls.add(1), x)[1], "string").asNondeterministic()
+    day = date(2024, 5, 10)
+    rows = [(d, n, f"text {n}", M(10), "EXPENSE", day, day, 7, "Visa 1111", M(30), None) for d in (1, 2) for n in (1, 2, 3)]
+    parsed = spark.createDataFrame(rows, "doc_id bigint, line_no int, description string, amount decimal(19,2), type string, date date, due_date date, person_id bigint, card_name string, document_total decimal(19,2), category string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    tables = [empty("user_id bigint, pattern string, category string, priority int, created_at date"), empty("user_id bigint, transaction_id string, chosen_category string, created_at date"), empty("tx_id string, description string"), empty("ordinal int, pattern string, category string, confidence double"), empty("category string, keyword string, weight double")]
+    old = empty("card_id bigint, year int, month int, total_amount decimal(19,2), due_date date")
+    cards = empty("card_id bigint, owner_id bigint, name string, brand string, last_four string")
+    with monkeypatch.context() as m:
+        m.setattr(composites.classifying, "classify", lambda *a: pytest.fail("classified for nothing"))
+        got = composites.ingest(parsed.withColumn("description", seen("description")), *tables, old, cards, parts=["invoices", "uploads"])
+        assert set(got) == {"invoices", "uploads"}
+        assert [(r.total, r.action) for r in got["invoices"].collect()] == [(M("30.00"), "insert")]
+        assert {r.doc_id: (r.n, r.total, r.summed) for r in got["uploads"].collect()} == {1: (3, M("30.00"), M("30.00")), 2: (3, M("30.00"), M("30.00"))}
+    assert calls.value == len(rows)
+    every = composites.ingest(parsed, *tables, old, cards)
+    assert set(every) == {"transactions", "cards", "new_cards", "installments", "invoices", "uploads"}
+    assert {(r.category, r.category_by, r.confidence) for r in every["transactions"].collect()} == {("Outros", "default", 0.5)}
