@@ -63,16 +63,20 @@ def disambiguate(rows: DataFrame) -> DataFrame:
 
 def cancel_refunds(rows: DataFrame) -> DataFrame:
     """Drops each refund of a fee and the first later fee of its document, date and amount that no
-    refund before it took. Only refunds and fees are grouped."""
-    d = normalize(F.col("description"))
+    refund before it took. Only refunds and fees are grouped, and a group is a sort, not an array: it may be of any size.
+
+    A fee is taken while refunds wait. Those waiting are the refunds so far less the fees, where fees that found none waiting don't count:
+    these are as many as the running balance has fallen below zero. Refunds are taken in their order, as many as fees are."""
+    c, d = F.col, normalize(F.col("description"))
     fee = d.contains("tarifa") | d.contains("anuidade")
-    marked = rows.where(fee).select("doc_id", "date", "amount", F.struct("line_no", d.contains("estorno").alias("refund")).alias("e"))
-    groups = marked.groupBy("doc_id", "date", "amount").agg(F.array_sort(F.collect_list("e")).alias("es")).where(F.size("es") > 1)
-    # walks the lines with the refunds that still wait: a fee takes the first of them
-    state = "named_struct('wait', cast(array() as array<int>), 'gone', cast(array() as array<int>))"
-    step = """(s, e) -> if(e.refund, named_struct('wait', array_append(s.wait, cast(e.line_no as int)), 'gone', s.gone),
-      if(size(s.wait) > 0, named_struct('wait', slice(s.wait, 2, size(s.wait)), 'gone', array_append(array_append(s.gone, s.wait[0]), cast(e.line_no as int))), s))"""
-    gone = groups.select("doc_id", F.explode(F.expr(f"aggregate(es, {state}, {step}, s -> s.gone)")).alias("line_no"))
+    marked = rows.where(fee).select("doc_id", "date", "amount", "line_no", F.coalesce(d.contains("estorno"), F.lit(False)).alias("refund"))
+    group = Window.partitionBy("doc_id", "date", "amount").orderBy("line_no", "refund")
+    upto = group.rowsBetween(Window.unboundedPreceding, 0)
+    walked = marked.withColumn("balance", F.sum(F.when(c("refund"), 1).otherwise(-1)).over(upto))
+    walked = walked.withColumn("low", F.least(F.lit(0), F.coalesce(F.min("balance").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    walked = walked.withColumn("taken", ~c("refund") & (c("balance") >= c("low"))).withColumn("nth", F.count_if("refund").over(upto))
+    taken = F.count_if("taken").over(Window.partitionBy("doc_id", "date", "amount"))
+    gone = walked.withColumn("n", taken).where(c("taken") | (c("refund") & (c("nth") <= c("n")))).select("doc_id", "line_no")
     return rows.join(gone, ["doc_id", "line_no"], "left_anti")
 
 

@@ -107,3 +107,20 @@ def test_only_the_parts_asked_for_are_computed(spark, monkeypatch):
     every = composites.ingest(parsed, *tables, old, cards)
     assert set(every) == {"transactions", "cards", "new_cards", "installments", "invoices", "uploads"}
     assert {(r.category, r.category_by, r.confidence) for r in every["transactions"].collect()} == {("Outros", "default", 0.5)}
+
+
+def test_refunds_of_large_groups_and_random_ones(spark):
+    """Against a walk line by line; a group of 40,000 lines took an array of that size, rebuilt at each of them."""
+    rng = random.Random(5)
+    rows = [(g, n, date(2024, 1, 1 + g % 2), M(rng.randrange(1, 3)), "EXPENSE", rng.choice(["Tarifa", "Estorno tarifa", "shop"])) for g in range(30) for n in range(40)]
+    rows += [(99, n, date(2024, 1, 1), M(1), "EXPENSE", "Estorno anuidade" if n < 20_000 else "anuidade") for n in range(40_000)]
+    waiting, gone = {}, set()
+    for doc, line, day, amount, _, text in rows:
+        queue = waiting.setdefault((doc, day, amount), [])
+        if "Estorno" in text:
+            queue.append(line)
+        elif text != "shop" and queue:
+            gone |= {(doc, queue.pop(0)), (doc, line)}
+    df = spark.createDataFrame(rows, "doc_id int, line_no int, date date, amount decimal(19,2), type string, description string")
+    got = {(r.doc_id, r.line_no) for r in ingesting.cancel_refunds(df).collect()}
+    assert got == {r[:2] for r in rows} - gone
