@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import estimated_due, parse_date
 from tallyspark.functions.money import brazilian, parse_brazilian, parse_loose
+from tallyspark.functions.shared import saved
 from tallyspark.operators import ingesting as G
 from tallyspark.plans.registry import ORACLES, QUERIES, pct_sql, query
 from tallyspark.sources import texts as X
@@ -23,9 +24,8 @@ def _exports(tx):
     en = F.concat_ws(",", "description", F.col("amount").cast("string"), F.coalesce("category", F.lit("")), F.col("transaction_date").cast("string"), "type")
     odd = F.col("person_id") % 2 == 1
     lines = tx.select(F.col("person_id").alias("doc_id"), F.col("tx_id").alias("line_no"), F.when(odd, en).otherwise(pt).alias("line"))
-    heads = tx.select(F.col("person_id").alias("doc_id")).distinct().select("doc_id", F.lit("").alias("line_no"), F.when(F.col("doc_id") % 2 == 1, "﻿description,amount,category,date,type").otherwise("data,descricao,valor,categoria").alias("line"))
-    broken = heads.select("doc_id", F.lit("zz").alias("line_no"), F.lit("no,row").alias("line"))
-    return _joined(lines.unionByName(heads).unionByName(broken), "")
+    text = F.concat_ws("\n", F.when(F.col("doc_id") % 2 == 1, "\ufeffdescription,amount,category,date,type").otherwise("data,descricao,valor,categoria"), "text", F.lit("no,row"))
+    return _joined(lines, "").withColumn("text", text)
 
 
 @query("src1_csv_exports", "tx", sql="SELECT person_id AS doc_id, CASE WHEN person_id % 2 = 1 THEN 'en' ELSE 'pt' END AS layout, transaction_date AS date, description, amount, coalesce(category, '') AS category, type FROM tx")
@@ -76,15 +76,15 @@ _INV = """WITH p AS (SELECT *, TRY_CAST((year(due_date) - CASE WHEN month(date)
 
 @query("src4_sf24_invoice_text", "parsed", sql=_INV + "SELECT doc_id, d AS date, description, amount, type, CASE WHEN doc_id % 2 = 1 THEN installment_number END AS installment_number, due_date FROM p")
 def _(parsed):
-    docs = _invoice_docs(parsed)
-    found = X.parse_invoice_text(docs, _layouts(parsed))
+    docs = saved(_invoice_docs(parsed), "invoice-docs")
+    found = saved(X.parse_invoice_text(docs, _layouts(parsed)), "invoice-rows")
     chosen = X.select_layout(docs, found, _layouts(parsed))
     return found.join(chosen, ["doc_id", "layout"]).select("doc_id", "date", "description", "amount", "type", "installment_number", "due_date")
 
 
 @query("src5_select_layout", "parsed", sql="SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'worded' ELSE 'slashed' END AS layout, 1100000 + CAST(10000 + least(5000, 20 * count(*)) AS BIGINT) AS score FROM parsed WHERE date IS NOT NULL AND amount > 0 GROUP BY doc_id")
 def _(parsed):
-    docs = _invoice_docs(parsed)
+    docs = saved(_invoice_docs(parsed), "invoice-docs")
     return X.select_layout(docs, X.parse_invoice_text(docs, _layouts(parsed)), _layouts(parsed))
 
 

@@ -10,7 +10,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.dates import day_and_month, parse_date, try_date
+from tallyspark.functions.dates import day_and_month, once, parse_date, try_date
 from tallyspark.functions.money import MONEY, parse_brazilian, parse_loose
 from tallyspark.functions.sizes import small
 
@@ -83,15 +83,22 @@ def _export_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of three header layouts: full (card, date, description, amount, category, type), pt (data,
     descricao, valor, categoria) and en (description, amount, category, date[, type]). The first line that isn't
     blank selects the layout; commas always separate. Lines without date or amount are rejected."""
-    title = F.lower(F.regexp_replace("first", r"\s", ""))
-    layout = F.when(title.startswith("card,"), "full").when(title.startswith("data,") | title.startswith("date,desc"), "pt").when(title.startswith("description,"), "en").otherwise("unknown")
-    parts = F.split("line", ",")
-    at = lambda full, pt, en: F.trim(F.when(F.col("layout") == "full", F.get(parts, F.lit(full))).when(F.col("layout") == "pt", F.get(parts, F.lit(pt)) if pt is not None else None).otherwise(F.get(parts, F.lit(en)) if en is not None else None))
-    out = lines.withColumn("layout", layout).select(
-        "doc_id", "line_no", "layout", "line",
-        at(0, None, None).alias("card_name"), F.coalesce(F.try_to_timestamp(at(1, 0, 3), F.lit("yyyy-MM-dd")), F.try_to_timestamp(at(1, 0, 3), F.lit("dd/MM/yyyy"))).cast("date").alias("date"),
-        at(2, 1, 0).alias("description"), at(3, 2, 1).try_cast(MONEY).alias("signed"), at(4, 3, 2).alias("category"), F.upper(at(5, None, 4)).alias("given"),
-    )
+    c = F.col
+
+    def read(r):
+        layout, parts = r["layout"], r["parts"]
+        at = lambda full, pt, en: F.trim(F.when(layout == "full", F.get(parts, F.lit(full))).when(layout == "pt", F.get(parts, F.lit(pt)) if pt is not None else None).otherwise(F.get(parts, F.lit(en)) if en is not None else None))
+        # one of the formats at most can fit: one that fails costs an exception a line
+        dated = lambda day: F.when(F.contains(day, F.lit("/")), F.try_to_timestamp(day, F.lit("dd/MM/yyyy"))).otherwise(F.try_to_timestamp(day, F.lit("yyyy-MM-dd"))).cast("date")
+        return F.struct(
+            layout.alias("layout"), at(0, None, None).alias("card_name"), once(at(1, 0, 3), dated).alias("date"), at(2, 1, 0).alias("description"),
+            at(3, 2, 1).try_cast(MONEY).alias("signed"), at(4, 3, 2).alias("category"), F.upper(at(5, None, 4)).alias("given"),
+        )
+
+    kind_of = lambda title: F.when(F.startswith(title, F.lit("card,")), "full").when(F.startswith(title, F.lit("data,")) | F.startswith(title, F.lit("date,desc")), "pt").when(F.startswith(title, F.lit("description,")), "en").otherwise("unknown")
+    cut = F.struct(once(F.lower(F.regexp_replace("first", r"\s", "")), kind_of).alias("layout"), F.split("line", ",").alias("parts"))
+    # inline, not columns: a filter on a column is pushed below it, and would compute each part again for each of its uses
+    out = lines.select("doc_id", "line_no", "line", F.inline(F.array(once(cut, read))))
     good = (F.col("layout") != "unknown") & F.col("date").isNotNull() & F.col("signed").isNotNull()
     kind = F.coalesce(F.nullif(F.col("given"), F.lit("")), F.when(F.col("signed") < 0, "INCOME").otherwise("EXPENSE"))
     rows = out.where(good).select("doc_id", "line_no", "layout", "card_name", "date", "description", F.abs("signed").cast(MONEY).alias("amount"), "category", kind.alias("type"))
@@ -176,10 +183,12 @@ def parse_invoice_text(docs: DataFrame, layouts: DataFrame) -> DataFrame:
     lines = chosen.select("doc_id", "due_date", *layouts.columns, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
     hits = lines.where("line rlike shape")
     get = lambda g: F.expr(f"case when {g} > 0 then regexp_extract(line, shape, {g}) end")
-    day, month_of = day_and_month(F.trim(get("g_day")))
-    full = parse_date(get("g_day"), F.col("due_date"))
-    day, month_of = F.coalesce(day.cast("int"), F.dayofmonth(full)), F.coalesce(month_of.cast("int"), F.month(full))
-    day = try_date(F.year("due_date") - F.when(month_of > F.month("due_date"), 1).otherwise(0), month_of, day)
+    def dated(p):
+        (day, month_of), full, due = day_and_month(F.trim(p)), parse_date(p, F.col("due_date")), F.col("due_date")
+        parts = F.struct(F.coalesce(day.cast("int"), F.dayofmonth(full)).alias("day"), F.coalesce(month_of.cast("int"), F.month(full)).alias("month"))
+        return once(parts, lambda d: try_date(F.year(due) - F.when(d["month"] > F.month(due), 1).otherwise(0), d["month"], d["day"]))
+
+    day = once(get("g_day"), dated)
     value = parse_loose(get("g_amount"))
     kind = F.when((value < 0) | F.lower(get("g_desc")).contains("pagamento"), "INCOME").otherwise("EXPENSE")
     number = lambda g: F.nullif(get(g), F.lit("")).try_cast("int")

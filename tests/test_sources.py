@@ -74,3 +74,33 @@ def test_pages_of_a_busy_account(spark):
             mine.sort(key=lambda r: r[2] or "", reverse=True)
             want |= {(p, r[0], k + 1, -(-len(mine) // size)) for k, r in enumerate(mine) if number * size <= k < number * size + size}
         assert {(r.person_id, r.tx_id, r["rank"], r.pages) for r in summaries.page(tx, number, size).collect()} == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dates_of_odd_shapes_are_cut_not_tried(spark):
+    """Each shape is read by its own numbers; the formats that don't fit were tried, several times a row."""
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions.dates import parse_date
+
+    want = {
+        "2024-02-29": "2024-02-29", "2023-02-29": None, "0000-01-01": None, "2024-13-01": None, "2024-00-10": None, "31/04/2024": None, "30/04/2024": "2024-04-30", "05/06/07": "2007-06-05", "29/02/99": None,
+        "29/02": None, "28/02": "2023-02-28", "1/3": "2023-03-01", "2/3": "2022-03-02", "29 FEV": None, "5 fev.": "2023-02-05", "31 DEZ": "2022-12-31", "99/99": None, "5 abc": None, "": None, "2024-1-1": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "s string").select("s", parse_date(F.col("s"), F.lit("2023-02-01").cast("date")).cast("string").alias("d"))
+    assert {r.s: r.d for r in df.collect()} == want
+    assert "timestamp" not in _plan(df)
+
+
+def test_lines_of_exports_are_split_once(spark):
+    """A filter on what is parsed was pushed below it, and split a line again for each use of a part."""
+    text = "data,descricao,valor,categoria\n2024-01-02,a,3.50,x\n03/01/2024,b,-1,y\nno,row\n1/2,c,3,z"
+    files = spark.range(1).selectExpr("id as doc_id", f"'{text}' as text".replace("\n", "\\n"))
+    rows, rejected = texts.parse_exports(files)
+    assert [(str(r.date), r.description, str(r.amount), r.type) for r in rows.collect()] == [("2024-01-02", "a", "3.50", "EXPENSE"), ("2024-01-03", "b", "1.00", "INCOME")]
+    assert [(r.line_no, r.line) for r in rejected.collect()] == [(3, "no,row"), (4, "1/2,c,3,z")]
+    for df in (rows, rejected):
+        assert _plan(df).count("split(line") == 1
