@@ -124,3 +124,16 @@ def test_refunds_of_large_groups_and_random_ones(spark):
     df = spark.createDataFrame(rows, "doc_id int, line_no int, date date, amount decimal(19,2), type string, description string")
     got = {(r.doc_id, r.line_no) for r in ingesting.cancel_refunds(df).collect()}
     assert got == {r[:2] for r in rows} - gone
+
+
+def test_rows_of_a_batch_are_derived_once(spark):
+    """Both joins of a batch's rows read what is written of them; they derived it each."""
+    from pyspark.sql import functions as F
+
+    calls = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (calls.add(1), x)[1], "string").asNondeterministic()
+    rows = spark.createDataFrame([(i, 1, i % 2, i, "gold", "visa", "1111") for i in range(6)], "row_id bigint, owner_id bigint, upload bigint, place bigint, name string, brand string, last_four string")
+    none = spark.createDataFrame([], "card_id bigint, owner_id bigint, name string, brand string, last_four string")
+    got = invoicing.resolve_cards(rows.select("row_id", "owner_id", "upload", "place", "name", "brand", seen("last_four").alias("last_four")), none).collect()
+    assert {(r.row_id, r.made_by, r.matched_by) for r in got} == {(0, 0, "new"), (1, 0, "digits"), *((i, 0, "upload") for i in range(2, 6))}
+    assert calls.value == 6
