@@ -31,6 +31,21 @@ def test_feedback_of_a_heavy_user(spark):
     assert got == want and len(want) > 20
 
 
+def test_feedback_of_ordinary_users_is_tried_directly(spark, monkeypatch):
+    """Texts of users with few pairs are not cut into suffixes; those of a heavy user are, and both ways agree."""
+    text = lambda i: f"pix {'ab' * (i % 7)} shop {i % 40}"
+    past = spark.createDataFrame([(f"t{i}", text(i)) for i in range(400)], "tx_id string, description string")
+    feedback = spark.createDataFrame([(1 if i % 20 else 2, f"t{i}", "xyz"[i % 3], date(2024, 1, 1 + i % 28)) for i in range(400)], "user_id bigint, transaction_id string, chosen_category string, created_at date")
+    tx = spark.createDataFrame([(u, d) for u in (1, 2) for d in [text(i)[:n] for i in range(60) for n in (3, 6, 40)] + [""]], "person_id bigint, description string")
+    seen, held = [], classifying._held_by
+    monkeypatch.setattr(classifying, "_held_by", lambda wanted, history: seen.extend({r.person_id for r in history.collect()}) or held(wanted, history))
+    rows = lambda most: sorted(map(tuple, classifying.by_feedback(tx, feedback, past, newest=5, most=most).collect()))
+    direct = rows(10_000)
+    assert not seen and {r[0] for r in direct} == {1, 2}
+    assert rows(20) == direct and seen == [1]
+    assert rows(0) == direct and set(seen[1:]) == {1, 2}
+
+
 def test_dictionaries_beyond_any_broadcast(spark):
     """70,000 patterns are no error, and the lookup gives what trying all of them would."""
     merchants = spark.range(70_000).select(F.col("id").alias("ordinal"), F.concat(F.lit("shop"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("pattern"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("category"), F.lit(0.8).alias("confidence"))
