@@ -137,3 +137,36 @@ def test_rows_of_a_batch_are_derived_once(spark):
     got = invoicing.resolve_cards(rows.select("row_id", "owner_id", "upload", "place", "name", "brand", seen("last_four").alias("last_four")), none).collect()
     assert {(r.row_id, r.made_by, r.matched_by) for r in got} == {(0, 0, "new"), (1, 0, "digits"), *((i, 0, "upload") for i in range(2, 6))}
     assert calls.value == 6
+
+
+def test_cards_of_an_ingest_are_those_of_resolved_rows(spark):
+    """Lines carry the first line of their card in its upload and meet cards in one join; entries are transactions without categories."""
+    rng = random.Random(8)
+    names = ["Visa 1111", "visa gold 1111", "Visa gold", "elo", "Elo 2222", "own card", None]
+    lines = [(d, n, f"text {rng.randrange(3)}", M(rng.randrange(3)), "EXPENSE", date(2024, 5, 10), None, d % 3, rng.choice(names), M(30)) for d in range(12) for n in (1, 2, 2, 3)]
+    parsed = spark.createDataFrame(lines, "doc_id bigint, line_no int, description string, amount decimal(19,2), type string, date date, due_date date, person_id bigint, card_name string, document_total decimal(19,2)")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    tables = [empty("user_id bigint, pattern string, category string, priority int, created_at date"), empty("user_id bigint, transaction_id string, chosen_category string, created_at date"), empty("tx_id string, description string"), empty("ordinal int, pattern string, category string, confidence double"), empty("category string, keyword string, weight double")]
+    cards = spark.createDataFrame([(5, 1, "Gold", "VISA", "1111", 20), (6, 1, "x", "visa", "1111", 3), (7, 2, "own card", "own card", None, None)], "card_id bigint, owner_id bigint, name string, brand string, last_four string, due_day int")
+    old = empty("card_id bigint, year int, month int, total_amount decimal(19,2), due_date date")
+    got = composites.ingest(parsed, *tables, old, cards, parts=["entries", "cards", "new_cards"])
+    key = lambda owner, brand, digits, name: "|".join(["new", str(owner), brand, digits or "", name])
+    brand = lambda n: next((b for b in ("visa", "elo") if b in (n or "").lower()), None)
+    digits = lambda n: n[-4:] if n and n[-1].isdigit() else None
+    named, of = {}, {}
+    for d, n, text, amount, _, _, _, who, name, _ in lines:
+        if amount:
+            shown = name or "Card"
+            row = (f"{d}|{who}|{brand(name) or shown}|{digits(name) or ''}|{shown}", who, d, shown, brand(name) or shown, digits(name))
+            named[row] = min(n, named.get(row, 9))
+            of["-".join(str(x) for x in (d, n, text, f"{amount:.2f}", *([name] if name else [])))] = row[0]
+    rows = spark.createDataFrame([(r[0], r[1], r[2], n, *r[3:]) for r, n in named.items()], "row_id string, owner_id bigint, upload bigint, place int, name string, brand string, last_four string")
+    who = {r[0]: r for r in named}
+    want = {r.row_id: (str(r.card_id) if r.card_id else key(who[r.made_by][1], who[r.made_by][4], who[r.made_by][5], who[r.made_by][3]), r.matched_by) for r in invoicing.resolve_cards(rows, cards).collect()}
+    entries = got["entries"].collect()
+    assert "category" not in got["entries"].columns and {r.matched_by for r in entries} == {"upload", "digits", "name", "new"}
+    assert {r.tx_id: (r.card_key, r.matched_by) for r in entries} == {t: want[row] for t, row in of.items()}
+    assert {r.card_key for r in got["new_cards"].collect()} == {k for k, how in want.values() if how == "new"}
+    day = {k: 20 if k == "5" else 10 if k == "7" else 15 for k, _ in want.values()}
+    assert all(r.transaction_date == date(2024, 6, day[r.card_key]) for r in entries)
+    assert {(r.card_key, r.matched_by) for r in got["cards"].collect()} == set(want.values())
