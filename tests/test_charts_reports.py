@@ -114,3 +114,15 @@ def test_all_letters_lose_their_marks(spark):
     low = [r[0] for r in spark.createDataFrame([(c,) for c in chunks], "t string").coalesce(1).select(F.lower("t")).collect()]
     assert got == [None if t is None else plain(t).strip() for t in low]
     assert spark.createDataFrame([("ǆ Ǻ",)], "t string").select(normalize(F.col("t"))).first()[0] != "ǆ a"  # off unless asked for
+
+
+def test_keys_of_recurring_rows_are_found_once(spark, monkeypatch):
+    """A row counts in the spans of three months; its key was computed in each."""
+    calls, plain = spark.sparkContext.accumulator(0), detection.description_key
+    counted = F.udf(lambda x: (calls.add(1), x)[1], "string").asNondeterministic()
+    monkeypatch.setattr(detection, "description_key", lambda x: counted(plain(x)))
+    rows = [(f"t{m}", 1, "gym plan", M(30), "EXPENSE", None, date(2024, m, 5), None, None) for m in (1, 2, 3, 4)]
+    counts = detection.recurring_by_month(spark.createDataFrame(rows, TX))
+    got = sorted((r.month, r.n, r.monthly_cost) for r in counts.collect())
+    assert got == [(date(2024, 3, 1), 3, M("30.00")), (date(2024, 4, 1), 3, M("30.00"))]
+    assert calls.value % len(rows) == 0 and calls.value <= 3 * len(rows)  # the plan reads its rows three times at most
