@@ -126,3 +126,35 @@ def test_keys_of_recurring_rows_are_found_once(spark, monkeypatch):
     got = sorted((r.month, r.n, r.monthly_cost) for r in counts.collect())
     assert got == [(date(2024, 3, 1), 3, M("30.00")), (date(2024, 4, 1), 3, M("30.00"))]
     assert calls.value % len(rows) == 0 and calls.value <= 3 * len(rows)  # the plan reads its rows three times at most
+
+
+def test_no_document_is_shuffled(spark):
+    """Breakdowns and statements of a person's period were shuffled together for each later section."""
+    names = ("tx", "investments", "budgets", "assets", "goals", "stx", "statements", "cards", "invoices")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are larger than these
+    try:
+        reports = composites.period_reports(*(view(spark, SF, n) for n in names[:1]), "ANNUAL", *(view(spark, SF, n) for n in names[1:]))
+        plan = spark._jvm.PythonSQLUtils.explainString(reports._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part]
+    assert moved and any("breakdown#" in m for m in moved)
+    assert not [m for m in moved if "breakdown#" in m and "statements#" in m]
+
+
+def test_periods_before_of_rows_without_a_date(spark, sides):
+    """The period before is a year away, not the last one with rows; rows without a date have none."""
+    tx = sides[0].unionByName(spark.createDataFrame([("x", 1, "old", M(7), "EXPENSE", None, date(2023, 1, 1), None, None), ("y", 1, "older", M(3), "EXPENSE", None, date(2021, 1, 1), None, None), ("z", 1, "undated", M(2), "EXPENSE", None, None, None, None)], TX))
+    got = {r.period_start: (r.expenses, r.previous_expenses, r.expense_change) for r in summaries.period_summary(tx, "ANNUAL").collect()}
+    assert got == {date(2024, 1, 1): (M(140), M(7), M(133)), date(2023, 1, 1): (M(7), M(0), M(7)), date(2021, 1, 1): (M(3), M(0), M(3)), None: (M(2), M(0), M(2))}
+
+
+def test_recurring_rows_are_read_once_and_labels_go_by_name(spark, monkeypatch):
+    """Rows were read for each of three uses of their counts, and descriptions that tie in number, amount and date went by the row's id."""
+    calls, plain = spark.sparkContext.accumulator(0), detection.description_key
+    counted = F.udf(lambda x: (calls.add(1), x)[1], "string").asNondeterministic()
+    monkeypatch.setattr(detection, "description_key", lambda x: counted(plain(x)))
+    rows = [(f"{t}{m}", 1, name, M(30), "EXPENSE", None, date(2024, m, 5), None, None) for m in (1, 2, 3) for t, name in (("a", "gym 2"), ("b", "gym 1"))]
+    got = detection.recurring_by_month(spark.createDataFrame(rows, TX)).collect()
+    assert [(r.month, r.label, r.n) for r in got] == [(date(2024, 3, 1), "gym 1", 6)] and calls.value == len(rows)
