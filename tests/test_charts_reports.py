@@ -158,3 +158,19 @@ def test_recurring_rows_are_read_once_and_labels_go_by_name(spark, monkeypatch):
     rows = [(f"{t}{m}", 1, name, M(30), "EXPENSE", None, date(2024, m, 5), None, None) for m in (1, 2, 3) for t, name in (("a", "gym 2"), ("b", "gym 1"))]
     got = detection.recurring_by_month(spark.createDataFrame(rows, TX)).collect()
     assert [(r.month, r.label, r.n) for r in got] == [(date(2024, 3, 1), "gym 1", 6)] and calls.value == len(rows)
+
+
+def test_insights_of_a_month_aggregate_its_months_only(spark, inputs, monkeypatch):
+    """The cube of all months was written for the insights of one; a provider of one's own still gets all of it."""
+    written, plain = {}, composites.saved
+    monkeypatch.setattr(composites, "saved", lambda df, name: written.update({name: plain(df, name)}) or written[name])
+    own = lambda x, m: x["cube"].groupBy("person_id").agg(F.min("month").alias("first")).select("person_id", F.lit(1).alias("ord"), F.lit(1).cast("bigint").alias("rank"), F.lit("info").alias("type"), F.lit("c").alias("category"), F.col("first").cast("string").alias("message"))
+    found, none = composites.run_providers(inputs, "2000-06-01", {**composites.PROVIDERS, "own": own})
+    months = {r.month for r in written["insights-cube"].select("month").distinct().collect()}
+    assert months == {date(2000, m, 1) for m in (3, 4, 5, 6)} and none.count() == 0
+    assert {r.message for r in found.where("category = 'c'").collect()} & {"1995-01-01", "1995-02-01", "1995-03-01"}
+    # one that compares with three months before: without the first of them there is another mean
+    tx = [(f"t{i}", 1, "x", M(v), "EXPENSE", "Food", date(2024, i, 3), None, None) for i, v in ((1, 900), (2, 100), (3, 100), (4, 100), (5, 300))]
+    cube = summaries.base_cube(spark.createDataFrame(tx, TX))
+    got, _ = composites.run_providers(inputs | {"cube": cube}, "2024-05-01", {"anomaly": composites.PROVIDERS["anomaly"]})
+    assert [(r.type, r.message) for r in got.collect()] == [("alert", "unusual 300.00")]
