@@ -28,6 +28,10 @@ from tallyspark.llm.words import U, hash_words, mix, seeds, shingles
 K, SKETCHES, L = 5, 16, 3
 #: Members of a bucket that one leader takes; larger buckets have several, which their first leads.
 LED = 64
+#: A written table of pairs or classes with this many rows at most (some 10 MB) is broadcast; a larger one is shuffled.
+FEW = 100_000
+#: A written table of short rows has a file for so many of them, an alignment a task for so many pairs, and as many as there are cores at least.
+FILE_ROWS, TASK_PAIRS = 50_000, 1_000
 #: Similarity as a fraction, so that ties at 0.8 are exact.
 SIMILAR = (4, 5)
 
@@ -149,8 +153,19 @@ def nodes(docs: DataFrame, sketches: int = SKETCHES) -> DataFrame:
     return made.groupBy("node").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
 
 
-def verified(pairs: DataFrame, known: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts align."""
+def few(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows, marked for broadcast where the written table `of`, which has at least as many, has FEW rows at most."""
+    return F.broadcast(rows) if of.count() <= FEW else rows
+
+
+def fitted(df: DataFrame, most: int, each: int = FILE_ROWS) -> DataFrame:
+    """df, of `most` rows at most, in a partition for `each` of them instead of one for each of the shuffle's: a small table written
+    in many files costs more than what is in it. No fewer than there are cores, so that none is left without work."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-most // each)))
+
+
+def verified(pairs: DataFrame, of: DataFrame, known: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts align, written; of: a written table that holds the pairs, or more."""
     types = [pa.binary(), pa.binary()]
 
     def run(batches):
@@ -167,20 +182,22 @@ def verified(pairs: DataFrame, known: DataFrame, at_least: tuple[int, int] = SIM
 
     left = known.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     right = known.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
+    texts = few(pairs.select("a", "b"), of).join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
+    return saved(fitted(texts, of.count(), TASK_PAIRS).mapInArrow(run, "a binary, b binary"), "links")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, class) of the nodes of edges (a, b); class: the smallest node that can be reached.
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, class) of the nodes of edges (a, b), `most` of them or a written table; class: the smallest node that can be reached.
 
     Each round gives a node the smallest class among its own and its neighbours', then that class's own
     class; rounds end when a digest of the table stays the same. Each is written to the shared folder.
     """
     ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e"))
-    both = saved(ends.select("e.a", "e.b").distinct(), "edges")
+    both = saved(fitted(ends.select("e.a", "e.b").distinct(), 4 * (edges.count() if most is None else most)), "edges")
+    most = both.count()
     now, digest, last = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class")), None, None
     while True:
-        now = saved(now, "classes")
+        now = saved(fitted(now, most), "classes")
         before, digest = digest, now.agg(F.sum(F.xxhash64("node", "class").cast("decimal(38,0)"))).first()[0]
         if last is not None:
             discard(last)
@@ -188,14 +205,14 @@ def components(edges: DataFrame) -> DataFrame:
             discard(both)
             return now
         last = now
-        near = both.join(now.select(F.col("node").alias("b"), F.col("class").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        up = now.select(F.col("node").alias("c"), F.col("class").alias("top"))
+        near = both.join(few(now.select(F.col("node").alias("b"), F.col("class").alias("c")), now), "b").groupBy("a").agg(F.min("c").alias("c"))
+        up = few(now.select(F.col("node").alias("c"), F.col("class").alias("top")), now)
         now = near.join(up, "c", "left").select(F.col("a").alias("node"), F.least("c", F.coalesce("top", "c")).alias("class"))
 
 
-def rarest_runs(some: DataFrame, known: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(node, n, run, pos): of each of some nodes the rarest of its n runs, counted among these nodes,
-    as many as it may lack of a similar text's, and one more. Of two similar texts' rarest runs, one is shared."""
+def rarest_runs(some: DataFrame, classes: DataFrame, known: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
+    """(node, n, run, pos, class), written: of each of some nodes the rarest of its n runs, counted among these nodes,
+    as many as it may lack of a similar text's, and one more, with its class. Of two similar texts' rarest runs, one is shared."""
     types = [pa.binary(), pa.int64()]
     p, q = at_least
 
@@ -211,15 +228,16 @@ def rarest_runs(some: DataFrame, known: DataFrame, at_least: tuple[int, int] = S
     times = runs.groupBy("run").agg(F.count("*").alias("times"))
     own = Window.partitionBy("node")  # a text's own runs
     placed = runs.join(times, "run").select("node", "run", F.row_number().over(own.orderBy("times", "run")).alias("pos"), F.count("*").over(own).cast("int").alias("n"), "times")
-    return placed.where(f"times > 1 and pos <= n - (n * {p} + {q - 1}) div {q} + 1").drop("times")
+    placed = placed.where(f"times > 1 and pos <= n - (n * {p} + {q - 1}) div {q} + 1").drop("times")
+    placed = placed.join(few(classes, classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    return saved(fitted(placed, runs.count()), "rarest")
 
 
-def remaining_pairs(rare: DataFrame, classes: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Pairs (a, b) of nodes of different classes that may be similar, with the number of runs by which they met: they share one of as many rarest
+def remaining_pairs(placed: DataFrame, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Of rarest runs with their nodes' classes, pairs (a, b) of nodes of different classes that may be similar, with the number of runs by which they met: they share one of as many rarest
     runs as each may lack of the other, and enough runs are left from there on. Of the nodes at a run, those of its largest
     class don't meet each other."""
     p, q = at_least
-    placed = rare.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     large = placed.groupBy("run", "class").agg(F.count("*").alias("c")).groupBy("run").agg(F.max_by("class", F.struct("c", "class")).alias("large"), F.count("*").alias("several")).where("several > 1")
     placed = placed.join(large.select("run", "large"), "run")
     x, y = placed.where("class <> large").alias("x"), placed.alias("y")
@@ -230,11 +248,12 @@ def remaining_pairs(rare: DataFrame, classes: DataFrame, at_least: tuple[int, in
 
 def merged(classes: DataFrame, found: DataFrame) -> DataFrame:
     """classes (node, class) after links (a, b) between nodes; a node without a class is its own. Only classes are searched."""
-    own = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"c{side}"))
+    own = lambda side: few(classes.select(F.col("node").alias(side), F.col("class").alias(f"c{side}")), classes)
     between = found.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    tops = components(between).select(F.col("node").alias("class"), F.col("class").alias("top"))
+    tops = components(between, found.count()).select(F.col("node").alias("class"), F.col("class").alias("top"))
     fresh = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node", "left_anti").withColumn("class", F.col("node"))
-    return saved(classes.unionByName(fresh).join(tops, "class", "left").select("node", F.coalesce("top", "class").alias("class")), "classes")
+    joined = classes.unionByName(fresh).join(few(tops, tops), "class", "left").select("node", F.coalesce("top", "class").alias("class"))
+    return saved(fitted(joined, classes.count() + 2 * found.count()), "classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sketches: int = SKETCHES, at_least: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -248,49 +267,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sk
     """
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     known = saved(nodes(docs, sketches), "nodes")
-    buckets = known.select("node", "n", F.explode("sketches").alias("h"))
+    buckets = known.select("node", F.explode("sketches").alias("h"))
     shared = buckets.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    members = saved(buckets.join(shared, "h"), "buckets")
     # a text's weight: the members of all its buckets; a family's common form has most, and leads
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    known = saved(known.join(weight, "node").select("node", "words", "n", "weight"), "candidates")
-    ranked = members.join(known.select("node", "weight"), "node").select("h", "node", "size", F.struct(-F.col("weight"), "node").alias("place"))
+    weight = F.sum("size").over(Window.partitionBy("node"))  # a text's own sketches
     # a large bucket is cut by a hash of its nodes into parts of about LED, each with a leader, and those have one leader
     parts = F.greatest(F.ceil(F.col("size") / LED), F.lit(1)).cast("bigint")
-    part = F.pmod(F.xxhash64("node"), parts)
-    ranked = ranked.withColumn("part", part)
-    led = saved(ranked.groupBy("h", "part").agg(F.min("place").alias("lead")), "leaders")
-    top = led.groupBy("h").agg(F.min("lead").alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    below = ranked.join(led, ["h", "part"]).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-    above = led.join(top, "h").select(F.col("top.node").alias("a"), F.col("lead.node").alias("b"))
-    pairs = saved(below.unionByName(above).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    edges = saved(verified(pairs, known, at_least), "links")
-    classes = components(edges)
+    members = buckets.join(shared, "h").withColumn("weight", weight).withColumn("part", F.pmod(F.xxhash64("node"), parts))
+    n_nodes = known.count()
+    members = saved(fitted(members, sketches * n_nodes), "buckets")
+    n_members = members.count()
+    known = saved(known.join(members, "node", "left_semi").select("node", "words"), "candidates")
+    lead = F.min(F.struct(-F.col("weight"), "node")).over(Window.partitionBy("h", "part"))  # about LED rows
+    led = saved(fitted(members.select("h", "node", "size", lead.alias("lead")), n_members), "leaders")
+    leaders = led.where((F.col("node") == F.col("lead.node")) & (F.col("size") > LED))
+    top = leaders.groupBy("h").agg(F.min("lead").alias("top"))
+    below = led.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    above = leaders.join(top, "h").select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+    pairs = below.unionByName(above).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = saved(fitted(pairs, 2 * n_members), "pairs")
     discard(led)
-    split = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    edges = verified(pairs, pairs, known, at_least)
+    classes = components(edges)
+    split = members.join(few(classes, classes), "node", "left").withColumn("class", F.coalesce("class", "node"))
     split = split.groupBy("h").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.count("*").alias("size")).where("c0 <> c1 and size > 2")
     # a row for each part of a bucket, so that a large one is not met in one task
     split = split.select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
-    some = members.withColumn("part", part).join(split, ["h", "part"], "left_semi").select("node").distinct()
-    rest = remaining_pairs(saved(rarest_runs(some, known, at_least), "rarest"), classes, at_least)
-    rest = saved(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    some = members.join(split, ["h", "part"], "left_semi").select("node").distinct()
+    rest = remaining_pairs(rarest_runs(some, classes, known, at_least), at_least)
+    rest = saved(rest.join(few(pairs, pairs), ["a", "b"], "left_anti"), "pairs")
     # each node's most promising pair first: its links settle most of the others
     of_a = rest.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("p")).select("a", "p.b")
     of_b = rest.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("p")).select("p.a", "b")
     best = of_a.unionByName(of_b).distinct()
-    found = saved(verified(best, known, at_least), "links")
+    found = verified(best, rest, known, at_least)
     classes, edges = merged(classes, found), edges.unionByName(found)
-    now = classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes.select(F.col("node").alias("b"), F.col("class").alias("cb"))
-    rest = rest.join(now[0], "a", "left").join(now[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    found = saved(verified(rest, known, at_least), "links")
+    now = few(classes.select(F.col("node").alias("a"), F.col("class").alias("ca")), classes), few(classes.select(F.col("node").alias("b"), F.col("class").alias("cb")), classes)
+    left = rest.join(now[0], "a", "left").join(now[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    found = verified(left, rest, known, at_least)
     classes, edges = merged(classes, found), edges.unionByName(found)
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     rows = docs.select("key", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("node"))
     texts = rows.groupBy("node").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
-    texts = saved(texts.join(classes, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node")), "texts")
+    texts = texts.join(few(classes, classes), "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    texts = saved(fitted(texts, n_nodes), "texts")
     # written first: a join right after the aggregate would keep its partitions, with a large class whole in one task, while
     # one of two tables is broadcast or split by AQE
-    sizes = saved(texts.groupBy("class").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), "sizes")
+    sizes = saved(fitted(texts.groupBy("class").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), n_nodes), "sizes")
     facts = texts.join(sizes, "class").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     return rows.join(facts, "node").select(F.col("key").alias(key), "node", "class_id", "class_size", "links")
 
