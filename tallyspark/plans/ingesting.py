@@ -130,7 +130,8 @@ t AS (SELECT doc_id AS d, count(*) FILTER (taken) AS n FROM f GROUP BY 1)
 SELECT doc_id, line_no, description, CAST(1 AS INT) AS amount, DATE '2000-01-01' AS date FROM f JOIN t ON d = doc_id WHERE NOT taken AND NOT (refund AND nth <= n)""")
 def _(parsed):
     name = F.when(F.col("type") == "INCOME", "Estorno tarifa").otherwise("Tarifa")
-    order = F.row_number().over(Window.partitionBy(F.col("doc_id") % 300).orderBy("doc_id", "line_no", "description", "amount"))
+    # the SQL leaves the order of rows that differ in type alone open; numbers are made twice, so they may not hang on how rows arrive: the fee comes first, as in the operator
+    order = F.row_number().over(Window.partitionBy(F.col("doc_id") % 300).orderBy("doc_id", "line_no", "description", "amount", "type"))
     rows = parsed.select((F.col("doc_id") % 300).alias("doc_id"), order.alias("line_no"), name.alias("description"), F.lit(1).alias("amount"), F.lit("2000-01-01").cast("date").alias("date"))
     return G.cancel_refunds(rows)
 

@@ -170,3 +170,24 @@ def test_cards_of_an_ingest_are_those_of_resolved_rows(spark):
     day = {k: 20 if k == "5" else 10 if k == "7" else 15 for k, _ in want.values()}
     assert all(r.transaction_date == date(2024, 6, day[r.card_key]) for r in entries)
     assert {(r.card_key, r.matched_by) for r in got["cards"].collect()} == set(want.values())
+
+
+def test_refunds_of_tied_rows_do_not_hang_on_how_rows_arrive(spark, tmp_path):
+    """A refund and a fee that agree in all that the query's SQL orders by, with no refund waiting: what was kept hung on which was read first."""
+    from pyspark.sql import functions as F
+
+    from tallyspark.plans.registry import QUERIES
+
+    day = date(2024, 1, 1)
+    spark.createDataFrame([(0, 1, M(9), day, "F", "1-URGENT")], "o_orderkey bigint, o_custkey bigint, o_totalprice decimal(19,2), o_orderdate date, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/a/orders.parquet")
+    spark.createDataFrame([(1, "bolt", "b")], "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/a/part.parquet")
+    lines = [(0, 1, 1, 1, 50.0, 7.0, "R"), (0, 1, 1, 1, 50.0, 7.0, "N"), (0, 1, 1, 2, 5.0, 7.0, "N")]
+    kept = []
+    for name, order in (("refund", (0, 1, 2)), ("fee", (1, 0, 2))):
+        rows = spark.createDataFrame([lines[i] for i in order], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string")
+        at = tmp_path / name
+        rows.withColumn("l_shipdate", F.lit(day)).coalesce(1).write.parquet(f"{at}/lineitem.parquet")
+        for t in ("orders", "part"):
+            spark.read.parquet(f"{tmp_path}/a/{t}.parquet").write.parquet(f"{at}/{t}.parquet")
+        kept.append([(r.doc_id, r.line_no, r.description) for r in QUERIES["so7_cancel_refunds"](spark, str(at)).collect()])
+    assert kept == [[(0, 1, "Tarifa")]] * 2
