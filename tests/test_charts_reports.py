@@ -68,6 +68,24 @@ def test_a_provider_that_fails_fails_alone(spark, inputs):
     assert nothing.count() == 0 and all_failed.count() == 1
 
 
+def test_insights_fail_where_a_provider_does(spark, inputs, monkeypatch):
+    """What a failing provider would have said was missing from the result, in the query too, and nothing told so."""
+    from tallyspark.plans.registry import QUERIES
+
+    def broken(x, m):
+        raise OSError("no space left")
+
+    in_task = lambda x, m: x["cube"].select("person_id", F.lit(1).alias("ord"), F.lit(1).alias("rank"), F.lit("info").alias("type"), F.lit("c").alias("category"), F.raise_error(F.lit("in a task")).cast("string").alias("message"))
+    cashflow = {"cashflow": composites.PROVIDERS["cashflow"]}
+    for name, f in (("broken", broken), ("late", in_task)):
+        with pytest.raises(RuntimeError, match=f"{name} .*(no space left|in a task)"):
+            composites.insights(inputs, "2000-06-01", cashflow | {name: f})
+    assert composites.insights(inputs, "2000-06-01", cashflow).count() > 0
+    monkeypatch.setitem(composites.PROVIDERS, "growth", broken)
+    with pytest.raises(RuntimeError, match="growth .OSError: no space left"):
+        QUERIES["in_tk4_so3_so6_insights"](spark, SF)
+
+
 def test_insights_of_every_month(spark, inputs):
     """Months at once give what the providers give month by month; reports keep the last ones of their periods."""
     flow = inputs["flow"]
