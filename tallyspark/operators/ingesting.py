@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.money import MONEY, percent, total, total_if
-from tallyspark.functions.sizes import small
+from tallyspark.functions.sizes import grows, small
 from tallyspark.functions.text import is_garbled, normalize
 
 
@@ -137,7 +137,7 @@ def parse_quality(docs: DataFrame, rows: DataFrame, least_rows: int = 3, least_t
         points(c("due_date").isNotNull(), 20) + points(c("total_amount") > 0, 20) + points(c("last_four").isNotNull(), 10) + points(n >= least_rows, 20) + points((n > 0) & (c("valid") * 100 >= n * 80), 30)
         - points(F.length("text") < least_text, 30) - points(garbled, 20) - points(n < least_rows, 25) - points(c("bad") > 0, 15)
     )
-    out = docs.join(counts, "doc_id", "left").withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)))
+    out = docs.join(grows(counts), "doc_id", "left").withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)))
     return out.select("doc_id", "score", (c("score") >= accept).alias("accepted"), (c("score") >= high).alias("high_quality"))
 
 

@@ -60,10 +60,12 @@ def _invoice_docs(parsed):
     months = F.array(*[F.lit(m) for m in "JAN FEV MAR ABR MAI JUN JUL AGO SET OUT NOV DEZ".split()])
     worded = F.concat(F.date_format("date", "dd"), F.lit(" "), F.element_at(months, F.month("date")), F.lit(" "), "description", F.when(F.col("type") == "INCOME", " -R$ ").otherwise(" R$ "), money)
     slashed = F.concat(F.date_format("date", "dd/MM"), F.lit(" "), "description", F.when(F.col("installment_number").isNotNull(), F.concat(F.lit(" parcela "), F.col("installment_number").cast("string"), F.lit(" de 12"))).otherwise(""), F.lit(" R$ "), F.when(F.col("type") == "INCOME", "-").otherwise(""), money)
-    lines = p.select("doc_id", "line_no", F.when(F.col("doc_id") % 2 == 0, worded).otherwise(slashed).alias("line"), "due_date")
-    head = F.concat(F.when(F.col("doc_id") % 2 == 0, "fatura de cartão\nvencimento ").otherwise("mercado\nvencimento "), F.date_format("due_date", "dd/MM/yyyy"))
-    heads = p.select("doc_id", "due_date").distinct().select("doc_id", F.lit(-1).alias("line_no"), head.alias("line"))
-    return _joined(lines.drop("due_date").unionByName(heads), "")
+    lines = p.select("doc_id", "line_no", "person_id", "due_date", F.when(F.col("doc_id") % 2 == 0, worded).otherwise(slashed).alias("line"))
+    # one grouping of lines: heads and persons of their own would take a reading of the tables each
+    head = lambda due: F.concat(F.when(F.col("doc_id") % 2 == 0, "fatura de cartão\nvencimento ").otherwise("mercado\nvencimento "), F.date_format(due, "dd/MM/yyyy"))
+    heads = F.array_sort(F.transform(F.collect_set("due_date"), head))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    return lines.groupBy("doc_id").agg(F.array_join(F.concat(heads, body), "\n").alias("text"), F.min("person_id").alias("person_id"))
 
 
 def _layouts(df):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import day_and_month, once, parse_date, try_date
 from tallyspark.functions.money import MONEY, parse_brazilian, parse_loose
-from tallyspark.functions.sizes import small
+from tallyspark.functions.sizes import grows, small
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def select_layout(docs: DataFrame, parsed: DataFrame, layouts: DataFrame) -> Dat
     counts = parsed.groupBy("doc_id", "layout").agg(F.count("*").alias("n"))
     rows = F.when((F.col("fits") | F.col("dated")) & (F.coalesce("n", F.lit(0)) > 0), 10_000 + F.least(F.lit(5_000), 20 * F.col("n"))).otherwise(0)
     score = F.when(F.col("fits"), 1_000_000).otherwise(0) + F.when(F.col("dated"), 100_000).otherwise(0) + rows
-    scored = base.join(counts, ["doc_id", "layout"], "left").select("doc_id", "layout", "ordinal", score.alias("score"))
+    scored = base.join(grows(counts), ["doc_id", "layout"], "left").select("doc_id", "layout", "ordinal", score.alias("score"))
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal"))
     return scored.withColumn("r", best).where("r = 1 and score > 0").select("doc_id", "layout", F.col("score").cast("bigint").alias("score"))
 

@@ -191,3 +191,33 @@ def test_refunds_of_tied_rows_do_not_hang_on_how_rows_arrive(spark, tmp_path):
             spark.read.parquet(f"{tmp_path}/a/{t}.parquet").write.parquet(f"{at}/{t}.parquet")
         kept.append([(r.doc_id, r.line_no, r.description) for r in QUERIES["so7_cancel_refunds"](spark, str(at)).collect()])
     assert kept == [[(0, 1, "Tarifa")]] * 2
+
+
+def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
+    """Cards that a batch made, and uploads, were broadcast through the driver as long as the compressed files looked small."""
+    import contextlib
+    import io
+
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions import sizes
+
+    def plan(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        return out.getvalue()
+
+    rows = spark.range(20).select(F.col("id").alias("row_id"), (F.col("id") % 3).alias("owner_id"), F.col("id").alias("upload"), F.lit(0).alias("place"), F.lit("gold").alias("name"), F.lit("visa").alias("brand"), F.lit("1111").alias("last_four"))
+    none = spark.createDataFrame([], "card_id bigint, owner_id bigint, name string, brand string, last_four string")
+    resolved = invoicing.resolve_cards(rows, none)
+    assert "Broadcast" not in plan(resolved) and {r.made_by for r in resolved.collect()} == {0, 1, 2}
+    docs = spark.createDataFrame([(1, "mercado\nvencimento 10/05/2024\n03/05 shop R$ 5,00"), (2, "nothing")], "doc_id bigint, text string")
+    from tallyspark.sources import texts
+
+    layouts = spark.createDataFrame(texts.LAYOUTS, texts.LAYOUT_SCHEMA)
+    parsed = texts.parse_invoice_text(docs, layouts)
+    parsed.write.parquet(f"{tmp_path}/rows")
+    counted = texts.select_layout(docs, spark.read.parquet(f"{tmp_path}/rows"), layouts)
+    assert "SortMergeJoin" in plan(counted) and [(r.doc_id, r.layout) for r in counted.collect()] == [(1, "slashed")]
+    few = spark.range(3)
+    assert "Broadcast" in plan(few.join(few, "id")) and "Broadcast" not in plan(few.join(sizes.grows(few), "id"))
