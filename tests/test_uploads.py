@@ -221,3 +221,22 @@ def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan(counted) and [(r.doc_id, r.layout) for r in counted.collect()] == [(1, "slashed")]
     few = spark.range(3)
     assert "Broadcast" in plan(few.join(few, "id")) and "Broadcast" not in plan(few.join(sizes.grows(few), "id"))
+
+
+def test_rows_of_a_batch_are_written_and_shuffled_once(spark, monkeypatch):
+    """Rows were written, and again with their keys, nearly all of them; descriptions were shuffled twice."""
+    import contextlib
+    import io
+
+    written, plain = [], invoicing.clustered
+    monkeypatch.setattr(invoicing, "clustered", lambda df, name, *keys, **how: written.append((name, df)) or plain(df, name, *keys, **how))
+    rows = spark.range(40).selectExpr("id as row_id", "id % 3 as owner_id", "id div 4 as upload", "id % 4 as place", "concat('n', id % 5) as name", "if(id % 2 = 0, 'visa', 'elo') as brand", "cast(id % 7 as string) as last_four")
+    none = spark.createDataFrame([], "card_id bigint, owner_id bigint, name string, brand string, last_four string")
+    got = invoicing.resolve_cards(rows, none)
+    assert [name for name, _ in written].count("card-rows") == 1 and {name for name, _ in written} == {"card-rows", "cards-left"}
+    for name, df in written:
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        assert name != "card-rows" or out.getvalue().count("Exchange") == 1
+    want = replay([r.asDict() for r in rows.collect()], [])
+    assert {r.row_id: (r.card_id, r.made_by, r.matched_by) for r in got.collect()} == want
