@@ -240,3 +240,31 @@ def test_rows_of_a_batch_are_written_and_shuffled_once(spark, monkeypatch):
         assert name != "card-rows" or out.getvalue().count("Exchange") == 1
     want = replay([r.asDict() for r in rows.collect()], [])
     assert {r.row_id: (r.card_id, r.made_by, r.matched_by) for r in got.collect()} == want
+
+
+def test_texts_and_lines_of_uploads_are_shuffled_once(spark, monkeypatch):
+    """Texts were shuffled again for their scores, and their lines for layout, total, score and card."""
+    import contextlib
+    import io
+
+    from tallyspark.plans.registry import QUERIES
+
+    shuffled, saved, clustered = {}, composites.saved, composites.clustered
+
+    def seen(df, name):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        shuffled[name] = [line for line in out.getvalue().splitlines() if "Exchange" in line and "Broadcast" not in line]
+        return df
+
+    monkeypatch.setattr(composites, "saved", lambda df, name: saved(seen(df, name), name))
+    monkeypatch.setattr(composites, "clustered", lambda df, name, *keys, **how: clustered(seen(df, name), name, *keys, **how))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert QUERIES["up1_from_texts"](spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # lines in place; scores: their totals only; rows: totals and scores of their documents, and the layouts' few patterns
+    assert [len(shuffled[name]) for name in ("upload-rows", "upload-totals", "upload-scores")] == [0, 0, 1]
+    assert not any("line_no" in line or "card" in line for line in shuffled["ingest-rows"]) and len(shuffled["ingest-rows"]) <= 4
